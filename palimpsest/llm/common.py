@@ -42,10 +42,13 @@ class Workspace:
         self.spark = spark
         self.at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.at}/{name}")
+    def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        df.write.mode("overwrite").option("compression", compression).parquet(f"{self.at}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
 
+    def load(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.at}/{name}")
+
     def drop(self, name: str) -> None:
         """For tables that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

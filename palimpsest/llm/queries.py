@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe
 from .decontaminate import SQL as _DECONTAMINATE_SQL
 from .decontaminate import op1_decontaminate
+from .huffman import op6_huffman
 from .line_dedup import SQL as _LINE_SQL
 from .line_dedup import op10_line_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op6_huffman": op6_huffman,
+    "op8_bpe": op8_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
 
