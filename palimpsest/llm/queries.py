@@ -6,11 +6,13 @@ from .bpe import op8_bpe
 from .decontaminate import SQL as _DECONTAMINATE_SQL
 from .decontaminate import op1_decontaminate
 from .huffman import op6_huffman
+from .language_id import op2_language_id
 from .line_dedup import SQL as _LINE_SQL
 from .line_dedup import op10_line_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_language_id": op2_language_id,
     "op6_huffman": op6_huffman,
     "op8_bpe": op8_bpe,
     "op10_line_dedup": op10_line_dedup,
