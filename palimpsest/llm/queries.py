@@ -10,11 +10,13 @@ from .language_id import op2_language_id
 from .line_dedup import SQL as _LINE_SQL
 from .line_dedup import op10_line_dedup
 from .quality import op3_quality
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
+    "op4_toxicity": op4_toxicity,
     "op6_huffman": op6_huffman,
     "op8_bpe": op8_bpe,
     "op10_line_dedup": op10_line_dedup,
