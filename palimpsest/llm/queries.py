@@ -9,6 +9,7 @@ from .huffman import op6_huffman
 from .language_id import op2_language_id
 from .line_dedup import SQL as _LINE_SQL
 from .line_dedup import op10_line_dedup
+from .near_dedup import op5_near_dedup
 from .quality import op3_quality
 from .toxicity import op4_toxicity
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
+    "op5_near_dedup": op5_near_dedup,
     "op6_huffman": op6_huffman,
     "op8_bpe": op8_bpe,
     "op10_line_dedup": op10_line_dedup,
