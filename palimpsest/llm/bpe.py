@@ -3,8 +3,8 @@
 A prefix of a piece of text has exactly one last token in its encoding. The tokens that end there come from an automaton
 over the vocabulary; the right one is the longest whose neighbour on the left (the last token of the prefix before it)
 stays its neighbour, which a test on the two tokens' own merges tells. Back-pointers from the end give the ids.
-Pieces are what the pre-tokenizer's pattern cuts; each distinct piece of a task is encoded once, all new ones of a
-slice together in NumPy.
+Pieces are what the pre-tokenizer's pattern cuts; a worker encodes each distinct piece once for long, all new ones of a slice
+together in NumPy.
 """
 
 from __future__ import annotations
@@ -12,21 +12,14 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents_of
-
-#: Fixed value: the pattern by which byte-level pre-tokenizers cut text.
-_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-#: Characters of text that are encoded together, and pieces that a worker remembers (twice that at most).
-SLICE_CHARS, REMEMBERED = 2_000_000, 200_000
+from .pieces import PieceCoder, binaries, slices
 
 _BIG = np.int64(1) << 40
 
@@ -71,12 +64,7 @@ class Bpe:
         for a, b in zip(left.tolist(), right.tolist(), strict=True):
             tokens.append(tokens[a] + tokens[b])
         self.size = np.array([len(t) for t in tokens], np.int32)
-        self._automaton(tokens)
-        self._pairs()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.cut = regex.compile(_PIECES).findall
-        self.split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
+        self.tokens, self.delta = tokens, None  # what only encoding needs is made when it begins
         by_id = {int(i): t for i, t in zip(self.ids, tokens, strict=True)} | {i: s.encode() for s, i in self.added.items()}
         self.width = np.zeros(max(by_id) + 1, np.int64)
         for i, t in by_id.items():
@@ -168,10 +156,12 @@ class Bpe:
             until[open_] = np.where(undo_left, x, y + 1)
         return good
 
-    def _encode_pieces(self, pieces: list[str]) -> None:
-        """Adds the pieces, new ones, to those remembered."""
-        raw = sorted((p.encode() for p in pieces), key=len, reverse=True)
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, and how many each has."""
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
         length = np.array([len(p) for p in raw], np.int64)
+        by_length = np.argsort(-length, kind="stable")  # longest first: at each step those still open are in front
+        raw, length = [raw[i] for i in by_length], length[by_length]
         begin = np.cumsum(length) - length
         flat = np.frombuffer(b"".join(raw), np.uint8)
         cells = np.cumsum(length + 1) - (length + 1)  # of prefixes 0..n
@@ -199,32 +189,18 @@ class Bpe:
             found.append((todo, at[todo], t))
             at[todo] -= self.size[t]
             todo = todo[at[todo] > 0]
-        if not found:
-            return
-        which, end, token = (np.concatenate(x) for x in zip(*found, strict=True))
+        which, end, token = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+        which = by_length[which]
         order = np.lexsort((end, which))
-        out = self.ids[token[order]].astype("<u4").tobytes()
-        stop = np.cumsum(np.bincount(which, minlength=len(raw))) * 4
-        start = 0
-        for p, s in zip(raw, stop.tolist(), strict=True):
-            self.young[p.decode()] = out[start:s]
-            start = s
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = []  # of each text: lists of pieces and bytes of added tokens
-        for text in texts:
-            whole = [text] if self.split is None or not any(x in text for x in self.added) else self.split(text)
-            parts.append([self.added[x].to_bytes(4, "little") if x in self.added else self.cut(x) for x in whole])
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        new = set().union(*(x for p in parts for x in p if isinstance(x, list)))
-        new -= self.young.keys()
-        again = new & self.old.keys()
-        self.young.update((x, self.old[x]) for x in again)
-        self._encode_pieces(list(new - again))
-        known = self.young.__getitem__
-        return [b"".join(x if isinstance(x, bytes) else b"".join(map(known, x)) for x in p) for p in parts]
+        return self.ids[token[order]], np.bincount(which, minlength=len(raw))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if self.delta is None:  # only decoding needs no automaton
+            self._automaton(self.tokens)
+            self._pairs()
+            self.coder = PieceCoder(self._encode_pieces, self.added)
+        return self.coder.encode(texts)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; ids that the vocabulary lacks give nothing, bytes that are not UTF-8 give U+FFFD."""
@@ -248,19 +224,6 @@ def _bpe(shared) -> Bpe:
     return _known[name]
 
 
-def slices(texts: list[str], chars: int = SLICE_CHARS) -> Iterator[list[str]]:
-    """Runs of texts of about so many characters together."""
-    own, n = [], 0
-    for t in texts:
-        own.append(t)
-        n += len(t)
-        if n >= chars:
-            yield own
-            own, n = [], 0
-    if own:
-        yield own
-
-
 def share_vocabulary(spark: SparkSession, path: str):
     """Broadcasts the vocabulary: as large as its file, whatever the documents are."""
     return spark.sparkContext.broadcast(load_vocabulary(path))
@@ -278,10 +241,9 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         bpe = _bpe(shared)
         for batch in batches:
-            texts, out = batch.column(1).to_pylist(), []
-            for part in slices([t or "" for t in texts]):
-                out += bpe.encode(part)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
+            for part in slices(batch, 1):
+                out = bpe.encode([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), binaries(out, "<u4")], ["doc_id", "ids"])
 
     return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids binary")
 
@@ -293,9 +255,9 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches):
         bpe = _bpe(shared)
         for batch in batches:
-            ids = batch.column(1)
-            text = pa.array([bpe.decode(x) if x else "" for x in ids.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, text], ["doc_id", "ids", "text"])
+            for part in slices(batch, 1):
+                text = pa.array([bpe.decode(x) if x else "" for x in part.column(1).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, text], ["doc_id", "ids", "text"])
 
     base = encoded.select("doc_id", "ids")
     return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
