@@ -8,6 +8,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents_of
 from .text_bytes import LETTERS, crc_mod, segments, sums, text_bytes
@@ -96,8 +97,8 @@ def learn(docs: DataFrame, languages: DataFrame | None = None) -> Filters:
     return Filters(names, [np.array(grams[k], np.int64) for k in names])
 
 
-def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, matches): the language with most n-grams of the text after correction, its share of all languages'
+def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score, matches), and with ``keep`` also the text and these columns: the language with most n-grams of the text after correction, its share of all languages'
     corrected counts, and each language's count.
 
     Whole texts, in one pass without a shuffle. Null texts and texts without a letter are ``und`` with score 0. Texts
@@ -105,8 +106,12 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     language with more of them.
     Each row gives a row, also if its id is null or repeated.
     """
-    base = documents_of(docs, id_col, text_col)
+    base = documents_of(docs, id_col, text_col, keep)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
+    kept = [i for i in range(len(base.columns)) if keep and i]
+    names = ["doc_id", *[base.columns[i] for i in kept], "lang_pred", "score", "matches"]
+    added = T.StructType().add("lang_pred", "string").add("score", "double").add("matches", T.ArrayType(T.DoubleType()))
+    schema = T.StructType([base.schema[0], *[base.schema[i] for i in kept], *added])
 
     def run(batches):
         filters = shared.value
@@ -115,11 +120,12 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
             lettered = np.array([bool(_LETTER(t.as_py() or "")) for t in column], bool)
             found = filters.counts(*text_bytes(column)) if filters.languages else np.zeros((len(column), 1))
             best, total = found.argmax(1), found.sum(1)
-            names = [filters.languages[i] if ok and filters.languages else "und" for i, ok in zip(best, lettered, strict=True)]
+            pred = [filters.languages[i] if ok and filters.languages else "und" for i, ok in zip(best, lettered, strict=True)]
             score = np.where(lettered & (total > 0), found.max(1) / np.maximum(total, 1e-9), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(found.tolist(), pa.list_(pa.float64()))], ["doc_id", "lang_pred", "score", "matches"])
+            columns = [*[batch.column(i) for i in [0, *kept]], pa.array(pred, pa.string()), pa.array(score), pa.array(found.tolist(), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, matches array<double>")
+    return base.mapInArrow(run, schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
