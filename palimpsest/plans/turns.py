@@ -1,0 +1,56 @@
+"""Conversations: pairing of turns, limits and token estimates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import estimate_tokens
+from ..operators import turns as T
+from .core import query
+
+_SAID = "SELECT *, lag(role) OVER w AS before, lag(text) OVER w AS said FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN before = 'user' THEN said ELSE '' END AS user_query, text AS agent_response FROM ({_SAID}) WHERE role = 'assistant'")
+def pair_last_user(t):
+    return T.pair_last_user(t.conversations)
+
+
+@query(f"SELECT conv_id, turn, said AS user_query, text AS agent_response FROM ({_SAID}) WHERE role = 'assistant' AND before = 'user'")
+def pair_pending_user(t):
+    return T.pair_last_user(t.conversations, leftover=False)
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS i FROM conversations)
+SELECT u.conv_id, u.i, u.text AS user_query, a.text AS agent_response FROM n u JOIN n a ON u.conv_id = a.conv_id AND u.i = a.i AND u.role = 'user' AND a.role = 'assistant'""")
+def pair_zip(t):
+    return T.pair_zip(t.conversations)
+
+
+@query("""WITH g AS (SELECT *, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id, g, max(text) FILTER (WHERE role = 'user') AS user_query, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant') AS agent_response
+FROM g WHERE g > 0 GROUP BY conv_id, g HAVING count(*) FILTER (WHERE role = 'assistant') > 0""")
+def pair_concat_runs(t):
+    return T.pair_runs(t.conversations)
+
+
+@query("SELECT conv_id, turn, trim(text) = '' OR len(regexp_split_to_array(trim(text), '\\s+')) < 4 AS is_trivial FROM conversations")
+def trivial_turns(t):
+    return t.conversations.select("conv_id", "turn", T.trivial(F.col("text")).alias("is_trivial"))
+
+
+@query("""SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'user') AS n_user, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id""")
+def turns_per_conversation(t):
+    tokens = estimate_tokens(F.col("text"))
+    return t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("role") == "user").cast("long")).alias("n_user"), F.sum(tokens).alias("tokens"))
+
+
+@query("""WITH d AS (SELECT conv_id, '_Exported on x from Cursor_' || chr(10) || '---' || chr(10) || string_agg(CASE role WHEN 'user' THEN '**User**' ELSE '**Cursor**' END || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY turn) AS t
+FROM conversations WHERE role != 'system' GROUP BY conv_id)
+SELECT conv_id AS id, CASE role WHEN 'user' THEN 'user' ELSE 'assistant' END AS role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations WHERE role != 'system' AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) != ''""")
+def transcript_round_trip(t):
+    """Turns written as an exported transcript and parsed again."""
+    said = F.concat(F.when(F.col("role") == "user", "**User**").otherwise("**Cursor**"), F.lit("\n"), F.col("text"))
+    c = t.conversations.where("role != 'system'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))).alias("s"))
+    text = F.concat(F.lit("_Exported on x from Cursor_\n---\n"), F.array_join(F.transform("s", lambda x: x["s"]), "\n---\n"))
+    return T.transcript_turns(c.select(F.col("conv_id").alias("id"), text.alias("text"))).drop("turn")
