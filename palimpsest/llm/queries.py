@@ -5,12 +5,15 @@ from __future__ import annotations
 from .bpe import op8_bpe
 from .decontaminate import SQL as _DECONTAMINATE_SQL
 from .decontaminate import op1_decontaminate
+from .html_text import op7_html_text
 from .huffman import op6_huffman
 from .language_id import op2_language_id
 from .line_dedup import SQL as _LINE_SQL
 from .line_dedup import op10_line_dedup
 from .near_dedup import op5_near_dedup
 from .quality import op3_quality
+from .top_k import SQL as _TOP_K_SQL
+from .top_k import op9_top_k
 from .toxicity import op4_toxicity
 
 QUERIES = {
@@ -20,11 +23,14 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
     "op6_huffman": op6_huffman,
+    "op7_html_text": op7_html_text,
     "op8_bpe": op8_bpe,
+    "op9_top_k": op9_top_k,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": _DECONTAMINATE_SQL,
+    "op9_top_k": _TOP_K_SQL,
     "op10_line_dedup": _LINE_SQL,
 }
