@@ -30,7 +30,7 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     path = F.regexp_replace("path", r"^\w+:/*" + root.split(":", 1)[-1].strip("/") + "/", "")
     rows = raw.select(path.alias("file_path"), "content").where(~skipped(F.col("file_path")))
     rows = rows.withColumn("language", language(F.col("file_path"))).where(F.col("language").isNotNull())
-    return rows.withColumn("content", F.decode("content", "UTF-8")).withColumn("content_hash", F.substring(F.sha2("content", 256), 1, 16))
+    return rows.withColumn("content", F.make_valid_utf8(F.col("content").cast("string"))).withColumn("content_hash", F.substring(F.sha2("content", 256), 1, 16))
 
 
 def diff_rows(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -46,7 +46,7 @@ def diff_rows(lines: DataFrame, col: str = "value") -> DataFrame:
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files; bytes that are not UTF-8 are dropped, empty files are left out."""
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit("")).alias("text")).where(F.trim("text") != "")
+    return raw.select("path", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")).alias("text")).where(F.trim("text") != "")
 
 
 def retained(df: DataFrame, now: Column, days: int = 90, ts: str = "ts") -> DataFrame:
