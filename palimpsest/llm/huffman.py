@@ -8,19 +8,20 @@ for all runs of many blocks at once. The code lengths are in a table beside the
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import _PIECES, REMEMBERED, slices, vocabulary_path
+from .bpe import vocabulary_path
 from .common import Workspace, checked_broadcast, documents_of
+from .pieces import PieceCoder, binaries, slices
 
 BLOCK_IDS, RUN, MAX_BITS = 65_536, 64, 16
 
@@ -117,33 +118,23 @@ class Table:
 
 
 class _Library:
-    """Ids of texts by the tokenizers library, which sees each distinct piece once for some time."""
+    """Ids of texts by the tokenizers library, which sees each distinct piece once for long."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # pieces are cut already
+        self.tokenizer.model._resize_cache(0)  # and new each time
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut, self.young, self.old = regex.compile(_PIECES).findall, {}, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [any(a in t for a in self.added) for t in texts]
-        cut = [[] if w else self.cut(t) for t, w in zip(texts, whole, strict=True)]
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        new = set().union(*cut) - self.young.keys()
-        again = new & self.old.keys()
-        self.young.update((x, self.old[x]) for x in again)
-        new = list(new - again)
-        self.young.update(zip(new, self._ids(new), strict=True))
-        known = self.young.__getitem__
-        return [self._ids([t])[0] if w else b"".join(map(known, c)) for t, w, c in zip(texts, whole, cut, strict=True)]
+        added = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        self.coder = PieceCoder(self._ids, added, bits=22)
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 _library: dict[str, _Library] = {}
@@ -160,12 +151,11 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
             _library[vocabulary] = _Library(vocabulary)
         library = _library[vocabulary]
         width = _width(library.tokenizer.get_vocab_size())
-        end = np.array([end_id], width).tobytes()
+        end = np.uint32(end_id)
         for batch in batches:
-            out = []
-            for part in slices([t or "" for t in batch.column(1).to_pylist()]):
-                out += [np.frombuffer(x, "<u4").astype(width).tobytes() + end for x in library.encode(part)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
+            for part in slices(batch, 1):
+                ids = library.coder.encode([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), binaries([np.append(x, end) for x in ids], width)], ["doc_id", "ids"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
@@ -186,8 +176,8 @@ def count_ids(tokens: DataFrame, width: str, size: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in slices([x or b"" for x in batch.column(0).to_pylist()]):
-                total += np.bincount(np.frombuffer(b"".join(x), width), minlength=size)
+            for part in slices(batch, 0):
+                total += np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), width), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 

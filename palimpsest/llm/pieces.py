@@ -8,9 +8,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-#: Bytes of text that are worked on at once; pieces that a worker remembers; code points of a piece that is remembered.
-SLICE_BYTES, REMEMBERED, LONGEST = 1_000_000, 1_200_000, 512
-_BITS = 21
+#: Bytes of text that are worked on at once; code points of a piece that is remembered.
+SLICE_BYTES, LONGEST = 1_000_000, 512
 
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 #: Fixed value: an odd base of the pieces' polynomial hash, which has an inverse modulo 2^64.
@@ -78,25 +77,26 @@ def cut(points: np.ndarray, texts: np.ndarray) -> np.ndarray:
 class PieceCoder:
     """Ids of texts. ``encode_new`` gives those of pieces not met before, as (all ids, ids of each piece)."""
 
-    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int]):
-        self.encode_new, self.added = encode_new, added
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int], bits: int = 21):
+        """``bits``: of the table that remembers pieces; it is emptied when 60 % full. 12 bytes a place, and those of the ids."""
+        self.encode_new, self.added, self.bits = encode_new, added, bits
         self.split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True)) + ")").split
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.places = np.zeros(1 << _BITS, np.uint64), np.zeros(1 << _BITS, np.int32)
+        self.keys, self.places = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.ids, self.begin, self.n_ids, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0, 0
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Places of the keys, -1 for new ones; linear probing, for all keys together."""
         out, todo = np.full(len(keys), -1, np.int32), np.arange(len(keys))
-        slot = (keys >> np.uint64(64 - _BITS)).astype(np.int64)
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(todo):
             held = self.keys[slot[todo]]
             same = held == keys[todo]
             out[todo[same]] = self.places[slot[todo[same]]]
             todo = todo[~same & (held != 0)]
-            slot[todo] = (slot[todo] + 1) & ((1 << _BITS) - 1)
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
         return out
 
     def _add(self, keys: np.ndarray | None, pieces: list[str]) -> np.ndarray:
@@ -111,14 +111,14 @@ class PieceCoder:
         self.begin[self.n + 1 : self.n + len(pieces) + 1] = self.n_ids + np.cumsum(sizes)
         self.n, self.n_ids = self.n + len(pieces), self.n_ids + len(ids)
         if keys is not None:
-            todo, slot = np.arange(len(keys)), (keys >> np.uint64(64 - _BITS)).astype(np.int64)
+            todo, slot = np.arange(len(keys)), (keys >> np.uint64(64 - self.bits)).astype(np.int64)
             while len(todo):
                 free = self.keys[slot[todo]] == 0
                 self.keys[slot[todo[free]]] = keys[todo[free]]  # of several for one slot the last stays
                 done = self.keys[slot[todo]] == keys[todo]
                 self.places[slot[todo[done]]] = places[todo[done]]
                 todo = todo[~done]
-                slot[todo] = (slot[todo] + 1) & ((1 << _BITS) - 1)
+                slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
         return places
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -140,8 +140,8 @@ class PieceCoder:
         stops = np.cumsum(np.array([len(t) for t in texts], np.int64))
         begin = cut(points, np.concatenate([[0], stops[:-1]]).astype(np.int64) if len(texts) else stops)
         end = np.append(begin[1:], len(points))
-        if self.n + len(begin) > REMEMBERED:
-            self._forget() if self.n > REMEMBERED // 2 else None
+        if self.n + len(begin) > 0.6 * (1 << self.bits) and self.n:
+            self._forget()
         power, inverse = _powers(len(points))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points + np.uint32(1)) * power[: len(points)])])
         keys = (total[end] - total[begin]) * inverse[begin]
@@ -154,7 +154,8 @@ class PieceCoder:
         if len(new):
             distinct, first = np.unique(keys[new], return_index=True)
             at = new[first]
-            places = self._add(distinct, [text[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+            fits = self.n + len(distinct) <= 0.8 * (1 << self.bits)  # else one text fills the table: not remembered
+            places = self._add(distinct if fits else None, [text[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
             place[new] = places[np.searchsorted(distinct, keys[new])]
         if long.any():
             place[long] = self._add(None, [text[a:b] for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)])
