@@ -4,10 +4,11 @@
    shingles, the least. Documents of one set are one vertex from here on.
 2. Each of ``TREES`` trees deals the vertices into nodes by one of their minwise tokens. Two vertices of similarity s meet in
    a node with chance s, so that 0.25^10, or one in a million, of the pairs at the threshold meet in none.
-3. In each node every vertex is compared with the first one, which joins groups of copies without all their pairs.
-4. Nodes that still hold several components are compared exhaustively if small, but for pairs within a component; a large
-   node branches into two children by further tokens, which its path selects, and so on. Deep in a tree, where all that
-   meet are alike, what is left of a large node is compared with all of its main component, which then goes.
+3. A vertex that meets the same first vertex of its nodes in several trees is compared with it, which joins groups of copies
+   without all their pairs.
+4. Nodes that still hold several components are compared exhaustively if small, but for pairs within a component. A large
+   node whose vertices but a few are of one component has these few compared with each other and with all of that
+   component; any other large node branches into two children by further tokens, which its path selects, and so on.
 5. A comparison first estimates the similarity from 128 bytes of each (four standard deviations below the threshold pass),
    then counts both whole sets.
 """
@@ -26,8 +27,8 @@ from .common import Workspace, checked_broadcast, documents_of
 from .text_bytes import SEGMENT, text_bytes
 
 SHINGLE, TREES, TOKENS, SKETCH = 5, 10, 64, 128
-#: Vertices that a small node has at most; children of a large one; the depth from which main components go, and the last.
-SMALL, CHILDREN, DEEP, LAST = 48, 2, 4, 12
+#: Vertices that a small node has at most; children of a large one; the last depth, at which all is compared; vertices that are compared with a component at a time.
+SMALL, CHILDREN, LAST, BLOCK = 48, 2, 12, 128
 
 #: Fixed value: an odd base of the words' polynomial hash, which has an inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
@@ -129,15 +130,39 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["digest", "shingles"])
 
 
-def _alike(least: float):
-    """Keeps pairs whose sketches agree in as many bytes as ``least`` similarity gives."""
+def _alike_within(least: float):
+    """Of each row (digests, labels, sketches), the pairs of different labels whose sketches are alike."""
+    least = SKETCH * (least + (1 - least) / 256)
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
-                good = pa.array((x == y).mean(1) >= least + (1 - least) / 256)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
+            a, b = [], []
+            for digests, labels, sketches in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
+                for i in range(1, len(x)):
+                    for j in np.flatnonzero((x[:i] == x[i]).sum(1) >= least).tolist():
+                        if labels[i] != labels[j]:
+                            a.append(digests[j])
+                            b.append(digests[i])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def _alike_blocks(least: float):
+    """Of each row (digest, sketch, digests, sketches), the pairs of the one with the others whose sketches are alike."""
+    least = SKETCH * (least + (1 - least) / 256)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                a, b = [], []
+                for digest, sketch, digests, sketches in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True):
+                    x = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
+                    for j in np.flatnonzero((x == np.frombuffer(sketch, np.uint8)).sum(1) >= least).tolist():
+                        a.append(digests[j])
+                        b.append(digest)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
 
@@ -184,18 +209,37 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
 class _Join:
     def __init__(self, base: DataFrame, percent: int, trees: int):
         self.base, self.percent, self.trees = base, percent, trees
+        s = percent / 100
+        self.least = s - 4 * (s * (1 - s) / SKETCH) ** 0.5
         self.work = Workspace(base.sparkSession, "near-dedup")
         self.sketches = self.work.save(base.mapInArrow(_sketch, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, tokens binary, sketch binary"), "sketches")
         linked = self.sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         self.vertices = self.work.save(linked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "vertices")
 
-    def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The links among the pairs (a, b)."""
-        least = self.percent / 100 - 4 * (self.percent / 100 * (1 - self.percent / 100) / SKETCH) ** 0.5
-        sketch = self.vertices.select("digest", "sketch")
-        a, b = (sketch.select(F.col("digest").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-        both = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b")
-        likely = self.work.save(both.mapInArrow(_alike(least), "a binary, b binary"), f"{name}-likely")
+    def within(self, at: DataFrame) -> DataFrame:
+        """Alike pairs of different labels in each node of (node, digest, label); a node has SMALL rows at most, and one row here."""
+        rows = at.join(self.vertices.select("digest", "sketch"), "digest")
+        nodes = rows.groupBy("node").agg(F.collect_list(F.struct("digest", "label", "sketch")).alias("m"))
+        nodes = nodes.select(F.col("m.digest").alias("digests"), F.col("m.label").alias("labels"), F.col("m.sketch").alias("sketches"))
+        return nodes.mapInArrow(_alike_within(self.least), "a binary, b binary")
+
+    def against(self, at: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+        """Alike pairs of each digest of (digest, main) with all vertices of the component ``main``, BLOCK digests against a vertex at a time."""
+        at = self.work.save(at.distinct(), f"{name}-outer")
+        if at.isEmpty():
+            return at.select(F.col("digest").alias("a"), F.col("digest").alias("b"))
+        blocks = at.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        rows = at.join(blocks, "main").join(self.vertices.select("digest", "sketch"), "digest")
+        block = F.pmod(F.xxhash64("digest"), F.col("blocks")).alias("block")
+        outer = rows.groupBy("main", block).agg(F.collect_list("digest").alias("digests"), F.collect_list("sketch").alias("sketches"))
+        outer = self.work.save(outer.drop("block"), f"{name}-blocks")
+        own = self.vertices.select("digest", "sketch").join(labels, "digest", "left").select("digest", "sketch", F.coalesce("label", "digest").alias("main"))
+        both = own.join(checked_broadcast(outer, 200), "main").select("digest", "sketch", "digests", "sketches")
+        return both.mapInArrow(_alike_blocks(self.least), "a binary, b binary")
+
+    def confirm(self, likely: DataFrame, name: str) -> DataFrame:
+        """The links among the alike pairs (a, b), by their whole sets."""
+        likely = self.work.save(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-likely")
         needed = likely.select(F.col("a").alias("digest")).union(likely.select("b")).distinct()
         ids = self.work.save(self.vertices.select("digest", "first_id").join(needed, "digest").select(F.col("first_id").alias("doc_id")).distinct(), f"{name}-ids")
         sets = self.work.save(self.base.join(checked_broadcast(ids), "doc_id", "left_semi").mapInArrow(_sets, "digest binary, shingles binary").dropDuplicates(["digest"]), f"{name}-sets")
@@ -213,32 +257,29 @@ class _Join:
         first = F.min(F.struct("first_id", "digest"))["digest"].alias("pivot")
         nodes = self.work.save(dealt.groupBy("node").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").drop("n"), "nodes")
         members = self.work.save(dealt.drop("first_id").join(nodes, "node"), "members")
-        links = self.confirm(members.where(F.col("digest") != F.col("pivot")).select(F.col("digest").alias("a"), F.col("pivot").alias("b")), "first")
+        # a vertex that meets the same first one in several trees is likely like it; the others are left to the second round
+        often = members.where(F.col("digest") != F.col("pivot")).groupBy(F.col("digest").alias("a"), F.col("pivot").alias("b")).count()
+        links = self.confirm(often.where(F.col("count") >= 0.3 * self.trees), "first")
         labels = components(links, self.work, "first")
         at = members.drop("pivot").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         found = []
         for depth in range(LAST + 1):
-            mixed = at.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-            mixed = self.work.save(mixed.select("node", "n"), f"mixed-{depth}")
-            if mixed.isEmpty():
+            own = at.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+            mixed = own.groupBy("node").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("main")).where("labels > 1")
+            at = self.work.save(at.join(mixed.select("node", "n", F.col("main.n").alias("n_main"), F.col("main.label").alias("main")), "node"), f"at-{depth}")
+            large = F.col("n") > SMALL
+            ripe = large & ((F.col("n") - F.col("n_main") <= BLOCK) | F.lit(depth == LAST))
+            rest = F.col("label") != F.col("main")
+            found.append(self.work.save(self.within(at.where(~large | ripe & rest)), f"within-{depth}"))
+            if at.where(large).isEmpty():
                 break
-            at = self.work.save(at.join(mixed, "node"), f"at-{depth}")
-            small = at.where(F.col("n") <= SMALL) if depth < LAST else at
-            other = small.select("node", F.col("digest").alias("b"), F.col("label").alias("label_b"))
-            met = small.join(other, "node").where((F.col("digest") < F.col("b")) & (F.col("label") != F.col("label_b")))
-            found.append(self.work.save(met.select(F.col("digest").alias("a"), "b").distinct(), f"met-{depth}"))
-            at = at.where(F.col("n") > SMALL).drop("n")
-            if depth >= DEEP:
-                main = at.groupBy("node", "label").count().groupBy("node").agg(F.max(F.struct("count", "label"))["label"].alias("main"))
-                at = at.join(self.work.save(main, f"main-{depth}"), "node").where(F.col("label") != F.col("main"))
-                own = self.vertices.select("digest").join(labels, "digest", "left").select(F.col("digest").alias("b"), F.coalesce("label", "digest").alias("main"))
-                rest = at.select(F.col("digest").alias("a"), "main").distinct().join(own, "main")
-                found.append(self.work.save(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"rest-{depth}"))
-                at = at.drop("main")
+            found.append(self.work.save(self.against(at.where(ripe & rest).select("digest", "main"), labels, f"against-{depth}"), f"against-{depth}"))
             chosen = F.explode(F.array(*[F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TOKENS)).cast("int") for j in range(CHILDREN)])).alias("chosen")
-            down = at.join(self.vertices.select("digest", "tokens"), "digest").select("digest", "label", "tokens", "node", chosen)
-            at = down.select(F.xxhash64("node", "chosen", self.token(F.col("chosen"))).alias("node"), "digest", "label").distinct()
-        return links.union(self.confirm(reduce(DataFrame.union, found), "second")) if found else links
+            down = at.where(large & ~ripe).join(self.vertices.select("digest", "tokens"), "digest").select("digest", "label", "tokens", "node", chosen)
+            at = self.work.save(down.select(F.xxhash64("node", "chosen", self.token(F.col("chosen"))).alias("node"), "digest", "label").distinct(), f"down-{depth}")
+            if at.isEmpty():
+                break
+        return links.union(self.confirm(reduce(DataFrame.union, found), "second"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
