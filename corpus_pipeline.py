@@ -29,9 +29,13 @@ def _restored(docs: DataFrame, names: dict[str, str], columns: list[str]) -> Dat
     return docs.select(*[back[c] for c in columns])
 
 
-def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """Documents but the dropped ids, whose table is broadcast if it is counted below the bound and shuffled with them if not."""
-    ids = Workspace(docs.sparkSession, name).save(dropped.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "dropped")
+def _without(docs: DataFrame, dropped: DataFrame, work: Workspace) -> DataFrame:
+    """Documents but the dropped ids, whose table is broadcast if it is counted below the bound and shuffled with them if not.
+
+    The ids are all that is left of the stage's own tables in ``work``, which go.
+    """
+    ids = Workspace(docs.sparkSession, "dropped").save(dropped.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "ids")
+    work.drop()
     return docs.join(checked_broadcast(ids), "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -52,13 +56,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates."""
-    return _without(docs, near_duplicates(docs).where(~F.col("kept")), "pipeline-near-dedup")
+    work = Workspace(spark, "near-dedup")
+    return _without(docs, near_duplicates(docs, work=work).where(~F.col("kept")), work)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten words in a row of a benchmark item (or a shorter item as a whole)."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated"), "pipeline-decontaminate")
+    work = Workspace(spark, "decontaminate")
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work=work)
+    return _without(docs, found.where("contaminated"), work)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,8 +49,8 @@ class Workspace:
     def load(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.at}/{name}")
 
-    def drop(self, name: str) -> None:
-        """For tables that nothing reads any more."""
+    def drop(self, name: str = "") -> None:
+        """Deletes a table that nothing reads any more, or all."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
         path.getFileSystem(conf).delete(path, True)

@@ -34,7 +34,7 @@ def _document_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 0, lists: int = 2) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 0, lists: int = 2, work: Workspace | None = None) -> DataFrame:
     """Occurrences of the items' windows in the documents: (doc_id, text_hash, item_id, window, start, n, exact).
 
     1. Each test term is counted over all documents.
@@ -50,8 +50,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: in
     The test terms, the picked terms and the windows follow the benchmark alone; they are broadcast only if counted
     below the bound, else joined by a shuffle. Null texts and texts without words match nothing.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "decontaminate")
+    work = work or Workspace(docs.sparkSession, "decontaminate")
     windows = work.save(windows_of(benchmark, size), "windows")
     at = windows.select("window", F.posexplode("terms").alias("off", "term"), F.size("terms").alias("n"))
     vocabulary = work.save(at.select("term").distinct(), "vocabulary")
@@ -97,7 +96,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: in
     return left.select("doc_id", "text_hash", "item_id", "window", "start", "n", "exact")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
     """Per document (doc_id, text_hash, n_words, n_hit, n_items, item_ids, contaminated).
 
     A document word inside any match of a window is hit; item_ids are the ids, as strings and sorted, of the items with
@@ -105,7 +104,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: i
     gives a row, also if its text or id is null or repeated; no benchmark leaves all documents clean.
     """
     base = documents_of(docs, id_col, text_col)
-    matches = find_matches(base, benchmark, size, slop)
+    matches = find_matches(base, benchmark, size, slop, work=work)
     before = W.partitionBy("doc_id", "text_hash").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     spans = matches.withColumn("end", F.col("start") + F.col("n"))
     spans = spans.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(before), F.lit(0)))))

@@ -207,11 +207,11 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
 
 
 class _Join:
-    def __init__(self, base: DataFrame, percent: int, trees: int):
+    def __init__(self, base: DataFrame, percent: int, trees: int, work: Workspace):
         self.base, self.percent, self.trees = base, percent, trees
         s = percent / 100
         self.least = s - 4 * (s * (1 - s) / SKETCH) ** 0.5
-        self.work = Workspace(base.sparkSession, "near-dedup")
+        self.work = work
         self.sketches = self.work.save(base.mapInArrow(_sketch, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, tokens binary, sketch binary"), "sketches")
         linked = self.sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         self.vertices = self.work.save(linked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "vertices")
@@ -282,7 +282,7 @@ class _Join:
         return links.union(self.confirm(reduce(DataFrame.union, found), "second"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): the smallest doc_id that links of ``percent`` similarity reach from each document.
 
     Words are what ASCII white space parts, with A-Z lower-cased. A document of fewer than five words, but not none, has its whole
@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, id_c
     rows of one doc_id give a row each. The links of step 5 are exact; pairs at the threshold that no tree compares are
     about one in a million for each pair, and fewer as the similarity rises.
     """
-    join = _Join(documents_of(docs, id_col, text_col), percent, trees)
+    join = _Join(documents_of(docs, id_col, text_col), percent, trees, work or Workspace(docs.sparkSession, "near-dedup"))
     labels = components(join.links(), join.work, "all")
     classed = join.vertices.select("digest", "first_id").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     least = join.work.save(classed.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")
