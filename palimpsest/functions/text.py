@@ -269,3 +269,26 @@ def page_paragraphs(html: Column, least: int = 51, most: int = 50) -> Column:
     inner = F.regexp_extract_all(html, F.lit(r"(?is)<(p|div|span)\b[^>]*>((?:(?!<(?:p|div|span)\b|</(?:p|div|span)>).)*)"), F.lit(2))
     plain = F.transform(inner, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", ""), r"\s+", " ")))
     return F.slice(F.array_distinct(F.filter(plain, lambda x: F.length(x) >= least)), 1, most)
+
+
+def ndjson_text(lines: Column) -> Column:
+    """The texts of ``{"type": "chunk", "text": ...}`` lines, joined; other and broken lines are left out."""
+    rows = F.transform(_lines(lines), lambda x: F.from_json(x, "type string, text string"))
+    return F.array_join(F.transform(F.filter(rows, lambda r: (r["type"] == "chunk") & r["text"].isNotNull()), lambda r: r["text"]), "")
+
+
+def content_text(content: Column) -> Column:
+    """A model's content that is a string or a JSON list of strings and ``{"text": ...}`` parts."""
+    parts = F.from_json(content, "array<string>")
+    texts = F.transform(parts, lambda p: F.coalesce(F.get_json_object(p, "$.text"), F.when(~F.startswith(F.trim(p), F.lit("{")), p), F.lit("")))
+    return F.when(F.startswith(F.trim(content), F.lit("[")) & parts.isNotNull(), F.array_join(texts, "")).otherwise(content)
+
+
+def topic_of(key: Column, topics: tuple[str, ...] = ("basic_info", "contact_info", "education", "demographics", "work", "interest", "life_event", "psychological", "food")) -> Column:
+    """(topic, sub_topic) of a profile key: the longest known topic that it begins with, else what stands before the first underscore."""
+    out = F
+    for t in sorted(topics, key=lambda t: (-len(t), t)):
+        out = out.when(F.startswith(key, F.lit(f"{t}_")), F.struct(F.lit(t).alias("topic"), F.substring(key, F.lit(len(t) + 2), F.length(key)).alias("sub_topic")))
+    at = F.instr(key, "_")
+    first = F.struct(F.when(at > 0, F.substring(key, F.lit(1), at - 1)).otherwise(key).alias("topic"), F.when(at > 0, F.substring(key, at + 1, F.length(key))).otherwise("").alias("sub_topic"))
+    return out.otherwise(first)

@@ -141,3 +141,22 @@ def test_source_files_and_diffs(spark, tmp_path):
     assert set(got) == {"src/a.py", "d.go"} and got["src/a.py"] == ("python", "x = 1\n") and got["d.go"][0] == "go"
     lines = spark.createDataFrame([("A\tnew.py",), ("R100\told.py\tmoved.py",), ("D\tgone.py",), ("",)], "value string")
     assert {tuple(r) for r in files.diff_rows(lines).collect()} == {("ADDED", "new.py"), ("RENAMED", "moved.py"), ("DELETED", "old.py"), ("DELETED", "gone.py")}
+
+
+def test_tools_and_small_parsers(spark):
+    from palimpsest.functions import text as X
+    from palimpsest.operators import team
+
+    tools = team.Tools(search_symbols=lambda n: spark.range(n))
+    assert tools("SearchSymbols", n=3).count() == 3
+    try:
+        tools("other")
+        raise AssertionError
+    except ValueError:
+        pass
+    one = lambda c, v: spark.createDataFrame([(v,)], "a string").select(c(F.col("a")).alias("x")).head()["x"]
+    assert one(X.content_text, '["a", {"text": "b"}, {"image": 1}]') == "ab" and one(X.content_text, "plain") == "plain"
+    assert tuple(one(X.topic_of, "basic_info_name")) == ("basic_info", "name") and tuple(one(X.topic_of, "odd")) == ("odd", "")
+    assert one(X.ndjson_text, '{"type":"chunk","text":"a"}\nbroken\n{"type":"done"}\n{"type":"chunk","text":"b"}') == "ab"
+    rows = spark.sql("SELECT 'new' AS i, array(named_struct('id', 1, 'score', 0.5, 'content', 'old')) AS r UNION ALL SELECT 'x', array()")
+    assert {r["x"] for r in rows.select(team.neighbour_block(F.col("i"), F.col("r")).alias("x")).collect()} == {"NEW: new\n1 | 0.500 | old", "NEW: x\n(none)"}
