@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from functools import reduce
 
 import numpy as np
@@ -27,8 +28,8 @@ from .common import Workspace, checked_broadcast, documents_of
 from .text_bytes import SEGMENT, text_bytes
 
 SHINGLE, TREES, TOKENS, SKETCH = 5, 10, 64, 128
-#: Vertices that a small node has at most; children of a large one; the last depth, at which all is compared; vertices that are compared with a component at a time.
-SMALL, CHILDREN, LAST, BLOCK = 48, 2, 12, 128
+#: Vertices that a small node has at most, and what a large one has at most besides its main component to be compared at once; children of a large one; the depth from which every main component goes; vertices that are compared with a component at a time.
+SMALL, FEW, CHILDREN, LAST, BLOCK = 48, 1024, 2, 12, 128
 
 #: Fixed value: an odd base of the words' polynomial hash, which has an inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
@@ -217,22 +218,20 @@ class _Join:
         self.vertices = self.work.save(linked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "vertices")
 
     def within(self, at: DataFrame) -> DataFrame:
-        """Alike pairs of different labels in each node of (node, digest, label); a node has SMALL rows at most, and one row here."""
+        """Alike pairs of different labels in each node of (node, digest, label); a node has FEW rows at most, and is one row here."""
         rows = at.join(self.vertices.select("digest", "sketch"), "digest")
         nodes = rows.groupBy("node").agg(F.collect_list(F.struct("digest", "label", "sketch")).alias("m"))
         nodes = nodes.select(F.col("m.digest").alias("digests"), F.col("m.label").alias("labels"), F.col("m.sketch").alias("sketches"))
         return nodes.mapInArrow(_alike_within(self.least), "a binary, b binary")
 
-    def against(self, at: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    def against(self, at: DataFrame, labels: DataFrame) -> DataFrame:
         """Alike pairs of each digest of (digest, main) with all vertices of the component ``main``, BLOCK digests against a vertex at a time."""
-        at = self.work.save(at.distinct(), f"{name}-outer")
-        if at.isEmpty():
-            return at.select(F.col("digest").alias("a"), F.col("digest").alias("b"))
+        at = self.work.save(at.distinct(), "outer")
         blocks = at.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
         rows = at.join(blocks, "main").join(self.vertices.select("digest", "sketch"), "digest")
         block = F.pmod(F.xxhash64("digest"), F.col("blocks")).alias("block")
         outer = rows.groupBy("main", block).agg(F.collect_list("digest").alias("digests"), F.collect_list("sketch").alias("sketches"))
-        outer = self.work.save(outer.drop("block"), f"{name}-blocks")
+        outer = self.work.save(outer.drop("block"), "blocks")
         own = self.vertices.select("digest", "sketch").join(labels, "digest", "left").select("digest", "sketch", F.coalesce("label", "digest").alias("main"))
         both = own.join(checked_broadcast(outer, 200), "main").select("digest", "sketch", "digests", "sketches")
         return both.mapInArrow(_alike_blocks(self.least), "a binary, b binary")
@@ -262,24 +261,24 @@ class _Join:
         links = self.confirm(often.where(F.col("count") >= 0.3 * self.trees), "first")
         labels = components(links, self.work, "first")
         at = members.drop("pivot").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-        found = []
-        for depth in range(LAST + 1):
+        small, ripe = [], []  # of all depths: (node, digest, label), and (digest, main)
+        for depth in itertools.count():
             own = at.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
             mixed = own.groupBy("node").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("main")).where("labels > 1")
             at = self.work.save(at.join(mixed.select("node", "n", F.col("main.n").alias("n_main"), F.col("main.label").alias("main")), "node"), f"at-{depth}")
             large = F.col("n") > SMALL
-            ripe = large & ((F.col("n") - F.col("n_main") <= BLOCK) | F.lit(depth == LAST))
-            rest = F.col("label") != F.col("main")
-            found.append(self.work.save(self.within(at.where(~large | ripe & rest)), f"within-{depth}"))
-            if at.where(large).isEmpty():
+            nearly = large & (F.col("n") - F.col("n_main") <= FEW)
+            rest, late = F.col("label") != F.col("main"), F.lit(depth >= LAST)
+            small.append(at.where(~large | nearly & rest).select("node", "digest", "label"))
+            ripe.append(at.where((nearly | large & late) & rest).select("digest", "main"))
+            down = at.where(large & ~nearly & (rest | ~late)).select("digest", "label", "node")
+            if down.isEmpty():
                 break
-            found.append(self.work.save(self.against(at.where(ripe & rest).select("digest", "main"), labels, f"against-{depth}"), f"against-{depth}"))
-            chosen = F.explode(F.array(*[F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TOKENS)).cast("int") for j in range(CHILDREN)])).alias("chosen")
-            down = at.where(large & ~ripe).join(self.vertices.select("digest", "tokens"), "digest").select("digest", "label", "tokens", "node", chosen)
-            at = self.work.save(down.select(F.xxhash64("node", "chosen", self.token(F.col("chosen"))).alias("node"), "digest", "label").distinct(), f"down-{depth}")
-            if at.isEmpty():
-                break
-        return links.union(self.confirm(reduce(DataFrame.union, found), "second"))
+            chosen = F.explode(F.array_distinct(F.array(*[F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TOKENS)).cast("int") for j in range(CHILDREN)]))).alias("chosen")
+            down = down.join(self.vertices.select("digest", "tokens"), "digest").select("digest", "label", "tokens", "node", chosen)
+            at = self.work.save(down.select(F.xxhash64("node", "chosen", self.token(F.col("chosen"))).alias("node"), "digest", "label"), f"down-{depth}")
+        found = self.within(reduce(DataFrame.union, small)).union(self.against(reduce(DataFrame.union, ripe), labels))
+        return links.union(self.confirm(found, "second"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
@@ -294,7 +293,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, id_c
     join = _Join(documents_of(docs, id_col, text_col), percent, trees, work or Workspace(docs.sparkSession, "near-dedup"))
     labels = components(join.links(), join.work, "all")
     classed = join.vertices.select("digest", "first_id").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    least = join.work.save(classed.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")
+    least = classed.groupBy("label").agg(F.min("first_id").alias("component_id"))
     found = join.work.save(classed.join(least, "label").select(F.col("digest").alias("d"), "component_id"), "components")
     rows = join.sketches.select("doc_id", "n_shingles", "digest")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
