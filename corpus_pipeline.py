@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import decode, encode, vocabulary_path
+from palimpsest.llm.bpe import round_trip, vocabulary_path
 from palimpsest.llm.common import Workspace, checked_broadcast
 from palimpsest.llm.decontaminate import decontaminate
 from palimpsest.llm.language_id import identify, learn
@@ -69,7 +69,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): ids of each text, which decode to the text again."""
-    both = decode(encode(docs, vocabulary_path()), vocabulary_path())
+    both = round_trip(docs, vocabulary_path())
     n = (F.octet_length("ids") / 4).cast("long")
     return both.select("doc_id", n.alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

@@ -263,6 +263,22 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
 
 
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, text): decode(encode(docs)) by one worker for each task instead of two."""
+    base = documents_of(docs, id_col, text_col)
+    shared = share_vocabulary(docs.sparkSession, vocabulary)
+
+    def run(batches):
+        bpe = _bpe(shared)
+        for batch in batches:
+            for part in slices(batch, 1):
+                ids = binaries(bpe.encode([t or "" for t in part.column(1).to_pylist()]), "<u4")
+                text = pa.array([bpe.decode(x) if x else "" for x in ids.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, text], ["doc_id", "ids", "text"])
+
+    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -271,7 +287,7 @@ def vocabulary_path() -> str:
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the encoded and decoded texts."""
-    both = decode(encode(docs, vocabulary), vocabulary)
+    both = round_trip(docs, vocabulary)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -44,7 +44,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: in
     3. The lists, moved by the term's offset in the window, are intersected on (window, document, start), from the
        rarest on; with ``slop`` their starts may differ by that many words.
     4. A window that is left is compared word by word with the payload. ``exact``: the phrase itself. With ``slop``
-       also windows of which each word stands at most ``slop`` words from its place in the phrase.
+       also windows of which each word stands at most ``slop`` words from its place, counted from the rarest term's.
 
     Rows are documents; (doc_id, hash of text) tells them apart, so exact repeats of a row give each match twice.
     The test terms, the picked terms and the windows follow the benchmark alone; they are broadcast only if counted

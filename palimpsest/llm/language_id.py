@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents_of
+from .pieces import slices
 from .text_bytes import LETTERS, crc_mod, segments, sums, text_bytes
 
 #: Bytes of an n-gram; n-grams of a language that are kept; bits of the cell number.
@@ -116,14 +117,15 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     def run(batches):
         filters = shared.value
         for batch in batches:
-            column = batch.column(1)
-            lettered = np.array([bool(_LETTER(t.as_py() or "")) for t in column], bool)
-            found = filters.counts(*text_bytes(column)) if filters.languages else np.zeros((len(column), 1))
-            best, total = found.argmax(1), found.sum(1)
-            pred = [filters.languages[i] if ok and filters.languages else "und" for i, ok in zip(best, lettered, strict=True)]
-            score = np.where(lettered & (total > 0), found.max(1) / np.maximum(total, 1e-9), 0.0)
-            columns = [*[batch.column(i) for i in [0, *kept]], pa.array(pred, pa.string()), pa.array(score), pa.array(found.tolist(), pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for part in slices(batch, 1):  # what goes out holds the texts too
+                column = part.column(1)
+                lettered = np.array([bool(_LETTER(t.as_py() or "")) for t in column], bool)
+                found = filters.counts(*text_bytes(column)) if filters.languages else np.zeros((len(column), 1))
+                best, total = found.argmax(1), found.sum(1)
+                pred = [filters.languages[i] if ok and filters.languages else "und" for i, ok in zip(best, lettered, strict=True)]
+                score = np.where(lettered & (total > 0), found.max(1) / np.maximum(total, 1e-9), 0.0)
+                columns = [*[part.column(i) for i in [0, *kept]], pa.array(pred, pa.string()), pa.array(score), pa.array(found.tolist(), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return base.mapInArrow(run, schema)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import regex
 
 #: Bytes of text that are worked on at once; code points of a piece that is remembered.
-SLICE_BYTES, LONGEST = 1_000_000, 512
+SLICE_BYTES, LONGEST = 500_000, 512
 
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 #: Fixed value: an odd base of the pieces' polynomial hash, which has an inverse modulo 2^64.
@@ -85,12 +85,17 @@ class PieceCoder:
 
     def _forget(self) -> None:
         self.keys, self.places = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-        self.ids, self.begin, self.n_ids, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0, 0
+        self.ids, self.n_ids, self.n = np.zeros(1 << 16, np.uint32), 0, 0
+        self.runs = np.zeros(1 << 14, np.int64)  # of each piece where its ids begin and, in the low 28 bits, how many it has
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Places of the keys, -1 for new ones; linear probing, for all keys together."""
-        out, todo = np.full(len(keys), -1, np.int32), np.arange(len(keys))
         slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        held = self.keys[slot]
+        same = held == keys
+        out = np.where(same, self.places[slot], np.int32(-1))
+        todo = np.flatnonzero(~same & (held != 0))
+        slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
         while len(todo):
             held = self.keys[slot[todo]]
             same = held == keys[todo]
@@ -105,10 +110,10 @@ class PieceCoder:
         places = np.arange(self.n, self.n + len(pieces), dtype=np.int32)
         while len(self.ids) < self.n_ids + len(ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.begin) < self.n + len(pieces) + 1:
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        while len(self.runs) < self.n + len(pieces):
+            self.runs = np.concatenate([self.runs, np.zeros_like(self.runs)])
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        self.begin[self.n + 1 : self.n + len(pieces) + 1] = self.n_ids + np.cumsum(sizes)
+        self.runs[self.n : self.n + len(pieces)] = (self.n_ids + np.cumsum(sizes) - sizes) << 28 | sizes
         self.n, self.n_ids = self.n + len(pieces), self.n_ids + len(ids)
         if keys is not None:
             todo, slot = np.arange(len(keys)), (keys >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -159,9 +164,10 @@ class PieceCoder:
             place[new] = places[np.searchsorted(distinct, keys[new])]
         if long.any():
             place[long] = self._add(None, [text[a:b] for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)])
-        size = self.begin[place + 1] - self.begin[place]
+        run = self.runs[place]
+        size = run & 0xFFFFFFF
         to = np.cumsum(size)
-        ids = self.ids[np.repeat(self.begin[place] - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)]
+        ids = self.ids[np.repeat((run >> 28) - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)]
         return np.split(ids, np.append(0, to)[np.searchsorted(begin, stops)][:-1]) if len(texts) else []
 
 

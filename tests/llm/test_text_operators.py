@@ -3,8 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from palimpsest.llm import decontaminate as D
 from palimpsest.llm import line_dedup as L
 from palimpsest.llm import near_dedup as N
@@ -47,11 +45,10 @@ def test_decontaminate(spark):
 
 def test_proximity(spark):
     item = "alpha beta gamma delta"
-    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha x beta gamma delta"), (3, "alpha delta gamma beta zeta"), (4, "alpha beta gamma")], H.DOCS)
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha x beta gamma delta"), (3, "alpha gamma beta delta zeta"), (4, "alpha beta gamma")], H.DOCS)
     found = lambda slop: {(r["doc_id"], r["exact"]) for r in D.find_matches(docs, spark.createDataFrame([(1, item)], "item_id int, text string"), slop=slop).collect()}
     assert found(0) == {(1, True)}
-    assert (2, False) in found(1) and (3, False) not in found(1)
-    assert (3, False) in found(2) and not any(d == 4 for d, _ in found(2))
+    assert {(1, True), (2, False), (3, False)} == found(1)
 
 
 def test_no_documents_or_items(spark):
@@ -140,4 +137,3 @@ def test_clashing_columns(spark):
     assert L.line_dedup(docs, keep=("lang", "words")).columns == ["doc_id", "text", "n_lines", "n_dropped", "lang", "words"]
     assert N.near_duplicates(docs).count() == 4
     assert K.top_k(docs, items.withColumnRenamed("item_id", "query_id")).count() == 4
-    assert F is not None

@@ -71,6 +71,8 @@ def test_bpe_of_odd_rows(spark, library):
         ids = library.encode(t or "", add_special_tokens=False).ids
         want.append((i, len(ids), H.sha(np.array(ids, "<u4").tobytes()), H.sha(library.decode(ids, skip_special_tokens=False))))
     assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
+    apart = bpe.decode(bpe.encode(spark.createDataFrame(ODD, H.DOCS), bpe.vocabulary_path()), bpe.vocabulary_path()).collect()
+    assert sorted((r["doc_id"], H.sha(bytes(r["ids"])), H.sha(r["text"])) for r in apart if r["doc_id"]) == sorted((i, a, b) for i, _, a, b in want if i)
     assert bpe.digests(spark.createDataFrame([], H.DOCS), bpe.vocabulary_path()).count() == 0
 
 
