@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents_of
+from .common import Workspace, ascii_lower, documents_of
 
 _SPACES = " \t\n\x0b\x0c\r"
 
@@ -33,6 +33,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     own = base.select(F.explode(F.array_distinct(F.transform(F.split(ascii_lower(text), "\n"), lambda x: F.btrim(x, F.lit(_SPACES))))).alias("line"))
     own = own.where(F.length("line") >= min_chars) if min_chars > 0 else own
     common = own.select(*key).groupBy("h1", "h2").count().where(F.col("count") >= min_docs).drop("count")
+    common = Workspace(docs.sparkSession, "line-dedup").save(common, "common")  # a table, so that a line of very many documents can be dealt to several tasks
 
     dropped = keyed.select("doc_id", "__text_hash", "pos", *key).join(common, ["h1", "h2"], "left_semi").groupBy("doc_id", "__text_hash").agg(F.collect_list("pos").alias("dropped"))
     dropped = dropped.select(F.col("doc_id").alias("__id"), F.col("__text_hash").alias("__hash"), F.array_distinct("dropped").alias("dropped"))
