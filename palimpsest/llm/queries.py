@@ -12,8 +12,9 @@ from .line_dedup import SQL as _LINE_SQL
 from .line_dedup import op10_line_dedup
 from .near_dedup import op5_near_dedup
 from .quality import op3_quality
+from .top_k import DOCUMENTS_SQL as _TOP_K_DOCUMENTS_SQL
 from .top_k import SQL as _TOP_K_SQL
-from .top_k import op9_top_k
+from .top_k import op9_top_k, op9_top_k_documents
 from .toxicity import op4_toxicity
 
 QUERIES = {
@@ -25,12 +26,14 @@ QUERIES = {
     "op6_huffman": op6_huffman,
     "op7_html_text": op7_html_text,
     "op8_bpe": op8_bpe,
+    "op9_top_k_documents": op9_top_k_documents,
     "op9_top_k": op9_top_k,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": _DECONTAMINATE_SQL,
+    "op9_top_k_documents": _TOP_K_DOCUMENTS_SQL,
     "op9_top_k": _TOP_K_SQL,
     "op10_line_dedup": _LINE_SQL,
 }

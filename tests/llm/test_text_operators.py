@@ -129,6 +129,13 @@ def test_top_k_against_brute_force(spark):
     assert {(r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in got.collect()} == {(q, k, i, round(s, 6)) for q, k, i, s in want}
 
 
+def test_documents_as_queries_in_blocks(spark, duck, monkeypatch):
+    monkeypatch.setattr(K, "QUERY_TERMS", 900)
+    got = Q.QUERIES["op9_top_k_documents"](spark, SMALL)
+    assert {r["query_id"] for r in got.select("query_id").distinct().collect()} == {i for (i,) in duck.sql("SELECT doc_id FROM documents WHERE doc_id % 20 = 0 AND regexp_matches(text, '[a-z]')").fetchall()}
+    same(got, duck.sql(Q.ORACLE_SQL["op9_top_k_documents"]))
+
+
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(i, f"some words of document {i} here\nx", "en", "s", 9, "w", "l", "d", 0.5, "i", 1, "a", "n", 2) for i in range(4)], H.CLASHING)
     items = spark.createDataFrame([(1, "words of document", "x")], "item_id int, text string, term string")
