@@ -72,6 +72,17 @@ def may_edit(role: Column, other: Column, same: Column) -> Column:
     return ~same & ((role == "manager") | ((role == "staff") & (rank_of(other, ROLES) < rank_of(role, ROLES))))
 
 
+def editable_counts(members: DataFrame) -> DataFrame:
+    """(id, editable, annotates) of members (id, team, role): how many others of the team each may edit, by ``may_edit``.
+
+    Members are counted for each team first, so that no pairs of members are made; ids are unique, and members without a team are left out.
+    """
+    rank = lambda r: rank_of(r, ROLES)
+    teams = members.groupBy("team").agg(F.count(F.lit(1)).alias("size"), F.count_if(rank(F.col("role")) < ROLES.index("staff")).alias("below_staff"))
+    editable = F.when(F.col("role") == "manager", F.col("size") - 1).when(F.col("role") == "staff", F.col("below_staff")).otherwise(F.lit(0))
+    return members.join(teams, "team").select("id", editable.cast("long").alias("editable"), may_annotate(F.col("role")).alias("annotates"))
+
+
 def repo_list(jobs: DataFrame, bookmarks: DataFrame) -> DataFrame:
     """Jobs, then bookmarks of repositories that have none: (org_id, repo, origin)."""
     first = jobs.select("org_id", "repo").distinct()

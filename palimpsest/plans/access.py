@@ -64,12 +64,20 @@ _ROLE = "(c_custkey + c_nationkey) % 5"
 @query(f"""WITH m AS (SELECT c_custkey AS id, c_nationkey AS team, CAST({_ROLE} AS INT) AS r FROM customer WHERE c_custkey <= 400)
 SELECT a.id, count(*) FILTER (WHERE a.id != b.id AND (a.r = 4 OR (a.r = 3 AND b.r < 3))) AS editable, bool_or(a.r > 0) AS annotates FROM m a JOIN m b USING (team) GROUP BY a.id""")
 def role_rank_self_join(t):
-    """Whom each member of a team may edit."""
+    """How many others of their team the first members may edit; ``role_rank_counts`` has all members."""
+    return C.editable_counts(_members(t).where("id <= 400"))
+
+
+def _members(t):
     role = F.get(F.array(*[F.lit(r) for r in C.ROLES]), ((F.col("c_custkey") + F.col("c_nationkey")) % 5).cast("int"))
-    m = t.customer.where("c_custkey <= 400").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("team"), role.alias("role"))
-    both = m.join(m.select("team", F.col("id").alias("other"), F.col("role").alias("other_role")), "team")
-    may = C.may_edit(F.col("role"), F.col("other_role"), F.col("id") == F.col("other"))
-    return both.groupBy("id").agg(F.sum(may.cast("long")).alias("editable"), F.bool_or(C.may_annotate(F.col("role"))).alias("annotates"))
+    return t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("team"), role.alias("role"))
+
+
+@query(f"""WITH m AS (SELECT c_custkey AS id, c_nationkey AS team, CAST({_ROLE} AS INT) AS r FROM customer)
+SELECT a.id, count(*) FILTER (WHERE a.id != b.id AND (a.r = 4 OR (a.r = 3 AND b.r < 3))) AS editable, bool_or(a.r > 0) AS annotates FROM m a JOIN m b USING (team) GROUP BY a.id""")
+def role_rank_counts(t):
+    """How many others of their team all members may edit."""
+    return C.editable_counts(_members(t))
 
 
 @query("""SELECT o_orderkey, o_orderstatus != 'P' AND (o_orderkey % 4 = 0 OR o_orderdate > TIMESTAMP '1995-06-17') AND (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0) AND (o_orderkey % 6 = 0 OR o_custkey % 2 = 0) AS valid FROM orders""")

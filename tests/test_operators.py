@@ -160,3 +160,13 @@ def test_tools_and_small_parsers(spark):
     assert one(X.ndjson_text, '{"type":"chunk","text":"a"}\nbroken\n{"type":"done"}\n{"type":"chunk","text":"b"}') == "ab"
     rows = spark.sql("SELECT 'new' AS i, array(named_struct('id', 1, 'score', 0.5, 'content', 'old')) AS r UNION ALL SELECT 'x', array()")
     assert {r["x"] for r in rows.select(team.neighbour_block(F.col("i"), F.col("r")).alias("x")).collect()} == {"NEW: new\n1 | 0.500 | old", "NEW: x\n(none)"}
+
+
+def test_editable_counts_take_all_members(spark, duck):
+    from .conftest import same
+
+    small = "/root/testdata/sf0.01"
+    sql = core.ORACLE_SQL["role_rank_counts"].replace("FROM customer", f"FROM read_parquet('{small}/customer.parquet')")
+    got = core.QUERIES["role_rank_counts"](spark, small)
+    assert got.count() == spark.read.parquet(f"{small}/customer.parquet").count() > 400
+    same(got, duck.sql(sql))
