@@ -38,7 +38,10 @@ _DEPTH = 200  # deeper elements join the one at this depth
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)")
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: What ``visibility`` shows; inherit and the like keep the parent's value, other words aren't values.
+_VISIBILITY = {"visible": True, "initial": True, "hidden": False, "collapse": False, **dict.fromkeys(("inherit", "unset", "revert", "revert-layer"))}
 
 
 class Node:
@@ -152,11 +155,12 @@ def _shown(node: Node, visible: bool) -> tuple[bool, bool, str | None]:
         return False, False, None
     if not node.attrs:
         return True, visible, None
-    style = dict(_STYLE.findall(node.attrs["style"].lower())) if "style" in node.attrs else {}
+    found = _STYLE.findall(_COMMENT.sub(" ", node.attrs["style"].lower())) if "style" in node.attrs else []
+    style = {name: value for name, value in found if name == "display" or value in _VISIBILITY}
     if "hidden" in node.attrs or style.get("display") == "none" or node.tag == "dialog" and "open" not in node.attrs or node.tag == "input":
         return False, False, None
-    if "visibility" in style:
-        visible = style["visibility"] in ("visible", "initial")
+    own = _VISIBILITY.get(style.get("visibility", "inherit"))
+    visible = visible if own is None else own
     return True, visible, style.get("display")
 
 
@@ -214,25 +218,46 @@ def _render(node: Node, out: _Lines, visible: bool, pre: bool, depth: int) -> No
             _render(child, out, own, pre, depth + 1)
 
 
-def _rows(node: Node, visible: bool):
-    """The rows of a table in the order head, bodies, foot; (visible, cells)."""
+def _holds_cells(node: Node) -> bool:
+    """Whether rows or cells of the table around stand below an element that is no part of one, such as a form."""
+    return any(not isinstance(c, str) and (c.tag in ("tr", "td", "th") or c.tag not in ("table", "caption") and _holds_cells(c)) for c in node.children)
+
+
+def _rows(node: Node, visible: bool, pre: bool, depth: int, top: _Lines) -> list[list[tuple[Node, bool]]]:
+    """The rows of a table in the order head, bodies, foot: (cell, visible). Captions and all that stands in no cell, at whatever level, go to ``top``."""
     parts: dict[str, list] = {"thead": [], "": [], "tfoot": []}
 
-    def walk(n: Node, seen: bool, part: str) -> None:
+    def walk(n: Node, seen: bool, part: str, row: list | None) -> None:
         for child in n.children:
             if isinstance(child, str):
+                if seen and child.strip():
+                    top.text(child, False)
                 continue
             shown, own, _ = _shown(child, seen)
             if not shown:
                 continue
-            if child.tag == "tr":
-                parts[part].append((own, [c for c in child.children if not isinstance(c, str)]))
-            elif child.tag in ("td", "th"):
-                parts[part].append((own, [child]))
-            elif child.tag not in ("caption", "colgroup", "table"):
-                walk(child, own, child.tag if child.tag in ("thead", "tfoot") else part)
-
-    walk(node, visible, "")
+            if child.tag in ("td", "th"):
+                top.flush()
+                if row is None:
+                    parts[part].append([(child, own)])
+                else:
+                    row.append((child, own))
+            elif child.tag in ("tr", "thead", "tbody", "tfoot", "colgroup") or child.tag not in ("table", "caption") and _holds_cells(child):
+                top.flush()
+                cells = row
+                if child.tag == "tr":
+                    cells = []
+                    parts[part].append(cells)
+                walk(child, own, child.tag if child.tag in ("thead", "tfoot") else part, cells)
+                top.flush()
+            else:
+                holder = Node("div", {})
+                holder.children = [child]
+                _render(holder, top, seen, pre, depth + 1)
+                top.flush()
+
+    walk(node, visible, "", None)
+    top.flush()
     return parts["thead"] + parts[""] + parts["tfoot"]
 
 
@@ -244,23 +269,10 @@ def _span(cell: Node, name: str) -> int:
 def _table(node: Node, visible: bool, pre: bool, depth: int) -> list[str]:
     """Captions and text that stands in no cell first, then the rows; columns are as wide as their widest cell and two blanks apart."""
     top = _Lines()
-    for child in node.children:
-        if isinstance(child, str):
-            if visible and child.strip():
-                top.text(child, False)
-        elif child.tag not in ("thead", "tbody", "tfoot", "tr", "td", "th", "colgroup") and _shown(child, visible)[0]:
-            holder = Node("div", {})
-            holder.children = [child]
-            _render(holder, top, visible, pre, depth + 1)
-            top.flush()
-    top.flush()
     grid, busy = [], {}  # busy: column -> rows it is still taken
-    for seen, cells in _rows(node, visible):
+    for cells in _rows(node, visible, pre, depth, top):
         row, column = [], 0
-        for cell in cells:
-            shown, own, _ = _shown(cell, seen)
-            if not shown:
-                continue
+        for cell, own in cells:
             while busy.get(column, 0) > 0:
                 column += 1
             inner = _Lines()

@@ -170,6 +170,28 @@ def test_rendering(page, text):
     assert html_text.render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr>note<td>x</td></tr></table>", "note\nx"),
+        ("<table><tbody>note<tr><td>x</table>", "note\nx"),
+        ("<table><tbody><div>note</div><tr><td>x</table>", "note\nx"),
+        ("<table><tr><div>note</div><td>x</table>", "note\nx"),
+        ("<table><tfoot>f<tr><td>x</tfoot><thead>h<tr><td>y</table>", "f\nh\ny\nx"),
+        ("<table><tbody><table><tr><td>in</table><tr><td>x</table>", "in\nx"),
+        ("<table><colgroup>note<tr><td>x</table>", "note\nx"),
+        ("<table><form>note<tr><td>a<td>b</form></table>", "note\na  b"),
+        ("<table><tr hidden>no<td>no</tr><tr style='visibility:collapse'>no<td>no</table>y", "y"),
+        ("<p style='backface-visibility:hidden'>a<p style='content-visibility:auto'>b<p style='color:red; visibility:inherit'>c", "a\n\nb\n\nc"),
+        ("<div style='visibility:hidden'>no<i style='visibility:inherit'>no</i><i style='visibility:unset'>no</i><i style='visibility:visible'>yes</i></div>", "yes"),
+        ("<p style='color:red;visibility:hidden'>no<p style='/* x */ visibility : collapse'>no<p style='color:red; display:none'>no<p style='--display:none'>yes", "yes"),
+        ("<p style='visibility:hidden;visibility:nonsense'>no<p style='visibility:nonsense'>yes", "yes"),
+    ],
+)
+def test_nothing_visible_is_lost(page, text):
+    assert html_text.render(page) == text
+
+
 def test_pages_lose_no_visible_word(spark):
     import re
 
