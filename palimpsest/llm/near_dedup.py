@@ -10,7 +10,8 @@
    node whose vertices but a few are of one component has these few compared with each other and with all of that
    component; any other large node branches into two children by further tokens, which its path selects, and so on.
 5. A comparison first estimates the similarity from 128 bytes of each (four standard deviations below the threshold pass),
-   then counts both whole sets.
+   then counts both whole sets. At the threshold that estimate drops 6.7e-5 of the pairs, in all trees alike (2.1e-5 at 0.76,
+   6.7e-8 at 0.8); with a tree's own misses, up to 1.7e-5 where all its nodes branch, at most 8.4e-5 get no link of their own.
 """
 
 from __future__ import annotations
@@ -287,8 +288,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, id_c
     Words are what ASCII white space parts, with A-Z lower-cased. A document of fewer than five words, but not none, has its whole
     sequence as its one shingle. Documents without words (null texts too) and those with a null id are linked with nothing:
     component_id is the doc_id, and ``kept`` is true. Each row is a document; rows of one text are in one component, repeated
-    rows of one doc_id give a row each. The links of step 5 are exact; pairs at the threshold that no tree compares are
-    about one in a million for each pair, and fewer as the similarity rises.
+    rows of one doc_id give a row each. Links are never wrong; of the pairs at the threshold about 6.8e-5 are missed,
+    8.4e-5 if all their nodes branch, and fewer as the similarity rises.
     """
     join = _Join(documents_of(docs, id_col, text_col), percent, trees, work or Workspace(docs.sparkSession, "near-dedup"))
     labels = components(join.links(), join.work, "all")
