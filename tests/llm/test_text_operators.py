@@ -89,6 +89,17 @@ def test_large_nodes_branch(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(rows, H.DOCS)).collect()} == H.components(rows)
 
 
+@pytest.mark.parametrize(("few", "last"), [(1, 12), (2, 2)])
+def test_nodes_of_few_besides_the_main_component_branch(spark, monkeypatch, few, last):
+    for name, value in (("SMALL", 3), ("BLOCK", 2), ("FEW", few), ("LAST", last)):
+        monkeypatch.setattr(N, name, value)
+    saved = []
+    monkeypatch.setattr(N.Workspace, "save", lambda self, df, name, *a, f=N.Workspace.save: (saved.append(name), f(self, df, name, *a))[1])
+    rows = near_copies(6) + [(1000 + i, f"{t} end{i % 7}") for i, t in near_copies(7) if t]
+    assert {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(rows, H.DOCS)).collect()} == H.components(rows)
+    assert "down-0" in saved
+
+
 def test_chains_are_one_component(spark):
     w = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(w[i : i + 40])) for i in range(16)]  # neighbours are alike, ends are not
