@@ -95,10 +95,20 @@ def evidence_lines(t):
 
 @query("""SELECT doc_id, list_sort(list_distinct(list_filter([CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])idiot($|[^a-z0-9_])') THEN 'insult' END, CASE WHEN contains(lower(text), 'license') THEN 'legal' END], lambda x: x IS NOT NULL))) AS classes FROM documents WHERE lang = 'en'""")
 def keyword_classes(t):
-    """The rule-based classifier with a small vocabulary."""
+    """The rule-based classifier with a small vocabulary, on English documents; ``keyword_classes_all`` has all."""
+    return _classes(t.documents.where("lang = 'en'"))
+
+
+def _classes(docs):
     found = X.keyword_classes(F.col("text"), {"insult": ("idiot",), "legal": ("license",)})
     legal = F.when(F.contains(F.lower("text"), F.lit("license")), F.array(F.lit("legal"))).otherwise(F.array().cast("array<string>"))
-    return t.documents.where("lang = 'en'").select("doc_id", F.array_sort(F.array_union(F.array_remove(found, "legal"), legal)).alias("classes"))
+    return docs.select("doc_id", F.array_sort(F.array_union(F.array_remove(found, "legal"), legal)).alias("classes"))
+
+
+@query("""SELECT doc_id, list_sort(list_distinct(list_filter([CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])idiot($|[^a-z0-9_])') THEN 'insult' END, CASE WHEN contains(lower(text), 'license') THEN 'legal' END], lambda x: x IS NOT NULL))) AS classes FROM documents""")
+def keyword_classes_all(t):
+    """The rule-based classifier with a small vocabulary, on documents of all languages."""
+    return _classes(t.documents)
 
 
 @query("SELECT c_custkey, regexp_matches(c_name, '^[a-zA-Z0-9_-]{3,30}$') AS valid FROM customer")

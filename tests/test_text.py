@@ -92,3 +92,12 @@ def test_chunks():
 def test_page_paragraphs(spark):
     page = "<div><p>" + "a" * 60 + "</p><p>short</p><span>" + "a" * 60 + "</span><div>" + "b" * 70 + "</div></div>"
     assert one(spark, X.page_paragraphs(F.col("a")), a=page) == ["a" * 60, "b" * 70]
+
+
+def test_documents_of_all_languages_get_classes(spark):
+    from palimpsest.plans import core
+
+    from .conftest import SMALL
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert core.QUERIES["keyword_classes_all"](spark, SMALL).count() == docs.count() > docs.where("lang = 'en'").count()
