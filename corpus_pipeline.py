@@ -1,8 +1,8 @@
 """From raw documents to token ids: language ID, line dedup, near-dedup, benchmark decontamination, BPE.
 
 Each stage takes all documents that the one before kept and returns the columns of documents; the last returns ids. Columns
-beyond doc_id and text pass through, whatever their names. A stage finds documents to drop by doc_id, which is taken
-to identify a document; those with a null doc_id can't be told apart, are linked with nothing and stay.
+beyond doc_id and text pass through, whatever their names. Near-dedup finds documents to drop by doc_id, which is taken
+to identify a document; those with a null doc_id are linked with nothing and stay. Decontamination finds them by doc_id and text.
 """
 
 from __future__ import annotations
@@ -64,7 +64,11 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten words in a row of a benchmark item (or a shorter item as a whole)."""
     work = Workspace(spark, "decontaminate")
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work=work)
-    return _without(docs, found.where("contaminated"), work)
+    pairs = found.where("contaminated").select(F.col("doc_id").alias("dropped_id"), F.col("text_hash").alias("dropped_hash")).distinct()
+    pairs = checked_broadcast(Workspace(spark, "dropped").save(pairs, "pairs"))
+    work.drop()
+    same = docs["doc_id"].eqNullSafe(pairs["dropped_id"]) & (F.xxhash64(docs["text"].cast("string")) == pairs["dropped_hash"])
+    return docs.join(pairs, same, "left_anti")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,11 @@ def test_rows_that_no_id_tells_apart_stay(spark, tmp_path):
     docs = spark.createDataFrame([(None, "a text of some words", "en", "s", 1), (None, "a text of some words", "en", "s", 1), (1, "a text of some words", None, "s", 1)], SCHEMA)
     for name, stage in C.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).count() == 3, name
+
+
+def test_contaminated_rows_of_null_or_repeated_ids_go(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, f"x {item}", "en", "s", 1), (None, "clean", "en", "s", 1), (1, f"y {item}", None, "s", 1), (1, "clean too", None, "s", 1), (2, None, None, "s", 0)]
+    got = C.benchmark(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == [("1", "clean too"), ("2", "None"), ("None", "clean")]
