@@ -21,9 +21,46 @@ def since(df: DataFrame, ts: str, now: Column, interval: str) -> DataFrame:
     return df.where((F.col(ts) >= now - F.expr(f"INTERVAL {interval}")) & (F.col(ts) <= now))
 
 
-def latency_stats(df: DataFrame, keys: list[str], value: str, failed: Column) -> DataFrame:
-    """Count, average, maximum, true 95th percentile and failures for each key."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("avg_latency"), F.max(value).alias("max_latency"), F.percentile(value, F.lit(0.95)).alias("p95_latency"), F.sum(failed.cast("long")).alias("errors"))
+def latency_stats(df: DataFrame, keys: list[str], value: str, failed: Column, share: float = 0.95) -> DataFrame:
+    """Count, average, maximum, true 95th percentile (interpolated) and failures for each key.
+
+    A first pass gives a narrow band of values that holds the percentile, a second one counts each value in it and all below, so
+    that no task holds a key's values. A key of fewer than 10,000 values has all of them in its band.
+    """
+    v, n = F.col(value), F.count(F.lit(1)).alias("n")
+    rough = F.percentile_approx(v, [share - 0.001, min(1.0, share + 0.001)], 10_000)
+    sums = df.groupBy(*keys).agg(n, F.avg(v).alias("avg_latency"), F.max(v).alias("max_latency"), F.sum(failed.cast("long")).alias("errors"), F.count(v).alias("__m"), F.min(v).alias("__min"), rough.alias("__rough"))
+    few = F.col("__m") < 10_000
+    sums = sums.withColumns({"__low": F.when(few, F.col("__min")).otherwise(F.col("__rough")[0]), "__high": F.when(few, F.col("max_latency")).otherwise(F.col("__rough")[1])})
+    on = [df[k].eqNullSafe(F.col(f"__{k}")) for k in keys]
+    bands = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], "__low", "__high", "__m")
+    near = df.join(bands, on).where(v <= F.col("__high"))
+    counted = near.groupBy(*[f"__{k}" for k in keys], "__m", F.when(v >= F.col("__low"), v).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(W.partitionBy(*[f"__{k}" for k in keys]).orderBy(F.asc_nulls_first("v")))
+    place = (F.col("__m") - 1) * F.lit(share)
+    at = counted.withColumn("upto", upto).groupBy(*[f"__{k}" for k in keys]).agg(F.first("__m").alias("__m"), F.min(F.when(F.col("upto") > F.floor(place), F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil(place), F.col("v"))).alias("b"))
+    at = at.select(*[f"__{k}" for k in keys], (F.col("a") + (F.col("b") - F.col("a")) * (place - F.floor(place))).alias("p95_latency"))
+    both = sums.join(at, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left")
+    return both.select(*keys, "n", "avg_latency", "max_latency", "p95_latency", "errors")
+
+
+def llm_usage(df: DataFrame, keys: tuple[str, ...] = ("provider", "model", "agent"), failed: Column | None = None) -> DataFrame:
+    """(keys, n, input_tokens, output_tokens, avg_latency, failures, cost) of calls (keys, input_tokens, output_tokens, latency): the cost by ``price``, rounded to six places."""
+    failed = ~F.coalesce("success", F.lit(True)) if failed is None else failed
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"), F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"), F.avg("latency").alias("avg_latency"), F.sum(failed.cast("long")).alias("failures"))
+    return out.withColumn("cost", F.round(cost(F.col("model"), F.col("input_tokens"), F.col("output_tokens")), 6))
+
+
+def unenriched(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, total, unenriched): rows whose summary isn't by a model, those without a source among them."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("summary_source").eqNullSafe("llm")).alias("unenriched"))
+
+
+def repo_stats(files: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, directories, files, symbols) of files (keys, file_path, dir_path) and symbols (keys, qualified_name); counted apart, then joined."""
+    f = files.groupBy(*keys).agg(F.countDistinct("dir_path").alias("directories"), F.countDistinct("file_path").alias("files"))
+    s = symbols.groupBy(*keys).agg(F.countDistinct("qualified_name").alias("symbols"))
+    return f.join(s, keys, "left").withColumn("symbols", F.coalesce("symbols", F.lit(0)))
 
 
 def hourly(df: DataFrame, ts: str, failed: Column) -> DataFrame:

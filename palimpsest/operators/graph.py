@@ -37,18 +37,24 @@ def with_endpoints(edges: DataFrame, nodes: DataFrame, src: str, dst: str, node:
     return edges.join(a, src, "left_semi").join(b, dst, "left_semi").dropDuplicates([src, dst])
 
 
-def k_hop(edges: DataFrame, start: DataFrame, depth: int, inbound: bool = False) -> DataFrame:
-    """(start, node, distance): nodes at the end of paths of 1..depth edges that use no edge twice; a node has a row for each length.
+def k_hop(edges: DataFrame, start: DataFrame, depth: int, inbound: bool = False, least: bool = False) -> DataFrame:
+    """(start, node, distance): nodes at the end of walks of 1..depth edges, a row for each length, or with ``least`` for the shortest.
 
-    edges (src, dst), start (node). Each hop is one join on the frontier, with the path's edges for the check; the depth bounds them.
+    edges (src, dst), start (node). Each hop joins the distinct (start, node) pairs of the last one, so it grows with the nodes
+    that are reached and not with the paths. A walk of two edges doesn't take a loop twice; longer ones may come by an edge
+    again, which ``least`` leaves out.
     """
     e = edges.select(F.col("dst" if inbound else "src").alias("at"), F.col("src" if inbound else "dst").alias("next")).distinct()
-    frontier = start.select(F.col("node").alias("start"), F.col("node").alias("at"), F.array().cast("array<string>").alias("used"))
+    frontier = start.select(F.col("node").alias("start"), F.col("node").alias("at")).distinct()
     out = None
     for d in range(1, depth + 1):
-        step = frontier.join(e, "at").withColumn("edge", F.concat_ws("\u0001", "at", "next")).where(~F.array_contains("used", F.col("edge")))
-        frontier = step.select("start", F.col("next").alias("at"), F.array_append("used", F.col("edge")).alias("used"))
-        rows = frontier.select("start", F.col("at").alias("node"), F.lit(d).alias("distance")).distinct()
+        step = frontier.join(e, "at")
+        if d == 2:
+            step = step.where(~((F.col("at") == F.col("start")) & (F.col("next") == F.col("at"))))
+        frontier = step.select("start", F.col("next").alias("at")).distinct()
+        if least and out is not None:
+            frontier = frontier.join(out.select("start", F.col("node").alias("at")), ["start", "at"], "left_anti")
+        rows = frontier.select("start", F.col("at").alias("node"), F.lit(d).alias("distance"))
         out = rows if out is None else out.union(rows)
     return out
 
@@ -98,9 +104,9 @@ def files_under(dirs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def inheritance(edges: DataFrame, start: DataFrame, depth: int = 5) -> DataFrame:
-    """Ancestors and descendants of classes; edges (src child, dst parent)."""
-    up = k_hop(edges, start, depth).withColumn("direction", F.lit("ancestor"))
-    return up.unionByName(k_hop(edges, start, depth, inbound=True).withColumn("direction", F.lit("descendant")))
+    """Ancestors and descendants of classes with their least distance; edges (src child, dst parent)."""
+    up = k_hop(edges, start, depth, least=True).withColumn("direction", F.lit("ancestor"))
+    return up.unionByName(k_hop(edges, start, depth, inbound=True, least=True).withColumn("direction", F.lit("descendant")))
 
 
 def adjacent_events(events: DataFrame, user: str = "user_id") -> DataFrame:

@@ -126,3 +126,20 @@ def import_build(t):
 @query("SELECT strftime(d, '%m-%d') AS date FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS d)")
 def calendar(t):
     return G.calendar(t.spark)
+
+
+@query(f"""WITH e AS ({_EDGES}) SELECT src, dst FROM e WHERE src % 3 != 0 AND dst % 3 != 0""")
+def edges_with_endpoints(t):
+    """Edges both of whose ends are known, once each."""
+    known = t.part.where("p_partkey % 3 != 0").select(F.col("p_partkey").alias("node"))
+    return G.with_endpoints(_edges(t), known, "src", "dst", "node")
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS c, p_partkey // 3 AS p FROM part WHERE p_partkey // 3 > 0), u AS (SELECT p AS node, 1 AS d FROM e WHERE c = 100 UNION ALL SELECT e.p, d + 1 FROM u JOIN e ON e.c = u.node WHERE d < 5),
+v AS (SELECT c AS node, 1 AS d FROM e WHERE p = 5 UNION ALL SELECT e.c, d + 1 FROM v JOIN e ON e.p = v.node WHERE d < 5)
+SELECT 100 AS start, node, d AS distance, 'ancestor' AS direction FROM u UNION ALL SELECT 5, node, d, 'descendant' FROM v""")
+def class_inheritance(t):
+    """Ancestors of one class and descendants of another, five steps at most."""
+    e = t.part.select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 3).alias("dst")).where("dst > 0")
+    both = G.inheritance(e, t.part.where("p_partkey IN (5, 100)").select(F.col("p_partkey").alias("node")))
+    return both.where("(start = 100 AND direction = 'ancestor') OR (start = 5 AND direction = 'descendant')").select("start", "node", "distance", "direction")

@@ -178,3 +178,34 @@ def work_queue(t):
     return search.ranked(search.top(t.part, 25, *order), *order).select("p_partkey", "p_type", "p_size", F.col("rank").cast("long").alias("place"))
 
 
+@query("""SELECT doc_id AS id FROM documents WHERE starts_with(source, 'src1')""")
+def facts_by_topic(t):
+    """Facts whose key begins with a topic, however it is written."""
+    facts = t.documents.select(F.col("doc_id").alias("id"), F.concat(F.lit("work_"), "source").alias("main_content"))
+    return search.facts_of(facts, " Work src1").select("id")
+
+
+@query("""WITH b AS (SELECT item_id, list_transform(range(0, 64), lambda i: len(list_filter(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w != ''), lambda w: ascii(w) % 64 = i))::DOUBLE) AS v FROM benchmark),
+q AS (SELECT v FROM b WHERE item_id = (SELECT min(item_id) FROM benchmark))
+SELECT item_id AS id, round(list_cosine_similarity(b.v, q.v), 6) AS score FROM b, q ORDER BY list_cosine_similarity(b.v, q.v) DESC, item_id LIMIT 5""")
+def text_search(t):
+    """Search by the text of an item, with an embedding by the words' first letters."""
+    rows = t.benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("content"))
+
+    def embed(text):
+        first = F.transform(search.terms(F.lower(text)), lambda w: F.pmod(F.ascii(w), F.lit(64)))
+        return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter(first, lambda p: p == i)).cast("float"))
+
+    query_text = rows.orderBy("id").head()["content"]
+    return search.search_by_text(rows, query_text, 5, embed=embed).select("id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH s AS (SELECT 'snippet' AS domain, doc_id AS id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5), u AS (SELECT 'summary' AS domain, item_id AS id, length(text) AS n FROM benchmark ORDER BY n DESC, id LIMIT 15)
+SELECT domain, CAST(id AS VARCHAR) AS id, 0 AS lane FROM s UNION ALL SELECT domain, CAST(id AS VARCHAR), 1 FROM u""")
+def lanes_of_an_answer(t):
+    """Each lane gets its own number of records, whatever was asked for."""
+    from ..operators import evidence as E
+
+    snippets = search.top(t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("content"), F.col("lang").alias("language"), F.lit("").alias("code_snippet"), F.col("n_chars").alias("score")), E.LANES["snippet"], F.desc("score"), F.asc("id"))
+    summaries = search.top(t.benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("content"), F.length("text").alias("score")), E.LANES["summary"], F.desc("score"), F.asc("id"))
+    return E.answer(E.snippets(snippets), E.summaries(summaries)).select("domain", "id", "lane")
