@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_text, profile_key, render_event, render_fact, structured, trimmed
+from ..functions.text import annotation_fields, fenced, norm_text, profile_key, render_event, render_fact, snippet_fields, structured, trimmed, valid_month_day
 
 _EVENT = ("date", "event_name", "desc", "year", "time", "date_expression")
 
@@ -83,16 +82,21 @@ def judge_semantic(items: DataFrame, neighbours: DataFrame, same: float = 0.95,
     return both.select("item_id", kind.alias("type"), "content", F.when(kind != "ADD", F.col("best.id")).alias("embedding_id"))
 
 
-def parse_judgement(answer: Column) -> Column:
-    """array<(type, content, embedding_id, reason)> from a model's JSON; unknown types become ADD; null if the JSON is broken."""
-    from ..functions.text import fenced
-
-    rows = F.from_json(fenced(answer), "struct<operations:array<struct<type:string,content:string,embedding_id:string,reason:string>>>")["operations"]
-    return F.transform(rows, lambda x: x.withField("type", F.when(F.upper(x["type"]).isin("ADD", "UPDATE", "DELETE", "NOOP"), F.upper(x["type"])).otherwise("ADD")))
+def parse_judgement(answer: Column, items: Column) -> Column:
+    """(operations, confidence) from a model's JSON; unknown types become ADD. Broken JSON adds all items (array<string>) with confidence 0.5."""
+    kind = "array<struct<type:string,content:string,embedding_id:string,reason:string>>"
+    found = F.from_json(fenced(answer), f"struct<operations:{kind},confidence:double,broken:string>", {"columnNameOfCorruptRecord": "broken"})
+    known = lambda x: F.coalesce(F.when(F.upper(x).isin("ADD", "UPDATE", "DELETE", "NOOP"), F.upper(x)), F.lit("ADD"))
+    rows = F.transform(F.coalesce(found["operations"], F.array().cast(kind)), lambda x: F.struct(known(x["type"]).alias("type"), F.coalesce(x["content"], F.lit("")).alias("content"), x["embedding_id"].alias("embedding_id"), F.coalesce(x["reason"], F.lit("")).alias("reason")))
+    added = F.transform(items, lambda x: F.struct(F.lit("ADD").alias("type"), x.alias("content"), F.lit(None).cast("string").alias("embedding_id"), F.lit("the answer is not JSON").alias("reason")))
+    broken = found.isNull() | found["broken"].isNotNull()
+    return F.when(broken, F.struct(added.alias("operations"), F.lit(0.5).alias("confidence"))).otherwise(F.struct(rows.alias("operations"), F.coalesce(found["confidence"], F.lit(0.0)).alias("confidence")))
 
 
 def apply_ops(stored: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new state, audit). stored: (id, content); ops: (op_id, type, content, embedding_id), applied in the order of op_id.
+    """(new state, audit). stored: (id, content, ...); ops: (op_id, type, content, embedding_id), applied in the order of op_id.
+
+    Further columns that both have, such as the parts of the content, are written with it; other columns of ``stored`` stay.
 
     UPDATE and DELETE without an id become ADD; UPDATE of an id that isn't there adds a row of that id; ADD without content and NOOP are skipped; deleting
     what isn't there succeeds. A new row's id is derived from its op. Several ops on one id: the last one counts for the
@@ -104,11 +108,43 @@ def apply_ops(stored: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     status = F.when((kind == "NOOP") | (kind.isin("ADD", "UPDATE") & blank), "skipped").otherwise("succeeded")
     target = F.when(kind == "ADD", F.concat(F.lit("new-"), F.col("op_id").cast("string"))).otherwise(F.col("embedding_id"))
     done = ops.select("op_id", kind.alias("type"), status.alias("status"), "content", "embedding_id", F.when(kind == "ADD", target).alias("new_id"), F.when((status == "skipped") & (kind != "NOOP"), "content is empty").alias("error"), target.alias("target"))
-    last = done.where("status = 'succeeded'").groupBy("target").agg(F.max_by(F.struct("type", "content"), "op_id").alias("op"))
+    values = ["content", *[c for c in stored.columns if c in ops.columns and c not in ("id", "content", "op_id", "type", "embedding_id")]]
+    written = ops.select(F.col("op_id").alias("__op"), F.struct(*values).alias("values"))
+    last = done.where("status = 'succeeded'").join(written, F.col("op_id") == F.col("__op")) if len(values) > 1 else done.where("status = 'succeeded'").withColumn("values", F.struct("content"))
+    last = last.groupBy("target").agg(F.max_by(F.struct("type", "values"), "op_id").alias("op"))
     both = stored.join(last, stored["id"] == last["target"], "full")
     state = both.where(F.coalesce(F.col("op.type") != "DELETE", F.lit(True)))
-    state = state.select(F.coalesce("id", "target").alias("id"), F.coalesce(F.col("op.content"), stored["content"]).alias("content"))
-    return state, done.drop("target")
+    pick = lambda c: F.coalesce(F.col(f"op.values.{c}"), stored[c]).alias(c) if c in values else F.coalesce("id", "target").alias("id") if c == "id" else stored[c]
+    return state.select(*[pick(c) for c in stored.columns]), done.drop("target")
+
+
+def code_ops(ops: DataFrame) -> DataFrame:
+    """Operations on code annotations with the parts of their content as columns, for ``apply_ops``."""
+    return ops.select("*", annotation_fields(F.col("content")).dropFields("content").alias("__p")).select(*ops.columns, "__p.*", F.lit("code").alias("domain"))
+
+
+def snippet_ops(ops: DataFrame) -> DataFrame:
+    """Operations on snippets: what is stored and embedded is the description alone; code, language, type and tags are columns."""
+    return ops.select(*[c for c in ops.columns if c != "content"], snippet_fields(F.col("content")).alias("__p")).select(*[c for c in ops.columns if c != "content"], "__p.*", F.lit("snippet").alias("domain"))
+
+
+def annotation_nodes(ops: DataFrame, author: str = "user_id") -> DataFrame:
+    """(op_id, author_id, annotation_type, severity, content, repo, target_kind, target) of the annotations that are added: a symbol, else a file, else nothing."""
+    p = ops.where("type = 'ADD'").select("op_id", F.col(author).alias("author_id"), annotation_fields(F.col("content")).alias("p"))
+    symbol, file = (F.nullif(F.col(f"p.{c}"), F.lit("")) for c in ("target_symbol", "target_file"))
+    kind = F.when(symbol.isNotNull(), "symbol").when(file.isNotNull(), "file").otherwise("none")
+    return p.select("op_id", "author_id", "p.annotation_type", "p.severity", "p.content", "p.repo", kind.alias("target_kind"), F.coalesce(symbol, file).alias("target"))
+
+
+def change_status(annotations: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """Annotations (annotation_id, status, resolved_at, resolved_by, ...) with the status of changes (annotation_id, new_status, user_id).
+
+    ``resolved`` also sets when and by whom; another status leaves both as they are.
+    """
+    both = annotations.join(changes.select("annotation_id", "new_status", F.col("user_id").alias("__by")), "annotation_id", "left")
+    done = F.col("new_status") == "resolved"
+    new = {"status": F.coalesce("new_status", "status"), "resolved_at": F.when(done, now).otherwise(F.col("resolved_at")), "resolved_by": F.when(done, F.col("__by")).otherwise(F.col("resolved_by"))}
+    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in annotations.columns])
 
 
 def upsert(stored: DataFrame, rows: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -153,32 +189,45 @@ def memory_rows(ops: DataFrame) -> DataFrame:
 
 
 def apply_event_ops(events: DataFrame, ops: DataFrame, match_name: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(events, audit) for temporal operations (op_id, user_id, type, date, event_name, desc): only calendar dates are accepted.
+    """(events, audit) for temporal operations (op_id, user_id, type, date, event_name, ...), applied in the order of op_id.
 
-    UPDATE rewrites the event of the user, date and name, or with ``match_name=False`` all of that date.
-    """
-    from ..functions.text import valid_month_day
+    An event is told by user, date and name. ADD makes it, or writes what is given (not null) into the one that is there; UPDATE writes
+    into the one that is there, or with ``match_name=False`` into all of that date, their name included; DELETE takes it away,
+    or without a name all of that date. Only calendar dates are accepted. All columns of the events stay.
 
+    The operations on one event are folded over an array, which holds those of one user and date.
+    """
     good = valid_month_day(F.col("date"))
-    status = F.when(F.col("type") == "NOOP", "skipped").when(good, "succeeded").otherwise("failed")
-    audit = ops.withColumns({"status": status, "error": F.when(status == "failed", "not a calendar date")})
+    status = F.when(~F.col("type").isin("ADD", "UPDATE", "DELETE"), "skipped").when(good, "succeeded").otherwise("failed")
+    error = F.when(F.coalesce("date", F.lit("")) == "", "no date").otherwise("not a calendar date")
+    audit = ops.withColumns({"status": status, "error": F.when(status == "failed", error)})
+    keys = ["user_id", "date", "event_name"]
+    fields = ["event_name", *[c for c in events.columns if c not in keys and c in ops.columns]]
+    wide = (F.col("type") == "DELETE") & (F.coalesce("event_name", F.lit("")) == "")
+    wide = wide if match_name else wide | (F.col("type") == "UPDATE")
+    step = F.collect_list(F.struct("op_id", "type", F.struct(*fields).alias("new")))
     live = audit.where("status = 'succeeded'")
-    keys = ["user_id", "date", "event_name"] if match_name else ["user_id", "date"]
-    last = live.groupBy(*keys).agg(F.max_by(F.struct("type", F.col("desc").alias("new_desc"), *([] if match_name else ["event_name"])), "op_id").alias("op"))
-    both = events.join(last, keys, "full" if match_name else "left")
-    kept = both.where(F.coalesce(F.col("op.type") != "DELETE", F.lit(True)))
-    return kept.select("user_id", "date", "event_name", F.coalesce(F.col("op.new_desc"), "desc").alias("desc")), audit
-
-
-def same_fact(a: Column, b: Column) -> Column:
-    return norm_text(a) == norm_text(b)
+    named = live.where(~wide).groupBy(*keys).agg(step.alias("named"))
+    dated = live.where(wide).groupBy("user_id", "date").agg(step.alias("dated"))
+    old = events.select("*", F.lit(True).alias("__there"))
+    both = old.join(named, keys, "full").join(dated, ["user_id", "date"], "left")
+    steps = F.array_sort(F.concat(F.coalesce("named", F.slice("dated", 1, 0), F.lit(None)), F.coalesce("dated", F.slice("named", 1, 0))))
+    start = F.struct(F.coalesce("__there", F.lit(False)).alias("there"), F.struct(*[F.col(c) for c in fields]).alias("now"))
+    gone = F.struct(*[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in fields])
+    merged = lambda now, new: F.struct(*[F.coalesce(new[c], now[c]).alias(c) for c in fields])
+
+    def apply(state: Column, op: Column) -> Column:
+        written = F.struct(F.lit(True).alias("there"), merged(state["now"], op["new"]).alias("now"))
+        deleted = F.struct(F.lit(False).alias("there"), gone.alias("now"))
+        return F.when(op["type"] == "DELETE", deleted).when((op["type"] == "ADD") | state["there"], written).otherwise(state)
+
+    end = F.when(steps.isNull(), start).otherwise(F.aggregate(steps, start, apply))
+    rest = [c for c in events.columns if c not in ("user_id", "date", *fields)]
+    out = both.select("user_id", "date", *rest, end.alias("__end")).where("__end.there")
+    return out.select("user_id", "date", *rest, "__end.now.*").select(*events.columns), audit
 
 
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """One row of each key: the one that is last by ``order``. A partial aggregate, no sort."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
-
-
-def in_order(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    return df.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))

@@ -132,3 +132,94 @@ def event_date_check(t):
     o = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "02-30").otherwise(F.date_format("o_orderdate", "MM-dd")).alias("date"))
     days = calendar(t.spark).withColumn("known", F.lit(True))
     return o.join(F.broadcast(days), "date", "left").select("o_orderkey", "date", F.when(F.col("known"), "succeeded").otherwise("failed").alias("status"))  # 366 rows
+
+
+# --- temporal, code and snippet operations: orders are operations -----------------------------------------------------------------
+
+_EVENT_OPS = """e AS (SELECT o_custkey AS user_id, CASE WHEN o_orderkey % 10 = 5 THEN '02-30' ELSE strftime(o_orderdate, '%m-%d') END AS date, CAST(o_orderkey AS VARCHAR) AS event_name, o_orderstatus AS "desc", CAST(year(o_orderdate) AS VARCHAR) AS year, o_orderkey AS k FROM orders)"""
+
+
+def _event_ops(t):
+    k = F.col("o_orderkey")
+    e = t.orders.select(F.col("o_custkey").alias("user_id"), F.when(k % 10 == 5, "02-30").otherwise(F.date_format("o_orderdate", "MM-dd")).alias("date"), k.cast("string").alias("event_name"), F.col("o_orderstatus").alias("desc"), F.year("o_orderdate").cast("string").alias("year"), k.alias("k"))
+    stored = e.where("k % 3 = 0").select("user_id", "date", "event_name", "desc", "year", F.lit("note").alias("origin"))
+    op = lambda where, kind, step, desc, year: e.where(where).select((F.col("k") * 10 + step).alias("op_id"), "user_id", F.lit(kind).alias("type"), "date", "event_name", desc.alias("desc"), year.alias("year"))
+    none = F.lit(None).cast("string")
+    ops = op("k % 3 = 1", "ADD", 1, F.col("desc"), F.col("year")).union(op("k % 6 = 0", "UPDATE", 2, F.lit("moved"), none)).union(op("k % 9 = 0", "DELETE", 3, none, none)).union(op("k % 3 = 2", "UPDATE", 4, F.lit("nothing there"), none)).union(op("k % 7 = 0", "NOOP", 5, none, none))
+    return stored, ops
+
+
+@query(f"""WITH {_EVENT_OPS}
+SELECT user_id, date, event_name, CASE WHEN k % 6 = 0 AND date != '02-30' THEN 'moved' ELSE "desc" END AS "desc", year, 'note' AS origin FROM e WHERE k % 3 = 0 AND (k % 9 != 0 OR date = '02-30')
+UNION ALL SELECT user_id, date, event_name, "desc", year, NULL FROM e WHERE k % 3 = 1 AND date != '02-30'""")
+def event_operations(t):
+    """Additions, changes and deletions of events; other columns stay."""
+    return R.apply_event_ops(*_event_ops(t))[0]
+
+
+@query(f"""WITH {_EVENT_OPS}, o AS (SELECT k * 10 + 1 AS op_id, date, 'ADD' AS t FROM e WHERE k % 3 = 1 UNION ALL SELECT k * 10 + 2, date, 'UPDATE' FROM e WHERE k % 6 = 0 UNION ALL SELECT k * 10 + 3, date, 'DELETE' FROM e WHERE k % 9 = 0 UNION ALL SELECT k * 10 + 4, date, 'UPDATE' FROM e WHERE k % 3 = 2 UNION ALL SELECT k * 10 + 5, date, 'NOOP' FROM e WHERE k % 7 = 0)
+SELECT op_id, CASE WHEN t = 'NOOP' THEN 'skipped' WHEN date = '02-30' THEN 'failed' ELSE 'succeeded' END AS status FROM o""")
+def event_operations_audit(t):
+    return R.apply_event_ops(*_event_ops(t))[1].select("op_id", "status")
+
+
+@query("""WITH s AS (SELECT o_custkey AS user_id, strftime(o_orderdate, '%m-%d') AS date, CAST(o_orderkey AS VARCHAR) AS event_name, o_orderstatus AS "desc" FROM orders),
+u AS (SELECT o_custkey AS user_id, strftime(o_orderdate, '%m-%d') AS date, arg_max(o_orderpriority, o_orderkey) AS p FROM orders WHERE o_orderkey % 4 = 0 GROUP BY ALL)
+SELECT user_id, date, event_name, coalesce(p, "desc") AS "desc" FROM s LEFT JOIN u USING (user_id, date)""")
+def events_of_a_date_updated(t):
+    """An update of a date rewrites all events of it."""
+    date = F.date_format("o_orderdate", "MM-dd")
+    stored = t.orders.select(F.col("o_custkey").alias("user_id"), date.alias("date"), F.col("o_orderkey").cast("string").alias("event_name"), F.col("o_orderstatus").alias("desc"))
+    ops = t.orders.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("op_id"), F.col("o_custkey").alias("user_id"), F.lit("UPDATE").alias("type"), date.alias("date"), F.lit(None).cast("string").alias("event_name"), F.col("o_orderpriority").alias("desc"))
+    return R.apply_event_ops(stored, ops, match_name=False)[0]
+
+
+_CONTENT = "'warning | s' || p_partkey || ' | f.py | repo | high | ' || p_name"
+
+
+@query(f"""SELECT 'c' || p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN {_CONTENT} ELSE p_name END AS content, CASE WHEN p_partkey % 3 = 0 THEN 'warning' ELSE 'old' END AS annotation_type, CASE WHEN p_partkey % 3 = 0 THEN 's' || p_partkey ELSE '' END AS target_symbol FROM part WHERE p_partkey % 5 != 0
+UNION ALL SELECT 'new-' || (p_partkey * 3 + 2), {_CONTENT}, 'warning', 's' || p_partkey FROM part WHERE p_partkey % 4 = 0""")
+def code_operations(t):
+    """Code annotations: the parts of their content are columns of the stored row."""
+    p = t.part
+    stored = p.select(F.concat(F.lit("c"), "p_partkey").alias("id"), F.col("p_name").alias("content"), F.lit("old").alias("annotation_type"), F.lit("").alias("target_symbol"))
+    content = F.concat(F.lit("warning | s"), "p_partkey", F.lit(" | f.py | repo | high | "), "p_name")
+    op = lambda where, kind, step, target: p.where(where).select((F.col("p_partkey") * 3 + step).alias("op_id"), F.lit(kind).alias("type"), content.alias("content"), target.alias("embedding_id"))
+    own, none = F.concat(F.lit("c"), "p_partkey"), F.lit(None).cast("string")
+    ops = op("p_partkey % 3 = 0", "UPDATE", 0, own).union(op("p_partkey % 5 = 0", "DELETE", 1, own)).union(op("p_partkey % 4 = 0", "ADD", 2, none))
+    return R.apply_ops(stored, R.code_ops(ops))[0]
+
+
+@query("""SELECT 'new-' || p_partkey AS id, p_name AS content, 'def x' AS code_snippet, 'python' AS language, 'fix' AS snippet_type, 'a,b' AS tags FROM part WHERE p_partkey % 2 = 0""")
+def snippet_operations(t):
+    """Snippets: the description alone is the content."""
+    content = F.concat("p_name", F.lit(" | def x | python | fix | a,b"))
+    ops = t.part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("op_id"), F.lit("ADD").alias("type"), content.alias("content"), F.lit(None).cast("string").alias("embedding_id"))
+    stored = t.spark.createDataFrame([], "id string, content string, code_snippet string, language string, snippet_type string, tags string")
+    return R.apply_ops(stored, R.snippet_ops(ops))[0]
+
+
+@query("""SELECT p_partkey AS op_id, p_size AS author_id, 'fix' AS annotation_type, CASE WHEN p_partkey % 3 = 0 THEN 'symbol' WHEN p_partkey % 3 = 1 THEN 'file' ELSE 'none' END AS target_kind, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN 'f.py' END AS target, p_name AS content FROM part""")
+def annotation_nodes(t):
+    """What an added annotation is about: a symbol, else a file, else nothing."""
+    k = F.col("p_partkey") % 3
+    content = F.concat_ws("|", F.lit("fix"), F.when(k == 0, F.col("p_brand")).otherwise(""), F.when(k != 2, F.lit("f.py")).otherwise(""), F.lit("r"), F.lit("low"), F.col("p_name"))
+    ops = t.part.select(F.col("p_partkey").alias("op_id"), F.lit("ADD").alias("type"), content.alias("content"), F.col("p_size").alias("user_id"))
+    return R.annotation_nodes(ops).select("op_id", "author_id", "annotation_type", "target_kind", "target", "content")
+
+
+@query("""SELECT c_custkey AS annotation_id, CASE WHEN c_custkey % 3 = 0 THEN 'resolved' WHEN c_custkey % 3 = 1 THEN 'archived' ELSE 'active' END AS status, CASE WHEN c_custkey % 3 = 0 THEN TIMESTAMP '2024-01-01' END AS resolved_at, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS resolved_by FROM customer""")
+def annotation_status(t):
+    k = F.col("c_custkey")
+    rows = t.customer.select(k.alias("annotation_id"), F.lit("active").alias("status"), F.lit(None).cast("timestamp_ntz").alias("resolved_at"), F.lit(None).cast("int").alias("resolved_by"))
+    changes = t.customer.where("c_custkey % 3 != 2").select(k.alias("annotation_id"), F.when(k % 3 == 0, "resolved").otherwise("archived").alias("new_status"), F.col("c_nationkey").alias("user_id"))
+    return R.change_status(rows, changes, F.lit("2024-01-01").cast("timestamp_ntz"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'ADD' WHEN p_partkey % 3 = 1 THEN 'UPDATE' ELSE 'ADD' END AS type, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_name END AS content, CASE WHEN p_partkey % 3 = 0 THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM part""")
+def judgements_parsed(t):
+    """A model's answers; what is no JSON adds the items."""
+    k = F.col("p_partkey") % 3
+    answer = F.when(k == 0, "I cannot tell").otherwise(F.concat(F.lit('```json\n{"confidence": 0.9, "operations": [{"type": "'), F.when(k == 1, "update").otherwise("strange"), F.lit('", "content": "'), "p_name", F.lit('"}]}\n```')))
+    got = t.part.select("p_partkey", R.parse_judgement(answer, F.array("p_brand")).alias("j"))
+    return got.select("p_partkey", F.explode("j.operations").alias("o"), "j.confidence").select("p_partkey", "o.type", "o.content", "confidence")

@@ -13,18 +13,19 @@ def profile(spark, items, stored):
 
 
 def test_unchanged_profile_fact(spark):
-    got = profile(spark, [("u", 1, "work", "company", " google ")], [("u", "profile-1", "work_company", "Google")])
-    assert got == [("NOOP", "work / company =  google ", "profile-1")]
+    got = profile(spark, [("ines", 1, "Interest", "Winter Sport", "  cross-country   SKIING")], [("ines", "f7", "interest_winter_sport", "Cross-country skiing")])
+    assert got == [("NOOP", "Interest / Winter Sport =   cross-country   SKIING", "f7")]
 
 
 def test_changed_profile_fact(spark):
-    got = profile(spark, [("u", 1, "work", "company", "OpenAI")], [("u", "profile-1", "work_company", "Google")])
-    assert got == [("UPDATE", "work / company = OpenAI", "profile-1")]
+    got = profile(spark, [("ines", 1, "contact_info", "city", "Porto")], [("ines", "f8", "contact_info_city", "Lyon"), ("ines", "f9", "contact_info_city", "Porto")])
+    assert got == [("UPDATE", "contact_info / city = Porto", "f8")]
 
 
 def test_new_duplicate_and_keyless_facts(spark):
-    got = profile(spark, [("u", 1, "work", "company", "Old"), ("u", 2, "", "x", "free"), ("u", 3, "Work", "Company", "New"), ("v", 4, "a", "b", "c")], [("v", "p", "work_company", "New")])
-    assert sorted(got) == [("ADD", " / x = free", None), ("ADD", "Work / Company = New", None), ("ADD", "a / b = c", None)]
+    items = [("ines", 1, "education", "degree", "BSc"), ("ines", 2, "", "hobby", "knits"), ("ines", 3, "Education", "Degree", "MSc"), ("otto", 4, "pets", "dog", "Rex")]
+    got = profile(spark, items, [("otto", "g1", "education_degree", "MSc")])
+    assert sorted(got) == [("ADD", " / hobby = knits", None), ("ADD", "Education / Degree = MSc", None), ("ADD", "pets / dog = Rex", None)]
 
 
 def temporal(spark, item, stored):
@@ -33,21 +34,21 @@ def temporal(spark, item, stored):
 
 
 def test_events(spark):
-    stored = [("u", "04-24", "Demo", "Launch", "2026", "", None)]
-    assert temporal(spark, ("04-24", "Other", "x", None, None, None), stored) == [("ADD", None)]
-    assert temporal(spark, ("04-25", "Demo", "Launch", "2026", None, None), stored) == [("DELETE", "04-24_Demo"), ("ADD", None)]
-    assert temporal(spark, ("04-24", "Demo", "Other", "2026", "10:00", None), stored) == [("UPDATE", "04-24_Demo")]
-    assert temporal(spark, ("04-24", "demo", "launch", "2026", None, ""), stored) == [("NOOP", "04-24_Demo")]
+    stored = [("u", "09-30", "Harvest fair", "stalls and music", None, "11:00", "")]
+    assert temporal(spark, ("10-01", "Book club", None, "2030", None, None), stored) == [("ADD", None)]
+    assert temporal(spark, ("10-07", "harvest FAIR", "stalls and music", "", "11:00", None), stored) == [("DELETE", "09-30_Harvest fair"), ("ADD", None)]
+    assert temporal(spark, ("09-30", "Harvest fair", "rain: indoors", None, "12:30", None), stored) == [("UPDATE", "09-30_Harvest fair")]
+    assert temporal(spark, ("09-30", "Harvest  Fair", "Stalls and Music", "", "11:00", None), stored) == [("NOOP", "09-30_Harvest fair")]
 
 
 def test_apply_ops(spark):
-    stored = spark.createDataFrame([("profile-1", "a"), ("p2", "b")], "id string, content string")
+    stored = spark.createDataFrame([("k1", "plays cello"), ("k2", "lives in Lyon")], "id string, content string")
     ops = spark.createDataFrame(
-        [(1, "ADD", "work / title = Engineer", None), (2, "UPDATE", "new", "profile-1"), (3, "DELETE", None, "missing"), (4, "UPDATE", "fresh", "gone"), (5, "NOOP", "x", "p2"), (6, "ADD", " ", None), (7, "DELETE", None, "p2"), (8, "UPDATE", "no id", None)],
+        [(1, "ADD", "pets / dog = Rex", None), (2, "UPDATE", "plays viola", "k1"), (3, "DELETE", None, "nowhere"), (4, "UPDATE", "sings", "k9"), (5, "NOOP", "x", "k2"), (6, "ADD", "   ", None), (7, "DELETE", None, "k2"), (8, "UPDATE", "unplaced", None)],
         "op_id long, type string, content string, embedding_id string",
     )
     state, audit = R.apply_ops(stored, ops)
-    assert {(r["id"], r["content"]) for r in state.collect()} == {("profile-1", "new"), ("new-1", "work / title = Engineer"), ("gone", "fresh"), ("new-8", "no id")}
+    assert {(r["id"], r["content"]) for r in state.collect()} == {("k1", "plays viola"), ("new-1", "pets / dog = Rex"), ("k9", "sings"), ("new-8", "unplaced")}
     assert R.weaver_result(audit).head().asDict() == {"total": 8, "succeeded": 6, "skipped": 2, "failed": 0}
 
 
@@ -64,13 +65,25 @@ def test_maps_are_merged(spark):
     assert got == {"a": ({"x": "1", "y": "3"}, "t"), "b": ({"z": "0"}, "t")}
 
 
+EVENT_OPS = "op_id long, user_id string, type string, date string, event_name string, desc string, year string"
+
+
 def test_event_operations(spark):
-    events = spark.createDataFrame([("u", "05-11", "Demo", "a"), ("u", "05-11", "Lunch", "b")], "user_id string, date string, event_name string, desc string")
-    ops = spark.createDataFrame([(1, "u", "UPDATE", "05-11", "Demo", "new"), (2, "u", "ADD", "02-30", "Bad", "x"), (3, "u", "ADD", "06-01", "More", "y")], "op_id long, user_id string, type string, date string, event_name string, desc string")
-    state, audit = R.apply_event_ops(events, ops)
-    assert {(r["event_name"], r["desc"]) for r in state.collect()} == {("Demo", "new"), ("Lunch", "b"), ("More", "y")}
-    assert {r["op_id"]: r["status"] for r in audit.collect()} == {1: "succeeded", 2: "failed", 3: "succeeded"}
-    assert {r["desc"] for r in R.apply_event_ops(events, ops.where("op_id = 1"), match_name=False)[0].collect()} == {"new"}
+    events = spark.createDataFrame([("u", "03-08", "Swim", "lanes", "2030", [1.0]), ("u", "03-08", "Dinner", "at home", None, None)], "user_id string, date string, event_name string, desc string, year string, embedding array<double>")
+    rows = [(1, "u", "UPDATE", "03-08", "Swim", "pool closed", None), (2, "u", "ADD", "02-30", "Never", "x", None), (3, "u", "ADD", "03-09", "Walk", "hills", "2031"), (4, "u", "ADD", "03-08", "Cinema", None, None), (5, "u", "UPDATE", "03-08", "Unknown", "y", None), (6, "u", "DELETE", "03-08", "Cinema", None, None), (7, "u", "ADD", None, "No day", None, None)]
+    state, audit = R.apply_event_ops(events, spark.createDataFrame(rows, EVENT_OPS))
+    assert {(r["event_name"], r["desc"], r["year"], tuple(r["embedding"] or ())) for r in state.collect()} == {("Swim", "pool closed", "2030", (1.0,)), ("Dinner", "at home", None, ()), ("Walk", "hills", "2031", ())}
+    assert {r["op_id"]: r["status"] for r in audit.collect()} == {1: "succeeded", 2: "failed", 3: "succeeded", 4: "succeeded", 5: "succeeded", 6: "succeeded", 7: "failed"}
+
+
+def test_operations_on_a_date(spark):
+    events = spark.createDataFrame([("u", "03-08", "Swim", "lanes"), ("u", "03-09", "Walk", "hills")], "user_id string, date string, event_name string, desc string")
+    run = lambda *rows: {(r["date"], r["event_name"], r["desc"]) for r in R.apply_event_ops(events, spark.createDataFrame(rows, EVENT_OPS), match_name=False)[0].collect()}
+    walk = ("03-09", "Walk", "hills")
+    assert run((1, "u", "ADD", "03-08", "Tea", "cake", None)) == {("03-08", "Swim", "lanes"), ("03-08", "Tea", "cake"), walk}
+    assert run((1, "u", "ADD", "03-08", "Tea", "cake", None), (2, "u", "UPDATE", "03-08", None, "moved", None)) == {("03-08", "Swim", "moved"), ("03-08", "Tea", "moved"), walk}
+    assert run((1, "u", "UPDATE", "05-05", None, "nobody", None)) == {("03-08", "Swim", "lanes"), walk}
+    assert run((1, "u", "DELETE", "03-08", None, None, None), (2, "u", "ADD", "03-08", "Tea", None, None)) == {("03-08", "Tea", None), walk}
 
 
 def test_judges(spark):
@@ -79,6 +92,9 @@ def test_judges(spark):
     assert {r["item_id"]: (r["type"], r["embedding_id"]) for r in R.judge_semantic(items, near).collect()} == {1: ("NOOP", "x"), 2: ("UPDATE", "y"), 3: ("ADD", None)}
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([('```json\n{"operations":[{"type":"update","content":"a","embedding_id":"1"},{"type":"odd","content":"b"}]}\n```',), ("broken",)], "a string")
-    got = [r["x"] for r in df.select(R.parse_judgement(F.col("a")).alias("x")).collect()]
-    assert [(x["type"], x["content"]) for x in got[0]] == [("UPDATE", "a"), ("ADD", "b")] and got[1] is None
+    good = 'Well:\n```json\n{"confidence": 0.7, "operations": [{"type": "delete", "embedding_id": "k4"}, {"type": "perhaps", "content": "tea"}]}\n```'
+    df = spark.createDataFrame([(good,), ("no idea",), ("{}",)], "a string")
+    got = [r["x"] for r in df.select(R.parse_judgement(F.col("a"), F.array(F.lit("one"), F.lit("two"))).alias("x")).collect()]
+    assert [(o["type"], o["content"], o["embedding_id"]) for o in got[0]["operations"]] == [("DELETE", "", "k4"), ("ADD", "tea", None)] and got[0]["confidence"] == 0.7
+    assert [(o["type"], o["content"]) for o in got[1]["operations"]] == [("ADD", "one"), ("ADD", "two")] and got[1]["confidence"] == 0.5
+    assert got[2]["operations"] == [] and got[2]["confidence"] == 0.0
