@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 #: Job phases and team roles from the lowest rank up.
 PHASES = ("not_started", "pending", "running", "failed", "complete")
-ROLES = ("intern", "sde1", "sde2", "staff", "manager")
+ROLES = ("intern", "sde2", "staff_engineer", "manager")
 
 
 def rank_of(value: Column, names: tuple[str, ...]) -> Column:
-    """Place in the list; unknown values are below all."""
-    return F.array_position(F.array(*[F.lit(n) for n in names]), value) - 1
+    """Place in the list, in any case; unknown values and null are as the first one."""
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.lower(value)) - 1
+    return F.greatest(F.coalesce(place, F.lit(-1)), F.lit(0)).cast("int")
 
 
 def best_job(jobs: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,12 +65,17 @@ def key_valid(now: Column, scope: str, org: str, repo: str) -> Column:
 
 
 def may_annotate(role: Column) -> Column:
-    return rank_of(role, ROLES) > 0
+    """All members but interns; without a role one is no member."""
+    return F.coalesce(role.isNotNull() & (rank_of(role, ROLES) > 0), F.lit(False))
+
+
+def may_manage(role: Column) -> Column:
+    return F.coalesce(role == "manager", F.lit(False))
 
 
 def may_edit(role: Column, other: Column, same: Column) -> Column:
-    """A manager edits anyone else, staff those of lower rank; no one themself."""
-    return ~same & ((role == "manager") | ((role == "staff") & (rank_of(other, ROLES) < rank_of(role, ROLES))))
+    """A manager edits anyone else, staff engineers those of lower rank; no one themself."""
+    return ~same & other.isNotNull() & (may_manage(role) | F.coalesce((role == "staff_engineer") & (rank_of(other, ROLES) < rank_of(role, ROLES)), F.lit(False)))
 
 
 def editable_counts(members: DataFrame) -> DataFrame:
@@ -77,9 +83,8 @@ def editable_counts(members: DataFrame) -> DataFrame:
 
     Members are counted for each team first, so that no pairs of members are made; ids are unique, and members without a team are left out.
     """
-    rank = lambda r: rank_of(r, ROLES)
-    teams = members.groupBy("team").agg(F.count(F.lit(1)).alias("size"), F.count_if(rank(F.col("role")) < ROLES.index("staff")).alias("below_staff"))
-    editable = F.when(F.col("role") == "manager", F.col("size") - 1).when(F.col("role") == "staff", F.col("below_staff")).otherwise(F.lit(0))
+    teams = members.groupBy("team").agg(F.count(F.lit(1)).alias("size"), F.count_if(rank_of(F.col("role"), ROLES) < ROLES.index("staff_engineer")).alias("below_staff"))
+    editable = F.when(F.col("role") == "manager", F.col("size") - 1).when(F.col("role") == "staff_engineer", F.col("below_staff")).otherwise(F.lit(0))
     return members.join(teams, "team").select("id", editable.cast("long").alias("editable"), may_annotate(F.col("role")).alias("annotates"))
 
 
@@ -117,5 +122,86 @@ def best_token(tokens: DataFrame, now: Column, full: int = 5000) -> DataFrame:
     return tokens.where("is_active").withColumn("remaining", left).orderBy(F.desc("remaining"), "token_id").limit(1)
 
 
+def chat_allowed(jobs: DataFrame, flags: DataFrame, keys: list[str], user: Column) -> DataFrame:
+    """Jobs (keys, user_id, phase1, ...) with ``allowed``: phase 1 is complete, and the repository is public (also without a flag) or the job the user's."""
+    both = jobs.join(flags.select(*keys, "share_index_publicly"), keys, "left")
+    allowed = (F.lower("phase1") == "complete") & (F.coalesce("share_index_publicly", F.lit(True)) | F.coalesce(F.col("user_id") == user, F.lit(False)))
+    return both.select(*[jobs[c] if c not in keys else F.col(c) for c in jobs.columns], F.coalesce(allowed, F.lit(False)).alias("allowed"))
+
+
+def has_completed(pairs: DataFrame, jobs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs with ``completed``: whether a job of the pair has completed; a blank key has none. Jobs are made distinct before the join."""
+    done = jobs.where(F.lower("phase1") == "complete").select(*keys).distinct().withColumn("completed", F.lit(True))
+    blank = F.lit(False)
+    for k in keys:
+        blank = blank | (F.trim(F.coalesce(F.col(k).cast("string"), F.lit(""))) == "")
+    return pairs.join(done, keys, "left").withColumn("completed", F.coalesce(F.col("completed") & ~blank, F.lit(False)))
+
+
+def public_pairs(flags: DataFrame, jobs: DataFrame, keys: list[str]) -> DataFrame:
+    """Public repositories with at least one completed job."""
+    done = jobs.where(F.lower("phase1") == "complete").select(*keys).distinct()
+    return flags.where(F.coalesce("share_index_publicly", F.lit(True))).select(*keys).distinct().join(done, keys, "left_semi")
+
+
+def alive(status: Column, updated_at: Column, now: Column, seconds: int = 30) -> Column:
+    """A job that runs and was heard of in the last seconds; other running ones are left over."""
+    return F.coalesce((status == "running") & (updated_at > now - F.make_dt_interval(secs=F.lit(seconds))), F.lit(False))
+
+
+def snapshot(asked: DataFrame, jobs: DataFrame, scans: DataFrame, flags: DataFrame) -> DataFrame:
+    """(user_id, org_id, repo, source, phase1, phase2, share_index_publicly) of each asked (user_id, org_id, repo): the user's own
+    job, else the repository's best one, else its last scan if completed, else none."""
+    keys = ["org_id", "repo"]
+    own = jobs.groupBy("user_id", *keys).agg(F.max_by(F.struct("phase1", "phase2"), "updated_at").alias("own"))
+    best = best_job(jobs.select(*keys, "phase1", "phase2", "updated_at"), keys).select(*keys, F.struct("phase1", "phase2").alias("best"))
+    scan = scans.groupBy(*keys).agg(F.max_by("status", "finished_at").alias("scan")).where("scan = 'completed'")
+    both = asked.join(own, ["user_id", *keys], "left").join(best, keys, "left").join(scan, keys, "left").join(flags.select(*keys, "share_index_publicly"), keys, "left")
+    source = F.when(F.col("own").isNotNull(), "user_job").when(F.col("best").isNotNull(), "catalog").when(F.col("scan").isNotNull(), "scan_runs").otherwise("none")
+    phase = lambda p: F.when(source.isin("user_job", "catalog"), F.coalesce(F.coalesce("own", "best")[p], F.lit("not_started"))).when(source == "scan_runs", "complete").otherwise("not_started").alias(p)
+    return both.select("user_id", *keys, source.alias("source"), phase("phase1"), phase("phase2"), F.coalesce("share_index_publicly", F.lit(True)).alias("share_index_publicly"))
+
+
+def star(stars: DataFrame, new: DataFrame, gone: DataFrame, keys: tuple[str, ...] = ("user_id", "org_id", "repo")) -> DataFrame:
+    """The set of stars after some are given and some taken away."""
+    return stars.select(*keys).union(new.select(*keys)).distinct().join(gone.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def authenticate(tokens: DataFrame, sessions: DataFrame, keys: DataFrame, users: DataFrame, static: tuple[str, ...], now: Column, prefix: str = "key_") -> DataFrame:
+    """(token_id, via, user_id) of each bearer token (token_id, token): a session token, unless it begins as a key does; else an
+    active, unexpired key by its hash, if its user is known; else a static key, whose user is the hash's beginning; else null.
+
+    sessions: (token, user_id), keys: (key_hash, user_id, is_active, expires_at), users: (user_id).
+    """
+    known = users.select("user_id").distinct()
+    live = keys.where(F.coalesce("is_active", F.lit(False)) & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
+    by_key = live.groupBy("key_hash").agg(F.min("user_id").alias("user_id")).join(known, "user_id", "left_semi").select("key_hash", F.col("user_id").cast("string").alias("key_user"))
+    by_session = sessions.groupBy("token").agg(F.min("user_id").cast("string").alias("session_user"))
+    rows = tokens.withColumn("key_hash", F.sha2("token", 256)).join(by_session, "token", "left").join(by_key, "key_hash", "left")
+    session = F.when(~F.startswith("token", F.lit(prefix)), F.col("session_user"))
+    fixed = F.when(F.col("token").isin(*static), F.substring("key_hash", 1, 16)) if static else F.lit(None).cast("string")
+    via = F.when(session.isNotNull(), "session").when(F.col("key_user").isNotNull(), "key").when(fixed.isNotNull(), "static")
+    return rows.select("token_id", via.alias("via"), F.coalesce(session, "key_user", fixed).alias("user_id"))
+
+
+def expire(keys: DataFrame, now: Column) -> DataFrame:
+    """Keys of which the expired ones are no longer active."""
+    return keys.withColumn("is_active", F.coalesce("is_active", F.lit(False)) & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
+
+
+def matching(rows: DataFrame, fields: list[str], text: str) -> DataFrame:
+    """Rows one of whose fields holds the text, in any case; the text is no pattern."""
+    hit = F.lit(False)
+    for f in fields:
+        hit = hit | F.contains(F.lower(F.coalesce(f, F.lit(""))), F.lower(F.lit(text)))
+    return rows.where(hit)
+
+
+def new_names(wanted: DataFrame, taken: DataFrame, pattern: str = "^[a-zA-Z0-9_-]{3,30}$") -> DataFrame:
+    """Wanted (user_id, username) that keep to the rule and no one has; of several users who want one the least gets it."""
+    good = wanted.where(F.col("username").rlike(pattern)).groupBy("username").agg(F.min("user_id").alias("user_id"))
+    return good.join(taken.select("username").distinct(), "username", "left_anti").select("user_id", "username")
+
+
 def per_user(df: DataFrame, user: str, n: int, *order: Column) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(W.partitionBy(user).orderBy(*order))).where(F.col("rn") <= n)

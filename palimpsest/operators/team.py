@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from ..functions.text import topic_of
 
 #: Kinds of annotations that instruct, and the roles that they are for.
-INSTRUCTIONS = ("instruction", "guideline", "warning", "explanation")
-INSTRUCTED = ("intern", "sde1", "sde2")
+INSTRUCTIONS = ("instruction", "explanation", "warning", "feature_idea")
+INSTRUCTED = ("intern", "sde2")
 
 
 def manager_instructions(annotations: DataFrame, n: int = 10) -> DataFrame:
     """Active annotations by managers, of the kinds that instruct; (annotation_id, score, ...) with the best score first."""
-    rows = annotations.where((F.coalesce("status", F.lit("active")) == "active") & (F.col("author_role") == "manager") & F.col("annotation_type").isin(*INSTRUCTIONS))
+    rows = annotations.where((F.coalesce("status", F.lit("active")) == "active") & (F.col("author_role") == "manager") & F.coalesce("annotation_type", F.lit("explanation")).isin(*INSTRUCTIONS))
     return rows.orderBy(F.desc("score"), "annotation_id").limit(n)
 
 
@@ -39,7 +39,10 @@ def topic_catalog(memory: DataFrame, key: str = "main_content", order: str = "id
 
 
 def topic_edges(memory: DataFrame, user: str = "user_id", key: str = "topic", id_col: str = "id") -> DataFrame:
-    """(user, a, b, weight): pairs of a user's facts of one topic."""
+    """(user, a, b, weight): pairs of a user's facts of one topic, which are what is asked for: their number is the square of a topic's.
+
+    Spark splits the join of a user's large topic among tasks.
+    """
     other = memory.select(user, key, F.col(id_col).alias("b"))
     pairs = memory.select(user, key, F.col(id_col).alias("a")).join(other, [user, key]).where("a < b")
     return pairs.select(user, "a", "b", F.lit(0.8).alias("weight"))
@@ -70,5 +73,5 @@ class Tools:
 
 def neighbour_block(item: Column, rows: Column) -> Column:
     """The stored rows nearest to an item, as lines ``id | score | text`` for a judge; rows: array<(id, score, content)>."""
-    lines = F.transform(rows, lambda r: F.format_string("%s | %.3f | %s", r["id"].cast("string"), r["score"], r["content"]))
+    lines = F.transform(rows, lambda r: F.format_string("%s | %.3f | %s", r["id"].cast("string"), r["score"].cast("double"), r["content"]))
     return F.concat(F.lit("NEW: "), item, F.lit("\n"), F.when(F.size(rows) > 0, F.array_join(lines, "\n")).otherwise("(none)"))

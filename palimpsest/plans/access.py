@@ -58,23 +58,24 @@ def latest_scan(t):
     return C.latest_scan(scans, ["o_custkey"])
 
 
-_ROLE = "(c_custkey + c_nationkey) % 5"
-
-
-@query(f"""WITH m AS (SELECT c_custkey AS id, c_nationkey AS team, CAST({_ROLE} AS INT) AS r FROM customer WHERE c_custkey <= 400)
-SELECT a.id, count(*) FILTER (WHERE a.id != b.id AND (a.r = 4 OR (a.r = 3 AND b.r < 3))) AS editable, bool_or(a.r > 0) AS annotates FROM m a JOIN m b USING (team) GROUP BY a.id""")
-def role_rank_self_join(t):
-    """How many others of their team the first members may edit; ``role_rank_counts`` has all members."""
-    return C.editable_counts(_members(t).where("id <= 400"))
+_ROLE = "(c_custkey + c_nationkey) % 4"
+_EDITS = f"""WITH m AS (SELECT c_custkey AS id, c_nationkey AS team, CAST({_ROLE} AS INT) AS r FROM customer)
+SELECT a.id, count(*) FILTER (WHERE a.id != b.id AND (a.r = 3 OR (a.r = 2 AND b.r < 2))) AS editable, bool_or(a.r > 0) AS annotates"""
 
 
 def _members(t):
-    role = F.get(F.array(*[F.lit(r) for r in C.ROLES]), ((F.col("c_custkey") + F.col("c_nationkey")) % 5).cast("int"))
+    role = F.get(F.array(*[F.lit(r) for r in C.ROLES]), ((F.col("c_custkey") + F.col("c_nationkey")) % 4).cast("int"))
     return t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("team"), role.alias("role"))
 
 
-@query(f"""WITH m AS (SELECT c_custkey AS id, c_nationkey AS team, CAST({_ROLE} AS INT) AS r FROM customer)
-SELECT a.id, count(*) FILTER (WHERE a.id != b.id AND (a.r = 4 OR (a.r = 3 AND b.r < 3))) AS editable, bool_or(a.r > 0) AS annotates FROM m a JOIN m b USING (team) GROUP BY a.id""")
+@query(f"{_EDITS}, bool_or(a.r = 3) AS manages FROM m a JOIN m b USING (team) GROUP BY a.id")
+def role_rank_self_join(t):
+    """How many others of their team all members may edit, and who manages it."""
+    members = _members(t)
+    return C.editable_counts(members).join(members.select("id", C.may_manage(F.col("role")).alias("manages")), "id")
+
+
+@query(f"{_EDITS} FROM m a JOIN m b USING (team) GROUP BY a.id")
 def role_rank_counts(t):
     """How many others of their team all members may edit."""
     return C.editable_counts(_members(t))
@@ -129,9 +130,116 @@ def token_with_quota(t):
     return C.best_token(tokens, now).select("token_id", "remaining")
 
 
-@query("""SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '(?i)#0+1[0-9]$') OR contains(lower(c_mktsegment), 'build') ORDER BY c_custkey LIMIT 40""")
+@query("""SELECT c_custkey FROM customer WHERE contains(lower(c_name), 'mer#00000001') OR contains(lower(c_mktsegment), 'mer#00000001') ORDER BY c_custkey LIMIT 40""")
 def user_search(t):
     """Case-insensitive search for user text, which is taken as it is, not as a pattern."""
-    c = t.customer
-    hit = c["c_name"].rlike("(?i)#0+1[0-9]$") | F.contains(F.lower("c_mktsegment"), F.lit("build"))
-    return c.where(hit).orderBy("c_custkey").limit(40).select("c_custkey")
+    return C.matching(t.customer, ["c_name", "c_mktsegment"], "MER#00000001").orderBy("c_custkey").limit(40).select("c_custkey")
+
+
+@query("""WITH w AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'no blank' WHEN c_custkey % 3 = 1 THEN 'u' || (c_custkey // 10 + 100) ELSE 'v' || (c_custkey + 100) END AS username FROM customer)
+SELECT min(user_id) AS user_id, username FROM w WHERE username != 'no blank' AND username NOT IN (SELECT 'v' || (s_suppkey + 100) FROM supplier) GROUP BY username""")
+def new_usernames(t):
+    """Names by the rule that no one has; the first who asks gets one."""
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 0, "no blank").when(k % 3 == 1, F.concat(F.lit("u"), F.floor(k / 10) + 100)).otherwise(F.concat(F.lit("v"), k + 100))
+    taken = t.supplier.select(F.concat(F.lit("v"), F.col("s_suppkey") + 100).alias("username"))
+    return C.new_names(t.customer.select(k.alias("user_id"), name.alias("username")), taken)
+
+
+# --- repositories: a customer's jobs are orders, their repositories the order's clerk number and priority -------------------------
+
+_SCAN_JOBS = """SELECT o_custkey AS user_id, o_orderkey % 40 AS org_id, o_orderpriority AS repo, CASE o_orderstatus WHEN 'F' THEN 'COMPLETE' WHEN 'O' THEN 'running' END AS phase1, CASE WHEN o_orderkey % 3 = 0 THEN 'complete' END AS phase2, o_orderkey AS updated_at FROM orders"""
+_FLAGS = "SELECT n_nationkey AS org_id, '1-URGENT' AS repo, n_nationkey % 2 = 0 AS share_index_publicly FROM nation"
+
+
+def _jobs(t):
+    o = t.orders
+    phase1 = F.when(o["o_orderstatus"] == "F", "COMPLETE").when(o["o_orderstatus"] == "O", "running")
+    return o.select(F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 40).alias("org_id"), F.col("o_orderpriority").alias("repo"), phase1.alias("phase1"), F.when(F.col("o_orderkey") % 3 == 0, "complete").alias("phase2"), F.col("o_orderkey").alias("updated_at"))
+
+
+def _flags(t):
+    return t.nation.select(F.col("n_nationkey").cast("long").alias("org_id"), F.lit("1-URGENT").alias("repo"), (F.col("n_nationkey") % 2 == 0).alias("share_index_publicly"))
+
+
+@query(f"""WITH j AS ({_SCAN_JOBS}), f AS ({_FLAGS})
+SELECT updated_at, coalesce(lower(phase1) = 'complete' AND (coalesce(share_index_publicly, true) OR user_id = 7), false) AS allowed FROM j LEFT JOIN f USING (org_id, repo)""")
+def chat_allowed(t):
+    return C.chat_allowed(_jobs(t), _flags(t), ["org_id", "repo"], F.lit(7)).select("updated_at", "allowed")
+
+
+@query(f"""WITH j AS ({_SCAN_JOBS}) SELECT c_custkey, c_mktsegment, EXISTS (SELECT 1 FROM j WHERE user_id = c_custkey AND lower(phase1) = 'complete') AS completed FROM customer""")
+def has_completed_job(t):
+    pairs = t.customer.select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    return C.has_completed(pairs, _jobs(t), ["user_id"]).select(F.col("user_id").alias("c_custkey"), "c_mktsegment", "completed")
+
+
+@query(f"""WITH j AS ({_SCAN_JOBS}), f AS ({_FLAGS}) SELECT DISTINCT org_id, repo FROM f WHERE share_index_publicly AND EXISTS (SELECT 1 FROM j WHERE j.org_id = f.org_id AND j.repo = f.repo AND lower(phase1) = 'complete')""")
+def public_pairs(t):
+    return C.public_pairs(_flags(t), _jobs(t), ["org_id", "repo"])
+
+
+_RANK = "greatest(coalesce(list_position(['not_started', 'pending', 'running', 'failed', 'complete'], lower({})), 1), 1)"
+
+
+@query(f"""WITH j AS ({_SCAN_JOBS}), f AS ({_FLAGS}), a AS (SELECT c_custkey AS user_id, c_custkey % 60 AS org_id, '1-URGENT' AS repo FROM customer),
+own AS (SELECT user_id, org_id, repo, arg_max({{'p1': phase1, 'p2': phase2}}, updated_at) AS o FROM j GROUP BY ALL),
+best AS (SELECT org_id, repo, arg_max({{'p1': phase1, 'p2': phase2}}, ({_RANK.format('phase1')}, {_RANK.format('phase2')}, updated_at)) AS b FROM j GROUP BY ALL),
+s AS (SELECT s_suppkey % 60 AS org_id, '1-URGENT' AS repo, arg_max(CASE WHEN s_nationkey % 2 = 0 THEN 'completed' ELSE 'failed' END, s_suppkey) AS st FROM supplier GROUP BY ALL),
+r AS (SELECT a.*, o, b, CASE WHEN st = 'completed' THEN st END AS st, coalesce(share_index_publicly, true) AS share_index_publicly FROM a LEFT JOIN own USING (user_id, org_id, repo) LEFT JOIN best USING (org_id, repo) LEFT JOIN s USING (org_id, repo) LEFT JOIN f USING (org_id, repo))
+SELECT user_id, org_id, repo, CASE WHEN o IS NOT NULL THEN 'user_job' WHEN b IS NOT NULL THEN 'catalog' WHEN st IS NOT NULL THEN 'scan_runs' ELSE 'none' END AS source,
+CASE WHEN o IS NOT NULL THEN coalesce(o.p1, 'not_started') WHEN b IS NOT NULL THEN coalesce(b.p1, 'not_started') WHEN st IS NOT NULL THEN 'complete' ELSE 'not_started' END AS phase1,
+CASE WHEN o IS NOT NULL THEN coalesce(o.p2, 'not_started') WHEN b IS NOT NULL THEN coalesce(b.p2, 'not_started') WHEN st IS NOT NULL THEN 'complete' ELSE 'not_started' END AS phase2, share_index_publicly FROM r""")
+def catalog_snapshot(t):
+    """Own job, else the best one, else the last completed scan, else nothing."""
+    asked = t.customer.select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 60).alias("org_id"), F.lit("1-URGENT").alias("repo"))
+    scans = t.supplier.select((F.col("s_suppkey") % 60).alias("org_id"), F.lit("1-URGENT").alias("repo"), F.when(F.col("s_nationkey") % 2 == 0, "completed").otherwise("failed").alias("status"), F.col("s_suppkey").alias("finished_at"))
+    return C.snapshot(asked, _jobs(t), scans, _flags(t))
+
+
+@query("""SELECT o_orderkey AS token_id, CASE WHEN o_orderkey % 4 = 0 AND o_custkey % 2 = 0 THEN 'session' WHEN o_orderkey % 4 = 1 AND o_orderstatus != 'P' AND o_custkey % 3 != 0 THEN 'key' WHEN o_orderkey % 4 = 2 THEN 'static' END AS via,
+CASE WHEN o_orderkey % 4 = 0 AND o_custkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) WHEN o_orderkey % 4 = 1 AND o_orderstatus != 'P' AND o_custkey % 3 != 0 THEN CAST(o_custkey AS VARCHAR) WHEN o_orderkey % 4 = 2 THEN substr(sha256('fixed'), 1, 16) END AS user_id FROM orders""")
+def authenticate(t):
+    """Sessions, then keys by their hash, then static keys."""
+    k = F.col("o_orderkey")
+    token = F.when(k % 4 == 0, F.concat(F.lit("s"), k)).when(k % 4 == 1, F.concat(F.lit("key_"), k)).when(k % 4 == 2, "fixed").otherwise("nothing")
+    tokens = t.orders.select(k.alias("token_id"), token.alias("token"))
+    sessions = t.orders.where("o_custkey % 2 = 0").select(F.concat(F.lit("s"), k).alias("token"), F.col("o_custkey").alias("user_id"))
+    keys = t.orders.select(F.sha2(F.concat(F.lit("key_"), k), 256).alias("key_hash"), F.col("o_custkey").alias("user_id"), (F.col("o_orderstatus") != "P").alias("is_active"), F.lit(None).cast("timestamp").alias("expires_at"))
+    users = t.orders.where("o_custkey % 3 != 0").select(F.col("o_custkey").alias("user_id"))
+    return C.authenticate(tokens, sessions, keys, users, ("fixed",), F.lit("2024-01-01").cast("timestamp"))
+
+
+@query("""SELECT o_orderkey, o_orderstatus != 'P' AND (o_orderkey % 4 = 0 OR o_orderdate > TIMESTAMP '1995-06-17') AS is_active FROM orders""")
+def expired_keys(t):
+    """Keys of which the expired ones are switched off."""
+    keys = t.orders.select("o_orderkey", (F.col("o_orderstatus") != "P").alias("is_active"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate")).alias("expires_at"))
+    return C.expire(keys, F.lit("1995-06-17").cast("timestamp_ntz")).select("o_orderkey", "is_active")
+
+
+@query("""SELECT o_orderkey, o_orderstatus = 'O' AND o_orderdate > TIMESTAMP '1995-06-16 23:59:30' AS alive FROM orders""")
+def job_alive(t):
+    status = F.when(F.col("o_orderstatus") == "O", "running").otherwise("done")
+    return t.orders.select("o_orderkey", C.alive(status, F.col("o_orderdate"), F.lit("1995-06-17").cast("timestamp_ntz")).alias("alive"))
+
+
+@query("""SELECT l_suppkey AS user_id, l_partkey AS repo FROM lineitem WHERE l_returnflag != 'N' EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_linenumber = 2""")
+def star_set(t):
+    """Stars given and taken away, as a set."""
+    pairs = lambda where: t.lineitem.where(where).select(F.col("l_suppkey").alias("user_id"), F.col("l_partkey").alias("repo"))
+    return C.star(pairs("l_returnflag = 'R'"), pairs("l_returnflag = 'A'"), pairs("l_linenumber = 2"), ("user_id", "repo"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def users_not_scanned(t):
+    return t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_anti")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 3")
+def newest_jobs_of_users(t):
+    return C.per_user(t.orders, "o_custkey", 3, F.desc("o_orderdate"), F.asc("o_orderkey")).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT n_regionkey, n_nationkey % 2 = 0 AS share_index_publicly, count(*) AS n FROM nation GROUP BY ALL")
+def visibility_breakdown(t):
+    return t.nation.groupBy("n_regionkey", (F.col("n_nationkey") % 2 == 0).alias("share_index_publicly")).agg(F.count(F.lit(1)).alias("n"))

@@ -63,3 +63,18 @@ def stream_text(t):
     line = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.lit("chunk").alias("type"), "text"))).otherwise("{broken")
     c = t.conversations.where("text != ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("s")))).alias("s"), F.bool_or(F.col("role") == "assistant").alias("any"))
     return c.where("any").select("conv_id", X.ndjson_text(F.array_join(F.transform("s", lambda x: x["s"]), "\n")).alias("text"))
+
+
+@query("""WITH k AS (SELECT p_brand AS b, min(p_partkey) AS place FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) SELECT string_agg('  - work / ' || lower(b), chr(10) ORDER BY place) AS text FROM k""")
+def topic_catalog_text(t):
+    """The catalog as a model reads it."""
+    from ..operators import evidence as E
+
+    key = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("work_"), F.lower("p_brand"))).otherwise("")
+    return E.catalog_text(T.topic_catalog(t.part.select(key.alias("main_content"), F.col("p_partkey").alias("id"))))
+
+
+@query("""SELECT n_nationkey AS item, 'NEW: ' || n_name || chr(10) || CASE WHEN n_regionkey = 0 THEN '(none)' ELSE n_regionkey || ' | ' || printf('%.3f', n_nationkey / 7.0) || ' | old' END AS block FROM nation""")
+def neighbour_blocks(t):
+    near = F.when(F.col("n_regionkey") == 0, F.array().cast("array<struct<id:int,score:double,content:string>>")).otherwise(F.array(F.struct(F.col("n_regionkey").alias("id"), (F.col("n_nationkey") / 7.0).alias("score"), F.lit("old").alias("content"))))
+    return t.nation.select(F.col("n_nationkey").alias("item"), T.neighbour_block(F.col("n_name"), near).alias("block"))
