@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SPACES = " \t\n\x0b\x0c\r"
 
@@ -130,15 +131,32 @@ def fenced(answer: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.lit("")), trimmed(answer))
 
 
+#: Kinds and severities of annotations, kinds of snippets.
+ANNOTATIONS = ("bug_report", "fix", "feature_idea", "explanation", "warning", "instruction", "architecture", "best_practice", "todo", "technical_debt")
+SEVERITIES = ("low", "medium", "high", "critical")
+SNIPPETS = ("algorithm", "config", "pattern", "fix", "utility", "explanation")
+
+
+def _of(value: Column, names: tuple[str, ...], default: str | None) -> Column:
+    return F.when(value.isin(*names), value).otherwise(F.lit(default).cast("string"))
+
+
 def code_annotations(answer: Column) -> Column:
-    """array of annotations from (fenced) JSON; unknown types and severities get the defaults; broken JSON gives none."""
-    kinds = ("explanation", "bug_report", "fix", "warning", "feature_idea")
-    schema = "array<struct<annotation_type:string,target_symbol:string,target_file:string,content:string,severity:string,repo:string>>"
-    rows = F.coalesce(F.from_json(fenced(answer), schema), F.array().cast(schema))
-    return F.transform(
-        F.filter(rows, lambda x: F.coalesce(x["content"], F.lit("")) != ""),
-        lambda x: x.withField("annotation_type", F.when(x["annotation_type"].isin(*kinds), x["annotation_type"]).otherwise("explanation")),
-    )
+    """array of annotations from (fenced) JSON ``{"annotations": [...]}``; unknown kinds are explanations, unknown severities null; broken JSON gives none."""
+    kind = "array<struct<annotation_type:string,target_symbol:string,target_file:string,content:string,severity:string,repo:string,assigned_to_name:string>>"
+    rows = F.coalesce(F.from_json(fenced(answer), f"struct<annotations:{kind}>")["annotations"], F.array().cast(kind))
+    known = lambda x: x.withField("annotation_type", _of(x["annotation_type"], ANNOTATIONS, "explanation")).withField("severity", _of(x["severity"], SEVERITIES, None))
+    return F.transform(rows, lambda x: known(x).withField("content", F.coalesce(x["content"], F.lit(""))))
+
+
+def code_snippets(answer: Column) -> Column:
+    """array of snippets from (fenced) JSON ``{"snippets": [...]}``: those with content; tags may be a list or a string, ten at most."""
+    kind = "array<struct<content:string,code_snippet:string,language:string,snippet_type:string,tags:string>>"
+    rows = F.coalesce(F.from_json(fenced(answer), f"struct<snippets:{kind}>")["snippets"], F.array().cast(kind))
+    listed = lambda x: F.coalesce(F.from_json(x, "array<string>"), F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), trimmed), lambda t: t != ""))
+    empty = lambda x: F.coalesce(x, F.lit(""))
+    fields = lambda x: F.struct(trimmed(x["content"]).alias("content"), empty(x["code_snippet"]).alias("code_snippet"), empty(x["language"]).alias("language"), _of(x["snippet_type"], SNIPPETS, "algorithm").alias("snippet_type"), F.slice(listed(x["tags"]), 1, 10).alias("tags"))
+    return F.transform(F.filter(rows, lambda x: trimmed(empty(x["content"])) != ""), fields)
 
 
 def tag_list(tags: Column, most: int = 10) -> Column:
@@ -198,7 +216,9 @@ def fast_path(query: Column) -> Column:
 
 
 def evidence(n: Column, domain: Column, score: Column, text: Column) -> Column:
-    return F.format_string("%d. [%s] (score: %.2f) %s", n, domain, score, text)
+    """A numbered line; a score of 0 or less isn't shown."""
+    shown = F.when(score > 0, F.format_string(" (score: %.2f)", score.cast("double"))).otherwise("")
+    return F.format_string("%d. [%s]%s %s", n.cast("long"), domain, shown, text)
 
 
 def truncated(text: Column, size: int) -> Column:
@@ -223,14 +243,21 @@ def transcript_format(text: Column) -> Column:
 
 
 def relative_date(expression: Column, today: Column) -> Column:
-    """Dates of yesterday, today, tomorrow, ``next <weekday>``, last and next week or month; null for others."""
+    """Dates of yesterday, today, tomorrow, ``next`` and ``last <weekday>``, last and next week or month, ``first weekend of
+    <month>`` (its first Saturday, this year) and ``the week before <yyyy-mm-dd>``; null for others."""
     e = norm_text(expression)
-    day = F.regexp_extract(e, "^next (mon|tues|wednes|thurs|fri|satur|sun)day$", 1)
+    days = ("mon", "tues", "wednes", "thurs", "fri", "satur", "sun")
+    months = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+    of = lambda word: F.regexp_extract(e, f"^{word} ({'|'.join(days)})day$", 1)
+    on = lambda word, start: F.coalesce(*[F.when(of(word) == d, F.next_day(start, d[:3])) for d in days])
+    month = F.array_position(F.array(*[F.lit(m) for m in months]), F.regexp_extract(e, "^first weekend of ([a-z]+)$", 1)).cast("int")
+    before = F.try_to_date(F.regexp_extract(e, r"^(?:the )?week before (\d{4}-\d{2}-\d{2})$", 1), "yyyy-MM-dd")
     return (
         F.when(e == "today", today).when(e == "yesterday", F.date_sub(today, 1)).when(e == "tomorrow", F.date_add(today, 1))
         .when(e == "last week", F.date_sub(today, 7)).when(e == "next week", F.date_add(today, 7))
         .when(e == "last month", F.date_sub(today, 30)).when(e == "next month", F.date_add(today, 30))
-        .when(day != "", F.coalesce(*[F.when(day == d, F.next_day(today, d[:3])) for d in ("mon", "tues", "wednes", "thurs", "fri", "satur", "sun")]))
+        .when(month > 0, F.next_day(F.date_sub(F.make_date(F.year(today), month, F.lit(1)), 1), "sat"))
+        .otherwise(F.coalesce(on("next", today), on("last", F.date_sub(today, 8)), F.date_sub(before, 7)))
     )
 
 
@@ -239,9 +266,31 @@ def valid_month_day(date: Column) -> Column:
     return F.coalesce(date.rlike(r"^\d{2}-\d{2}$") & F.try_to_date(F.concat(F.lit("2024-"), date), "yyyy-MM-dd").isNotNull(), F.lit(False))
 
 
-def masked(metadata: Column, names: tuple[str, ...] = ("password", "secret", "token", "api_key", "apikey", "authorization", "cookie", "access_token", "refresh_token", "client_secret", "private_key")) -> Column:
-    """A map with the values of secret keys replaced."""
-    return F.transform_values(metadata, lambda k, v: F.when(F.lower(k).isin(*names), "***").otherwise(v))
+#: Names of fields that hold secrets.
+SECRETS = (
+    "api_key", "apikey", "api-key", "password", "secret", "token", "authorization", "cookie", "pinecone_api_key", "gemini_api_key", "claude_api_key",
+    "openai_api_key", "openrouter_api_key", "aws_secret_access_key", "neo4j_password", "jwt_secret_key",
+)
+
+
+def masked(value: Column, kind: T.DataType, names: tuple[str, ...] = SECRETS) -> Column:
+    """A value of the type with what secret names hold replaced, at any depth of structs, maps and arrays; secrets become strings."""
+    if isinstance(kind, T.StructType):
+        fields = [(F.lit("***") if f.name.lower() in names else masked(value[f.name], f.dataType, names)).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: masked(x, kind.elementType, names))
+    if isinstance(kind, T.MapType):
+        inner = F.transform_values(value, lambda _, v: masked(v, kind.valueType, names))
+        if isinstance(kind.valueType, T.StringType):
+            return F.transform_values(inner, lambda k, v: F.when(F.lower(k).isin(*names), "***").otherwise(v))
+        return F.map_filter(inner, lambda k, _: ~F.lower(k).isin(*names))
+    return value
+
+
+def valid_username(name: Column) -> Column:
+    """3 to 30 ASCII letters, digits, hyphens and underscores."""
+    return F.coalesce(name.rlike("^[a-zA-Z0-9_-]{3,30}$"), F.lit(False))
 
 
 def complexity_bucket(n: Column) -> Column:
@@ -284,7 +333,11 @@ def content_text(content: Column) -> Column:
     return F.when(F.startswith(F.trim(content), F.lit("[")) & parts.isNotNull(), F.array_join(texts, "")).otherwise(content)
 
 
-def topic_of(key: Column, topics: tuple[str, ...] = ("basic_info", "contact_info", "education", "demographics", "work", "interest", "life_event", "psychological", "food")) -> Column:
+#: Topics of profile facts.
+TOPICS = ("basic_info", "contact_info", "education", "demographics", "work", "interest", "life_event")
+
+
+def topic_of(key: Column, topics: tuple[str, ...] = TOPICS) -> Column:
     """(topic, sub_topic) of a profile key: the longest known topic that it begins with, else what stands before the first underscore."""
     out = F
     for t in sorted(topics, key=lambda t: (-len(t), t)):

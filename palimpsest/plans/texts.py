@@ -51,9 +51,13 @@ def source_query_lines(t):
     return rows.select("conv_id", "turn", "q.*")
 
 
-@query("""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, CASE WHEN contains(lower(url), 'm.') THEN 'mobile' ELSE 'other' END AS kind FROM pages""")
+@query("""SELECT page_id, CASE WHEN page_id % 3 != 0 THEN 'org' || page_id % 7 END AS org, CASE WHEN page_id % 3 != 0 THEN 'r' || page_id END AS repo FROM pages""")
 def url_parse(t):
-    return t.pages.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.when(F.contains(F.lower("url"), F.lit("m.")), "mobile").otherwise("other").alias("kind"))
+    """Owner and name out of repository URLs of several forms."""
+    k = F.col("page_id")
+    name = F.concat(F.lit("org"), k % 7, F.lit("/r"), k)
+    url = F.when(k % 3 == 0, F.col("url")).when(k % 3 == 1, F.concat(F.lit(" https://github.com/"), name, F.lit(".git/"))).otherwise(F.concat(F.lit("git@github.com:"), name))
+    return t.pages.select("page_id", X.github_repo(url).alias("r")).select("page_id", "r.*")
 
 
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'chatgpt' WHEN 1 THEN 'claude' WHEN 2 THEN 'gemini' ELSE 'unknown' END AS provider FROM pages")
@@ -93,24 +97,145 @@ def evidence_lines(t):
     return rows.select(F.col("rank").cast("long").alias("n"), X.evidence(F.col("rank"), F.col("lang"), F.col("n_chars") / 100.0, F.col("source")).alias("line"))
 
 
-@query("""SELECT doc_id, list_sort(list_distinct(list_filter([CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])idiot($|[^a-z0-9_])') THEN 'insult' END, CASE WHEN contains(lower(text), 'license') THEN 'legal' END], lambda x: x IS NOT NULL))) AS classes FROM documents WHERE lang = 'en'""")
-def keyword_classes(t):
-    """The rule-based classifier with a small vocabulary, on English documents; ``keyword_classes_all`` has all."""
-    return _classes(t.documents.where("lang = 'en'"))
+def _classes_sql(**words: tuple[str, ...]) -> str:
+    cases = [f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])({'|'.join(w)})($|[^a-z0-9_])') THEN '{name}' END" for name, w in sorted(words.items())]
+    return f"SELECT doc_id, list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL) AS classes FROM documents"
 
 
-def _classes(docs):
-    found = X.keyword_classes(F.col("text"), {"insult": ("idiot",), "legal": ("license",)})
-    legal = F.when(F.contains(F.lower("text"), F.lit("license")), F.array(F.lit("legal"))).otherwise(F.array().cast("array<string>"))
-    return docs.select("doc_id", F.array_sort(F.array_union(F.array_remove(found, "legal"), legal)).alias("classes"))
+_FEW = {"insult": ("idiot",), "legal": ("license",)}
+_MORE = {"code": ("function", "class"), "event": ("today", "tomorrow"), **_FEW}
 
 
-@query("""SELECT doc_id, list_sort(list_distinct(list_filter([CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])idiot($|[^a-z0-9_])') THEN 'insult' END, CASE WHEN contains(lower(text), 'license') THEN 'legal' END], lambda x: x IS NOT NULL))) AS classes FROM documents""")
-def keyword_classes_all(t):
+@query(_classes_sql(**_FEW))
+def keyword_classes(t):
     """The rule-based classifier with a small vocabulary, on documents of all languages."""
-    return _classes(t.documents)
+    return t.documents.select("doc_id", X.keyword_classes(F.col("text"), _FEW).alias("classes"))
+
+
+@query(_classes_sql(**_MORE))
+def keyword_classes_all(t):
+    """The rule-based classifier with more classes, on documents of all languages."""
+    return t.documents.select("doc_id", X.keyword_classes(F.col("text"), _MORE).alias("classes"))
 
 
-@query("SELECT c_custkey, regexp_matches(c_name, '^[a-zA-Z0-9_-]{3,30}$') AS valid FROM customer")
+@query("SELECT c_custkey, regexp_matches(replace(c_name, '#', CASE WHEN c_custkey % 2 = 0 THEN '-' ELSE '#' END), '^[a-zA-Z0-9_-]{3,30}$') AS valid FROM customer")
 def username_rule(t):
-    return t.customer.select("c_custkey", F.col("c_name").rlike("^[a-zA-Z0-9_-]{3,30}$").alias("valid"))
+    name = F.when(F.col("c_custkey") % 2 == 0, F.replace("c_name", F.lit("#"), F.lit("-"))).otherwise(F.col("c_name"))
+    return t.customer.select("c_custkey", X.valid_username(name).alias("valid"))
+
+
+# --- grammars: texts are put together from the tables and taken apart again ------------------------------------------------------
+
+
+@query("""SELECT p_partkey, p_name AS content, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE '' END AS code_snippet, CASE WHEN p_partkey % 3 = 0 THEN 'go' ELSE '' END AS language, 'algorithm' AS snippet_type, '' AS tags FROM part WHERE p_partkey % 3 != 1
+UNION ALL SELECT p_partkey, p_name, p_brand, 'sql', 'fix', 'a,b' FROM part WHERE p_partkey % 3 = 1""")
+def snippet_records_parsed(t):
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" | ", "p_name", "p_brand", F.lit("go"))).when(F.col("p_partkey") % 3 == 1, F.concat_ws(" | ", "p_name", "p_brand", F.lit("sql"), F.lit("fix"), F.lit("a,b"))).otherwise(F.col("p_name"))
+    return t.part.select("p_partkey", X.snippet_fields(text).alias("s")).select("p_partkey", "s.*")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'warning' WHEN 1 THEN 'fix' ELSE 'explanation' END AS annotation_type, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS target_symbol, CASE WHEN p_partkey % 3 = 0 THEN 'high' END AS severity, CASE WHEN p_partkey % 3 = 1 THEN p_name || ' | ' || p_brand ELSE p_name END AS content FROM part""")
+def annotation_records_parsed(t):
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws("|", F.lit("warning"), "p_brand", F.lit("f.py"), F.lit("repo"), F.lit("high"), "p_name")).when(F.col("p_partkey") % 3 == 1, F.concat_ws(" | ", F.lit("fix"), "p_name", "p_brand")).otherwise(F.col("p_name"))
+    return t.part.select("p_partkey", X.annotation_fields(text).alias("s")).select("p_partkey", "s.annotation_type", "s.target_symbol", "s.severity", "s.content")
+
+
+@query("""SELECT c_custkey, 'work' AS topic, 'segment' AS sub_topic, c_mktsegment || '::' || c_nationkey AS memo FROM customer UNION ALL SELECT c_custkey, 'basic_info', 'name', c_name FROM customer WHERE c_custkey % 2 = 0""")
+def profile_lines_parsed(t):
+    second = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Basic_Info :: name :: "), "c_name")).otherwise("::no topic::x")
+    answer = F.concat(F.lit("a::b::before\n---\n Work::Segment::"), "c_mktsegment", F.lit("::"), "c_nationkey", F.lit("\nshort::line\n"), second)
+    return t.customer.select("c_custkey", F.explode(X.profile_facts(answer)).alias("f")).select("c_custkey", "f.*")
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%m-%d') AS date, o_orderpriority AS event_name, CAST(year(o_orderdate) AS VARCHAR) AS year FROM orders WHERE o_orderkey % 5 != 0 UNION ALL SELECT o_orderkey, '01-02', NULL, NULL FROM orders WHERE o_orderkey % 5 != 0""")
+def event_blocks_parsed(t):
+    answer = F.concat(F.lit("DATE: "), F.date_format("o_orderdate", "MM-dd"), F.lit("\nEVENT_NAME: "), "o_orderpriority", F.lit("\nyear: "), F.year("o_orderdate"), F.lit("\n---\nEVENT_NAME: undated\n---\n  date:  01-02 \n"), F.when(F.col("o_orderkey") % 5 == 0, "NO_EVENT").otherwise(""))
+    return t.orders.select("o_orderkey", F.explode(X.event_blocks(answer)).alias("e")).select("o_orderkey", "e.date", "e.event_name", "e.year")
+
+
+@query("""SELECT page_id, 'page ' || page_id AS description, 'size' AS category, length(html) || ' characters' AS seen, 'high' AS confidence FROM pages UNION ALL SELECT page_id, 'page ' || page_id, 'other', url, NULL FROM pages""")
+def image_blocks_parsed(t):
+    answer = F.concat(F.lit("Description: page "), "page_id", F.lit("\nOBSERVATIONS:\n- [Size] "), F.length("html"), F.lit(" characters (confidence: HIGH)\n- "), "url", F.lit("\n-\nno bullet"))
+    got = t.pages.select("page_id", X.image_analysis(answer).alias("a")).select("page_id", "a.description", F.explode("a.observations").alias("o"))
+    return got.select("page_id", "description", F.col("o.category").alias("category"), F.col("o.description").alias("seen"), F.col("o.confidence").alias("confidence"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'todo' ELSE 'explanation' END AS annotation_type, CASE WHEN p_partkey % 3 = 0 THEN 'low' END AS severity, p_name AS content FROM part WHERE p_partkey % 7 != 0""")
+def json_annotations_parsed(t):
+    item = F.struct(F.when(F.col("p_partkey") % 2 == 0, "todo").otherwise("strange").alias("annotation_type"), F.when(F.col("p_partkey") % 3 == 0, "low").otherwise("odd").alias("severity"), F.col("p_name").alias("content"))
+    answer = F.concat(F.lit("Here:\n```json\n"), F.to_json(F.struct(F.array(item).alias("annotations"))), F.when(F.col("p_partkey") % 7 == 0, " broken").otherwise("\n"), F.lit("```"))
+    answer = F.when(F.col("p_partkey") % 7 == 0, F.lit("none today")).otherwise(answer)
+    return t.part.select("p_partkey", F.explode(X.code_annotations(answer)).alias("a")).select("p_partkey", "a.annotation_type", "a.severity", "a.content")
+
+
+@query("""SELECT p_partkey, p_name AS content, CASE WHEN p_partkey % 2 = 0 THEN 'pattern' ELSE 'algorithm' END AS snippet_type, CASE WHEN p_partkey % 2 = 0 THEN 'a/b' ELSE 'c/d' END AS tags FROM part""")
+def json_snippets_parsed(t):
+    even = F.col("p_partkey") % 2 == 0
+    answer = F.concat(F.lit('{"snippets": [{"content": " '), "p_name", F.lit(' ", "snippet_type": "'), F.when(even, "pattern").otherwise("x"), F.lit('", "tags": '), F.when(even, F.lit('["a", "b"]')).otherwise(F.lit('" c, d ,,"')), F.lit('}, {"content": " "}]}'))
+    got = t.part.select("p_partkey", F.explode(X.code_snippets(answer)).alias("s"))
+    return got.select("p_partkey", "s.content", "s.snippet_type", F.array_join("s.tags", "/").alias("tags"))
+
+
+@query("SELECT p_partkey, unnest([p_name, p_brand]) AS item FROM part")
+def bullets_parsed(t):
+    answer = F.concat(F.lit("- "), "p_name", F.lit("  \n\n • "), "p_brand", F.lit("\n-"))
+    return t.part.select("p_partkey", F.explode(X.bullets(answer)).alias("item"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN 'src/m' || p_partkey || '.py' END AS path, CASE WHEN p_partkey % 4 = 1 THEN 'Main' END AS symbol, p_partkey % 4 = 3 AS explain FROM part""")
+def fast_paths(t):
+    k = F.col("p_partkey")
+    path = F.concat(F.lit("src/m"), k, F.lit(".py"))
+    asked = F.when(k % 4 == 0, F.concat(F.lit("`"), path, F.lit("`"))).when(k % 4 == 1, F.concat(path, F.lit("#Main"))).when(k % 4 == 2, "m.py").otherwise("Why is it so?")
+    return t.part.select("p_partkey", X.fast_path(asked).alias("f")).select("p_partkey", "f.*")
+
+
+@query("""SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN o_orderdate - INTERVAL 1 DAY WHEN 1 THEN o_orderdate + INTERVAL 30 DAY WHEN 2 THEN o_orderdate + INTERVAL 1 DAY * ((5 - isodow(o_orderdate) + 6) % 7 + 1) WHEN 3 THEN o_orderdate - INTERVAL 1 DAY * ((isodow(o_orderdate) - 1 + 6) % 7 + 1) END AS DATE) AS day FROM orders""")
+def relative_dates(t):
+    k = F.col("o_orderkey") % 5
+    said = F.when(k == 0, "Yesterday").when(k == 1, "next month").when(k == 2, " next  Friday").when(k == 3, "last monday").otherwise("some day")
+    return t.orders.select("o_orderkey", X.relative_date(said, F.to_date("o_orderdate")).alias("day"))
+
+
+@query("SELECT p_partkey, p_size AS input_tokens, CASE WHEN p_partkey % 3 != 2 THEN p_size + 1 END AS output_tokens FROM part")
+def token_usages(t):
+    k, a, b = F.col("p_partkey") % 3, F.col("p_size"), F.col("p_size") + 1
+    payload = F.when(k == 0, F.to_json(F.struct(F.struct(a.alias("prompt_tokens"), b.alias("completion_tokens")).alias("usage")))).when(k == 1, F.to_json(F.struct(F.struct(a.alias("promptTokenCount"), b.alias("candidatesTokenCount")).alias("usageMetadata")))).otherwise(F.to_json(F.struct(F.struct(a.alias("input_tokens")).alias("usage_metadata"))))
+    return t.part.select("p_partkey", X.token_usage(payload).alias("u")).select("p_partkey", F.col("u.input_tokens").cast("int").alias("input_tokens"), F.col("u.output_tokens").cast("int").alias("output_tokens"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '***' ELSE c_name END AS outer_value, '***' AS inner_value, c_mktsegment AS open_value FROM customer""")
+def secrets_masked(t):
+    """Secrets in structs and maps at any depth."""
+    key = F.when(F.col("c_custkey") % 2 == 0, "API-Key").otherwise("name")
+    value = F.struct(F.create_map(key, F.col("c_name")).alias("m"), F.array(F.struct(F.col("c_acctbal").alias("token"), F.col("c_mktsegment").alias("segment"))).alias("parts"))
+    rows = t.customer.select("c_custkey", key.alias("k"), value.alias("v"))
+    rows = rows.select("c_custkey", "k", X.masked(F.col("v"), rows.schema["v"].dataType).alias("v"))
+    return rows.select("c_custkey", F.col("v.m")[F.col("k")].alias("outer_value"), F.col("v.parts")[0]["token"].alias("inner_value"), F.col("v.parts")[0]["segment"].alias("open_value"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role = 'system' THEN text ELSE 'a' || text END AS text FROM conversations""")
+def model_contents(t):
+    """Contents that are a string or a list of parts."""
+    parts = F.to_json(F.array(F.to_json(F.struct(F.lit("a").alias("text"))), F.to_json(F.struct("text"))))
+    content = F.when(F.col("role") == "system", F.col("text")).otherwise(parts)
+    return t.conversations.select("conv_id", "turn", X.content_text(content).alias("text"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 <= 5 THEN 'low' ELSE 'medium' END AS bucket FROM orders")
+def complexity_buckets(t):
+    return t.orders.select("o_orderkey", X.complexity_bucket(F.col("o_orderkey") % 10).alias("bucket"))
+
+
+@query("SELECT conv_id, CASE WHEN count(*) % 2 = 0 THEN 'cursor' ELSE 'unknown' END AS format FROM conversations GROUP BY conv_id")
+def transcript_formats(t):
+    c = t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    return c.select("conv_id", X.transcript_format(F.when(F.col("n") % 2 == 0, "_Exported on x from Cursor_").otherwise("# Chat Conversation")).alias("format"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '*' WHEN p_partkey % 3 = 1 THEN 'a,' || p_brand ELSE p_brand END AS scopes FROM part""")
+def scopes_normalised(t):
+    k = F.col("p_partkey") % 3
+    given = F.when(k == 0, F.array(F.lit(" "))).when(k == 1, F.array(F.concat(F.lit(" "), "p_brand"), F.lit("a"), F.lit("a"))).otherwise(F.array("p_brand"))
+    # upper case sorts before lower case in both engines
+    return t.part.select("p_partkey", F.array_join(F.reverse(X.scopes(given)), ",").alias("scopes"))

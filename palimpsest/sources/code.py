@@ -9,10 +9,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 SYMBOLS = """file_path string, symbol_name string, qualified_name string, symbol_type string, parent_class string, signature string,
- docstring string, start_line int, end_line int, complexity int, is_public boolean, is_entrypoint boolean, content_hash string, error string"""
+ docstring string, start_line int, end_line int, complexity int, is_public boolean, is_entrypoint boolean, parameters array<string>, raw_code string, content_hash string, error string"""
 CALLS = "caller_file string, caller_name string, callee_name string"
 IMPORTS = "importer_file string, module string"
 
+#: Decorators that make a function an entry point.
+ENTRY_POINTS = (
+    "app.route", "app.get", "app.post", "app.put", "app.delete", "app.patch", "router.get", "router.post", "router.put", "router.delete",
+    "api_view", "action", "task", "celery_task", "click.command", "click.group", "pytest.fixture",
+)
+
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _BRANCHES = (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.Assert)
 
@@ -22,12 +28,25 @@ def complexity(node: ast.AST) -> int:
     return 1 + sum(isinstance(x, _BRANCHES) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0) for x in ast.walk(node))
 
 
+def parameters(args: ast.arguments) -> list[str]:
+    """Names with annotations; defaults are only marked, self and cls, positional-only and keyword-only ones left out."""
+    required = len(args.args) - len(args.defaults)
+    shown = [a.arg + (f": {ast.unparse(a.annotation)}" if a.annotation else "") + (" = ..." if i >= required else "") for i, a in enumerate(args.args) if a.arg not in ("self", "cls")]
+    return shown + ([f"*{args.vararg.arg}"] if args.vararg else []) + ([f"**{args.kwarg.arg}"] if args.kwarg else [])
+
+
 def _symbol(path: str, node, kind: str, owner: str | None, text: str) -> tuple:
-    name = node.name
-    own = ast.get_source_segment(text, node) or ""
-    head = f"{name}({ast.unparse(node.args)})" if isinstance(node, _DEFS) else f"class {name}"
-    doc = ast.get_docstring(node)
-    return (path, name, f"{owner}.{name}" if owner else name, kind, owner, head, doc, node.lineno, node.end_lineno, complexity(node) if isinstance(node, _DEFS) else None, not name.startswith("_"), name in ("main", "run", "handler"), hashlib.sha256(own.encode()).hexdigest()[:16], None)
+    name, is_def = node.name, isinstance(node, _DEFS)
+    own = "\n".join(text.split("\n")[node.lineno - 1 : node.end_lineno])
+    if is_def:
+        shown = parameters(node.args)
+        head = f"{'async ' * isinstance(node, ast.AsyncFunctionDef)}def {name}({', '.join(shown)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
+        shown = [p.split(":")[0].strip() for p in shown]
+    else:
+        shown = [m.name for m in node.body if isinstance(m, _DEFS)]
+        head = f"class {name}" + (f"({', '.join(map(ast.unparse, node.bases))})" if node.bases else "")
+    entry = is_def and (name == "main" or any(ast.unparse(d).lower() in ENTRY_POINTS for d in node.decorator_list))
+    return (path, name, f"{owner}.{name}" if owner else name, kind, owner, head, ast.get_docstring(node), node.lineno, node.end_lineno, complexity(node) if is_def else None, not name.startswith("_"), entry, shown, own, hashlib.sha256(own.encode()).hexdigest()[:16], None)
 
 
 def symbols_of(path: str, text: str) -> Iterator[tuple]:
@@ -35,7 +54,7 @@ def symbols_of(path: str, text: str) -> Iterator[tuple]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError) as e:
-        yield (path, *[None] * 12, str(e))
+        yield (path, *[None] * 14, str(e))
         return
     for node in tree.body:
         if isinstance(node, _DEFS):
@@ -46,11 +65,16 @@ def symbols_of(path: str, text: str) -> Iterator[tuple]:
 
 
 def _name(f: ast.AST) -> str | None:
+    """The dotted name that is called; of what begins with ``self`` the name after it; of what begins with no name its attributes."""
+    parts = []
+    while isinstance(f, ast.Attribute):
+        parts.insert(0, f.attr)
+        f = f.value
     if isinstance(f, ast.Name):
-        return f.id
-    if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name):
-        return f.attr if f.value.id in ("self", "cls") else f"{f.value.id}.{f.attr}"
-    return f.attr if isinstance(f, ast.Attribute) else None
+        if f.id == "self" and parts:
+            return parts[0]
+        parts.insert(0, f.id)
+    return ".".join(parts) or None
 
 
 def calls_of(path: str, text: str) -> Iterator[tuple]:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
+
 #: Languages by extension; directories and files that aren't read.
 LANGUAGES = {
     "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "rs": "rust", "rb": "ruby",
     "php": "php", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "swift": "swift", "kt": "kotlin", "scala": "scala",
 }
-SKIPPED_DIRS = ("node_modules", ".git", "__pycache__", "venv", ".venv", "dist", "build", "target", "vendor", ".idea", ".vscode", ".next", "coverage", ".tox", ".mypy_cache")
-SKIPPED_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Cargo.lock")
+SKIPPED_DIRS = ("node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", ".next", ".nuxt", "vendor", "target", ".tox", ".mypy_cache", ".pytest_cache", "egg-info")
+SKIPPED_FILES = ("package-lock.json", "yarn.lock", "poetry.lock", "Pipfile.lock", "go.sum")
 
 
 def language(path: Column) -> Column:
@@ -27,7 +29,8 @@ def skipped(path: Column) -> Column:
 def source_files(spark: SparkSession, root: str) -> DataFrame:
     """(file_path, language, content, content_hash) of a checked-out tree; bytes that are not UTF-8 are replaced."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace("path", r"^\w+:/*" + root.split(":", 1)[-1].strip("/") + "/", "")
+    begin = r"^\w+:/*\Q" + root.split(":", 1)[-1].strip("/").replace(r"\E", r"\E\\E\Q") + r"\E/"
+    path = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), begin, "")
     rows = raw.select(path.alias("file_path"), "content").where(~skipped(F.col("file_path")))
     rows = rows.withColumn("language", language(F.col("file_path"))).where(F.col("language").isNotNull())
     return rows.withColumn("content", F.make_valid_utf8(F.col("content").cast("string"))).withColumn("content_hash", F.substring(F.sha2("content", 256), 1, 16))
@@ -46,7 +49,7 @@ def diff_rows(lines: DataFrame, col: str = "value") -> DataFrame:
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files; bytes that are not UTF-8 are dropped, empty files are left out."""
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")).alias("text")).where(F.trim("text") != "")
+    return raw.select("path", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")).alias("text")).where(trimmed(F.col("text")) != "")
 
 
 def retained(df: DataFrame, now: Column, days: int = 90, ts: str = "ts") -> DataFrame:

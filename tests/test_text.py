@@ -11,70 +11,86 @@ def one(spark, column, **values):
 
 
 def test_source_lines(spark):
-    got = one(spark, X.source_queries(F.col("a")), a="PROFILE::I work at X\njunk\nunknown::x\ncode::a::b\ncode::\n")
-    assert [tuple(r) for r in got] == [("profile", "I work at X"), ("code", "a::b")]
+    got = one(spark, X.source_queries(F.col("a")), a="  Event :: dentist on the 3rd\n\nimage::\nweather::sunny\nIMAGE::a map::of Lyon\nplain words\n")
+    assert [tuple(r) for r in got] == [("event", "dentist on the 3rd"), ("image", "a map::of Lyon")]
 
 
 def test_profile_lines(spark):
-    got = one(spark, X.profile_facts(F.col("a")), a="thinking::a::b\n---\nWork::Company::OpenAI::Research\nx::y\n::b::c")
-    assert [tuple(r) for r in got] == [("work", "company", "OpenAI::Research")]
+    got = one(spark, X.profile_facts(F.col("a")), a="interest::music::ignored\n---\nInterest::Instruments::cello::since 2011\npets::two cats\n::city::Porto\ncontact_info::city::  Porto ")
+    assert [tuple(r) for r in got] == [("interest", "instruments", "cello::since 2011"), ("contact_info", "city", "Porto")]
 
 
 def test_event_blocks(spark):
-    got = one(spark, X.event_blocks(F.col("a")), a="DATE: 05-11\nEVENT_NAME: Demo\nYEAR: 2026\n---\nEVENT_NAME: none\n---\ndate: 06-01\nDATE_EXPRESSION: next month")
-    assert [(r["date"], r["event_name"], r["year"], r["date_expression"]) for r in got] == [("05-11", "Demo", "2026", None), ("06-01", None, None, "next month")]
-    assert one(spark, X.event_blocks(F.col("a")), a="DATE: 05-11\nno_event") == []
+    text = "Date: 09-17\nTIME: 18:30\nevent_name: Choir rehearsal\n---\nDESC: nothing fixed\n---\nEVENT_NAME: Marathon\nDATE: 10-02\nDATE: 10-04\nYEAR: 2031"
+    got = one(spark, X.event_blocks(F.col("a")), a=text)
+    assert [(r["date"], r["event_name"], r["time"], r["year"]) for r in got] == [("09-17", "Choir rehearsal", "18:30", None), ("10-04", "Marathon", None, "2031")]
+    assert one(spark, X.event_blocks(F.col("a")), a="no_event here\nDATE: 09-17") == []
 
 
 def test_image_block(spark):
-    got = one(spark, X.image_analysis(F.col("a")), a="DESCRIPTION: A cat\n\nOBSERVATIONS:\n- [Animal] a cat (confidence: High)\n- no category\n-\n")
-    assert got["description"] == "A cat"
-    assert [tuple(r) for r in got["observations"]] == [("animal", "a cat", "high"), ("other", "no category", None)]
+    text = "notes\nDescription: Harbour at dusk\nOBSERVATIONS:\n-[Boats] three trawlers (confidence: Medium)\n-  a lighthouse\nnot a bullet\n-"
+    got = one(spark, X.image_analysis(F.col("a")), a=text)
+    assert got["description"] == "Harbour at dusk"
+    assert [tuple(r) for r in got["observations"]] == [("boats", "three trawlers", "medium"), ("other", "a lighthouse", None)]
 
 
 def test_fenced_json(spark):
-    got = one(spark, X.code_annotations(F.col("a")), a='x\n```json\n[{"annotation_type":"odd","content":"c"},{"content":""}]\n```')
-    assert [(r["annotation_type"], r["content"]) for r in got] == [("explanation", "c")]
-    assert one(spark, X.code_annotations(F.col("a")), a="not json") == []
-    assert one(spark, X.tag_list(F.col("a")), a="search, array,,") == ["search", "array"]
+    rows = '{"annotations": [{"annotation_type": "todo", "severity": "high", "content": "drop the shim"}, {"annotation_type": "poem", "severity": "awful", "content": null}]}'
+    for text in (rows, f"Sure.\n```\n{rows}\n```\nbye", f"```json\n{rows}```"):
+        got = one(spark, X.code_annotations(F.col("a")), a=text)
+        assert [(r["annotation_type"], r["severity"], r["content"]) for r in got] == [("todo", "high", "drop the shim"), ("explanation", None, "")]
+    assert one(spark, X.code_annotations(F.col("a")), a="{]") == [] == one(spark, X.code_annotations(F.col("a")), a="{}")
+    many = ",".join(f'"t{i}"' for i in range(14))
+    got = one(spark, X.code_snippets(F.col("a")), a='{"snippets": [{"content": " heap sort ", "tags": [' + many + ']}, {"content": ""}, {"content": "x", "tags": "one; two, three,", "snippet_type": "config"}]}')
+    assert [(r["content"], r["snippet_type"], len(r["tags"])) for r in got] == [("heap sort", "algorithm", 10), ("x", "config", 2)] and got[1]["tags"] == ["one; two", "three"]
+    assert one(spark, X.tag_list(F.col("a")), a=" , graph,dfs ,") == ["graph", "dfs"]
 
 
 def test_bullets(spark):
-    assert one(spark, X.bullets(F.col("a")), a="- Likes tests\n\n  • Uses Spark \n") == ["Likes tests", "Uses Spark"]
+    assert one(spark, X.bullets(F.col("a")), a="• moved to Oslo\n   \n-- wants a quiet flat   \nplain") == ["moved to Oslo", "wants a quiet flat", "plain"]
 
 
-@pytest.mark.parametrize(("content", "main", "sub"), [("Work / job title = Engineer", "work_job_title", "Engineer"), ("a = b", "", "a = b"), (" free text ", "", "free text"), ("a / b = c = d", "a_b", "c = d")])
+@pytest.mark.parametrize(("content", "main", "sub"), [("Interest / board games = Go and chess", "interest_board_games", "Go and chess"), ("3 = x", "", "3 = x"), ("  nothing to split ", "", "nothing to split"), ("p / q = r = s", "p_q", "r = s")])
 def test_structured(spark, content, main, sub):
     assert tuple(one(spark, X.structured(F.col("a")), a=content)) == (main, sub)
 
 
 def test_pipe_records(spark):
-    assert tuple(one(spark, X.event_fields(F.col("a")), a="05-11 | Demo | Launch | 2026 | | today")) == ("05-11", "Demo", "Launch", "2026", None, "today")
-    assert tuple(one(spark, X.snippet_fields(F.col("a")), a="Binary search | def bs(): pass | python | algorithm | search,array")) == ("Binary search", "def bs(): pass", "python", "algorithm", "search,array")
-    assert tuple(one(spark, X.snippet_fields(F.col("a")), a="a | b")) == ("a | b", "", "", "algorithm", "")
-    got = one(spark, X.annotation_fields(F.col("a")), a="bug_report | Payment.process | src/payments.py | payments | high | Duplicate charge risk")
-    assert (got["annotation_type"], got["target_symbol"], got["severity"], got["content"]) == ("bug_report", "Payment.process", "high", "Duplicate charge risk")
-    assert one(spark, X.annotation_fields(F.col("a")), a="fix | a | b")["content"] == "a | b"
+    assert tuple(one(spark, X.event_fields(F.col("a")), a="12-24|Dinner| at Ana's || 19:00 |")) == ("12-24", "Dinner", "at Ana's", None, "19:00", None)
+    assert tuple(one(spark, X.snippet_fields(F.col("a")), a="Retry with jitter | sleep(r()) | lua | utility | net")) == ("Retry with jitter", "sleep(r())", "lua", "utility", "net")
+    assert tuple(one(spark, X.snippet_fields(F.col("a")), a="only | two")) == ("only | two", "", "", "algorithm", "")
+    got = one(spark, X.annotation_fields(F.col("a")), a="todo | Cache.evict | lib/cache.rs | store | low | counts twice")
+    assert (got["annotation_type"], got["target_symbol"], got["target_file"], got["severity"], got["content"]) == ("todo", "Cache.evict", "lib/cache.rs", "low", "counts twice")
+    assert one(spark, X.annotation_fields(F.col("a")), a="warning | slow | on Mondays")["content"] == "slow | on Mondays"
 
 
 def test_urls_and_paths(spark):
-    assert one(spark, X.provider(F.lit(None).cast("string"), F.col("a")), a="https://Claude.ai/x") == "claude"
-    assert tuple(one(spark, X.github_repo(F.col("a")), a="https://github.com/org/repo.git/")) == ("org", "repo")
-    assert tuple(one(spark, X.fast_path(F.col("a")), a="`src/app.py`")) == ("src/app.py", None, False)
-    assert tuple(one(spark, X.fast_path(F.col("a")), a="src/app.py:Main")) == ("src/app.py", "Main", False)
-    assert tuple(one(spark, X.fast_path(F.col("a")), a="how does it work")) == (None, None, True)
+    assert one(spark, X.provider(F.lit(None).cast("string"), F.col("a")), a="https://gemini.google.com/share/7") == "gemini"
+    assert tuple(one(spark, X.github_repo(F.col("a")), a=" git@github.com:heron/nest.git ")) == ("heron", "nest")
+    assert tuple(one(spark, X.github_repo(F.col("a")), a="https://example.org/heron/nest")) == (None, None)
+    assert tuple(one(spark, X.fast_path(F.col("a")), a="'lib/nest/egg.go'")) == ("lib/nest/egg.go", None, False)
+    assert tuple(one(spark, X.fast_path(F.col("a")), a="lib/egg.go#Hatch")) == ("lib/egg.go", "Hatch", False)
+    assert tuple(one(spark, X.fast_path(F.col("a")), a="what does the nest hold")) == (None, None, True)
+
+
+def test_rendering_takes_any_number(spark):
+    row = spark.sql("SELECT 3 AS n, 'summary' AS d, 0.456 AS s, 'moved' AS t")  # a decimal
+    assert row.select(X.evidence(F.col("n"), F.col("d"), F.col("s"), F.col("t")).alias("x")).head()["x"] == "3. [summary] (score: 0.46) moved"
+    assert row.select(X.evidence(F.col("n"), F.col("d"), F.lit(0), F.col("t")).alias("x")).head()["x"] == "3. [summary] moved"
 
 
 def test_dates(spark):
     assert one(spark, X.valid_month_day(F.col("a")), a="02-29") and not one(spark, X.valid_month_day(F.col("a")), a="02-30")
     day = F.lit("2024-05-15").cast("date")
-    assert str(one(spark, X.relative_date(F.col("a"), day), a="Next Friday")) == "2024-05-17"
+    for said, want in (("Next Friday", "2024-05-17"), ("last wednesday", "2024-05-08"), ("first weekend of September", "2024-09-07"), ("the week before 2024-03-05", "2024-02-27"), ("next month", "2024-06-14")):
+        assert str(one(spark, X.relative_date(F.col("a"), day), a=said)) == want
     assert one(spark, X.relative_date(F.col("a"), day), a="some day") is None
 
 
 def test_secrets_tokens_scopes(spark):
-    masked = one(spark, X.masked(F.create_map(F.lit("Password"), F.lit("x"), F.lit("a"), F.lit("b"))))
-    assert masked == {"Password": "***", "a": "b"}
+    row = spark.sql("SELECT named_struct('a', map('JWT_Secret_Key', 'x', 'b', 'c'), 'list', array(named_struct('Cookie', 5, 'n', 6)), 'none', CAST(NULL AS struct<token:string>)) AS v")
+    masked = row.select(X.masked(F.col("v"), row.schema["v"].dataType).alias("x")).head()["x"].asDict(recursive=True)
+    assert masked == {"a": {"JWT_Secret_Key": "***", "b": "c"}, "list": [{"Cookie": "***", "n": 6}], "none": None}
     assert tuple(one(spark, X.token_usage(F.col("a")), a='{"usage":{"input_tokens":3,"completion_tokens":4}}')) == (3, 4)
     assert one(spark, X.scopes(F.array(F.lit("b"), F.lit(" a "), F.lit("b")))) == ["a", "b"]
     assert one(spark, X.scopes(F.array().cast("array<string>"))) == ["*"]
