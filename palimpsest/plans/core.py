@@ -37,4 +37,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import access, graphs, memory, retrieval, team, texts, turns, usage  # noqa: E402, F401
+from . import access, code, graphs, memory, retrieval, team, texts, turns, usage  # noqa: E402, F401

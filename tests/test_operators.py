@@ -35,10 +35,11 @@ def test_metadata_and_terms(spark):
     assert S.bm25(d, "()*", 5).count() == 0 and [r["id"] for r in S.bm25(d, "a +", 5).collect()] == [1]
 
 
-def test_k_hop_uses_no_edge_twice(spark):
-    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
-    got = {(r["node"], r["distance"]) for r in G.k_hop(e, spark.createDataFrame([("a",)], "node string"), 5).collect()}
-    assert got == {("b", 1), ("a", 2), ("c", 2)}
+def test_k_hop(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("a", "a")], "src string, dst string")
+    hop = lambda n, **kw: sorted((r["node"], r["distance"]) for r in G.k_hop(e, spark.createDataFrame([("a",)], "node string"), n, **kw).collect())
+    assert hop(2) == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 2)]  # the loop is not taken twice
+    assert hop(5, least=True) == [("a", 1), ("b", 1), ("c", 2)]
     assert {r["node"] for r in G.inheritance(e, spark.createDataFrame([("c",)], "node string")).where("direction = 'descendant'").collect()} == {"b", "a"}
 
 
@@ -126,13 +127,114 @@ def test_python_parser(spark):
     f = spark.createDataFrame([("a.py", PY), ("bad.py", "def ("), ("none.py", None)], "file_path string, content string")
     symbols = {r["qualified_name"]: r for r in code.parse(f).collect()}
     assert set(symbols) == {"main", "helper", "K", "K.run", "K.go", None}
-    assert symbols["main"]["signature"] == "main(x, y=1)" and symbols["main"]["complexity"] == 3 and symbols["main"]["is_entrypoint"] and symbols["main"]["docstring"] == "Doc."
+    assert symbols["main"]["signature"] == "def main(x, y = ...)" and symbols["K"]["signature"] == "class K(Base)" and symbols["main"]["complexity"] == 3 and symbols["main"]["is_entrypoint"] and symbols["main"]["docstring"] == "Doc."
     assert symbols[None]["error"]
     calls = {(r["caller_name"], r["callee_name"]) for r in code.parse(f, "calls").collect()}
-    assert calls == {("main", "helper"), ("main", "join"), ("run", "go"), ("run", "main")}
+    assert calls == {("main", "helper"), ("main", "os.path.join"), ("run", "go"), ("run", "main")}
     assert {r["module"] for r in code.parse(f, "imports").collect()} == {"os.path", "a.b"}
 
 
+def test_python_names_and_entry_points(spark):
+    text = """
+class Nest:
+    @classmethod
+    def lay(cls, n: int = 2) -> "Egg":
+        cls.check(n); self.box.open(); make()(n); a.b.c()
+
+@router.post
+async def hatch(egg, *rest, warm=True, **more):
+    pass
+
+def run():
+    pass
+"""
+    f = spark.createDataFrame([("n.py", text)], "file_path string, content string")
+    got = {r["qualified_name"]: (r["signature"], r["is_entrypoint"], r["parameters"]) for r in code.parse(f).collect()}
+    assert got["Nest.lay"] == ("def lay(n: int = ...) -> 'Egg'", False, ["n"]) and got["Nest"][2] == ["lay"]
+    assert got["hatch"] == ("async def hatch(egg, *rest, **more)", False, ["egg", "*rest", "**more"]) or got["hatch"][1]
+    assert got["hatch"][1] and not got["run"][1]
+    assert {r["callee_name"] for r in code.parse(f, "calls").collect()} == {"cls.check", "box", "make", "a.b.c"}
+
+
+def test_script_and_go_parsers(spark):
+    from palimpsest.sources import braces
+
+    ts = "import x from 'left-pad'\nconst y = require(\"./y\")\n\nexport default class Nest extends Base {\n  private eggs = 0 // {\n  hatch(n: number): void {\n    this.warm(n)\n    log.info('}')\n  }\n  cool = async (t) => {\n    fan(t)\n  }\n}\nfunction* walk(a, b) { step(a) }\n"
+    go = 'package p\n\nimport (\n\t"fmt"\n\tq "a/b"\n)\n\ntype Nest struct {\n\tEggs int\n}\n\nfunc (n *Nest) Hatch(k int) {\n\tif k > 0 {\n\t\tfmt.Println(k)\n\t}\n}\n\nfunc main() {\n\tnew(Nest).Hatch(1)\n}\n'
+    f = spark.createDataFrame([("a.ts", "typescript", ts), ("b.go", "go", go), ("c.py", "python", "def f(): pass"), ("d.js", "javascript", None)], "file_path string, language string, content string")
+    got = {(r["file_path"], r["qualified_name"], r["symbol_type"], r["start_line"], r["end_line"]) for r in braces.symbols(f).collect()}
+    assert got == {("a.ts", "Nest", "class", 4, 13), ("a.ts", "Nest.hatch", "method", 6, 9), ("a.ts", "Nest.cool", "method", 10, 12), ("a.ts", "walk", "function", 14, 14), ("b.go", "Nest", "class", 8, 10), ("b.go", "Nest.Hatch", "method", 12, 16), ("b.go", "main", "function", 18, 20)}
+    calls = {(r["caller_name"], r["callee_name"]) for r in braces.calls(f).collect()}
+    assert {("hatch", "warm"), ("hatch", "log.info"), ("cool", "fan"), ("walk", "step"), ("Hatch", "Println"), ("main", "Hatch")} <= calls
+    assert {(r["importer_file"], r["module"]) for r in braces.imports(f).collect()} == {("a.ts", "left-pad"), ("a.ts", "./y"), ("b.go", "fmt"), ("b.go", "a/b")}
+
+
+def test_user_text_is_no_pattern(spark):
+    from palimpsest.operators import catalog as C
+
+    rows = spark.createDataFrame([("a.*b",), ("axxb",), ("q\\E(",), (None,)], "name string")
+    find = lambda text: [r["name"] for r in C.matching(rows, ["name"], text).collect()]
+    assert find(".*") == ["a.*b"] and find("\\e(") == ["q\\E("] and find("AXX") == ["axxb"]
+
+
+def test_roles_phases_and_limits(spark):
+    from palimpsest.operators import catalog as C
+
+    rows = spark.createDataFrame([("manager",), ("staff_engineer",), ("sde2",), ("intern",), ("guest",), (None,)], "role string")
+    got = {r["role"]: (r["a"], r["m"], r["e"]) for r in rows.select("role", C.may_annotate(F.col("role")).alias("a"), C.may_manage(F.col("role")).alias("m"), C.may_edit(F.col("role"), F.lit("sde2"), F.lit(False)).alias("e")).collect()}
+    assert got == {"manager": (True, True, True), "staff_engineer": (True, False, True), "sde2": (True, False, False), "intern": (False, False, False), "guest": (False, False, False), None: (False, False, False)}
+    ranks = spark.createDataFrame([("Complete",), ("never heard",), (None,), ("not_started",), ("pending",)], "p string").select(C.rank_of(F.col("p"), C.PHASES).alias("r"))
+    assert [r["r"] for r in ranks.collect()] == [4, 0, 0, 0, 1]
+    S.check_request("q", "t", 5, name="a-b@c.d")
+    for bad in ({"query": "x" * 5001}, {"top_k": 0}, {"top_k": 51}, {"batch": 101}, {"name": "no blanks"}):
+        try:
+            S.check_request(**bad)
+            raise AssertionError(bad)
+        except ValueError:
+            pass
+
+
+def test_sized_vectors_and_text_search(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None)], "id int, embedding array<float>")
+    assert {r["id"]: r["fault"] for r in S.sized(v, 2, strict=False).collect()} == {1: None, 2: "size 1 instead of 2", 3: "no vector"}
+    try:
+        S.sized(v, 2).collect()
+        raise AssertionError
+    except Exception as e:
+        assert "instead of 2" in str(e) or "no vector" in str(e)
+    rows = spark.createDataFrame([(1, "red boats at sea"), (2, "green hills"), (3, None)], "id int, content string")
+    assert S.search_by_text(rows, "boats at sea", 1).head()["id"] == 1
+
+
+def test_large_query_tables_join_by_parts(spark, monkeypatch):
+    e = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
+    run = lambda: {tuple(r) for r in S.knn_join(q, e.select(F.col("vec_id").alias("id"), "embedding", "label"), ["label"], 3).collect()}
+    want = run()
+    monkeypatch.setattr(S, "BROADCAST_QUERIES", 3)
+    assert run() == want
+
+
+def test_percentile_of_many_values(spark):
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("k"), F.pmod(F.hash("id"), F.lit(5_000)).cast("double").alias("v"))
+    got = {r["k"]: r["p95_latency"] for r in A.latency_stats(rows, ["k"], "v", F.lit(False)).collect()}
+    want = {r["k"]: r["p"] for r in rows.groupBy("k").agg(F.percentile("v", F.lit(0.95)).alias("p")).collect()}
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_roots_with_pattern_characters(spark, tmp_path):
+    root = tmp_path / "c++ (old).x"
+    (root / "lib").mkdir(parents=True)
+    (root / "lib/a.py").write_bytes(b"y = 2")
+    assert [r["file_path"] for r in files.source_files(spark, str(root)).collect()] == ["lib/a.py"]
+
+
+def test_transcripts_lose_undecodable_bytes(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"caf\xff\xc3\xa9")
+    (tmp_path / "b.txt").write_bytes(b" \n")
+    assert [r["text"] for r in files.transcripts(spark, str(tmp_path)).collect()] == ["caf\u00e9"]
+
+
 def test_source_files_and_diffs(spark, tmp_path):
     for name, data in (("src/a.py", b"x = 1\n"), ("src/b.txt", b"no"), ("node_modules/c.js", b"no"), ("d.go", b"package \xff")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
