@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace as Workspace
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: A broadcast table may hold this many rows at most; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A broadcast table may hold this many rows and bytes at most; larger ones are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 * 1024 * 1024
+
+#: What a Python worker gets at a time, in bytes; Spark's own bound lets a few long rows fill its memory.
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def ascii_lower(text: Column) -> Column:
@@ -19,43 +21,19 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
 
 
-def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, *keep): operators see these columns only, so that other columns can't clash with theirs."""
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[c] for c in keep])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir. A local session without one gets its own."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    at = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
+def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """(doc_id, text, *keep): operators see these columns only, so that other columns can't clash with theirs.
 
-
-class Workspace:
-    """Stage tables of one run, as Parquet in the shared folder: a lost executor costs no more than the tasks it ran."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-        df.write.mode("overwrite").option("compression", compression).parquet(f"{self.at}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
-
-    def load(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.at}/{name}")
-
-    def drop(self, name: str = "") -> None:
-        """Deletes a table that nothing reads any more, or all."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
-        path.getFileSystem(conf).delete(path, True)
+    From here on the session gives Python workers ``batch_bytes`` at a time.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[c] for c in keep])
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a stored table for broadcast if it has at most ``rows`` rows, else leaves the join to a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a stored table for broadcast if it has at most ``rows`` rows of ``size`` bytes together, else leaves the join to a shuffle."""
+    wide = [c for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))]
+    # strings and arrays count as they are, all other columns as a word
+    each = sum((F.coalesce(F.octet_length(F.to_json(F.struct(c)) if kind.startswith(("array", "map", "struct")) else F.col(c)), F.lit(0)) for c, kind in df.dtypes if c in wide), F.lit(16 * len(df.columns)))
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(each), F.lit(0)).alias("bytes")).head()
+    return F.broadcast(df) if found["n"] <= rows and found["bytes"] <= size else df

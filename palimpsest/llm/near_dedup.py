@@ -4,14 +4,15 @@
    shingles, the least. Documents of one set are one vertex from here on.
 2. Each of ``TREES`` trees deals the vertices into nodes by one of their minwise tokens. Two vertices of similarity s meet in
    a node with chance s, so that 0.25^10, or one in a million, of the pairs at the threshold meet in none.
-3. A vertex that meets the same first vertex of its nodes in several trees is compared with it, which joins groups of copies
-   without all their pairs.
+3. A node's most central vertex, the one whose nodes are largest, stands for it: a vertex that meets the same one in several
+   trees is compared with it, which joins groups of copies without all their pairs.
 4. Nodes that still hold several components are compared exhaustively if small, but for pairs within a component. A large
    node whose vertices but a few are of one component has these few compared with each other and with all of that
    component; any other large node branches into two children by further tokens, which its path selects, and so on.
-5. A comparison first estimates the similarity from 128 bytes of each (four standard deviations below the threshold pass),
-   then counts both whole sets. At the threshold that estimate drops 6.7e-5 of the pairs, in all trees alike (2.1e-5 at 0.76,
-   6.7e-8 at 0.8); with a tree's own misses, up to 1.7e-5 where all its nodes branch, at most 8.4e-5 get no link of their own.
+5. Comparisons count whole sets, in blocks of bounded bytes: the vertices of a block are counted against those of another at
+   once, and each gets one link at most, since one is all it needs to be in the component. No pair is ever a row. Only
+   pairs within a node pass an estimate before, from 128 bytes of each; those five standard deviations below the
+   threshold pass too, so that 1.3e-6 of the pairs at the threshold are dropped by it, in all trees alike.
 """
 
 from __future__ import annotations
@@ -26,11 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, checked_broadcast, documents_of
-from .text_bytes import SEGMENT, text_bytes
+from .text_bytes import text_bytes
 
 SHINGLE, TREES, TOKENS, SKETCH = 5, 10, 64, 128
-#: Vertices that a small node has at most, and what a large one has at most besides its main component to be compared at once; children of a large one; the depth from which every main component goes; vertices that are compared with a component at a time.
-SMALL, FEW, CHILDREN, LAST, BLOCK = 48, 1024, 2, 12, 128
+#: Bytes of text that are worked on at once; of the sets of a block, and of those that are compared with a block in one group.
+SEGMENT, BLOCK_BYTES, GROUP_BYTES = 250_000, 1_000_000, 4_000_000
+#: Vertices that a small node has at most, and what a large one has at most besides its main component to be compared at once; children of a large one; the depth from which every main component goes.
+SMALL, FEW, CHILDREN, LAST = 48, 1024, 2, 12
+#: Standard deviations of a sketch's estimate below the threshold that pass; trees in which a vertex meets the one that stands for its nodes, at least, to be compared with it.
+ROOM, VOTES = 5, 3
 
 #: Fixed value: an odd base of the words' polynomial hash, which has an inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
@@ -118,77 +123,133 @@ def _sketch(batches):
             low = [_minwise(s) for s in sets]
             columns = [
                 batch.column(0).slice(i, len(sets)),
+                batch.column(2).slice(i, len(sets)),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([_digest(s) for s in sets], pa.binary()),
                 pa.array([x[:TOKENS].astype("<u4").tobytes() for x in low], pa.binary()),
                 pa.array([x.astype(np.uint8).tobytes() for x in low], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "tokens", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "digest", "tokens", "sketch"])
 
 
 def _sets(batches):
+    """(digest, shingles), each set once a batch."""
     for batch in batches:
+        seen = set()
         for _, sets in _texts(batch):
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["digest", "shingles"])
+            own = {d: s for s in sets if (d := _digest(s)) not in seen}
+            seen |= own.keys()
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([s.astype("<u8").tobytes() for s in own.values()], pa.binary())], ["digest", "shingles"])
 
 
-def _alike_within(least: float):
-    """Of each row (digests, labels, sketches), the pairs of different labels whose sketches are alike."""
-    least = SKETCH * (least + (1 - least) / 256)
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    n = len(columns[0])
+    new = np.ones(n + 1, bool)
+    if n:
+        new[1:n] = np.any([c[1:] != c[:-1] for c in columns], 0)
+    return np.flatnonzero(new) if n else np.zeros(1, int)
 
-    def run(batches):
-        for batch in batches:
-            a, b = [], []
-            for digests, labels, sketches in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
-                for i in range(1, len(x)):
-                    for j in np.flatnonzero((x[:i] == x[i]).sum(1) >= least).tolist():
-                        if labels[i] != labels[j]:
-                            a.append(digests[j])
-                            b.append(digests[i])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return run
+def _alike(least: float):
+    """Of rows (node, label, digest, sketch, roots) in order of their nodes: the pairs of a node with different labels whose sketches are alike.
 
-
-def _alike_blocks(least: float):
-    """Of each row (digest, sketch, digests, sketches), the pairs of the one with the others whose sketches are alike."""
+    ``roots`` are the nodes of depth 0 in which a vertex is compared; a pair with several in common comes from the least of them only.
+    """
     least = SKETCH * (least + (1 - least) / 256)
 
+    def pairs(table: pa.Table):
+        node, label = (table.column(i).to_numpy() for i in (0, 1))
+        x = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH)
+        roots = [set(r) for r in table.column(4).to_pylist()]
+        first, second, edges = [], [], _runs(node)
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            at = int(node[lo])
+            for i in range(lo + 1, hi):
+                j = lo + np.flatnonzero((label[lo:i] != label[i]) & ((x[lo:i] == x[i]).sum(1) >= least))
+                j = [k for k in j.tolist() if at == min(roots[i] & roots[k], default=at)]
+                first.append(np.array(j, int))
+                second.append(np.full(len(j), i))
+        take = lambda at: table.column(2).combine_chunks().take(pa.array(np.concatenate([np.zeros(0, int), *at])))
+        return pa.RecordBatch.from_arrays([take(first), take(second)], ["a", "b"])
+
     def run(batches):
+        held: list[pa.RecordBatch] = []  # the rows of a node that may go on
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                a, b = [], []
-                for digest, sketch, digests, sketches in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True):
-                    x = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
-                    for j in np.flatnonzero((x == np.frombuffer(sketch, np.uint8)).sum(1) >= least).tolist():
-                        a.append(digests[j])
-                        b.append(digest)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            if batch.num_rows:
+                table = pa.Table.from_batches([*held, batch])
+                last = int(_runs(table.column(0).to_numpy())[-2])
+                if last:
+                    yield pairs(table.slice(0, last))
+                held = table.slice(last).combine_chunks().to_batches()
+        if held:
+            yield pairs(pa.Table.from_batches(held))
 
     return run
 
 
-def _confirmed(percent: int):
+class _Block:
+    """Sets of one side of a comparison; the whole counts of what each shares with other sets."""
+
+    def __init__(self, digests: list[bytes], sets: list[np.ndarray]):
+        self.digests, self.sizes = digests, np.array([len(s) for s in sets])
+        self.values, self.at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)
+
+    def shared(self, sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+        """One row for each of ``sets``, one column for each of the block's; only shingles of both are laid out, some at a time."""
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        place = np.minimum(np.searchsorted(self.values, values), len(self.values) - 1)
+        hit = self.values[place] == values
+        place, owner = place[hit], owner[hit]
+        common = np.unique(place)
+        number = np.full(len(self.values), -1)
+        number[common] = np.arange(len(common))
+        mine, theirs = number[self.at], number[place]
+        counts = np.zeros((len(sets), len(self.sizes)), np.float32)
+        for c in range(0, len(common), columns):
+            width = min(columns, len(common) - c)
+            x, y = np.zeros((len(sets), width), np.float32), np.zeros((len(self.sizes), width), np.float32)
+            own, other = (mine >= c) & (mine < c + width), (theirs >= c) & (theirs < c + width)
+            y[self.owner[own], mine[own] - c] = 1
+            x[owner[other], theirs[other] - c] = 1
+            counts += x @ y.T
+        return counts
+
+
+def _compared(percent: int, rows: int = 512):
+    """Of rows (key, side, digest, shingles) in order of key and side: for each of side 1 one of side 0 of its key that it is like, if any."""
+
+    def links(block: _Block, digests: list[bytes], sets: list[np.ndarray]):
+        common, sizes = block.shared(sets).astype(np.int64), np.array([len(s) for s in sets])
+        like = 100 * common >= percent * (sizes[:, None] + block.sizes - common)
+        found = np.flatnonzero(like.any(1))
+        return pa.RecordBatch.from_arrays([pa.array([block.digests[i] for i in like[found].argmax(1)], pa.binary()), pa.array([digests[i] for i in found], pa.binary())], ["a", "b"])
+
     def run(batches):
+        key, digests, sets, block = None, [], [], None  # of side 0
         for batch in batches:
-            if batch.num_rows:
-                good = []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    x, y = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
-                    both = len(x) + len(y)
-                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                        good.append(False)
-                        continue
-                    merged = np.sort(np.concatenate([x, y]), kind="stable")  # two sorted runs
-                    common = int((merged[1:] == merged[:-1]).sum())
-                    good.append(100 * common >= percent * (both - common))
-                good = pa.array(good)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
+            keys, sides = (batch.column(i).to_numpy() for i in (0, 1))
+            edges = _runs(keys, sides)
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if keys[lo] != key:
+                    key, digests, sets, block = keys[lo], [], [], None
+                if sides[lo] == 0:
+                    digests, sets, block = digests + batch.column(2)[lo:hi].to_pylist(), sets + _arrays(batch.column(3), lo, hi), None
+                elif sets:
+                    block = block or _Block(digests, sets)
+                    for i in range(lo, hi, rows):
+                        j = min(hi, i + rows)
+                        yield links(block, batch.column(2)[i:j].to_pylist(), _arrays(batch.column(3), i, j))
 
     return run
 
 
+def _arrays(column: pa.BinaryArray, lo: int, hi: int) -> list[np.ndarray]:
+    """Copies, so that a batch isn't held for a few sets of it."""
+    return [np.frombuffer(x.as_buffer(), "<u8").copy() for x in column[lo:hi]]
+
+
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(digest, label): the least vertex that each vertex of an edge reaches.
 
@@ -210,42 +271,66 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
 
 class _Join:
     def __init__(self, base: DataFrame, percent: int, trees: int, work: Workspace):
-        self.base, self.percent, self.trees = base, percent, trees
+        self.base = base.withColumn("text_hash", F.xxhash64("text"))
+        self.percent, self.trees, self.work = percent, trees, work
         s = percent / 100
-        self.least = s - 4 * (s * (1 - s) / SKETCH) ** 0.5
-        self.work = work
-        self.sketches = self.work.save(base.mapInArrow(_sketch, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, tokens binary, sketch binary"), "sketches")
+        self.least = s - ROOM * (s * (1 - s) / SKETCH) ** 0.5
+        kind = base.schema["doc_id"].dataType.simpleString()
+        sketches = self.base.mapInArrow(_sketch, f"doc_id {kind}, text_hash long, n_shingles long, digest binary, tokens binary, sketch binary")
+        self.sketches = work.save(sketches, "sketches")
         linked = self.sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-        self.vertices = self.work.save(linked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "vertices")
-
-    def within(self, at: DataFrame) -> DataFrame:
-        """Alike pairs of different labels in each node of (node, digest, label); a node has FEW rows at most, and is one row here."""
-        rows = at.join(self.vertices.select("digest", "sketch"), "digest")
-        nodes = rows.groupBy("node").agg(F.collect_list(F.struct("digest", "label", "sketch")).alias("m"))
-        nodes = nodes.select(F.col("m.digest").alias("digests"), F.col("m.label").alias("labels"), F.col("m.sketch").alias("sketches"))
-        return nodes.mapInArrow(_alike_within(self.least), "a binary, b binary")
-
-    def against(self, at: DataFrame, labels: DataFrame) -> DataFrame:
-        """Alike pairs of each digest of (digest, main) with all vertices of the component ``main``, BLOCK digests against a vertex at a time."""
-        at = self.work.save(at.distinct(), "outer")
-        blocks = at.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        rows = at.join(blocks, "main").join(self.vertices.select("digest", "sketch"), "digest")
-        block = F.pmod(F.xxhash64("digest"), F.col("blocks")).alias("block")
-        outer = rows.groupBy("main", block).agg(F.collect_list("digest").alias("digests"), F.collect_list("sketch").alias("sketches"))
-        outer = self.work.save(outer.drop("block"), "blocks")
-        own = self.vertices.select("digest", "sketch").join(labels, "digest", "left").select("digest", "sketch", F.coalesce("label", "digest").alias("main"))
-        both = own.join(checked_broadcast(outer, 200), "main").select("digest", "sketch", "digests", "sketches")
-        return both.mapInArrow(_alike_blocks(self.least), "a binary, b binary")
-
-    def confirm(self, likely: DataFrame, name: str) -> DataFrame:
-        """The links among the alike pairs (a, b), by their whole sets."""
-        likely = self.work.save(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-likely")
-        needed = likely.select(F.col("a").alias("digest")).union(likely.select("b")).distinct()
-        ids = self.work.save(self.vertices.select("digest", "first_id").join(needed, "digest").select(F.col("first_id").alias("doc_id")).distinct(), f"{name}-ids")
-        sets = self.work.save(self.base.join(checked_broadcast(ids), "doc_id", "left_semi").mapInArrow(_sets, "digest binary, shingles binary").dropDuplicates(["digest"]), f"{name}-sets")
-        a, b = (sets.select(F.col("digest").alias(x), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
-        both = likely.join(a, "a").join(b, "b").select("a", "b", "shingles_a", "shingles_b")
-        return self.work.save(both.mapInArrow(_confirmed(self.percent), "a binary, b binary"), f"{name}-links")
+        first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+        roots = F.first(F.substring("tokens", 1, 4 * trees)).alias("tokens")
+        vertices = linked.groupBy("digest").agg(first, F.count(F.lit(1)).alias("docs"), F.first("n_shingles").alias("n_shingles"), roots, F.first("sketch").alias("sketch"))
+        self.vertices = work.save(vertices, "vertices")
+
+    def likely(self, at: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different labels in a node of (node, digest, label) whose sketches are alike; a node has some FEW rows at most.
+
+        roots: (node, digest) of what is compared at depth 0, with others of the node or with its main component.
+        """
+        roots = roots.groupBy("digest").agg(F.collect_set("node").alias("roots"))
+        own = self.vertices.select("digest", "sketch").join(roots, "digest", "left").withColumn("roots", F.coalesce("roots", F.array().cast("array<long>")))
+        rows = at.join(own, "digest").select("node", "label", "digest", "sketch", "roots")
+        return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_alike(self.least), "a binary, b binary").distinct()
+
+    def pairs(self, likely: DataFrame) -> DataFrame:
+        """Rows (key, side, digest) that compare each b of (a, b) with its a; a vertex of many pairs is in several groups."""
+        size = 8 * F.col("n_shingles")
+        likely = self.vertices.select(F.col("digest").alias("b"), size.alias("bytes")).join(checked_broadcast(likely), "b")
+        groups = likely.groupBy("a").agg(F.ceil(F.sum("bytes") / GROUP_BYTES).cast("int").alias("groups"))
+        key = lambda group: F.xxhash64("a", group).alias("key")
+        right = likely.join(groups, "a").select(key(F.pmod(F.xxhash64("b"), F.col("groups"))), F.lit(1).alias("side"), F.col("b").alias("digest"))
+        left = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")).select(key(F.col("group").cast("bigint")), F.lit(0).alias("side"), F.col("a").alias("digest"))
+        return left.union(right)
+
+    def blocks(self, outer: DataFrame, labels: DataFrame) -> DataFrame:
+        """Rows (key, side, digest) that compare each digest of (digest, main) with all vertices of the component ``main``, block by block."""
+        size = F.sum(8 * F.col("n_shingles"))
+        vertices = self.vertices.select("digest", "n_shingles")
+        outer = self.work.save(outer.distinct().join(vertices, "digest"), "outer")
+        theirs = outer.groupBy("main").agg(F.ceil(size / GROUP_BYTES).cast("int").alias("groups"))
+        own = vertices.join(checked_broadcast(labels), "digest", "left").select("digest", "n_shingles", F.coalesce("label", "digest").alias("main"))
+        own = self.work.save(own.join(checked_broadcast(self.work.save(theirs, "theirs")), "main"), "own")
+        both = own.groupBy("main").agg(F.ceil(size / BLOCK_BYTES).cast("int").alias("blocks"))
+        both = checked_broadcast(self.work.save(both, "block-counts"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        key = F.xxhash64("main", F.col("block").cast("bigint"), F.col("group").cast("bigint")).alias("key")
+        left = own.join(both, "main").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks"))).withColumn("group", every("groups"))
+        right = outer.join(both, "main").join(checked_broadcast(self.work.load("theirs")), "main")
+        right = right.withColumn("group", F.pmod(F.xxhash64("digest"), F.col("groups"))).withColumn("block", every("blocks"))
+        return left.select(key, F.lit(0).alias("side"), "digest").union(right.select(key, F.lit(1).alias("side"), "digest"))
+
+    def compare(self, rows: DataFrame, name: str) -> DataFrame:
+        """The links (a, b) among rows (key, side, digest), by whole sets."""
+        rows = self.work.save(rows, f"{name}-rows")
+        needed = checked_broadcast(self.work.save(rows.select("digest").distinct(), f"{name}-needed"))
+        ids = self.vertices.join(needed, "digest", "left_semi").select(F.col("first.doc_id").alias("doc_id")).distinct()
+        ids = checked_broadcast(self.work.save(ids, f"{name}-ids"))
+        sets = self.base.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "digest binary, shingles binary")
+        both = sets.join(checked_broadcast(rows), "digest").select("key", "side", "digest", "shingles")
+        links = both.repartition("key").sortWithinPartitions("key", "side").mapInArrow(_compared(self.percent), "a binary, b binary")
+        return self.work.save(links, f"{name}-links")
 
     @staticmethod
     def token(i):
@@ -253,55 +338,72 @@ class _Join:
 
     def links(self) -> DataFrame:
         roots = F.array(*[F.xxhash64(F.lit(t), self.token(t)) for t in range(self.trees)])
-        dealt = self.vertices.select("digest", "first_id", F.explode(roots).alias("node"))
-        first = F.min(F.struct("first_id", "digest"))["digest"].alias("pivot")
-        nodes = self.work.save(dealt.groupBy("node").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").drop("n"), "nodes")
-        members = self.work.save(dealt.drop("first_id").join(nodes, "node"), "members")
-        # a vertex that meets the same first one in several trees is likely like it; the others are left to the second round
-        often = members.where(F.col("digest") != F.col("pivot")).groupBy(F.col("digest").alias("a"), F.col("pivot").alias("b")).count()
-        links = self.confirm(often.where(F.col("count") >= 0.3 * self.trees), "first")
+        dealt = self.vertices.select("digest", F.explode(roots).alias("node"))
+        nodes = self.work.save(dealt.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nodes")
+        members = self.work.save(dealt.join(nodes, "node"), "members")
+        weights = members.groupBy("digest").agg(F.sum("n").alias("weight"))
+        central = members.join(weights, "digest").groupBy("node").agg(F.max(F.struct("weight", "digest"))["digest"].alias("pivot"))
+        # what meets one vertex in several trees is likely like it; the rest is left to the second round
+        often = members.join(central, "node").where(F.col("digest") != F.col("pivot")).groupBy(F.col("pivot").alias("a"), F.col("digest").alias("b")).count()
+        likely = self.work.save(often.where(F.col("count") >= VOTES).select("a", "b"), "often")
+        links = self.compare(self.pairs(likely), "first")
         labels = components(links, self.work, "first")
-        at = members.drop("pivot").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        at = members.select("node", "digest").join(checked_broadcast(labels), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         small, ripe = [], []  # of all depths: (node, digest, label), and (digest, main)
         for depth in itertools.count():
             own = at.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
             mixed = own.groupBy("node").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("main")).where("labels > 1")
-            at = self.work.save(at.join(mixed.select("node", "n", F.col("main.n").alias("n_main"), F.col("main.label").alias("main")), "node"), f"at-{depth}")
+            mixed = self.work.save(mixed.select("node", "n", F.col("main.n").alias("n_main"), F.col("main.label").alias("main")), f"mixed-{depth}")
+            at = self.work.save(at.join(checked_broadcast(mixed), "node"), f"at-{depth}")
             large = F.col("n") > SMALL
             nearly = large & (F.col("n") - F.col("n_main") <= FEW)
             rest, late = F.col("label") != F.col("main"), F.lit(depth >= LAST)
             small.append(at.where(~large | nearly & rest).select("node", "digest", "label"))
             ripe.append(at.where((nearly | large & late) & rest).select("digest", "main"))
+            if not depth:
+                roots = at.where(~large | nearly).select("node", "digest")
             down = at.where(large & ~nearly & (rest | ~late)).select("digest", "label", "node")
             if down.isEmpty():
                 break
             chosen = F.explode(F.array_distinct(F.array(*[F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TOKENS)).cast("int") for j in range(CHILDREN)]))).alias("chosen")
-            down = down.join(self.vertices.select("digest", "tokens"), "digest").select("digest", "label", "tokens", "node", chosen)
+            tokens = self.sketches.select("digest", "tokens").join(checked_broadcast(self.work.save(down.select("digest").distinct(), f"branch-{depth}")), "digest", "left_semi").dropDuplicates(["digest"])
+            down = down.join(tokens, "digest").select("digest", "label", "tokens", "node", chosen)
             at = self.work.save(down.select(F.xxhash64("node", "chosen", self.token(F.col("chosen"))).alias("node"), "digest", "label"), f"down-{depth}")
-        found = self.within(reduce(DataFrame.union, small)).union(self.against(reduce(DataFrame.union, ripe), labels))
-        return links.union(self.confirm(found, "second"))
+        likely = self.work.save(self.likely(reduce(DataFrame.union, small), roots), "likely")
+        found = self.compare(self.pairs(likely).union(self.blocks(reduce(DataFrame.union, ripe), labels)), "second")
+        for name in ("nodes", "members", "often", "likely", "outer", "own", "first-needed", "second-needed", *[f"{x}-{d}" for x in ("at", "down", "mixed", "branch") for d in range(depth + 1)], "first-rows", "second-rows"):
+            self.work.drop(name)
+        return links.union(found)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): the smallest doc_id that links of ``percent`` similarity reach from each document.
+    """(doc_id, n_shingles, component_id, kept, text_hash, representative): the smallest doc_id that links of ``percent`` similarity reach.
 
     Words are what ASCII white space parts, with A-Z lower-cased. A document of fewer than five words, but not none, has its whole
     sequence as its one shingle. Documents without words (null texts too) and those with a null id are linked with nothing:
     component_id is the doc_id, and ``kept`` is true. Each row is a document; rows of one text are in one component, repeated
-    rows of one doc_id give a row each. Links are never wrong; of the pairs at the threshold about 6.8e-5 are missed,
-    8.4e-5 if all their nodes branch, and fewer as the similarity rises.
+    rows of one doc_id give a row each. ``representative`` is true for those whose doc_id and then text hash are the least of
+    their component, so that one text of each group has it even where doc_ids repeat. Links are never wrong; of the pairs
+    at the threshold some two in a million are missed, if large nodes branch up to 1.7e-5, and fewer as the similarity rises.
     """
     join = _Join(documents_of(docs, id_col, text_col), percent, trees, work or Workspace(docs.sparkSession, "near-dedup"))
     labels = components(join.links(), join.work, "all")
-    classed = join.vertices.select("digest", "first_id").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    least = classed.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    found = join.work.save(classed.join(least, "label").select(F.col("digest").alias("d"), "component_id"), "components")
-    rows = join.sketches.select("doc_id", "n_shingles", "digest")
+    labels = checked_broadcast(labels)
+    classed = join.work.save(join.vertices.select("digest", "first").join(labels, "digest"), "labelled")
+    least = classed.groupBy("label").agg(F.min("first").alias("least"))
+    copies = join.vertices.where("docs > 1").join(labels, "digest", "left_anti").select(F.col("digest").alias("d"), F.col("first").alias("least"))
+    found = checked_broadcast(join.work.save(classed.join(least, "label").select(F.col("digest").alias("d"), "least").union(copies), "components"))
+    rows = join.sketches.select("doc_id", "n_shingles", "digest", "text_hash")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     out = rows.join(found, linked & (F.col("digest") == F.col("d")), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    component = F.coalesce("least.doc_id", "doc_id")
+    least = F.col("least").isNull() | (F.struct("doc_id", "text_hash") == F.col("least"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash", least.alias("representative"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: (doc_id, n_shingles, component_id, kept); without words a document is alone.
+
+    The stage tables that the result is made of lie in ``spark.checkpoint.dir`` for as long as it is to be read.
+    """
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
