@@ -1,8 +1,11 @@
 """From raw documents to token ids: language ID, line dedup, near-dedup, benchmark decontamination, BPE.
 
 Each stage takes all documents that the one before kept and returns the columns of documents; the last returns ids. Columns
-beyond doc_id and text pass through, whatever their names. Near-dedup finds documents to drop by doc_id, which is taken
-to identify a document; those with a null doc_id are linked with nothing and stay. Decontamination finds them by doc_id and text.
+beyond doc_id and text pass through, whatever their names. Each row is a document: stages that drop rows find them by doc_id
+and text together, so that ids may be null or repeat. Near-dedup links documents with a null doc_id with nothing; they stay.
+
+What a stage has decided lies in ``spark.checkpoint.dir`` as a table of ids and hashes for as long as its result is to be read
+or computed anew; the stage's own tables are deleted before it returns.
 """
 
 from __future__ import annotations
@@ -29,14 +32,15 @@ def _restored(docs: DataFrame, names: dict[str, str], columns: list[str]) -> Dat
     return docs.select(*[back[c] for c in columns])
 
 
-def _without(docs: DataFrame, dropped: DataFrame, work: Workspace) -> DataFrame:
-    """Documents but the dropped ids, whose table is broadcast if it is counted below the bound and shuffled with them if not.
-
-    The ids are all that is left of the stage's own tables in ``work``, which go.
-    """
-    ids = Workspace(docs.sparkSession, "dropped").save(dropped.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "ids")
+def _stored(decided: DataFrame, work: Workspace) -> DataFrame:
+    """(decided_id, decided_hash, ...): all that is left of a stage's tables, which go; broadcast if it is below the bound."""
+    out = Workspace(decided.sparkSession, "decided").save(decided.select(F.col("doc_id").alias("decided_id"), F.col("text_hash").alias("decided_hash"), *decided.columns[2:]), "rows")
     work.drop()
-    return docs.join(checked_broadcast(ids), "doc_id", "left_anti").select(*docs.columns)
+    return out
+
+
+def _same(docs: DataFrame, decided: DataFrame):
+    return docs["doc_id"].eqNullSafe(decided["decided_id"]) & (F.xxhash64(docs["text"].cast("string")) == decided["decided_hash"])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,20 +59,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: that of the least doc_id, and of rows with its doc_id and text one."""
     work = Workspace(spark, "near-dedup")
-    return _without(docs, near_duplicates(docs, work=work).where(~F.col("kept")), work)
+    linked = near_duplicates(docs, work=work).where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    rows = linked.groupBy("doc_id", "text_hash").agg(F.bool_and("representative").alias("stays"), F.count(F.lit(1)).alias("n"))
+    rows = _stored(rows.where("NOT stays OR n > 1"), work)
+    decided, repeated = checked_broadcast(rows), rows.where("stays")
+    out = docs.join(decided, _same(docs, decided), "left_anti")
+    if repeated.isEmpty():
+        return out
+    repeated = checked_broadcast(repeated)
+    return out.union(docs.join(repeated, _same(docs, repeated), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten words in a row of a benchmark item (or a shorter item as a whole)."""
     work = Workspace(spark, "decontaminate")
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work=work)
-    pairs = found.where("contaminated").select(F.col("doc_id").alias("dropped_id"), F.col("text_hash").alias("dropped_hash")).distinct()
-    pairs = checked_broadcast(Workspace(spark, "dropped").save(pairs, "pairs"))
-    work.drop()
-    same = docs["doc_id"].eqNullSafe(pairs["dropped_id"]) & (F.xxhash64(docs["text"].cast("string")) == pairs["dropped_hash"])
-    return docs.join(pairs, same, "left_anti")
+    decided = checked_broadcast(_stored(found.where("contaminated").select("doc_id", "text_hash").distinct(), work))
+    return docs.join(decided, _same(docs, decided), "left_anti")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
