@@ -17,8 +17,8 @@ from .common import documents_of
 from .text_bytes import crc_mod, labelled, text_bytes
 
 WIDTH, FILTERS, CHUNK, EMBEDDING, HIDDEN = 5, 16, 256, 8, 8
-#: About so many labelled documents, of so many bytes at most, are learned from, with so many chunks of each at most.
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_CHUNKS = 3_000, 100_000, 6
+#: About so many labelled documents, of so many bytes together, are learned from at most, whole.
+SAMPLE_DOCS, SAMPLE_BYTES = 3_000, 8_000_000
 EPOCHS, RATE = 12, 0.01
 
 
@@ -104,11 +104,12 @@ class Network:
     def _gradients(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log loss; through a maximum only the window that has it counts."""
         tables, p = self.tables(), self.p
-        values = tables[0][x[:, :CHUNK]]
-        for t in range(1, WIDTH):
-            values = values + tables[t][x[:, t : t + CHUNK]]
-        at = values.argmax(1)
-        top = np.maximum(0, np.take_along_axis(values, at[:, None], 1)[:, 0] + p["bias"])
+        at, top = [], []
+        for i in range(0, len(x), 512):
+            values = sum(tables[t][x[i : i + 512, t : t + CHUNK]] for t in range(WIDTH))
+            at.append(values.argmax(1))
+            top.append(np.take_along_axis(values, at[-1][:, None], 1)[:, 0])
+        at, top = np.concatenate(at), np.maximum(0, np.concatenate(top) + p["bias"])
         n = np.bincount(owner, minlength=len(y))[:, None]
         pooled = np.zeros((len(y), FILTERS))
         np.add.at(pooled, owner, top)
@@ -154,33 +155,26 @@ def _chunk_runs(offsets: np.ndarray, size: int = 64 * 1024):
         at, d = int(offsets[e]), e
 
 
-def sample_chunks(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks, owners and labels of the sample of (text, label); SAMPLE_CHUNKS chunks spread over each text at most."""
-    width = CHUNK + WIDTH - 1
-
-    def run(batches):
-        for batch in batches:
-            raw, at = text_bytes(batch.column(0))
-            out = []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                n = max(1, -(-(b - a - WIDTH + 1) // CHUNK))
-                own = np.unique(np.linspace(0, n - 1, min(n, SAMPLE_CHUNKS)).astype(int))
-                pieces = [raw[a + CHUNK * i : min(b, a + CHUNK * i + width)] for i in own]
-                out.append(b"".join(np.pad(p, (0, width - len(p))).tobytes() for p in pieces))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["chunks", "label"])
-
-    rows = sorted((bytes(r["chunks"]), r["label"]) for r in sample.mapInArrow(run, "chunks binary, label int").collect())
-    chunks = [np.frombuffer(c, np.uint8).reshape(-1, width) for c, _ in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(c) for c in chunks])
-    return np.concatenate([np.zeros((0, width), np.uint8), *chunks]), doc, np.array([y for _, y in rows], float)
+def chunked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All chunks of the texts, as scoring deals them, zero-padded; and whose they are."""
+    width, chunks, doc = CHUNK + WIDTH - 1, [np.zeros((0, CHUNK + WIDTH - 1), np.uint8)], []
+    for d, text in enumerate(texts):
+        n = max(1, -(-(len(text) - WIDTH + 1) // CHUNK))
+        padded = np.zeros(CHUNK * n + WIDTH - 1, np.uint8)
+        own = np.frombuffer(text, np.uint8)[: len(padded)]
+        padded[: len(own)] = own
+        chunks.append(np.lib.stride_tricks.sliding_window_view(padded, width)[::CHUNK])
+        doc.append(np.full(n, d))
+    return np.concatenate(chunks), np.concatenate([np.zeros(0, int), *doc])
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Network:
-    """On the driver, from a sample of at most SAMPLE_DOCS x SAMPLE_CHUNKS chunks, whatever the tables' sizes."""
+    """On the driver, from a sample of about SAMPLE_DOCS whole texts and SAMPLE_BYTES bytes at most, whatever the tables' sizes."""
     network = Network()
-    chunks, doc, y = sample_chunks(labelled(docs, labels, "quality", SAMPLE_DOCS, SAMPLE_BYTES))
-    if len(y):
-        network.fit(chunks, doc, y)
+    rows = labelled(docs, labels, "quality", SAMPLE_DOCS, SAMPLE_BYTES).collect()
+    rows = sorted((r["text"].encode(), r["label"]) for r in rows)
+    if rows:
+        network.fit(*chunked([t for t, _ in rows]), np.array([y for _, y in rows], float))
     return network
 
 
@@ -200,6 +194,10 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from labels.quality of those whose rest is not 2: (doc_id, held_out, score, predicted).
+
+    A null or empty text has the score of no chunks; a null doc_id isn't held out.
+    """
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = score(docs, learn(docs, labels))
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))

@@ -53,22 +53,44 @@ def sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return total[end] - total[begin]
 
 
+def runs(offsets: np.ndarray, size: int = SEGMENT) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of runs of whole texts of about so many bytes together; a longer text is alone."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
+        yield i, j
+        i = j
+
+
+def range_sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """As ``sums`` of ascending, separate ranges, but each is added up on its own: what stands before it doesn't change its rounding."""
+    out, own = np.zeros(len(begin)), np.flatnonzero(end > begin)
+    if len(own):
+        out[own] = np.add.reduceat(np.append(values, 0.0), np.stack([begin[own], end[own]], 1).ravel())[::2]
+    return out
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def bounded(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
-    """About ``rows`` rows at most, by the hash of their key: the same rows in whatever order and parts they come."""
-    n = df.count()
-    return df if n <= rows else df.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1_000_000)) < max(1, int(1_000_000 * rows / n)))
+def _by_hash(key: str, rate: float) -> Column:
+    """True for about that share of the keys: the same ones in whatever order and parts they come."""
+    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1_000_000)) < max(1, int(1_000_000 * rate))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_bytes: int) -> DataFrame:
-    """(text, label): a sample of at most about ``rows`` labelled documents of at most ``max_bytes`` bytes, those of rest 2 left out.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, total: int) -> DataFrame:
+    """(text, label): a sample of about ``rows`` labelled documents at most, those of rest 2 left out, and of fewer if their whole
+    texts have more than ``total`` bytes together. Texts of any size are as likely to be in it.
 
     The labels are sampled first, so the sample is a broadcast of at most ``rows`` keys and the documents aren't shuffled.
     """
     known = labels.select(labels["doc_id"].alias("k"), labels[label].cast("int").alias("label")).where(F.col("label").isin(0, 1) & (crc_mod(F.col("k"), 4) != 2))
-    known = F.broadcast(bounded(known, rows, "k").limit(2 * rows))
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
-    return texts.join(known, texts["doc_id"] == known["k"]).select("text", "label")
+    n = known.count()
+    known = known if n <= rows else known.where(_by_hash("k", rows / n))
+    known = F.broadcast(known.limit(2 * rows))
+    texts = docs.select("doc_id", "text")
+    sample = texts.join(known, texts["doc_id"] == known["k"]).where(F.col("text").isNotNull())
+    size = sample.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
+    sample = sample if size <= total else sample.where(_by_hash("k", min(1.0, rows / max(n, 1)) * total / size))
+    return sample.select("text", "label")

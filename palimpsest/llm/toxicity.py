@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents_of
-from .text_bytes import LETTERS, crc_mod, labelled, segments, sums, text_bytes
+from .text_bytes import LETTERS, SEGMENT, crc_mod, labelled, range_sums, runs, text_bytes
 
 #: Words are hashed to so many buckets.
 BUCKET_BITS = 20
-#: About so many labelled documents, of so many bytes at most, are learned from.
-SAMPLE_DOCS, SAMPLE_BYTES = 6_000, 20_000
+#: About so many labelled documents, of so many bytes together, are learned from at most, whole.
+SAMPLE_DOCS, SAMPLE_BYTES = 6_000, 24_000_000
 STEPS, RATE = 200, 0.1
 
 #: Fixed value: an odd base of the words' polynomial hash, which has an inverse modulo 2^64.
@@ -51,6 +51,21 @@ def _words(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return buckets.astype(np.int32), start, np.flatnonzero(first[:-1])
 
 
+def _parts(raw: np.ndarray, a: int, b: int):
+    """A text's parts of SEGMENT bytes and what is left of the sentence there."""
+    while b - a > SEGMENT:
+        stop, ahead = b, a + SEGMENT
+        while ahead < b:
+            if len(ends := np.flatnonzero(_ENDS[raw[ahead : ahead + SEGMENT]])):
+                stop = min(b, ahead + int(ends[0]) + 1)
+                break
+            ahead += SEGMENT
+        yield a, stop
+        a = stop
+    if a < b:
+        yield a, b
+
+
 class Model:
     def __init__(self):
         self.weights, self.bias, self.leak = np.zeros(1 << BUCKET_BITS, np.float32), -6.0, 0.01
@@ -60,25 +75,27 @@ class Model:
         buckets, word, sentence = _words(raw, begins)
         at = np.searchsorted(word, np.append(sentence, len(raw)))
         own = np.flatnonzero(np.diff(at))
-        z = sums(self.weights[buckets], at[own], at[own + 1]) + self.bias
+        z = range_sums(self.weights[buckets].astype(float), at[own], at[own + 1]) + self.bias
         return sentence[own], 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def score(self, raw: np.ndarray, offsets: np.ndarray, above: float) -> tuple[np.ndarray, list[list[dict]]]:
         """Each text's score, and its sentences of at least ``above``: where they begin, in bytes, their text and score.
 
-        A sentence of more than a segment's bytes counts as several.
+        Texts are worked on whole, some at a time; a very long one in parts that end with a sentence. A text's score is the same
+        to the last bit whatever texts come with it.
         """
         clean, found = np.full(len(offsets) - 1, np.log1p(-self.leak)), [[] for _ in range(len(offsets) - 1)]
-        for a, b, texts, begin, end in segments(offsets):
-            piece = raw[a:b]
-            at, p = self.sentences(piece, begin[begin < b - a])
-            lo, hi = np.searchsorted(at, begin), np.searchsorted(at, end)
-            clean[texts] += sums(np.log1p(-p), lo, hi)
-            stops = np.append(at[1:], b - a)
-            for i in np.flatnonzero(p >= above):
-                d = int(np.searchsorted(offsets, a + at[i], side="right")) - 1
-                stop = min(int(stops[i]), int(offsets[d + 1]) - a)
-                found[d].append({"begin": int(a + at[i] - offsets[d]), "sentence": piece[at[i] : stop].tobytes().decode("utf-8", "replace").strip(), "score": float(p[i])})
+        for first, last in runs(offsets, SEGMENT):
+            for a, b in _parts(raw, int(offsets[first]), int(offsets[last])) if last == first + 1 else [(int(offsets[first]), int(offsets[last]))]:
+                piece, begin, end = raw[a:b], np.maximum(offsets[first:last] - a, 0), np.minimum(offsets[first + 1 : last + 1], b) - a
+                at, p = self.sentences(piece, begin[begin < b - a])
+                lo, hi = np.searchsorted(at, begin), np.searchsorted(at, end)
+                clean[first:last] += range_sums(np.log1p(-p), lo, hi)
+                stops = np.append(at[1:], b - a)
+                for i in np.flatnonzero(p >= above):
+                    d = int(np.searchsorted(offsets, a + at[i], side="right")) - 1
+                    stop = min(int(stops[i]), int(offsets[d + 1]) - a)
+                    found[d].append({"begin": int(a + at[i] - offsets[d]), "sentence": piece[at[i] : stop].tobytes().decode("utf-8", "replace").strip(), "score": float(p[i])})
         return -np.expm1(clean), found
 
     def fit(self, texts: list[bytes], y: np.ndarray) -> None:
@@ -125,7 +142,7 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """On the driver, from a sample of at most SAMPLE_DOCS texts of at most SAMPLE_BYTES bytes, whatever the tables' sizes."""
+    """On the driver, from a sample of about SAMPLE_DOCS whole texts and SAMPLE_BYTES bytes at most, whatever the tables' sizes."""
     rows = labelled(docs, labels, "toxic", SAMPLE_DOCS, SAMPLE_BYTES).collect()
     rows = sorted((r["text"].encode(), r["label"]) for r in rows)
     model = Model()
@@ -152,6 +169,10 @@ def score(docs: DataFrame, model: Model, above: float = 0.3, id_col: str = "doc_
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from labels.toxic of those whose rest is not 2: (doc_id, held_out, score, predicted).
+
+    A null, empty or wordless text has the leak as its score; a null doc_id isn't held out. Equal texts have equal scores.
+    """
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = score(docs, learn(docs, labels))
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))

@@ -127,3 +127,112 @@ def test_segments_share_a_text_without_losing_windows(monkeypatch):
         for d, x, y in zip(range(texts.start, texts.stop), begin, end, strict=True):
             seen[d] += range(a + x, a + y)
     assert seen == [[], [], list(range(3, 17)), []]
+
+
+def toxic_model(seed=3):
+    model = X.Model()
+    model.weights[:] = np.random.default_rng(seed).normal(0, 2, len(model.weights))
+    model.bias, model.leak = -2.0, 0.02
+    return model
+
+
+def noisy_or(model, text: bytes) -> float:
+    """Word by word, sentence by sentence."""
+    import math
+    import re
+
+    clean = 1 - model.leak
+    for sentence in re.split(rb"[.!?\n]", text):
+        words = re.findall(rb"[A-Za-z\x80-\xff]+", sentence)
+        if words:
+            bucket = lambda w: X._words(np.frombuffer(w, np.uint8), np.zeros(1, int))[0][0]
+            z = model.bias + sum(float(model.weights[bucket(w)]) for w in words)
+            clean *= 1 - 1 / (1 + math.exp(-max(-30, min(30, z))))
+    return 1 - clean
+
+
+def random_texts(seed, n, longest=400):
+    r = np.random.default_rng(seed)
+    letters = np.frombuffer("abcdeéAB .!?\n 1".encode(), np.uint8)
+    texts = ["".join(r.choice(list("abcdeéAB .!?\n 1"), int(k))) for k in r.integers(0, longest, n)]
+    assert len(letters)
+    return [t.encode() for t in [*texts, "", "no end", ". . !", "é"]]
+
+
+def laid_out(texts):
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
+def test_toxicity_against_plain_python():
+    model, texts = toxic_model(), random_texts(1, 40)
+    assert np.allclose(model.score(*laid_out(texts), 2.0)[0], [noisy_or(model, t) for t in texts], atol=1e-9)
+
+
+def test_toxicity_is_the_same_in_any_company(monkeypatch):
+    model = toxic_model()
+    texts = random_texts(2, 30) + [b"x" * 900 + b" alone. " + b"word " * 300, b"one. two. " * 200]
+    for size in (50, 333, 10**6):
+        monkeypatch.setattr(X, "SEGMENT", size)
+        alone = [model.score(*laid_out([t]), 0.5) for t in texts]
+        p, found = model.score(*laid_out(texts), 0.5)
+        assert p.tolist() == [a[0][0] for a in alone]  # to the last bit
+        assert found == [a[1][0] for a in alone]
+        back, _ = model.score(*laid_out(texts[::-1]), 0.5)
+        assert back[::-1].tolist() == p.tolist()
+        assert np.allclose(p, [noisy_or(model, t) for t in texts], atol=1e-9)
+
+
+def test_toxicity_does_not_depend_on_the_row_before(spark):
+    text, model = "alpha beta scoundrel gamma delta epsilon", X.Model()
+    model.weights[X._words(np.frombuffer(b"scoundrel", np.uint8), np.zeros(1, int))[0][0]] = 12
+    scores = set()
+    for n in (10, 1_999_970, 1_999_986):
+        rows = spark.createDataFrame([(1, "a" * n), (2, text)], H.DOCS).coalesce(1)
+        scores.add(X.score(rows, model).where("doc_id = 2").head()["score"])
+    assert len(scores) == 1 and scores.pop() > 0.99
+
+
+def test_language_counts_against_plain_python():
+    r = np.random.default_rng(4)
+    own = {k: r.integers(0, 2**32, 300) for k in ("en", "fr", "de")}
+    texts = random_texts(5, 20, 200)
+    raw = [np.frombuffer(t, np.uint8) for t in texts]
+    own["en"] = np.concatenate([own["en"], I._grams(raw[0]), I._grams(raw[1])])
+    filters = I.Filters(list(own), [g.astype(np.int64) for g in own.values()])
+    set_cells = {k: {(int(g) * m % 2**32) >> (32 - I.CELL_BITS) for g in own[k] for m in I._MULTIPLIERS} for k in own}
+    got = filters.counts(*laid_out(texts))
+    for d, t in enumerate(texts):
+        x = [c | 32 if 65 <= c <= 90 or 97 <= c <= 122 else c if c >= 128 else 32 for c in t]
+        grams = [int.from_bytes(bytes(x[i : i + I.N]), "big") for i in range(len(x) - I.N + 1)]
+        for i, k in enumerate(own):
+            false = (len(set_cells[k]) / 2**I.CELL_BITS) ** 2
+            hits = sum(all((g * m % 2**32) >> (32 - I.CELL_BITS) in set_cells[k] for m in I._MULTIPLIERS) for g in grams)
+            assert abs(got[d, i] - max(0, hits - len(grams) * false) / (1 - false)) < 1e-9
+
+
+def test_long_texts_teach_too(spark):
+    long = "palabra larga y mucho texto en una sola fila " * 3000
+    docs = spark.createDataFrame([(1, long, "es")] + [(10 + i, f"the short words of line {i}", "en") for i in range(5)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in I.identify(docs, I.learn(docs)).collect()}
+    assert got[1] == "es" and got[12] == "en"
+    chunks, doc = Qu.chunked([b"", b"abc", bytes(range(256)) * 5])
+    assert np.bincount(doc).tolist() == [1, 1, 5] and chunks[2 + 4, : 256].tobytes() == bytes(range(256))
+
+
+def test_samples_are_bounded_by_rows_and_bytes_whatever_the_sizes(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('x', CAST(50 + id % 2 * 3000 AS INT)) AS text")
+    labels = spark.range(400).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    every = B.labelled(docs, labels, "quality", 10_000, 10**9).collect()
+    fewer = B.labelled(docs, labels, "quality", 10_000, 100_000).collect()
+    assert len(every) == 400 - docs.where(B.crc_mod(F.col("doc_id"), 4) == 2).count()
+    assert 20_000 < sum(len(r["text"]) for r in fewer) < 300_000 and {len(r["text"]) for r in fewer} == {50, 3050}
+    assert 20 < len(B.labelled(docs, labels, "quality", 60, 10**9).collect()) < 120
+
+
+def test_equal_texts_have_equal_scores_among_odd_columns(spark):
+    rows = [(i, t, "en", "s", 1, "w", "l", "d", 0.5, "i", 1, "a", "n", 2) for i, t in enumerate(["some words here", None, "", "some words here", "x" * 50, None, ""])]
+    docs = spark.createDataFrame(rows, H.CLASHING).repartition(3)
+    filters = I.learn(docs.select("doc_id", "text", "lang"))
+    for out, column in ((I.identify(docs, filters), "lang_pred"), (I.identify(docs, filters), "score"), (Qu.score(docs, Qu.Network()), "score"), (X.score(docs, toxic_model()), "score")):
+        got = {r["doc_id"]: r[column] for r in out.collect()}
+        assert got[0] == got[3] and got[1] == got[2] == got[5] == got[6]
