@@ -17,8 +17,8 @@ from .text_bytes import LETTERS, crc_mod, segments, sums, text_bytes
 #: Bytes of an n-gram; n-grams of a language that are kept; bits of the cell number.
 N, KEPT, CELL_BITS = 4, 20_000, 18
 LEAST = 0.1
-#: About so many documents of each language, of so many bytes at most, are learned from.
-SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 50_000
+#: About so many documents of each language are learned from, whole.
+SAMPLE_DOCS = 2_000
 
 #: Odd multipliers of the two hashes.
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B)
@@ -71,7 +71,7 @@ def learn(docs: DataFrame, languages: DataFrame | None = None) -> Filters:
 
     A language's sample is taken by hash at a rate that follows from its count; ties among n-grams go by their bytes.
     """
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
     names = sorted(sizes, key=lambda k: (-sizes[k], k))
     if not names:
@@ -83,10 +83,13 @@ def learn(docs: DataFrame, languages: DataFrame | None = None) -> Filters:
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             raw, at = text_bytes(batch.column(0))
-            for name in sorted(set(langs)):
-                own = np.concatenate([np.zeros(0, np.uint32), *[_grams(raw[at[i] : at[i + 1]]) for i in np.flatnonzero(langs == name)]])
-                grams, n = np.unique(own, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+            for a, b, texts, begin, end in segments(at, N - 1):
+                grams = _grams(raw[a : b + N - 1])
+                begin, end, own = np.minimum(begin, len(grams)), np.minimum(end, len(grams)), langs[texts]
+                for name in sorted(set(own)):
+                    parts = [grams[x:y] for x, y in zip(begin[own == name], end[own == name], strict=True)]
+                    gram, n = np.unique(np.concatenate(parts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     counted = sample.select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     share = F.col("n") / F.sum("n").over(W.partitionBy("lang"))
@@ -131,6 +134,10 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from those whose rest is not 1: (doc_id, held_out, lang_pred, score).
+
+    A null text or one without a letter is ``und`` with score 0; a null doc_id isn't held out.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     filters = learn(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
