@@ -227,7 +227,7 @@ def write_ids(docs: DataFrame, vocabulary: str, work: Workspace, end_id: int = 0
         if ids:
             yield block()
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = tokens.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
     work.save(ordered.mapInArrow(run, schema), "blocks", compression="none")
 
 
@@ -261,6 +261,10 @@ def read_ids(work: Workspace) -> DataFrame:
 
 
 def op6_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as ids and read back: (doc_id, start, n_tokens, ids_crc32); a null text has the end id only.
+
+    The files lie in ``spark.checkpoint.dir`` for as long as the result is to be read.
+    """
     work = Workspace(spark, "token-ids")
     write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path(), work)
     return read_ids(work).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
