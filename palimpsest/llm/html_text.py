@@ -1,7 +1,7 @@
 """HTML to text as it would be laid out: blocks on lines of their own, lists with marks, tables in aligned columns, nothing hidden.
 
 A page becomes a tree first: end tags that HTML lets one leave out are implied, void elements have no content, stray end tags
-are ignored. The tree is then rendered from the leaves up: an element is inline text, or lines with the blank lines it
+are ignored. Style sheets hide what their rules for one element (tag, classes, id) hide. The tree is then rendered from the leaves up: an element is inline text, or lines with the blank lines it
 wants around it.
 """
 
@@ -35,15 +35,51 @@ _ENDS = {
 _SCOPE = frozenset("table td th caption html".split())
 _DEPTH = 200  # deeper elements join the one at this depth
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]|\{[^{}]*\})*\}|\Z)")
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+_IMPORTANT = re.compile(r"\s*!\s*important\b", re.I)
 #: What ``visibility`` shows; inherit and the like keep the parent's value, other words aren't values.
 _VISIBILITY = {"visible": True, "initial": True, "hidden": False, "collapse": False, **dict.fromkeys(("inherit", "unset", "revert", "revert-layer"))}
 
 
+def _rules(sheet: str) -> list[tuple[str, frozenset[str], str | None, str, str]]:
+    """(tag, classes, id, usual declarations, important ones) of the rules of a style sheet that have display or visibility. Selectors of one
+    element only, by tag, classes and id; others and at-rules are left out."""
+    found = []
+    for selectors, body in _RULE.findall(_AT_RULE.sub("", _COMMENT.sub(" ", sheet))):
+        own = [d.strip() for d in body.lower().split(";") if d.strip().startswith(("display", "visibility"))]
+        if own:
+            usual, marked = (";".join(_IMPORTANT.sub("", d) for d in own if bool(_IMPORTANT.search(d)) == m) for m in (False, True))
+            for s in selectors.split(","):
+                if (m := _SELECTOR.fullmatch(s.strip())) and m[0]:
+                    parts = re.findall(r"[.#][\w-]+", m[2])
+                    ids = [p[1:] for p in parts if p[0] == "#"]
+                    if len(set(ids)) < 2:
+                        found.append(((m[1] or "*").lower(), frozenset(p[1:] for p in parts if p[0] == "."), ids[0] if ids else None, usual, marked))
+    return found
+
+
+def _apply(root: Node, sheets: list[str]) -> None:
+    """Puts the declarations of matching rules around each element's own style: weaker ones before it, important ones after it."""
+    rules = [r for sheet in sheets for r in _rules(sheet)]
+    rules.sort(key=lambda r: (r[2] is not None, len(r[1]), r[0] != "*"))  # by weight, then as they come
+    nodes = [root] if rules else []
+    while nodes:
+        for node in nodes.pop().children:
+            if not isinstance(node, str):
+                nodes.append(node)
+                classes, id_ = set(node.attrs.get("class", "").split()), node.attrs.get("id")
+                own = [r for r in rules if r[0] in ("*", node.tag) and r[1] <= classes and r[2] in (None, id_)]
+                if own:
+                    node.attrs["style"] = ";".join([*[r[3] for r in own], node.attrs.get("style", ""), *[r[4] for r in own]])
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
@@ -60,7 +96,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 def parse(page: str) -> Node:
     root = Node("html", {})
-    stack, at, end = [root], 0, len(page)
+    stack, at, end, sheets = [root], 0, len(page), []
 
     def close(tags, stop) -> bool:
         for i in range(len(stack) - 1, 0, -1):
@@ -103,9 +139,12 @@ def parse(page: str) -> Node:
             stop = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             node.children.append(html.unescape(page[at : stop.start() if stop else end]) if tag in ("textarea", "title") else page[at : stop.start() if stop else end])
             at = page.find(">", stop.start()) + 1 or end if stop else end
+            if tag == "style" and node.attrs.get("media", "all").lower() in ("", "all", "screen"):
+                sheets += node.children
         elif tag not in _VOID and not m[3].rstrip().endswith("/") or tag in _BLOCKS and tag != "hr":
             if len(stack) < _DEPTH:
                 stack.append(node)
+    _apply(root, sheets)
     return root
 
 
@@ -330,4 +369,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of all pages; a null page has an empty one."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))

@@ -192,6 +192,47 @@ def test_nothing_visible_is_lost(page, text):
     assert html_text.render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<style>.h{display:none} #k , b.x { visibility : hidden }</style><p class='a h'>no<p id=k>no<p class=a>a<b class=x>no</b><b>b</b>", "ab"),
+        ("<style>/* .a{display:none} */ @media print { p { display: none } } @import 'x'; .a{color:red}</style><p class=a>yes", "yes"),
+        ("<style>p{display:none} .s{display:block} #t{display:none}</style><p>no<p class=s>yes<p class=s id=t>no", "yes"),
+        ("<style>.h{display:none}</style><p class=h style='display:block'>yes<style>.i{display:none !important}</style><p class=i style='display:block'>no", "yes"),
+        ("<style media=print>p{display:none}</style><style>div p{display:none}</style><div><p>yes</div>", "yes"),
+        ("<p title=\"a>b\">x<p title=it's>y<p title=\"open>no", "x\n\ny"),
+    ],
+)
+def test_style_sheets_and_quotes(page, text):
+    assert html_text.render(page) == text
+
+
+def test_generated_pages_show_all_visible_words():
+    """Against a walk over the generated tree, which knows what is hidden; cells side by side change the order of words."""
+    r = random.Random(8)
+    ways = [(" hidden", False), (" style='display: none'", False), (" class=gone", False), (" class=here", True), ("", True), ("", True), ("", True)]
+    inside = {"div": ["div", "p", "ul", "table", "span", "section"], "section": ["div", "p", "span"], "ul": ["li"], "li": ["div", "ul", "span"], "table": ["tr"], "tr": ["td"], "td": ["div", "p", "ul", "span"], "p": ["span", "b"], "span": ["span", "b"], "b": ["span"]}
+
+    def make(tag, depth, shown, words):
+        attrs, ok = r.choice(ways)
+        shown = shown and ok
+        out = f"<{tag}{attrs}>"
+        for _ in range(r.randrange(1, 4)):
+            if tag not in ("ul", "table", "tr") and r.random() < 0.6:
+                words.append((f"w{len(words)}", shown))
+                out += f" {words[-1][0]} "
+            if depth:
+                out += make(r.choice(inside[tag]), depth - 1, shown, words)
+        close = tag not in ("li", "td", "tr") or r.random() < 0.5
+        return out + (f"</{tag}>" if close else "")
+
+    for _ in range(150):
+        words = []
+        page = "<style>.gone{display:none}</style>" + make("div", 6, True, words)
+        got, want = html_text.render(page).replace("•", " ").split(), [w for w, shown in words if shown]
+        assert sorted(got) == sorted(want) and ("<table" in page or got == want), page
+
+
 def test_pages_lose_no_visible_word(spark):
     import re
 
@@ -208,3 +249,23 @@ def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, "u"), (2, "", "u"), (None, "<p>x", "u"), (2, "<p>y", "u")], "page_id int, html string, text string")
     assert {(r["page_id"], r["text"]) for r in html_text.extract(pages).collect()} == {(1, ""), (2, ""), (None, "x"), (2, "y")}
     assert html_text.extract(pages.where("false")).count() == 0
+
+
+def test_ids_among_odd_columns(spark):
+    rows = [(i, t, "en", "s", 1, "w", "l", "d", 0.5, "i", 1, "a", "n", 2) for i, t in enumerate(["some words", None, "", "some words"])] + [(3, "some words", "en", "s", 1, "w", "l", "d", 0.5, "i", 1, "a", "n", 2)]
+    docs = spark.createDataFrame(rows, H.CLASHING)
+    got = sorted((r["doc_id"], bytes(r["ids"])) for r in bpe.round_trip(docs, bpe.vocabulary_path()).collect())
+    assert got[0][1] == got[3][1] == got[4][1] and got[1][1] == got[2][1] == b""
+    work = Workspace(spark, "odd-ids")
+    huffman.write_ids(docs, bpe.vocabulary_path(), work)
+    back = sorted((r["start"], r["doc_id"], len(r["ids"]) // 4) for r in huffman.read_ids(work).collect())
+    n = len(got[0][1]) // 4 + 1
+    assert back == [(0, 0, n), (n, 1, 1), (n + 1, 2, 1), (n + 2, 3, n), (2 * n + 2, 3, n)]
+
+
+def test_one_id_for_all_rows(spark):
+    docs = spark.range(200).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('row ', id) AS text").repartition(4)
+    work = Workspace(spark, "one-id")
+    huffman.write_ids(docs, bpe.vocabulary_path(), work)
+    rows = sorted((r["start"], len(r["ids"]) // 4) for r in huffman.read_ids(work).collect())
+    assert len(rows) == 200 and all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:], strict=False))
