@@ -156,3 +156,43 @@ def test_clashing_columns(spark):
     assert L.line_dedup(docs, keep=("lang", "words")).columns == ["doc_id", "text", "n_lines", "n_dropped", "lang", "words"]
     assert N.near_duplicates(docs).count() == 4
     assert K.top_k(docs, items.withColumnRenamed("item_id", "query_id")).count() == 4
+
+
+def test_very_long_texts(spark):
+    r = random.Random(9)
+    words = [f"w{r.randrange(5000)}" for _ in range(60_000)]
+    item = " ".join(words[30_000:30_012])
+    other = [w if i % 40 else f"n{i}" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, "short text of a few words"), (4, " ".join(words).upper())]
+    docs = spark.createDataFrame(rows, H.DOCS)
+    got = {x["doc_id"]: (x["n_words"], x["n_hit"]) for x in D.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id int, text string")).collect()}
+    want = H.decontaminated(rows[:1], [(1, item)])
+    assert got[1] == got[4] == want[1][:2] and got[2][0] == 60_000 and got[3][1] == 0
+    assert {x["doc_id"]: x["component_id"] for x in N.near_duplicates(docs).collect()} == H.components(rows)
+    best = K.top_k(docs, spark.createDataFrame([(7, item)], "query_id int, text string"), k=2).collect()
+    assert {x["doc_id"] for x in best} == {1, 4}
+
+
+def test_ties_in_the_last_bits_go_by_the_id(spark):
+    # the same words in another order: sums may differ in the last bit, the rounded scores don't
+    r = random.Random(2)
+    vocab = [f"t{i}" for i in range(30)]
+    rows = [(i, " ".join(r.sample(vocab, 30))) for i in range(40)]
+    for k in (3, 7):
+        got = K.top_k(spark.createDataFrame(rows, H.DOCS).repartition(5), spark.createDataFrame([(1, " ".join(vocab[:9])), (2, " ".join(vocab))], "query_id int, text string"), k=k).collect()
+        assert {(x["query_id"], x["rank"], x["doc_id"]) for x in got} == {(q, n + 1, n) for q in (1, 2) for n in range(k)}
+
+
+def test_recall_at_the_threshold(spark):
+    """Groups whose members are just above and below the threshold, against all pairs."""
+    r = random.Random(12)
+    rows = []
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(25):
+            own = list(base)
+            for at in r.sample(range(120), r.choice((1, 2, 3, 4, 5))):
+                own[at] = f"x{r.random()}"
+            rows.append((len(rows), " ".join(own)))
+    got = {x["doc_id"]: x["component_id"] for x in N.near_duplicates(spark.createDataFrame(rows, H.DOCS)).collect()}
+    assert got == H.components(rows)
