@@ -292,4 +292,5 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and the texts they decode to: (doc_id, n_tokens, ids_sha256, decoded_sha256); a null text is empty."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path())

@@ -118,6 +118,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: i
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated).
+
+    A null or wordless text has no words and is clean. The stage tables lie in ``spark.checkpoint.dir`` for as long as the result is to be read.
+    """
     out = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 

@@ -63,11 +63,16 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path):
     assert C.STAGES[-1][1](spark, none, str(tmp_path)).count() == 0
 
 
-def test_rows_that_no_id_tells_apart_stay(spark, tmp_path):
+def test_each_row_is_a_document(spark, tmp_path):
     spark.createDataFrame([(1, "nothing like it")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs = spark.createDataFrame([(None, "a text of some words", "en", "s", 1), (None, "a text of some words", "en", "s", 1), (1, "a text of some words", None, "s", 1)], SCHEMA)
+    text = "a text of some words"
+    docs = spark.createDataFrame([(None, text, "en", "s", 1), (None, text, "en", "s", 1), (1, text, None, "s", 1)], SCHEMA)
     for name, stage in C.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).count() == 3, name
+    # one of two equal rows stays; of two texts with id 5 the copy goes and the other one stays
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (5, text.upper(), "en", "s", 1), (5, "quite other words that nobody has", "en", "s", 1), (6, None, "en", "s", 0), (6, None, "en", "s", 0)]
+    got = C.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(["(1, 'a text of some words')", "(5, 'quite other words that nobody has')", "(6, None)", "(6, None)"])
 
 
 def test_contaminated_rows_of_null_or_repeated_ids_go(spark, tmp_path):
