@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+#: Fixed values: (tokens from which a text is chunked, tokens of a chunk, tokens of overlap) by effort; low effort never chunks.
+EFFORTS = {"low": (999_999, 999_999, 0), "high": (200, 200, 15)}
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F

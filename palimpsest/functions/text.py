@@ -345,3 +345,13 @@ def topic_of(key: Column, topics: tuple[str, ...] = TOPICS) -> Column:
     at = F.instr(key, "_")
     first = F.struct(F.when(at > 0, F.substring(key, F.lit(1), at - 1)).otherwise(key).alias("topic"), F.when(at > 0, F.substring(key, at + 1, F.length(key))).otherwise("").alias("sub_topic"))
     return out.otherwise(first)
+
+
+def capped(text: Column, size: int = 12_000) -> Column:
+    """(text, truncated): a text's first characters, and whether there are more."""
+    return F.struct(F.substring(text, 1, size).alias("text"), F.coalesce(F.length(text) > size, F.lit(False)).alias("truncated"))
+
+
+def json_safe(value: Column) -> Column:
+    """A value of any type as JSON, timestamps as ISO 8601 in UTC; null fields stay."""
+    return F.to_json(value, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'", "timeZone": "UTC", "ignoreNullFields": "false"})

@@ -120,3 +120,21 @@ def adjacent_events(events: DataFrame, user: str = "user_id") -> DataFrame:
 def calendar(spark) -> DataFrame:
     """The 366 MM-DD dates of a leap year."""
     return spark.sql("SELECT date_format(d, 'MM-dd') AS date FROM (SELECT explode(sequence(date'2024-01-01', date'2024-12-31')) AS d)")
+
+
+def build_calls_by_file(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The older rule: calls (caller_file, caller_name, callee_name) whose callee is a name or qualified name of a symbol; its file is the last one
+    by ``pos`` that defines the name. symbols (file_path, symbol_name, qualified_name, pos)."""
+    names = symbols.select(F.explode(F.array_distinct(F.array("symbol_name", "qualified_name"))).alias("callee_name"), "file_path", "pos")
+    last = names.groupBy("callee_name").agg(F.max_by("file_path", "pos").alias("callee_file"))
+    return calls.distinct().join(last, "callee_name").select("caller_file", "caller_name", "callee_file", "callee_name")
+
+
+def clear_user(rows: DataFrame, user_id: str | int, user: str = "user_id") -> DataFrame:
+    """The table without a user's rows."""
+    return rows.where(~F.col(user).eqNullSafe(user_id))
+
+
+def memory_totals(memory: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges and the domains in use, in order."""
+    return memory.agg(F.count(F.lit(1)).alias("nodes"), F.array_sort(F.collect_set("domain")).alias("domains")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))  # one row each

@@ -231,3 +231,13 @@ def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """One row of each key: the one that is last by ``order``. A partial aggregate, no sort."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
+
+
+def with_writes(ops: DataFrame, batch: str) -> DataFrame:
+    """Operations of the batches that write at all; a batch of NOOPs only has nothing to execute. One aggregate and a semi join, no window over a batch."""
+    return ops.join(ops.where("type != 'NOOP'").select(batch).distinct(), batch, "left_semi")
+
+
+def insert_missing(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows, and those of new keys; of several new rows of one key an arbitrary one."""
+    return stored.unionByName(rows.select(*stored.columns).dropDuplicates(keys).join(stored.select(*keys).distinct(), keys, "left_anti"))

@@ -243,3 +243,23 @@ def newest_jobs_of_users(t):
 @query("SELECT n_regionkey, n_nationkey % 2 = 0 AS share_index_publicly, count(*) AS n FROM nation GROUP BY ALL")
 def visibility_breakdown(t):
     return t.nation.groupBy("n_regionkey", (F.col("n_nationkey") % 2 == 0).alias("share_index_publicly")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_nationkey AS org_id, n_regionkey AS updated_at FROM nation WHERE n_nationkey % 2 = 0 ORDER BY n_regionkey DESC, org_id LIMIT 5")
+def public_index(t):
+    """Repositories that are marked public, newest first."""
+    rows = t.nation.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("org_id"), F.col("n_regionkey").alias("updated_at"))
+    return rows.orderBy(F.desc("updated_at"), "org_id").limit(5)
+
+
+@query("SELECT DISTINCT l_suppkey AS org_id, l_partkey AS repo FROM lineitem")
+def repos_of_orgs(t):
+    return t.lineitem.select(F.col("l_suppkey").alias("org_id"), F.col("l_partkey").alias("repo")).distinct()
+
+
+@query("""SELECT c_custkey AS annotation_id FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 5 = 1 ORDER BY c_acctbal DESC, c_custkey""")
+def annotations_of_a_symbol(t):
+    from ..operators import evidence as E
+
+    rows = t.customer.select(F.col("c_custkey").alias("annotation_id"), F.lit("symbol").alias("target_kind"), F.col("c_mktsegment").alias("target"), F.when(F.col("c_custkey") % 5 == 1, "active").otherwise("resolved").alias("status"), F.col("c_acctbal").alias("created_at"))
+    return E.annotations_of(rows, "symbol", "BUILDING", "active").select("annotation_id")

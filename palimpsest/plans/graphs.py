@@ -143,3 +143,35 @@ def class_inheritance(t):
     e = t.part.select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 3).alias("dst")).where("dst > 0")
     both = G.inheritance(e, t.part.where("p_partkey IN (5, 100)").select(F.col("p_partkey").alias("node")))
     return both.where("(start = 100 AND direction = 'ancestor') OR (start = 5 AND direction = 'descendant')").select("start", "node", "distance", "direction")
+
+
+@query("""WITH n AS (SELECT split_part(p_type, ' ', 1) AS n, p_brand AS f, p_partkey AS pos FROM part UNION ALL SELECT p_brand || '.' || p_name, p_brand, p_partkey FROM part),
+l AS (SELECT n, arg_max(f, pos) AS callee_file FROM n GROUP BY n), c AS (SELECT DISTINCT p_brand AS caller_file, split_part(p_type, ' ', 2) AS caller_name, CASE WHEN p_partkey % 2 = 0 THEN 'ECONOMY' ELSE p_brand || '.' || p_name END AS callee_name FROM part)
+SELECT caller_file, caller_name, callee_file, callee_name FROM c JOIN l ON n = callee_name""")
+def call_build_by_file(t):
+    """The older rule: the last file that defines the name, plain or qualified."""
+    word = lambda i: F.split_part("p_type", F.lit(" "), F.lit(i))
+    qualified = F.concat_ws(".", "p_brand", "p_name")
+    symbols = t.part.select(F.col("p_brand").alias("file_path"), word(1).alias("symbol_name"), qualified.alias("qualified_name"), F.col("p_partkey").alias("pos"))
+    calls = t.part.select(F.col("p_brand").alias("caller_file"), word(2).alias("caller_name"), F.when(F.col("p_partkey") % 2 == 0, "ECONOMY").otherwise(qualified).alias("callee_name"))
+    return G.build_calls_by_file(calls, symbols)
+
+
+@query("""SELECT (SELECT count(*) FROM documents) AS nodes, (SELECT string_agg(DISTINCT lang, ',' ORDER BY lang) FROM documents) AS domains, (SELECT count(*) FROM nation) AS edges""")
+def memory_totals(t):
+    both = G.memory_totals(t.documents.select(F.col("lang").alias("domain")), t.nation)
+    return both.select("nodes", F.array_join("domains", ",").alias("domains"), "edges")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey != 7")
+def user_cleared(t):
+    return G.clear_user(t.orders, 7, "o_custkey").select("o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 10)")
+def cascading_delete(t):
+    """Lines of parts that go, go too."""
+    from ..operators.codebase import drop_files
+
+    gone = t.part.where("p_size < 10").select(F.col("p_partkey").alias("l_partkey"))
+    return drop_files(gone, t.lineitem, key="l_partkey")[0].select("l_orderkey", "l_linenumber")

@@ -223,3 +223,18 @@ def judgements_parsed(t):
     answer = F.when(k == 0, "I cannot tell").otherwise(F.concat(F.lit('```json\n{"confidence": 0.9, "operations": [{"type": "'), F.when(k == 1, "update").otherwise("strange"), F.lit('", "content": "'), "p_name", F.lit('"}]}\n```')))
     got = t.part.select("p_partkey", R.parse_judgement(answer, F.array("p_brand")).alias("j"))
     return got.select("p_partkey", F.explode("j.operations").alias("o"), "j.confidence").select("p_partkey", "o.type", "o.content", "confidence")
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus != 'O')""")
+def batches_with_writes(t):
+    """A customer's orders are a batch; open ones write nothing."""
+    ops = t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "O", "NOOP").otherwise("ADD").alias("type"))
+    return R.with_writes(ops, "o_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("""SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT s_suppkey + 1000000, 'new' FROM supplier WHERE s_suppkey % 2 = 0""")
+def insert_missing(t):
+    """Only rows of new keys are added."""
+    s = t.supplier.select("s_suppkey", "s_name")
+    rows = s.select("s_suppkey", F.lit("ignored").alias("s_name")).union(s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey") + 1_000_000, F.lit("new")))
+    return R.insert_missing(s, rows, ["s_suppkey"])

@@ -239,3 +239,15 @@ def scopes_normalised(t):
     given = F.when(k == 0, F.array(F.lit(" "))).when(k == 1, F.array(F.concat(F.lit(" "), "p_brand"), F.lit("a"), F.lit("a"))).otherwise(F.array("p_brand"))
     # upper case sorts before lower case in both engines
     return t.part.select("p_partkey", F.array_join(F.reverse(X.scopes(given)), ",").alias("scopes"))
+
+
+@query("SELECT doc_id, left(text, 100) AS text, length(text) > 100 AS truncated FROM documents")
+def capped_reads(t):
+    return t.documents.select("doc_id", X.capped(F.col("text"), 100).alias("c")).select("doc_id", "c.*")
+
+
+@query("""SELECT event_id, '{"at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00","who":{"id":' || user_id || ',"none":null}}' AS json FROM events""")
+def json_safe_rows(t):
+    """Nested values with times as JSON."""
+    value = F.struct(F.col("ts").alias("at"), F.struct(F.col("user_id").alias("id"), F.lit(None).cast("string").alias("none")).alias("who"))
+    return t.events.select("event_id", X.json_safe(value).alias("json"))

@@ -54,3 +54,46 @@ def transcript_round_trip(t):
     c = t.conversations.where("role != 'system'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))).alias("s"))
     text = F.concat(F.lit("_Exported on x from Cursor_\n---\n"), F.array_join(F.transform("s", lambda x: x["s"]), "\n---\n"))
     return T.transcript_turns(c.select(F.col("conv_id").alias("id"), text.alias("text"))).drop("turn")
+
+
+_QA = """q AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role = 'assistant')"""
+
+
+def _page(t, said):
+    """A page of each conversation: what ``said`` makes of its turns, in order; user and assistant turns only."""
+    c = t.conversations.where("role != 'system'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return c.select("conv_id", F.array_join(F.transform("turns", said), "\n").alias("body"))
+
+
+def _pairs(pages, html, url):
+    from ..functions.chats import chat_pairs
+
+    found = pages.select("conv_id", chat_pairs(html, F.lit(url)).alias("c")).select("conv_id", "c.provider", "c.method", F.posexplode("c.pairs").alias("i", "p"))
+    return found.select("conv_id", "provider", "method", (F.col("i") + 1).cast("long").alias("i"), "p.user_query", "p.agent_response")
+
+
+@query(f"""WITH {_QA} SELECT q.conv_id, 'chatgpt' AS provider, 'dom' AS method, q.i, CAST(length(q.text) AS VARCHAR) AS user_query, CAST(length(a.text) AS VARCHAR) AS agent_response FROM q JOIN a USING (conv_id, i)""")
+def shared_chat_by_attributes(t):
+    """Messages by their role attribute, question and answer by position."""
+    said = lambda m: F.concat(F.lit("<div class='x' data-message-author-role=\""), m["role"], F.lit("\"><div><p>"), F.length(m["text"]).cast("string"), F.lit("</p></div></div>"))
+    pages = _page(t, said)
+    return _pairs(pages, F.concat(F.lit("<main>"), "body", F.lit("</main>")), "https://chatgpt.com/share/1")
+
+
+@query(f"""WITH {_QA} SELECT q.conv_id, 'gemini' AS provider, 'dom' AS method, q.i, 'is ' || length(q.text) || ' < 10 & more' AS user_query, CAST(length(a.text) AS VARCHAR) AS agent_response FROM q JOIN a USING (conv_id, i)""")
+def shared_chat_by_classes(t):
+    """Messages by element and class names; entities are resolved."""
+    user = lambda m: F.concat(F.lit("<div class='user-query wide'>is <b>"), F.length(m["text"]).cast("string"), F.lit("</b> &lt; 10 &amp; more</div>"))
+    said = lambda m: F.when(m["role"] == "user", user(m)).otherwise(F.concat(F.lit("<message-content role='model'>"), F.length(m["text"]).cast("string"), F.lit("</message-content>")))
+    out = _pairs(_page(t, said), F.col("body"), "https://gemini.google.com/share/2")
+    return out.withColumn("user_query", F.replace("user_query", F.lit("\n"), F.lit(" ")))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, role, lag(role) OVER w AS before, lag(turn) OVER w AS t0 FROM conversations WHERE role != 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, 'claude' AS provider, 'structured' AS method, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CASE WHEN before = 'user' THEN 'm' || t0 ELSE '' END AS user_query, 'm' || turn AS agent_response FROM s WHERE role = 'assistant'""")
+def shared_chat_by_state(t):
+    """Messages of a page's preloaded state."""
+    c = t.conversations.where("role != 'system'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("role") == "user", "human").otherwise("assistant").alias("sender"), F.concat(F.lit("m"), "turn").alias("text")))).alias("messages"))
+    state = F.to_json(F.struct(F.struct("messages").alias("chat")))
+    pages = c.select("conv_id", F.concat(F.lit("<script>window.__PRELOADED_STATE__ = "), state, F.lit(";</script>")).alias("html"))
+    return _pairs(pages, F.col("html"), "https://claude.ai/share/3")
