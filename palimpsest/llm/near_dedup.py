@@ -10,9 +10,10 @@
    node whose vertices but a few are of one component has these few compared with each other and with all of that
    component; any other large node branches into two children by further tokens, which its path selects, and so on.
 5. Comparisons count whole sets, in blocks of bounded bytes: the vertices of a block are counted against those of another at
-   once, and each gets one link at most, since one is all it needs to be in the component. No pair is ever a row. Only
-   pairs within a node pass an estimate before, from 128 bytes of each; those five standard deviations below the
-   threshold pass too, so that 1.3e-6 of the pairs at the threshold are dropped by it, in all trees alike.
+   once, and of the links found only those go on that the components need: one of a vertex to a component, or a forest.
+   No pair is ever a row. Of a node's vertices only those are compared that an estimate finds alike another, from 128
+   bytes of each; what is five standard deviations below the threshold passes too, so that 1.1e-6 of the pairs at the
+   threshold are dropped by it, in all trees alike.
 """
 
 from __future__ import annotations
@@ -152,26 +153,28 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 
 def _alike(least: float):
-    """Of rows (node, label, digest, sketch, roots) in order of their nodes: the pairs of a node with different labels whose sketches are alike.
+    """Of rows (node, label, digest, sketch, roots) in order of their nodes: those whose sketch is alike one of another label in the node.
 
-    ``roots`` are the nodes of depth 0 in which a vertex is compared; a pair with several in common comes from the least of them only.
+    ``roots`` are the nodes of depth 0 in which a vertex is compared; a pair with several in common counts in the least of them only.
     """
     least = SKETCH * (least + (1 - least) / 256)
 
-    def pairs(table: pa.Table):
+    def some(table: pa.Table):
         node, label = (table.column(i).to_numpy() for i in (0, 1))
         x = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH)
         roots = [set(r) for r in table.column(4).to_pylist()]
-        first, second, edges = [], [], _runs(node)
+        found, edges = np.zeros(len(x), bool), _runs(node)
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             at = int(node[lo])
             for i in range(lo + 1, hi):
-                j = lo + np.flatnonzero((label[lo:i] != label[i]) & ((x[lo:i] == x[i]).sum(1) >= least))
-                j = [k for k in j.tolist() if at == min(roots[i] & roots[k], default=at)]
-                first.append(np.array(j, int))
-                second.append(np.full(len(j), i))
-        take = lambda at: table.column(2).combine_chunks().take(pa.array(np.concatenate([np.zeros(0, int), *at])))
-        return pa.RecordBatch.from_arrays([take(first), take(second)], ["a", "b"])
+                alike = (label[lo:i] != label[i]) & ((x[lo:i] == x[i]).sum(1) >= least)
+                if found[i]:
+                    alike &= ~found[lo:i]
+                for k in (lo + np.flatnonzero(alike)).tolist():
+                    if not (found[i] and found[k]) and at == min(roots[i] & roots[k], default=at):
+                        found[i] = found[k] = True
+        at = pa.array(np.flatnonzero(found))
+        return pa.RecordBatch.from_arrays([table.column(i).combine_chunks().take(at) for i in (0, 2)], ["node", "digest"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []  # the rows of a node that may go on
@@ -180,10 +183,10 @@ def _alike(least: float):
                 table = pa.Table.from_batches([*held, batch])
                 last = int(_runs(table.column(0).to_numpy())[-2])
                 if last:
-                    yield pairs(table.slice(0, last))
+                    yield some(table.slice(0, last))
                 held = table.slice(last).combine_chunks().to_batches()
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            yield some(pa.Table.from_batches(held))
 
     return run
 
@@ -217,30 +220,56 @@ class _Block:
         return counts
 
 
+def _forest(like: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a square matrix that join the same rows as all of them, and no circle."""
+    seen, edges = np.zeros(len(like), bool), []
+    for s in range(len(like)):
+        if not seen[s]:
+            seen[s], front = True, np.array([s])
+            while len(front):
+                rows = like[front]
+                new = np.flatnonzero(rows.any(0) & ~seen)
+                edges += zip(front[rows[:, new].argmax(0)].tolist() if len(new) else (), new.tolist(), strict=True)
+                seen[new], front = True, new
+    return edges
+
+
 def _compared(percent: int, rows: int = 512):
-    """Of rows (key, side, digest, shingles) in order of key and side: for each of side 1 one of side 0 of its key that it is like, if any."""
+    """Of rows (key, side, digest, shingles) in order of key and side: for each of side 1 one of side 0 of its key that it is like, if
+    any; and of those of side 2 links that join all that are alike."""
 
-    def links(block: _Block, digests: list[bytes], sets: list[np.ndarray]):
+    def like(block: _Block, sets: list[np.ndarray]) -> np.ndarray:
         common, sizes = block.shared(sets).astype(np.int64), np.array([len(s) for s in sets])
-        like = 100 * common >= percent * (sizes[:, None] + block.sizes - common)
-        found = np.flatnonzero(like.any(1))
-        return pa.RecordBatch.from_arrays([pa.array([block.digests[i] for i in like[found].argmax(1)], pa.binary()), pa.array([digests[i] for i in found], pa.binary())], ["a", "b"])
+        return 100 * common >= percent * (sizes[:, None] + block.sizes - common)
+
+    def links(a: list[bytes], b: list[bytes]):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    def joined(digests: list[bytes], sets: list[np.ndarray]):
+        pairs = _forest(like(_Block(digests, sets), sets))
+        return links([digests[i] for i, _ in pairs], [digests[j] for _, j in pairs])
 
     def run(batches):
-        key, digests, sets, block = None, [], [], None  # of side 0
+        key, digests, sets, block, every = None, [], [], None, False  # of side 0, or with ``every`` of side 2
         for batch in batches:
             keys, sides = (batch.column(i).to_numpy() for i in (0, 1))
             edges = _runs(keys, sides)
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if keys[lo] != key:
-                    key, digests, sets, block = keys[lo], [], [], None
-                if sides[lo] == 0:
+                if keys[lo] != key or every != (sides[lo] == 2):
+                    if every and sets:
+                        yield joined(digests, sets)
+                    key, digests, sets, block, every = keys[lo], [], [], None, sides[lo] == 2
+                if sides[lo] != 1:
                     digests, sets, block = digests + batch.column(2)[lo:hi].to_pylist(), sets + _arrays(batch.column(3), lo, hi), None
                 elif sets:
                     block = block or _Block(digests, sets)
                     for i in range(lo, hi, rows):
                         j = min(hi, i + rows)
-                        yield links(block, batch.column(2)[i:j].to_pylist(), _arrays(batch.column(3), i, j))
+                        own, found = batch.column(2)[i:j].to_pylist(), like(block, _arrays(batch.column(3), i, j))
+                        at = np.flatnonzero(found.any(1))
+                        yield links([digests[x] for x in found[at].argmax(1)], [own[x] for x in at])
+        if every and sets:
+            yield joined(digests, sets)
 
     return run
 
@@ -285,14 +314,24 @@ class _Join:
         self.vertices = work.save(vertices, "vertices")
 
     def likely(self, at: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs (a, b) of different labels in a node of (node, digest, label) whose sketches are alike; a node has some FEW rows at most.
+        """Rows (node, digest) of (node, digest, label) whose sketches are alike one of another label in their node; a node has some FEW rows at most.
 
         roots: (node, digest) of what is compared at depth 0, with others of the node or with its main component.
         """
         roots = roots.groupBy("digest").agg(F.collect_set("node").alias("roots"))
         own = self.vertices.select("digest", "sketch").join(roots, "digest", "left").withColumn("roots", F.coalesce("roots", F.array().cast("array<long>")))
         rows = at.join(own, "digest").select("node", "label", "digest", "sketch", "roots")
-        return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_alike(self.least), "a binary, b binary").distinct()
+        return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_alike(self.least), "node long, digest binary")
+
+    def groups(self, alike: DataFrame) -> DataFrame:
+        """Rows (key, side, digest) that compare all digests of a node of (node, digest), two blocks at a time if it has several."""
+        sized = self.vertices.select("digest", (8 * F.col("n_shingles")).alias("bytes")).join(checked_broadcast(alike), "digest")
+        sized = self.work.save(sized, "sized")
+        blocks = sized.groupBy("node").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+        block = F.pmod(F.xxhash64("digest"), F.col("blocks"))
+        other = F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda i: (i != F.col("block")) | (F.col("blocks") == 1))).alias("other")
+        rows = sized.join(blocks, "node").withColumn("block", block).select("node", "digest", "block", other)
+        return rows.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("key"), F.lit(2).alias("side"), "digest")
 
     def pairs(self, likely: DataFrame) -> DataFrame:
         """Rows (key, side, digest) that compare each b of (a, b) with its a; a vertex of many pairs is in several groups."""
@@ -369,9 +408,9 @@ class _Join:
             tokens = self.sketches.select("digest", "tokens").join(checked_broadcast(self.work.save(down.select("digest").distinct(), f"branch-{depth}")), "digest", "left_semi").dropDuplicates(["digest"])
             down = down.join(tokens, "digest").select("digest", "label", "tokens", "node", chosen)
             at = self.work.save(down.select(F.xxhash64("node", "chosen", self.token(F.col("chosen"))).alias("node"), "digest", "label"), f"down-{depth}")
-        likely = self.work.save(self.likely(reduce(DataFrame.union, small), roots), "likely")
-        found = self.compare(self.pairs(likely).union(self.blocks(reduce(DataFrame.union, ripe), labels)), "second")
-        for name in ("nodes", "members", "often", "likely", "outer", "own", "first-needed", "second-needed", *[f"{x}-{d}" for x in ("at", "down", "mixed", "branch") for d in range(depth + 1)], "first-rows", "second-rows"):
+        alike = self.work.save(self.likely(reduce(DataFrame.union, small), roots), "alike")
+        found = self.compare(self.groups(alike).union(self.blocks(reduce(DataFrame.union, ripe), labels)), "second")
+        for name in ("nodes", "members", "often", "alike", "sized", "outer", "own", "first-needed", "second-needed", *[f"{x}-{d}" for x in ("at", "down", "mixed", "branch") for d in range(depth + 1)], "first-rows", "second-rows"):
             self.work.drop(name)
         return links.union(found)
 
