@@ -150,8 +150,8 @@ def token_totals_week(t):
 
 @query(f"""WITH c AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS provider, {_MODEL} AS model, event_type AS agent, {_TOKENS} AS i, {_TOKENS} * 2 AS o, value, event_id % 7 = 0 AS bad FROM events),
 g AS (SELECT provider, model, agent, count(*) AS n, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, round(avg(value), 6) AS avg_latency, count(*) FILTER (WHERE bad) AS failures FROM c GROUP BY ALL)
-SELECT g.*, round((input_tokens * CASE trim(lower(model)) WHEN 'gemini-2.5-flash-lite' THEN 0.10 WHEN 'gemini-2.0-flash-lite-001' THEN 0.075 WHEN 'gemini-2.5-flash' THEN 0.15 WHEN 'gemini-embedding-001' THEN 0.15 ELSE 0 END
-+ output_tokens * CASE trim(lower(model)) WHEN 'gemini-2.5-flash-lite' THEN 0.40 WHEN 'gemini-2.0-flash-lite-001' THEN 0.30 WHEN 'gemini-2.5-flash' THEN 0.60 ELSE 0 END) / 1000000, 6) AS cost FROM g""")
+SELECT g.*, CAST(round((input_tokens * CASE trim(lower(model)) WHEN 'gemini-2.5-flash-lite' THEN 0.10 WHEN 'gemini-2.0-flash-lite-001' THEN 0.075 WHEN 'gemini-2.5-flash' THEN 0.15 WHEN 'gemini-embedding-001' THEN 0.15 ELSE 0.00 END
++ output_tokens * CASE trim(lower(model)) WHEN 'gemini-2.5-flash-lite' THEN 0.40 WHEN 'gemini-2.0-flash-lite-001' THEN 0.30 WHEN 'gemini-2.5-flash' THEN 0.60 ELSE 0.00 END) * 0.000001, 6) AS DOUBLE) AS cost FROM g""")
 def llm_usage(t):
     """Calls, tokens, latency, failures and cost by provider, model and agent."""
     k = F.get_json_object("props", "$.k").cast("long")
