@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_of
+from .common import documents_of, lean
 from .pieces import PieceCoder, binaries, slices
 
 _BIG = np.int64(1) << 40
@@ -245,7 +245,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 out = bpe.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), binaries(out, "<u4")], ["doc_id", "ids"])
 
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return base.mapInArrow(lean(run), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -260,7 +260,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, text], ["doc_id", "ids", "text"])
 
     base = encoded.select("doc_id", "ids")
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
+    return base.mapInArrow(lean(run), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,7 +276,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                 text = pa.array([bpe.decode(x) if x else "" for x in ids.to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, text], ["doc_id", "ids", "text"])
 
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
+    return base.mapInArrow(lean(run), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
 
 
 def vocabulary_path() -> str:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +41,17 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BRO
     each = sum((F.coalesce(F.octet_length(F.to_json(F.struct(c)) if kind.startswith(("array", "map", "struct")) else F.col(c)), F.lit(0)) for c, kind in df.dtypes if c in wide), F.lit(16 * len(df.columns)))
     found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(each), F.lit(0)).alias("bytes")).head()
     return F.broadcast(df) if found["n"] <= rows and found["bytes"] <= size else df
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The function, after which a Python worker gives the memory it freed back to the machine: it lives on for other tasks."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+                trim(0)
+
+    return out

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import vocabulary_path
-from .common import Workspace, checked_broadcast, documents_of
+from .common import Workspace, checked_broadcast, documents_of, lean
 from .pieces import PieceCoder, binaries, slices
 
 BLOCK_IDS, RUN, MAX_BITS = 65_536, 64, 16
@@ -157,7 +157,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
                 ids = library.coder.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), binaries([np.append(x, end) for x in ids], width)], ["doc_id", "ids"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return docs.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def _width(size: int) -> str:
@@ -182,7 +182,7 @@ def count_ids(tokens: DataFrame, width: str, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for id_, n in tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n")).collect():
+    for id_, n in tokens.select("ids").mapInArrow(lean(run), "id int, n long").groupBy("id").agg(F.sum("n")).collect():
         counts[id_] = n
     return counts
 
@@ -228,7 +228,7 @@ def write_ids(docs: DataFrame, vocabulary: str, work: Workspace, end_id: int = 0
             yield block()
 
     ordered = tokens.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
-    work.save(ordered.mapInArrow(run, schema), "blocks", compression="none")
+    work.save(ordered.mapInArrow(lean(run), schema), "blocks", compression="none")
 
 
 def read_ids(work: Workspace) -> DataFrame:
@@ -257,7 +257,7 @@ def read_ids(work: Workspace) -> DataFrame:
                 own = [ids[4 * (e - k) : 4 * e] for e, k in zip(stop.tolist(), size.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(1).flatten(), pa.array(starts), pa.array(own, pa.binary())], ["doc_id", "start", "ids"])
 
-    return placed.mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())]))
+    return placed.mapInArrow(lean(run), T.StructType([T.StructField("doc_id", kind), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())]))
 
 
 def op6_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents_of
+from .common import documents_of, lean
 from .pieces import slices
 from .text_bytes import LETTERS, crc_mod, segments, sums, text_bytes
 
@@ -91,7 +91,7 @@ def learn(docs: DataFrame, languages: DataFrame | None = None) -> Filters:
                     gram, n = np.unique(np.concatenate(parts), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counted = sample.select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.select("text", "lang").mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     share = F.col("n") / F.sum("n").over(W.partitionBy("lang"))
     counted = counted.withColumn("share", share).withColumn("most", F.max("share").over(W.partitionBy("gram"))).where(F.col("share") >= LEAST * F.col("most"))
     best = counted.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= KEPT)
@@ -130,7 +130,7 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
                 columns = [*[part.column(i) for i in [0, *kept]], pa.array(pred, pa.string()), pa.array(score), pa.array(found.tolist(), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, checked_broadcast, documents_of
+from .common import Workspace, checked_broadcast, documents_of, lean
 from .text_bytes import text_bytes
 
 SHINGLE, TREES, TOKENS, SKETCH = 5, 10, 64, 128
@@ -305,7 +305,7 @@ class _Join:
         s = percent / 100
         self.least = s - ROOM * (s * (1 - s) / SKETCH) ** 0.5
         kind = base.schema["doc_id"].dataType.simpleString()
-        sketches = self.base.mapInArrow(_sketch, f"doc_id {kind}, text_hash long, n_shingles long, digest binary, tokens binary, sketch binary")
+        sketches = self.base.mapInArrow(lean(_sketch), f"doc_id {kind}, text_hash long, n_shingles long, digest binary, tokens binary, sketch binary")
         self.sketches = work.save(sketches, "sketches")
         linked = self.sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         first = F.min(F.struct("doc_id", "text_hash")).alias("first")
@@ -321,7 +321,7 @@ class _Join:
         roots = roots.groupBy("digest").agg(F.collect_set("node").alias("roots"))
         own = self.vertices.select("digest", "sketch").join(roots, "digest", "left").withColumn("roots", F.coalesce("roots", F.array().cast("array<long>")))
         rows = at.join(own, "digest").select("node", "label", "digest", "sketch", "roots")
-        return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_alike(self.least), "node long, digest binary")
+        return rows.repartition("node").sortWithinPartitions("node").mapInArrow(lean(_alike(self.least)), "node long, digest binary")
 
     def groups(self, alike: DataFrame) -> DataFrame:
         """Rows (key, side, digest) that compare all digests of a node of (node, digest), two blocks at a time if it has several."""
@@ -366,9 +366,9 @@ class _Join:
         needed = checked_broadcast(self.work.save(rows.select("digest").distinct(), f"{name}-needed"))
         ids = self.vertices.join(needed, "digest", "left_semi").select(F.col("first.doc_id").alias("doc_id")).distinct()
         ids = checked_broadcast(self.work.save(ids, f"{name}-ids"))
-        sets = self.base.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "digest binary, shingles binary")
+        sets = self.base.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lean(_sets), "digest binary, shingles binary")
         both = sets.join(checked_broadcast(rows), "digest").select("key", "side", "digest", "shingles")
-        links = both.repartition("key").sortWithinPartitions("key", "side").mapInArrow(_compared(self.percent), "a binary, b binary")
+        links = both.repartition("key").sortWithinPartitions("key", "side").mapInArrow(lean(_compared(self.percent)), "a binary, b binary")
         return self.work.save(links, f"{name}-links")
 
     @staticmethod

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_of
+from .common import documents_of, lean
 from .text_bytes import crc_mod, labelled, text_bytes
 
 WIDTH, FILTERS, CHUNK, EMBEDDING, HIDDEN = 5, 16, 256, 8, 8
@@ -190,7 +190,7 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(*text_bytes(batch.column(1))))], ["doc_id", "score"])
 
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, score double")
+    return base.mapInArrow(lean(run), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

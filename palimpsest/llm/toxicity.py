@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_of
+from .common import documents_of, lean
 from .text_bytes import LETTERS, SEGMENT, crc_mod, labelled, range_sums, runs, text_bytes
 
 #: Words are hashed to so many buckets.
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: Model, above: float = 0.3, id_col: str = "doc_
             p, found = shared.value.score(*text_bytes(batch.column(1)), above)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(found, kind)], ["doc_id", "score", "sentences"])
 
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, score double, sentences array<struct<begin: long, sentence: string, score: double>>")
+    return base.mapInArrow(lean(run), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, score double, sentences array<struct<begin: long, sentence: string, score: double>>")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
