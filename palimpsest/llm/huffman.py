@@ -188,7 +188,7 @@ def count_ids(tokens: DataFrame, width: str, size: int) -> np.ndarray:
 
 
 def write_ids(docs: DataFrame, vocabulary: str, work: Workspace, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the blocks and the code lengths of all documents, by ascending doc_id (nulls first; ties by their ids).
+    """Writes the blocks and the code lengths of all documents, by ascending doc_id (nulls first; ties by a hash of their ids).
 
     Null texts count as empty: they have the end id only. No documents: no blocks.
     """
@@ -227,7 +227,8 @@ def write_ids(docs: DataFrame, vocabulary: str, work: Workspace, end_id: int = 0
         if ids:
             yield block()
 
-    ordered = tokens.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    tie = F.xxhash64("ids")  # what the ranges are sampled by comes to the driver: a hash, not the ids
+    ordered = tokens.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "ids")
     work.save(ordered.mapInArrow(lean(run), schema), "blocks", compression="none")
 
 
