@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass, fields
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import complexity_bucket, hash16, head_tail
 from ..sources import code
+from ..workspace import Workspace
 from . import graph
 
 #: Characters of a summary text, of its docstring and of a code text.
@@ -44,36 +47,95 @@ def file_text(path: Column, language: Column, summary: Column, names: Column) ->
     return F.substring(F.concat_ws(" ", some(path), some(language), some(summary), names), 1, SUMMARY_CHARS)
 
 
-def scan(files: DataFrame, old_files: DataFrame, old_symbols: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(files, symbols, audit): the next state of an index, and one row of counts.
+@dataclass(frozen=True)
+class Index:
+    """The tables of an index of source code.
 
-    files: (file_path, language, content) of the whole tree, old_files: (file_path, content_hash), old_symbols: the columns of
-    ``code.parse`` with ``summary`` and ``embed``. Files whose hash is the stored one are not parsed again. Of the others the symbols
-    whose hash is the stored one keep their row; the rest are written with ``embed`` true, for the embedding lanes to take.
-    Files and symbols that are no longer there go. Edges follow from the result by ``edges_of``.
+    files (file_path, language, content_hash), symbols (SYMBOLS with ``summary`` and ``embed``), call_names (CALLS) and import_names
+    (IMPORTS) as they stand in the files, and the edges they are resolved to: calls (caller_file, caller_name, caller_qname,
+    callee_name, callee_file, callee_qname, is_ambiguous) and imports (importer_file, module, imported_file).
     """
-    new = files.select("file_path", "language", "content", hash16(F.col("content")).alias("content_hash"))
-    known = old_files.select("file_path", F.col("content_hash").alias("__hash"))
-    changed = new.join(known, "file_path", "left").where(~F.col("content_hash").eqNullSafe(F.col("__hash"))).drop("__hash")
-    parsed = code.parse(changed.where("language = 'python'")).where("error IS NULL")
-    stored = old_symbols.select("file_path", "qualified_name", F.col("content_hash").alias("__hash"), F.col("summary").alias("__summary"))
-    made = symbol_summary(F.col("docstring"), F.col("symbol_type"), F.col("qualified_name"), F.col("parameters"))
-    both = parsed.join(stored.dropDuplicates(["file_path", "qualified_name"]), ["file_path", "qualified_name"], "left")
-    same = F.col("content_hash").eqNullSafe(F.col("__hash"))
-    fresh = both.select(*parsed.columns, F.when(same, F.col("__summary")).otherwise(made).alias("summary"), (~same).alias("embed"))
-    kept = old_symbols.join(new.select("file_path", F.col("content_hash").alias("__now")).join(known, "file_path").where("__now = __hash").select("file_path"), "file_path", "left_semi")
-    state = kept.select(*old_symbols.columns).withColumn("embed", F.lit(False)).unionByName(fresh.select(*old_symbols.columns))
-    gone = old_symbols.select("file_path", "qualified_name").distinct().join(state.select("file_path", "qualified_name"), ["file_path", "qualified_name"], "left_anti")
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    audit = count(changed, "files_processed").crossJoin(count(new.join(changed.select("file_path"), "file_path", "left_anti"), "files_unchanged")).crossJoin(count(state.where("embed"), "symbols_indexed")).crossJoin(count(gone, "symbols_deleted"))  # one row each
-    return new.select("file_path", "language", "content_hash"), state, audit
+
+    files: DataFrame
+    symbols: DataFrame
+    call_names: DataFrame
+    import_names: DataFrame
+    calls: DataFrame
+    imports: DataFrame
+
+
+def empty_index(spark: SparkSession) -> Index:
+    none = lambda schema: spark.createDataFrame([], schema)
+    calls = code.CALLS + ", caller_qname string, callee_file string, callee_qname string, is_ambiguous boolean"
+    return Index(none("file_path string, language string, content_hash string"), none(code.SYMBOLS + ", summary string, embed boolean"), none(code.CALLS), none(code.IMPORTS), none(calls), none(code.IMPORTS + ", imported_file string"))
 
 
-def edges_of(files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(calls, imports) of the current state, from the files (file_path, language, content) and their symbols; nothing stale is left."""
-    python = files.where("language = 'python'")
-    placed = symbols.select("file_path", "symbol_name", "qualified_name", F.struct("file_path", "start_line").alias("pos"))
-    return graph.build_calls(code.parse(python, "calls"), placed), graph.build_imports(code.parse(python, "imports"), files)
+def scan(files: DataFrame, old: Index, work: Workspace | None = None) -> tuple[Index, DataFrame]:
+    """(the next state of an index, one row of counts). Work goes with what changed, but for reading the tables.
+
+    files: (file_path, language, content) of the whole tree, a row a file, in all languages that have a reader. Each file whose hash isn't the
+    stored one is parsed once, into a stored table. Of the others, symbols, calls and imports are kept. Symbols whose hash is the
+    stored one keep their summary; the rest are written with ``embed`` true, for the embedding lanes to take. Files and what
+    was in them go when they are no longer there.
+
+    Edges are kept as a join is by its delta: a call is resolved anew if its file changed, or if a symbol of the called name was
+    added, moved or removed anywhere; an import, if its file changed or a file that it may mean came or went. All others are carried over. The
+    result equals that of an index built from nothing, but for summaries and ``embed``. Files that can't be parsed have
+    no symbols, calls and imports. The tables of the state lie in the workspace for as long as they are used.
+    """
+    work = work or Workspace(files.sparkSession, "index")
+    new = work.save(files.select("file_path", "language", hash16(F.col("content")).alias("content_hash")), "files")
+    both = new.withColumn("__new", F.lit(True)).join(old.files.select("file_path", F.col("content_hash").alias("__hash"), F.lit(True).alias("__old")), "file_path", "full")
+    fate = F.when(F.col("__new").isNull(), "gone").when(F.col("__old").isNull(), "new").when(F.col("content_hash").eqNullSafe(F.col("__hash")), "kept").otherwise("changed")
+    fates = work.save(both.select("file_path", fate.alias("fate")), "fates")
+    kept, todo = (fates.where(w).select("file_path") for w in ("fate = 'kept'", "fate IN ('new', 'changed')"))
+    parsed = work.save(code.parsed(files.join(todo, "file_path", "left_semi")), "parsed")
+
+    # symbols: kept files' as they are, others' compared by hash
+    made = symbol_summary(F.col("docstring"), F.col("symbol_type"), F.col("qualified_name"), F.col("parameters"))
+    stored = old.symbols.groupBy("file_path", "qualified_name").agg(F.min_by(F.struct(F.col("content_hash").alias("hash"), "summary"), "start_line").alias("was"))
+    fresh = code.symbols_of(parsed).where("error IS NULL").join(stored, ["file_path", "qualified_name"], "left")
+    unchanged = F.col("content_hash").eqNullSafe(F.col("was.hash"))
+    columns = [*[c for c in old.symbols.columns if c not in ("summary", "embed")]]
+    fresh = fresh.select(*columns, F.when(unchanged, F.col("was.summary")).otherwise(made).alias("summary"), (~unchanged).alias("embed"))
+    carried = old.symbols.join(kept, "file_path", "left_semi").select(*columns, "summary", F.lit(False).alias("embed"))
+    symbols = work.save(carried.unionByName(fresh), "symbols")
+    names = [old.call_names.join(kept.withColumnRenamed("file_path", "caller_file"), "caller_file", "left_semi").unionByName(code.calls_of(parsed).distinct())]
+    names.append(old.import_names.join(kept.withColumnRenamed("file_path", "importer_file"), "importer_file", "left_semi").unionByName(code.imports_of(parsed).distinct()))
+    call_names, import_names = work.save(names[0], "call-names"), work.save(names[1], "import-names")
+
+    # calls: anew where the caller's file isn't kept, or the definitions of the called name differ
+    place = ["symbol_name", "file_path", "qualified_name", "start_line"]
+    moved = lambda now, was: now.select(*place).exceptAll(was.select(*place)).select(F.col("symbol_name").alias("callee_name"))
+    redone = fates.where("fate != 'kept'").select("file_path")
+    changed_now, changed_old = (x.join(redone, "file_path", "left_semi") for x in (symbols, old.symbols))
+    touched = work.save(moved(changed_now, changed_old).union(moved(changed_old, changed_now)).distinct(), "touched-names")
+    valid = old.calls.join(kept.withColumnRenamed("file_path", "caller_file"), "caller_file", "left_semi").join(touched, "callee_name", "left_anti")
+    open_ = call_names.join(todo.select(F.col("file_path").alias("caller_file"), F.lit(True).alias("__a")), "caller_file", "left").join(touched.select("callee_name", F.lit(True).alias("__b")), "callee_name", "left")
+    open_ = open_.where("__a OR __b").select("caller_file", "caller_name", "callee_name")
+    placed = symbols.select("file_path", "symbol_name", "qualified_name", F.struct("file_path", "start_line", "qualified_name").alias("pos"))
+    calls = work.save(valid.unionByName(graph.resolve_calls(open_, placed)), "calls")
+
+    # imports: anew where the file isn't kept, or a file of a name it may mean came or went
+    came = work.save(fates.where("fate IN ('new', 'gone')").select(F.explode(graph.bases_of(F.col("file_path"))).alias("__base")).distinct(), "touched-bases")
+    based = lambda df: df.withColumn("__base", graph.base_of(F.col("module")))
+    valid = based(old.imports.join(kept.withColumnRenamed("file_path", "importer_file"), "importer_file", "left_semi")).join(came, "__base", "left_anti").drop("__base")
+    open_ = based(import_names).join(todo.select(F.col("file_path").alias("importer_file"), F.lit(True).alias("__a")), "importer_file", "left").join(came.withColumn("__b", F.lit(True)), "__base", "left")
+    imports = work.save(valid.unionByName(graph.resolve_imports(open_.where("__a OR __b").select("importer_file", "module"), new)), "imports")
+
+    lost = old.symbols.join(redone, "file_path", "left_semi").select("file_path", "qualified_name").distinct().join(symbols.select("file_path", "qualified_name"), ["file_path", "qualified_name"], "left_anti")
+    n = lambda w: F.count(F.when(F.expr(w), 1))
+    audit = fates.agg(n("fate IN ('new', 'changed')").alias("files_processed"), n("fate = 'kept'").alias("files_unchanged"), n("fate = 'gone'").alias("files_deleted"))
+    audit = audit.crossJoin(symbols.agg(n("embed").alias("symbols_indexed"))).crossJoin(lost.agg(F.count(F.lit(1)).alias("symbols_deleted")))  # one row each
+    audit = audit.crossJoin(parsed.agg(n("error IS NOT NULL").alias("parse_errors")))
+    return Index(new, symbols, call_names, import_names, calls, imports), audit
+
+
+def edges_of(files: DataFrame, symbols: DataFrame, work: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
+    """(calls, imports) of the current state, from the files (file_path, language, content) and their symbols; each file is parsed once, into a stored table."""
+    parsed = (work or Workspace(files.sparkSession, "edges")).save(code.parsed(files).select("file_path", "calls", "imports"), "parsed")
+    placed = symbols.select("file_path", "symbol_name", "qualified_name", F.struct("file_path", "start_line", "qualified_name").alias("pos"))
+    return graph.build_calls(code.calls_of(parsed), placed), graph.build_imports(code.imports_of(parsed), files)
 
 
 def drop_files(gone: DataFrame, *tables: DataFrame, key: str = "file_path") -> list[DataFrame]:
@@ -82,8 +144,10 @@ def drop_files(gone: DataFrame, *tables: DataFrame, key: str = "file_path") -> l
     return [t.join(names, key, "left_anti") for t in tables]
 
 
-def drop_repo(tables: list[DataFrame], org_id: str, repo: str) -> list[DataFrame]:
-    return [t.where(~((F.col("org_id") == org_id) & (F.col("repo") == repo))) for t in tables]
+def drop_repo(index: Index, org_id: str, repo: str) -> Index:
+    """An index of several repositories (its tables have org_id and repo) without one of them."""
+    there = ~(F.col("org_id").eqNullSafe(F.lit(org_id)) & F.col("repo").eqNullSafe(F.lit(repo)))
+    return Index(*[getattr(index, f.name).where(there) for f in fields(index)])
 
 
 def with_files(symbols: DataFrame, files: DataFrame) -> DataFrame:

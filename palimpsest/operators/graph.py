@@ -7,30 +7,50 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def build_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """calls (caller_file, caller_name, callee_name) by flat names against symbols (file_path, symbol_name, qualified_name, pos).
+def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """calls (caller_file, caller_name, callee_name) by flat names against symbols (file_path, symbol_name, qualified_name, pos), with what they were resolved to.
 
     The caller is the last symbol of that name in its file, the callee the first of that name by pos; several candidates
-    make the edge ambiguous. Dotted callee names match nothing. Edges are distinct.
+    make the edge ambiguous. Dotted callee names match nothing.
     """
-    callers = symbols.groupBy("file_path", "symbol_name").agg(F.max_by("qualified_name", "pos").alias("caller_qname"))
-    callees = symbols.groupBy("symbol_name").agg(F.min_by(F.struct("file_path", "qualified_name"), "pos").alias("callee"), F.count(F.lit(1)).alias("n"))
-    rows = calls.distinct().join(callers, (calls["caller_file"] == callers["file_path"]) & (calls["caller_name"] == callers["symbol_name"]))
-    rows = rows.select("caller_file", "caller_qname", "callee_name").join(callees, F.col("callee_name") == callees["symbol_name"])
-    return rows.select("caller_file", "caller_qname", F.col("callee.file_path").alias("callee_file"), F.col("callee.qualified_name").alias("callee_qname"), (F.col("n") > 1).alias("is_ambiguous")).distinct()
+    callers = symbols.groupBy(F.col("file_path").alias("caller_file"), F.col("symbol_name").alias("caller_name")).agg(F.max_by("qualified_name", "pos").alias("caller_qname"))
+    callees = symbols.groupBy(F.col("symbol_name").alias("callee_name")).agg(F.min_by(F.struct("file_path", "qualified_name"), "pos").alias("callee"), F.count(F.lit(1)).alias("n"))
+    rows = calls.distinct().join(callers, ["caller_file", "caller_name"]).join(callees, "callee_name")
+    return rows.select("caller_file", "caller_name", "callee_name", "caller_qname", F.col("callee.file_path").alias("callee_file"), F.col("callee.qualified_name").alias("callee_qname"), (F.col("n") > 1).alias("is_ambiguous"))
 
 
-def build_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports (importer_file, module) to known files: a/b.py, else a/b/__init__.py; not to the importer itself."""
-    base = F.replace("module", F.lit("."), F.lit("/"))
-    rows = imports.withColumns({"plain": F.concat(base, F.lit(".py")), "package": F.concat(base, F.lit("/__init__.py"))})
+def build_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The distinct edges (caller_file, caller_qname, callee_file, callee_qname, is_ambiguous) of ``resolve_calls``."""
+    return resolve_calls(calls, symbols).select("caller_file", "caller_qname", "callee_file", "callee_qname", "is_ambiguous").distinct()
+
+
+def base_of(module: Column) -> Column:
+    """The path that a module name means, without what may follow it."""
+    return F.replace(module, F.lit("."), F.lit("/"))
+
+
+def bases_of(path: Column) -> Column:
+    """What ``base_of`` gives for the modules that may mean a file: of a/b.py a/b, of a/b/__init__.py a/b too."""
+    bases = F.array(F.regexp_extract(path, r"(?s)^(.*)/__init__\.py$", 1), F.regexp_extract(path, r"(?s)^(.*)\.py$", 1))
+    return F.filter(bases, lambda s: s != "")
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """imports (importer_file, module) with the known file they mean: a/b.py, else a/b/__init__.py; not of the importer itself."""
+    base = base_of(F.col("module"))
+    rows = imports.select("importer_file", "module").withColumns({"plain": F.concat(base, F.lit(".py")), "package": F.concat(base, F.lit("/__init__.py"))})
     known = files.select("file_path").distinct()
     rows = rows.join(known.select(F.col("file_path").alias("plain"), F.lit(True).alias("p")), "plain", "left")
     rows = rows.join(known.select(F.col("file_path").alias("package"), F.lit(True).alias("q")), "package", "left")
-    found = rows.select("importer_file", F.when(F.col("p"), F.col("plain")).when(F.col("q"), F.col("package")).alias("imported_file"))
+    found = rows.select("importer_file", "module", F.when(F.col("p"), F.col("plain")).when(F.col("q"), F.col("package")).alias("imported_file"))
     return found.where("imported_file IS NOT NULL AND imported_file != importer_file").distinct()
 
 
+def build_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """The distinct edges (importer_file, imported_file) of ``resolve_imports``."""
+    return resolve_imports(imports, files).select("importer_file", "imported_file").distinct()
+
+
 def with_endpoints(edges: DataFrame, nodes: DataFrame, src: str, dst: str, node: str) -> DataFrame:
     """Edges between known nodes, once each."""
     a, b = (nodes.select(F.col(node).alias(x)).distinct() for x in (src, dst))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
@@ -9,7 +11,7 @@ from ..operators import codebase as B
 from ..operators import evidence as E
 from ..operators import graph as G
 from ..operators import search as S
-from ..sources import braces, code, files
+from ..sources import code, files
 from .core import query
 from .graphs import _EDGES, _FILES, _edges, _files
 from .retrieval import _COS, _vector
@@ -215,11 +217,9 @@ def edges_of_sources(t):
 
 
 def _index(t):
-    old = _sources(t).where("p_partkey % 11 != 3")
-    symbols = code.parse(old).withColumn("summary", F.lit("old")).withColumn("embed", F.lit(False))
-    from ..functions.text import hash16
-
-    return old.select("file_path", hash16(F.col("content")).alias("content_hash")), symbols
+    """The index of an older tree."""
+    old = B.scan(_sources(t).where("p_partkey % 11 != 3"), B.empty_index(t.spark))[0]
+    return replace(old, symbols=old.symbols.withColumn("summary", F.lit("old")))
 
 
 @query(f"""SELECT file_path, qualified_name, CASE WHEN p_partkey % 11 = 3 OR (p_partkey % 7 = 0 AND NOT starts_with(qualified_name, 'f')) THEN CASE WHEN docstring IS NOT NULL THEN docstring WHEN contains(qualified_name, '.') THEN 'method ' || qualified_name || '(x)' ELSE 'class ' || qualified_name || '(m' || p_partkey || ')' END ELSE 'old' END AS summary,
@@ -227,14 +227,40 @@ p_partkey % 11 = 3 OR (p_partkey % 7 = 0 AND NOT starts_with(qualified_name, 'f'
 def incremental_scan(t):
     """Files that are new, changed and gone: only changed symbols are to be embedded, the rest keep their rows."""
     now = _sources(t, changed=True).where("p_partkey % 13 != 5")
-    return B.scan(now, *_index(t))[1].select("file_path", "qualified_name", "summary", "embed")
+    return B.scan(now, _index(t))[0].symbols.select("file_path", "qualified_name", "summary", "embed")
 
 
 @query("""WITH p AS (SELECT p_partkey % 11 = 3 AS new, p_partkey % 7 = 0 AS changed, p_partkey % 13 = 5 AS gone FROM part)
 SELECT count(*) FILTER (WHERE NOT gone AND (new OR changed)) AS files_processed, count(*) FILTER (WHERE NOT gone AND NOT new AND NOT changed) AS files_unchanged,
 CAST(coalesce(sum(CASE WHEN gone THEN 0 WHEN new THEN 3 WHEN changed THEN 2 ELSE 0 END), 0) AS BIGINT) AS symbols_indexed, 3 * count(*) FILTER (WHERE gone AND NOT new) AS symbols_deleted FROM p""")
 def incremental_scan_counts(t):
-    return B.scan(_sources(t, changed=True).where("p_partkey % 13 != 5"), *_index(t))[2]
+    audit = B.scan(_sources(t, changed=True).where("p_partkey % 13 != 5"), _index(t))[1]
+    return audit.select("files_processed", "files_unchanged", "symbols_indexed", "symbols_deleted")
+
+
+_THERE = "SELECT p_partkey FROM part WHERE p_partkey % 13 != 5"
+
+
+@query(f"""SELECT 'src/m' || a.p_partkey || '.py' AS caller_file, 'f' || a.p_partkey AS caller_qname, 'src/m' || b.p_partkey || '.py' AS callee_file, 'f' || b.p_partkey AS callee_qname, false AS is_ambiguous
+FROM ({_THERE}) a JOIN ({_THERE}) b ON b.p_partkey = a.p_partkey + 1""")
+def incremental_calls(t):
+    """Calls after files came, changed and went: resolved anew only where a definition did."""
+    state = B.scan(_sources(t, changed=True).where("p_partkey % 13 != 5"), _index(t))[0]
+    return state.calls.select("caller_file", "caller_qname", "callee_file", "callee_qname", "is_ambiguous").distinct()
+
+
+@query(f"""SELECT 'src/m' || p_partkey || '.py' AS importer_file, 'lib/m' || (p_partkey // 5) || CASE WHEN (p_partkey // 5) % 2 = 0 THEN '.py' ELSE '/__init__.py' END AS imported_file
+FROM part WHERE (p_partkey // 5) % 3 != 0""")
+def incremental_imports(t):
+    """Imports after modules came and went: those of the third of the modules that went are resolved no more."""
+    k = F.col("p_partkey")
+    module = F.floor(k / 5).cast("bigint")
+    users = t.part.select(F.concat(F.lit("src/m"), k, F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), F.concat(F.lit("import lib.m"), module, F.lit("\n")).alias("content"))
+    path = F.concat(F.lit("lib/m"), "m", F.when(F.col("m") % 2 == 0, ".py").otherwise("/__init__.py")).alias("file_path")
+    modules = t.part.select(module.alias("m")).distinct()
+    tree = lambda w: users.union(modules.where(w).select(path, F.lit("python").alias("language"), F.lit("x = 1\n").alias("content")))
+    old = B.scan(tree("m % 3 != 1"), B.empty_index(t.spark))[0]
+    return B.scan(tree("m % 3 != 0"), old)[0].imports.select("importer_file", "imported_file").distinct()
 
 
 @query("""WITH s AS (SELECT p_partkey, p_name AS n, p_type AS sig, repeat(p_name || ' ', 40) AS doc, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS sum FROM part)
@@ -271,17 +297,61 @@ def _scripts(t):
 @query("""SELECT 'm' || p_partkey || '.js' AS file_path, s.n || CASE WHEN s.k = 'method' THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS symbol_name, s.k AS symbol_type, s.a AS start_line, s.b AS end_line
 FROM part, (SELECT unnest([{'n': 'run', 'k': 'function', 'a': 2, 'b': 4}, {'n': 'K', 'k': 'class', 'a': 5, 'b': 9}, {'n': 'go', 'k': 'method', 'a': 6, 'b': 8}, {'n': 'arrow', 'k': 'function', 'a': 10, 'b': 12}]) AS s)""")
 def script_symbols(t):
-    return braces.symbols(_scripts(t)).select("file_path", "symbol_name", "symbol_type", "start_line", "end_line")
+    return code.parse(_scripts(t)).select("file_path", "symbol_name", "symbol_type", "start_line", "end_line")
 
 
 @query("SELECT 'm' || p_partkey || '.js' AS caller_file, unnest(['run' || p_partkey, 'go']) AS caller_name, unnest(['helper' || p_partkey, 'run']) AS callee_name FROM part")
 def script_calls(t):
-    return braces.calls(_scripts(t))
+    return code.parse(_scripts(t), "calls")
 
 
 @query("SELECT 'm' || p_partkey || '.js' AS importer_file, 'lib/' || p_partkey AS module FROM part")
 def script_imports(t):
-    return braces.imports(_scripts(t))
+    return code.parse(_scripts(t), "imports")
+
+
+_GO = """'package p' || chr(10) || 'import (' || chr(10) || '  "fmt"' || chr(10) || '  q "lib/' || p_partkey || '"' || chr(10) || ')' || chr(10) || '// T' || p_partkey || ' is a part.' || chr(10) || 'type T' || p_partkey || '[K any] struct {' || chr(10) || '  Size, Old int' || chr(10) || '  name string' || chr(10) || '}' || chr(10) || 'func (t *T' || p_partkey || '[K]) Go(' || chr(10) || '  a, b int,' || chr(10) || ') (int, error) {' || chr(10) || '  if a > 0 && b > 0 { fmt.Println(`raw {`, help' || p_partkey || '(a)) }' || chr(10) || '  return a, nil' || chr(10) || '}' || chr(10) || 'func main() { new(T' || p_partkey || ').Go(1, 2) }' || chr(10)"""
+
+
+def _go_files(t):
+    return t.part.select(F.concat(F.lit("m"), "p_partkey", F.lit(".go")).alias("file_path"), F.lit("go").alias("language"), F.expr(_GO.replace("chr(10)", "char(10)")).alias("content"))
+
+
+@query("""SELECT 'm' || p_partkey || '.go' AS file_path, 'T' || p_partkey AS qualified_name, 'class' AS symbol_type, 'type T' || p_partkey || ' struct' AS signature, 'T' || p_partkey || ' is a part.' AS docstring, 'Size,Old,name' AS parameters, true AS is_public, false AS is_entrypoint, 7 AS start_line, 10 AS end_line FROM part
+UNION ALL SELECT 'm' || p_partkey || '.go', 'T' || p_partkey || '.Go', 'method', 'func Go(a, b int) (int, error)', '', 'a,b', true, false, 11, 16 FROM part
+UNION ALL SELECT 'm' || p_partkey || '.go', 'main', 'function', 'func main()', '', '', false, true, 17, 17 FROM part""")
+def go_symbols(t):
+    """Symbols of Go files: generic structs with their fields, methods by their receiver, signatures over several lines."""
+    s = code.parse(_go_files(t))
+    return s.select("file_path", "qualified_name", "symbol_type", "signature", "docstring", F.array_join("parameters", ",").alias("parameters"), "is_public", "is_entrypoint", "start_line", "end_line")
+
+
+@query("""SELECT 'm' || p_partkey || '.go' AS caller_file, unnest(['Go', 'Go', 'main', 'main']) AS caller_name, unnest(['Println', 'help' || p_partkey, 'new', 'Go']) AS callee_name FROM part""")
+def go_calls(t):
+    return code.parse(_go_files(t), "calls")
+
+
+@query("SELECT 'm' || p_partkey || '.go' AS importer_file, unnest(['fmt', 'lib/' || p_partkey]) AS module FROM part")
+def go_imports(t):
+    return code.parse(_go_files(t), "imports")
+
+
+_TS = """'/** Part ' || p_partkey || '. */' || chr(10) || '@Injectable({ a: 1 })' || chr(10) || 'export default class K' || p_partkey || '<T extends { a: string }> extends Base<T> {' || chr(10) || '  private rule = /[/}"]+/g;' || chr(10) || '  async go(' || chr(10) || '    n: number,' || chr(10) || '    opts: Array<string> = [],' || chr(10) || '  ): Promise<Map<string, number>> {' || chr(10) || '    return n ? this.run(`}$' || '{fan' || p_partkey || '(`$' || '{inner(n)}`)} {`) : null;' || chr(10) || '  }' || chr(10) || '  field = async (t: T): Promise<void> => {' || chr(10) || '    await later(t);' || chr(10) || '  }' || chr(10) || '}' || chr(10)"""
+
+
+@query("""SELECT 'm' || p_partkey || '.ts' AS file_path, 'K' || p_partkey AS qualified_name, 'class K' || p_partkey || ' extends Base<T>' AS signature, 'Part ' || p_partkey || '.' AS docstring, 'go' AS parameters, true AS is_entrypoint, NULL::INT AS complexity, 3 AS start_line, 14 AS end_line FROM part
+UNION ALL SELECT 'm' || p_partkey || '.ts', 'K' || p_partkey || '.go', 'async go(n: number, opts: Array<string> = ...): Promise<Map<string, number>>', '', 'n,opts', false, 2, 5, 10 FROM part
+UNION ALL SELECT 'm' || p_partkey || '.ts', 'K' || p_partkey || '.field', 'const field = async (t: T): Promise<void> => ...', '', 't', false, 1, 11, 13 FROM part""")
+def typescript_symbols(t):
+    """Classes with decorators and type parameters, signatures over several lines, nested templates, regular expressions, field functions."""
+    rows = t.part.select(F.concat(F.lit("m"), "p_partkey", F.lit(".ts")).alias("file_path"), F.lit("typescript").alias("language"), F.expr(_TS.replace("chr(10)", "char(10)")).alias("content"))
+    return code.parse(rows).select("file_path", "qualified_name", "signature", "docstring", F.array_join("parameters", ",").alias("parameters"), "is_entrypoint", "complexity", "start_line", "end_line")
+
+
+@query("""SELECT 'm' || p_partkey || '.ts' AS caller_file, unnest(['go', 'go', 'go', 'field']) AS caller_name, unnest(['run', 'fan' || p_partkey, 'inner', 'later']) AS callee_name FROM part""")
+def typescript_calls(t):
+    rows = t.part.select(F.concat(F.lit("m"), "p_partkey", F.lit(".ts")).alias("file_path"), F.lit("typescript").alias("language"), F.expr(_TS.replace("chr(10)", "char(10)")).alias("content"))
+    return code.parse(rows, "calls")
 
 
 @query("""WITH p AS (SELECT CASE p_partkey % 5 WHEN 0 THEN 'a/.git/x.py' WHEN 1 THEN 'a/go.sum' WHEN 2 THEN 'a/b.txt' WHEN 3 THEN 'a/.nuxt/c.js' ELSE 'a/B' || p_partkey || '.PY' END AS file_path FROM part)

@@ -1,116 +1,77 @@
-"""Symbols, calls and imports of Python files, by the standard parser, as table functions over (file_path, content)."""
+"""Symbols, calls and imports of source files of all languages that have a reader, as table functions over (file_path, language, content)."""
 
 from __future__ import annotations
 
-import ast
-import hashlib
-from collections.abc import Iterator
-
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-SYMBOLS = """file_path string, symbol_name string, qualified_name string, symbol_type string, parent_class string, signature string,
- docstring string, start_line int, end_line int, complexity int, is_public boolean, is_entrypoint boolean, parameters array<string>, raw_code string, content_hash string, error string"""
-CALLS = "caller_file string, caller_name string, callee_name string"
-IMPORTS = "importer_file string, module string"
-
-#: Decorators that make a function an entry point.
-ENTRY_POINTS = (
-    "app.route", "app.get", "app.post", "app.put", "app.delete", "app.patch", "router.get", "router.post", "router.put", "router.delete",
-    "api_view", "action", "task", "celery_task", "click.command", "click.group", "pytest.fixture",
-)
-
-_DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
-_BRANCHES = (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.Assert)
-
-
-def complexity(node: ast.AST) -> int:
-    """1, and one for each branch, loop, handler and assertion, and for each further operand of and / or."""
-    return 1 + sum(isinstance(x, _BRANCHES) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0) for x in ast.walk(node))
-
-
-def parameters(args: ast.arguments) -> list[str]:
-    """Names with annotations; defaults are only marked, self and cls, positional-only and keyword-only ones left out."""
-    required = len(args.args) - len(args.defaults)
-    shown = [a.arg + (f": {ast.unparse(a.annotation)}" if a.annotation else "") + (" = ..." if i >= required else "") for i, a in enumerate(args.args) if a.arg not in ("self", "cls")]
-    return shown + ([f"*{args.vararg.arg}"] if args.vararg else []) + ([f"**{args.kwarg.arg}"] if args.kwarg else [])
-
-
-def _symbol(path: str, node, kind: str, owner: str | None, text: str) -> tuple:
-    name, is_def = node.name, isinstance(node, _DEFS)
-    own = "\n".join(text.split("\n")[node.lineno - 1 : node.end_lineno])
-    if is_def:
-        shown = parameters(node.args)
-        head = f"{'async ' * isinstance(node, ast.AsyncFunctionDef)}def {name}({', '.join(shown)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
-        shown = [p.split(":")[0].strip() for p in shown]
-    else:
-        shown = [m.name for m in node.body if isinstance(m, _DEFS)]
-        head = f"class {name}" + (f"({', '.join(map(ast.unparse, node.bases))})" if node.bases else "")
-    entry = is_def and (name == "main" or any(ast.unparse(d).lower() in ENTRY_POINTS for d in node.decorator_list))
-    return (path, name, f"{owner}.{name}" if owner else name, kind, owner, head, ast.get_docstring(node), node.lineno, node.end_lineno, complexity(node) if is_def else None, not name.startswith("_"), entry, shown, own, hashlib.sha256(own.encode()).hexdigest()[:16], None)
-
-
-def symbols_of(path: str, text: str) -> Iterator[tuple]:
-    """Functions, classes and methods at the top; a file that can't be parsed gives one row with the error."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError) as e:
-        yield (path, *[None] * 14, str(e))
-        return
-    for node in tree.body:
-        if isinstance(node, _DEFS):
-            yield _symbol(path, node, "function", None, text)
-        elif isinstance(node, ast.ClassDef):
-            yield _symbol(path, node, "class", None, text)
-            yield from (_symbol(path, m, "method", node.name, text) for m in node.body if isinstance(m, _DEFS))
-
-
-def _name(f: ast.AST) -> str | None:
-    """The dotted name that is called; of what begins with ``self`` the name after it; of what begins with no name its attributes."""
-    parts = []
-    while isinstance(f, ast.Attribute):
-        parts.insert(0, f.attr)
-        f = f.value
-    if isinstance(f, ast.Name):
-        if f.id == "self" and parts:
-            return parts[0]
-        parts.insert(0, f.id)
-    return ".".join(parts) or None
-
-
-def calls_of(path: str, text: str) -> Iterator[tuple]:
-    """(file, function, called name), also of nested functions; a function's calls of its own name are left out."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return
-    for node in ast.walk(tree):
-        if isinstance(node, _DEFS):
-            seen = {_name(x.func) for x in ast.walk(node) if isinstance(x, ast.Call)}
-            yield from ((path, node.name, n) for n in sorted(x for x in seen if x and x != node.name))
-
-
-def imports_of(path: str, text: str) -> Iterator[tuple]:
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            yield from ((path, a.name) for a in node.names)
-        elif isinstance(node, ast.ImportFrom) and node.module:
-            yield (path, node.module)
+from .braces import read_go, read_script
+from .python import read_python
+from .symbols import CALLS, IMPORTS, SYMBOLS, Symbol
 
+READERS = {"python": read_python, "javascript": read_script, "typescript": read_script, "go": read_go}
+_STRUCT = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in SYMBOLS.replace("\n", " ").split(",") if c.split()[0] not in ("file_path", "error"))
+PARSED = f"file_path string, language string, symbols array<struct<{_STRUCT}>>, calls array<struct<caller_name: string, callee_name: string>>, imports array<string>, error string"
 
-def parse(files: DataFrame, what: str = "symbols") -> DataFrame:
-    """``symbols``, ``calls`` or ``imports`` of (file_path, content) rows; files of other languages are to be left out before."""
-    rule, schema = {"symbols": (symbols_of, SYMBOLS), "calls": (calls_of, CALLS), "imports": (imports_of, IMPORTS)}[what]
-    names = [x.split()[0] for x in schema.replace("\n", " ").split(",")]
 
-    def run(frames):
-        import pandas as pd
+def parsed(files: DataFrame) -> DataFrame:
+    """One row a file, read once: (file_path, language, symbols, calls, imports, error).
+
+    Without a language column all files are Python. Files of languages without a reader, and empty and null ones, have none of all; a file that
+    can't be read has none but the error.
+    """
+    language = "language" if "language" in files.columns else F.lit("python").alias("language")
+
+    def one(path: str | None, language: str | None, text: str | None) -> dict:
+        found: tuple = ([], [], [])
+        error = None
+        try:
+            if language in READERS and text:
+                found = READERS[language](path or "", text)
+        except (SyntaxError, ValueError, RecursionError) as e:
+            error = str(e) or type(e).__name__
+        symbols = [{k: v for k, v in s._asdict().items() if k not in ("file_path", "error")} for s in found[0]]
+        calls = [{"caller_name": a, "callee_name": b} for _, a, b in found[1]]
+        return {"file_path": path, "language": language, "symbols": symbols, "calls": calls, "imports": [m for _, m in found[2]], "error": error}
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = to_arrow_schema(_parse_datatype_string(PARSED))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                rows = [one(*r) for r in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True)]
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return files.select("file_path", language, "content").mapInArrow(run, PARSED)
+
+
+def symbols_of(rows: DataFrame) -> DataFrame:
+    """SYMBOLS of rows of ``parsed``; a file that can't be read is one row with the error."""
+    inner = rows.select("file_path", F.explode("symbols").alias("s"), F.lit(None).cast("string").alias("error"))
+    names = [n for n in Symbol._fields if n not in ("file_path", "error")]
+    good = inner.select("file_path", *[F.col(f"s.{n}").alias(n) for n in names], "error")
+    kinds = dict(good.dtypes)
+    bad = rows.where("error IS NOT NULL").select("file_path", *[F.lit(None).cast(kinds[n]).alias(n) for n in names], "error")
+    return good.union(bad)
+
+
+def calls_of(rows: DataFrame) -> DataFrame:
+    """CALLS of rows of ``parsed``."""
+    return rows.select(F.col("file_path").alias("caller_file"), F.explode("calls").alias("c")).select("caller_file", "c.caller_name", "c.callee_name")
+
+
+def imports_of(rows: DataFrame) -> DataFrame:
+    """IMPORTS of rows of ``parsed``."""
+    return rows.select(F.col("file_path").alias("importer_file"), F.explode("imports").alias("module"))
+
+
+def parse(files: DataFrame, what: str = "symbols") -> DataFrame:
+    """``symbols``, ``calls`` or ``imports`` of (file_path, content) rows, which may have a language. Who needs several of them stores ``parsed``."""
+    return {"symbols": symbols_of, "calls": calls_of, "imports": imports_of}[what](parsed(files))
 
-        for pdf in frames:
-            rows = [r for p, t in zip(pdf["file_path"], pdf["content"], strict=True) for r in rule(p, t or "")]
-            yield pd.DataFrame(rows, columns=names)
 
-    return files.select("file_path", "content").mapInPandas(run, schema)
+__all__ = ["CALLS", "IMPORTS", "PARSED", "SYMBOLS", "calls_of", "imports_of", "parse", "parsed", "symbols_of"]

@@ -157,16 +157,14 @@ def run():
 
 
 def test_script_and_go_parsers(spark):
-    from palimpsest.sources import braces
-
     ts = "import x from 'left-pad'\nconst y = require(\"./y\")\n\nexport default class Nest extends Base {\n  private eggs = 0 // {\n  hatch(n: number): void {\n    this.warm(n)\n    log.info('}')\n  }\n  cool = async (t) => {\n    fan(t)\n  }\n}\nfunction* walk(a, b) { step(a) }\n"
     go = 'package p\n\nimport (\n\t"fmt"\n\tq "a/b"\n)\n\ntype Nest struct {\n\tEggs int\n}\n\nfunc (n *Nest) Hatch(k int) {\n\tif k > 0 {\n\t\tfmt.Println(k)\n\t}\n}\n\nfunc main() {\n\tnew(Nest).Hatch(1)\n}\n'
     f = spark.createDataFrame([("a.ts", "typescript", ts), ("b.go", "go", go), ("c.py", "python", "def f(): pass"), ("d.js", "javascript", None)], "file_path string, language string, content string")
-    got = {(r["file_path"], r["qualified_name"], r["symbol_type"], r["start_line"], r["end_line"]) for r in braces.symbols(f).collect()}
+    got = {(r["file_path"], r["qualified_name"], r["symbol_type"], r["start_line"], r["end_line"]) for r in code.parse(f.where("language != 'python'")).collect()}
     assert got == {("a.ts", "Nest", "class", 4, 13), ("a.ts", "Nest.hatch", "method", 6, 9), ("a.ts", "Nest.cool", "method", 10, 12), ("a.ts", "walk", "function", 14, 14), ("b.go", "Nest", "class", 8, 10), ("b.go", "Nest.Hatch", "method", 12, 16), ("b.go", "main", "function", 18, 20)}
-    calls = {(r["caller_name"], r["callee_name"]) for r in braces.calls(f).collect()}
+    calls = {(r["caller_name"], r["callee_name"]) for r in code.parse(f, "calls").collect()}
     assert {("hatch", "warm"), ("hatch", "log.info"), ("cool", "fan"), ("walk", "step"), ("Hatch", "Println"), ("main", "Hatch")} <= calls
-    assert {(r["importer_file"], r["module"]) for r in braces.imports(f).collect()} == {("a.ts", "left-pad"), ("a.ts", "./y"), ("b.go", "fmt"), ("b.go", "a/b")}
+    assert {(r["importer_file"], r["module"]) for r in code.parse(f, "imports").collect()} == {("a.ts", "left-pad"), ("a.ts", "./y"), ("b.go", "fmt"), ("b.go", "a/b")}
 
 
 def test_user_text_is_no_pattern(spark):
