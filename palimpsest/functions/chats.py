@@ -5,23 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import page_paragraphs, provider, trimmed
+from .pages import page_messages, page_paragraphs
+from .text import provider
 
 _PAIRS = "array<struct<user_query:string,agent_response:string>>"
-#: Entities that texts of pages have most; the ampersand comes last.
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-
-
-def plain_text(html: Column) -> Column:
-    """Text with tags as line breaks, entities resolved, trimmed."""
-    out = F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", "\n"), r"[ \t]*\n[\s]*", "\n")
-    for name, char in _ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return trimmed(out)
-
-
-def _blocks(html: Column, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), plain_text)
 
 
 def _zipped(users: Column, agents: Column) -> Column:
@@ -30,10 +17,6 @@ def _zipped(users: Column, agents: Column) -> Column:
     return F.transform(both, lambda p: F.struct(p["user_query"].alias("user_query"), p["agent_response"].alias("agent_response")))
 
 
-def _by_role(html: Column, role: str) -> Column:
-    return _blocks(html, rf"(?is)<div\b[^>]*data-message-author-role=[\"']{role}[\"'][^>]*>(.*?)(?=<div\b[^>]*data-message-author-role=|</main|</body|\z)")
-
-
 def _preloaded(html: Column) -> Column:
     """Of a page's preloaded state: each answer with the last question before it, if that has none yet."""
     state = F.regexp_extract(html, r"(?s)__PRELOADED_STATE__\s*=\s*(\{.*?\});", 1)
@@ -51,16 +34,14 @@ def _preloaded(html: Column) -> Column:
 
 
 def chat_pairs(html: Column, url: Column, source_url: Column | None = None) -> Column:
-    """(provider, method, pairs): by message attributes, preloaded state or class names; of unknown pages their long paragraphs as one answer of 10,000 characters at most."""
+    """(provider, method, pairs): by message attributes, preloaded state or class names; of unknown pages their long paragraphs as one answer of
+    10,000 characters at most. A message is its whole element, whatever is nested in it, and nothing behind it."""
     name = provider(url, source_url) if source_url is not None else provider(url)
-    gemini = _zipped(
-        _blocks(html, r"(?is)<(?:message-content\b[^>]*role=[\"']user[\"']|div\b[^>]*class=[\"'][^\"']*\buser-query\b[^\"']*[\"'])[^>]*>(.*?)</(?:message-content|div)>"),
-        _blocks(html, r"(?is)<(?:message-content\b[^>]*role=[\"']model[\"']|div\b[^>]*class=[\"'][^\"']*\bmodel-response\b[^\"']*[\"'])[^>]*>(.*?)</(?:message-content|div)>"),
-    )
+    messages = page_messages(html, name)
     none = F.array().cast(_PAIRS)
-    texts = page_paragraphs(html)
+    texts = page_paragraphs(F.when(name == "unknown", html))
     fallback = F.array(F.struct(F.lit("Extracted text from link").alias("user_query"), F.substring(F.array_join(texts, "\n\n"), 1, 10_000).alias("agent_response")))
-    pairs = F.when(name == "chatgpt", _zipped(_by_role(html, "user"), _by_role(html, "assistant"))).when(name == "claude", _preloaded(html)).when(name == "gemini", gemini).otherwise(F.when(F.size(texts) > 0, fallback).otherwise(none))
+    pairs = F.when(name.isin("chatgpt", "gemini"), _zipped(messages["users"], messages["agents"])).when(name == "claude", _preloaded(html)).otherwise(F.when(F.size(texts) > 0, fallback).otherwise(none))
     pairs = F.coalesce(pairs, none)
     method = F.when(F.size(pairs) == 0, "none").when(name == "claude", "structured").when(name == "unknown", "fallback").otherwise("dom")
     return F.struct(name.alias("provider"), method.alias("method"), pairs.alias("pairs"))

@@ -313,13 +313,6 @@ def keyword_classes(text: Column, words: dict[str, tuple[str, ...]]) -> Column:
     return F.array_compact(F.array(*hits))
 
 
-def page_paragraphs(html: Column, least: int = 51, most: int = 50) -> Column:
-    """Texts of p, div and span elements of a page without further ones in them, of ``least`` characters, distinct, the first ``most``."""
-    inner = F.regexp_extract_all(html, F.lit(r"(?is)<(p|div|span)\b[^>]*>((?:(?!<(?:p|div|span)\b|</(?:p|div|span)>).)*)"), F.lit(2))
-    plain = F.transform(inner, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", ""), r"\s+", " ")))
-    return F.slice(F.array_distinct(F.filter(plain, lambda x: F.length(x) >= least)), 1, most)
-
-
 def ndjson_text(lines: Column) -> Column:
     """The texts of ``{"type": "chunk", "text": ...}`` lines, joined; other and broken lines are left out."""
     rows = F.transform(_lines(lines), lambda x: F.from_json(x, "type string, text string"))

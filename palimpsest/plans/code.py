@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -384,3 +385,14 @@ def json_containment(t):
     rows = t.embeddings.select(F.concat(F.lit("vec-"), "vec_id").alias("id"), meta.alias("m"))
     one = S.contained(F.col("m"), {"a": {"n": 1, "none": None}, "tags": ["x"]})
     return rows.where(one | S.contained(F.col("m"), {"tags": ["l4", "x"]}) | S.contained(F.col("m"), {"a": {"missing": None}})).select("id")
+
+
+@query("""SELECT p_partkey, k IN (0, 1) AS number, k = 2 AS string, k = 3 AS boolean, k = 4 AS null_, k IN (6, 7) AS in_list FROM (SELECT p_partkey, p_partkey % 8 AS k FROM part)""")
+def typed_containment(t):
+    """Values that look alike: 5, 5.0, "5", true, null, a missing key, and lists of them."""
+    values = ["5", "5.0", '"5"', "true", "null", None, '[{"n": 5, "m": 1}, "true"]', '["true", {"n": 5.00}]']
+    k = F.col("p_partkey") % 8
+    meta = reduce(lambda c, i: c.when(k == i, F.lit("{}" if values[i] is None else f'{{"a": {{"b": {values[i]}}}}}')), range(8), F)
+    has = lambda want, name: S.contained(F.col("m"), {"a": {"b": want}}).alias(name)
+    rows = t.part.select("p_partkey", meta.alias("m"))
+    return rows.select("p_partkey", has(5, "number"), has("5", "string"), has(True, "boolean"), has(None, "null_"), has(["true", {"n": 5}], "in_list"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import vocabularies as V
 from ..functions.chunks import chunk_text as _chunks
 from .core import query
 
@@ -118,6 +119,38 @@ def keyword_classes_all(t):
     return t.documents.select("doc_id", X.keyword_classes(F.col("text"), _MORE).alias("classes"))
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _hits_sql(table: str, key: str) -> str:
+    values = ", ".join(f"({_quoted(c)}, {_quoted(p.lower())})" for c, phrases in V.CLASSES.items() for p in phrases)
+    grams = " UNION ALL ".join(f"SELECT id, array_to_string(t[i:i + {n - 1}], ' ') AS gram FROM (SELECT id, t, unnest(range(1, len(t) - {n - 2})) AS i FROM x)" for n in range(1, 6))
+    return f"""WITH v(class, phrase) AS (VALUES {values}), x AS (SELECT {key} AS id, regexp_extract_all(replace(lower(coalesce(text, '')), chr(8217), chr(39)), {_quoted(V.TOKEN)}) AS t FROM {table}), g AS ({grams})
+SELECT id, class, count(*) AS n_hits, count(DISTINCT phrase) AS n_phrases FROM g JOIN v ON gram = phrase GROUP BY id, class"""
+
+
+@query(_hits_sql("documents", "doc_id"))
+def vocabulary_hits(t):
+    """How often phrases of the three vocabularies occur in each document."""
+    return V.phrase_hits(t.documents, V.vocabulary(t.spark), "doc_id")
+
+
+@query(_hits_sql("conversations", "conv_id * 1000 + turn"))
+def vocabulary_hits_of_turns(t):
+    """The same for each turn of the conversations."""
+    return V.phrase_hits(t.conversations.withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), V.vocabulary(t.spark))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN p_partkey % 3 = 0 ELSE true END AS known FROM part""")
+def known_sub_topics(t):
+    """Whether a profile fact's sub-topic belongs to its topic."""
+    k = F.col("p_partkey")
+    topic = F.when(k % 4 == 0, "work").when(k % 4 == 1, "education").when(k % 4 == 2, "interest").otherwise("Basic_Info")
+    sub = F.when(k % 4 == 0, "Company").when(k % 4 == 1, "salary").when((k % 4 == 2) & (k % 3 == 0), "books").when(k % 4 == 2, "email").otherwise("age")
+    return t.part.select("p_partkey", V.known_sub_topic(topic, sub).alias("known"))
+
+
 @query("SELECT c_custkey, regexp_matches(replace(c_name, '#', CASE WHEN c_custkey % 2 = 0 THEN '-' ELSE '#' END), '^[a-zA-Z0-9_-]{3,30}$') AS valid FROM customer")
 def username_rule(t):
     name = F.when(F.col("c_custkey") % 2 == 0, F.replace("c_name", F.lit("#"), F.lit("-"))).otherwise(F.col("c_name"))

@@ -86,7 +86,25 @@ def shared_chat_by_classes(t):
     user = lambda m: F.concat(F.lit("<div class='user-query wide'>is <b>"), F.length(m["text"]).cast("string"), F.lit("</b> &lt; 10 &amp; more</div>"))
     said = lambda m: F.when(m["role"] == "user", user(m)).otherwise(F.concat(F.lit("<message-content role='model'>"), F.length(m["text"]).cast("string"), F.lit("</message-content>")))
     out = _pairs(_page(t, said), F.col("body"), "https://gemini.google.com/share/2")
-    return out.withColumn("user_query", F.replace("user_query", F.lit("\n"), F.lit(" ")))
+    return out.withColumn("user_query", F.regexp_replace("user_query", r"\s*\n\s*", " "))
+
+
+@query(f"""WITH {_QA} SELECT q.conv_id, 'chatgpt' AS provider, 'dom' AS method, q.i, 'Q' || length(q.text) || chr(10) || 'nested' || chr(10) || 'tail' AS user_query, CAST(length(a.text) AS VARCHAR) AS agent_response FROM q JOIN a USING (conv_id, i)""")
+def shared_chat_with_bars(t):
+    """Pages as they are: blocks nested in messages, scripts within, void tags, and bars of buttons behind each message."""
+    inner = lambda m: F.when(m["role"] == "user", F.concat(F.lit("Q"), F.length(m["text"]).cast("string"), F.lit("<div><div class='quote'>nested</div><img src='x'></div>tail<script>var a = '</div';</script>"))).otherwise(F.length(m["text"]).cast("string"))
+    said = lambda m: F.concat(F.lit("<section><div data-message-author-role='"), m["role"], F.lit("'>"), inner(m), F.lit("</div><div class='toolbar'><span>Copy</span><span>Share</span></div></section>"))
+    return _pairs(_page(t, said), F.concat(F.lit("<html><body><main>"), "body", F.lit("</main><footer>Made with care</footer></body></html>")), "https://chatgpt.com/share/4")
+
+
+@query("""SELECT doc_id, 'head ' || repeat('a', 60) || chr(10) || 'inner ' || doc_id || chr(10) || 'behind it' AS first, 2::BIGINT AS n FROM documents""")
+def page_texts(t):
+    """Long paragraphs of pages, each with all that is in it: what follows an inner element isn't lost."""
+    from ..functions.pages import page_paragraphs
+
+    html = F.concat(F.lit("<p>head " + "a" * 60 + " <span>inner "), "doc_id", F.lit("</span> behind it</p><div>short</div><div><div><p>" + "b" * 70 + "</p></div></div>"))
+    rows = t.documents.select("doc_id", page_paragraphs(html).alias("p"))
+    return rows.select("doc_id", F.col("p")[0].alias("first"), F.size("p").cast("long").alias("n"))
 
 
 @query("""WITH s AS (SELECT conv_id, turn, role, lag(role) OVER w AS before, lag(turn) OVER w AS t0 FROM conversations WHERE role != 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))

@@ -1,8 +1,14 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
+from palimpsest.functions import vocabularies as V
+from palimpsest.functions.chats import chat_pairs
 from palimpsest.functions.chunks import chunks_of
+from palimpsest.functions.pages import Page, page_paragraphs
+from palimpsest.operators.search import contained
 
 
 def one(spark, column, **values):
@@ -107,7 +113,50 @@ def test_chunks():
 
 def test_page_paragraphs(spark):
     page = "<div><p>" + "a" * 60 + "</p><p>short</p><span>" + "a" * 60 + "</span><div>" + "b" * 70 + "</div></div>"
-    assert one(spark, X.page_paragraphs(F.col("a")), a=page) == ["a" * 60, "b" * 70]
+    whole = "\n".join(["a" * 60, "short", "a" * 60, "b" * 70])
+    assert one(spark, page_paragraphs(F.col("a")), a=page) == [whole, "a" * 60, "b" * 70]
+    assert one(spark, page_paragraphs(F.col("a")), a="<p>first part of it <span>inner</span> second part of it, which isn't lost") == ["first part of it\ninner\nsecond part of it, which isn't lost"]
+    assert one(spark, page_paragraphs(F.col("a")), a=None) == [] and one(spark, page_paragraphs(F.col("a")), a="") == []
+    assert len(one(spark, page_paragraphs(F.col("a")), a="".join(f"<p>{i} {'x' * 60}" + "</p>" for i in range(90)))) == 50
+
+
+def pairs(spark, html, url):
+    c = one(spark, chat_pairs(F.col("a"), F.lit(url)), a=html)
+    return c["method"], [tuple(p) for p in c["pairs"]]
+
+
+def test_chat_pages_as_they_are(spark):
+    bar = '<div class="toolbar">Copy</div>'
+    page = f'<main><div data-message-author-role="user">Q1</div>{bar}<div data-message-author-role="assistant"><p>A<br>1</p><p>more<script>x < 1</script></div>{bar}<div data-message-author-role="user">Q2</div></main><footer>Share</footer>'
+    assert pairs(spark, page, "https://chatgpt.com/share/1") == ("dom", [("Q1", "A\n1\nmore")])
+    page = '<div class="user-query">Q <div>nested</div> tail</div><div class="x model-response y"><div>A</div></div></div>behind<message-content role=user>Q2 &amp; &#60;</message-content><div class="model-responses">no</div>'
+    assert pairs(spark, page, "https://gemini.google.com/share/1") == ("dom", [("Q \nnested\n tail", "A")])
+    assert pairs(spark, "<div", "https://chatgpt.com/share/1") == pairs(spark, None, "https://chatgpt.com/share/1") == ("none", [])
+    assert pairs(spark, "<p>" + "y" * 80, "https://example.org") == ("fallback", [("Extracted text from link", "y" * 80)])
+    began = time.time()
+    assert len(Page("<div><p>a" * 100_000 + "</span>" * 100_000).elements) == 200_000 and time.time() - began < 10
+
+
+def test_phrases(spark):
+    texts = spark.createDataFrame([(1, "My NAME is Ada. I’m a C++ and c# fan; the CI/CD pipeline, CI/CD!"), (2, None), (3, ""), (4, "the other day at 5 o'clock, today"), (4, "today")], "id int, text string")
+    got = {(r["id"], r["class"]): (r["n_hits"], r["n_phrases"]) for r in V.phrase_hits(texts, V.vocabulary(spark)).collect()}
+    assert got == {(1, "profile"): (2, 2), (1, "code"): (5, 4), (4, "event"): (4, 3)}
+    own = spark.createDataFrame([("x", "a b"), ("x", "a b"), ("y", "a b"), ("z", None)], "class string, phrase string")
+    assert {(r["class"], r["n_hits"]) for r in V.phrase_hits(spark.createDataFrame([(1, "A b a b")], "id int, text string"), own).collect()} == {("x", 2), ("y", 2)}
+    assert V.topic_list().startswith("- basic_info\n  - Name\n  - Age(integer)\n") and V.topic_list().endswith("\n...")
+
+
+def test_containment_by_type(spark):
+    has = lambda doc, want: one(spark, contained(F.col("a"), want), a=doc)
+    for doc, want, found in (
+        ('{"a": 5}', {"a": 5}, True), ('{"a": 5.0}', {"a": 5}, True), ('{"a": 5}', {"a": 5.0}, True), ('{"a": "5"}', {"a": 5}, False), ('{"a": 5}', {"a": "5"}, False),
+        ('{"a": true}', {"a": True}, True), ('{"a": "true"}', {"a": True}, False), ('{"a": true}', {"a": "true"}, False), ('{"a": 1}', {"a": True}, False), ('{"a": true}', {"a": 1}, False),
+        ('{"a": null}', {"a": None}, True), ("{}", {"a": None}, False), ('{"a": "null"}', {"a": None}, False), ('{"a": 12345678901234567}', {"a": 12345678901234568}, False),
+        ('{"a": [1, "2"]}', {"a": ["1"]}, False), ('{"a": [1, "2"]}', {"a": ["2", 1.0]}, True), ('{"a": [{"b": 1, "c": 2}]}', {"a": [{"b": 1}]}, True), ('{"a": [[1, 2], 3]}', {"a": [[2]]}, True),
+        ('{"a": {"b": 1}}', {"a": {}}, True), ('{"a": []}', {"a": {}}, False), ('{"a": {}}', {"a": []}, False), ('{"a": 1e2}', {"a": 100}, True), ('{"a.b\'c": {"d\\"": 1}}', {"a.b'c": {'d"': 1}}, True),
+        ("no json", {}, False), (None, {}, False), ("{}", {}, True), ('{"a": 0.1}', {"a": 0.1}, True), ("[1]", {"a": 1}, False),
+    ):
+        assert has(doc, want) is found, (doc, want)
 
 
 def test_documents_of_all_languages_get_classes(spark):
