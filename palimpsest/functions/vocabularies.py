@@ -59,8 +59,8 @@ SUB_TOPICS = {
 #: What a token is: letters and digits, joined by single apostrophes and slashes, and plus and number signs behind them.
 TOKEN = r"[\p{L}\p{N}]+(?:['/][\p{L}\p{N}]+)*[+#]*"
 
-#: Phrases that are broadcast at most; they have few tokens each.
-BROADCAST_PHRASES = 200_000
+#: Phrases that are broadcast at most, of few tokens each, and different first tokens of theirs.
+BROADCAST_PHRASES, BROADCAST_HEADS = 200_000, 10_000
 
 
 def tokens(text: Column) -> Column:
@@ -79,16 +79,19 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, id_col: str = "id", text_c
     """(id, class, n_hits, n_phrases): how often phrases of each class occur in a text, and how many different ones; texts without any have no rows.
 
     phrases: (class, phrase) of at most ``longest`` tokens each; a table of any size, broadcast up to a counted bound. A text is tokenised once; its n-grams of each
-    length are hashed and joined with the hashes of the phrases, then compared. So the work doesn't grow with the number of phrases.
+    length, from places where a phrase may begin, are hashed and joined with the hashes of the phrases, then compared. So the work doesn't grow with the number of phrases.
     Only hits are ever shuffled. Phrases overlap: each of them counts wherever it begins.
     """
-    rows = texts.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    gram = lambda n: F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))
-    none = F.array().cast("array<string>")
-    grams = F.flatten(F.array(*[F.when(F.size("t") >= n, gram(n)).otherwise(none) for n in range(1, longest + 1)]))
-    rows = rows.select("id", F.explode(grams).alias("gram")).withColumn("hash", F.xxhash64("gram"))
-    known = phrases.select("class", "phrase").distinct().withColumn("hash", F.xxhash64("phrase"))
-    small = known.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES
+    known = phrases.select("class", "phrase").where("phrase IS NOT NULL").distinct().withColumn("hash", F.xxhash64("phrase"))
+    heads = known.select(F.substring_index("phrase", " ", 1).alias("head")).distinct().limit(BROADCAST_HEADS + 1).toArrow()["head"].to_pylist()
+    small = len(heads) <= BROADCAST_HEADS and known.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES
+    rows = texts.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0)
+    starts = F.sequence(F.lit(1), F.size("t"))
+    if small:  # n-grams that no phrase begins like aren't made
+        starts = F.filter(starts, lambda i: F.element_at("t", i).isin(heads))
+    gram = lambda i, n: F.when(i + (n - 1) <= F.size("t"), F.array_join(F.slice("t", i, n), " "))
+    grams = F.flatten(F.transform(starts, lambda i: F.array(*[gram(i, n) for n in range(1, longest + 1)])))
+    rows = rows.select("id", F.explode(grams).alias("gram")).where("gram IS NOT NULL").withColumn("hash", F.xxhash64("gram"))
     hits = rows.join(F.broadcast(known) if small else known.hint("merge"), "hash").where(F.col("gram") == F.col("phrase"))
     return hits.groupBy("id", "class").agg(F.count(F.lit(1)).alias("n_hits"), F.count_distinct("phrase").alias("n_phrases"))
 

@@ -120,34 +120,69 @@ def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
 
 
 def rate_limit(df: DataFrame, key: str, ts: str, order: str, most: int, window_seconds: int) -> DataFrame:
-    """(key, order, allowed): at most ``most`` allowed hits in any window; hits that are refused don't count.
+    """(key, order, allowed): at most ``most`` allowed hits in any window; hits that are refused don't count. Null keys are one key;
+    hits without a time are refused.
 
-    What is allowed depends on what was allowed before, so each key's hits are gone through in order; a key's state is
-    at most ``most`` times, whatever its number of hits, as rows stream by sorted by key and time.
+    What is allowed depends on what was allowed before, but nothing before a pause of a window or more matters: a key's hits are cut
+    there, so that a hot key is many segments, dealt to as many tasks. Pauses are found without its hits in one place: within a
+    window's length of time there is none, so the first and last hit of each such slot tell them all. Hits of a
+    segment stream by in order; its state is at most ``most`` times.
     """
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, allowed boolean"
-    rows = df.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).repartition(key).sortWithinPartitions(key, "us", order)
+    kind = f"{key} {df.schema[key].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, allowed boolean"
+    span = window_seconds * 1_000_000
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    hits = df.select(F.col(key).alias("k"), F.col(order).alias("o"), us.alias("us"), F.floor(us / F.lit(span)).cast("long").alias("slot"))
+    slots = hits.groupBy("k", "slot").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    before = W.partitionBy("k").orderBy(F.asc_nulls_first("slot"))
+    pause = (F.col("first") - F.lag("last").over(before) >= span).cast("int")
+    slots = slots.withColumn("pause", F.coalesce(pause, F.lit(0))).withColumn("segment", F.sum("pause").over(before))
+    slots = slots.select(F.col("k").alias("k2"), F.col("slot").alias("slot2"), "segment")
+    both = hits.join(slots, F.col("k").eqNullSafe(F.col("k2")) & F.col("slot").eqNullSafe(F.col("slot2")))
+    rows = both.select("k", "o", "us", "segment", F.col("k").isNull().alias("none"), F.coalesce(F.col("k").cast("string"), F.lit("")).alias("name"))
+    rows = rows.repartition("name", "none", "segment").sortWithinPartitions("name", "none", "segment", "us", "o")
 
     def run(frames):
         from collections import deque
 
-        now, hits = object(), deque()
+        import pandas as pd
+
+        now, past = None, deque()
         for pdf in frames:
             out = []
-            for k, us in zip(pdf[key], pdf["us"], strict=True):
-                if k != now:
-                    now, hits = k, deque()
-                while hits and us - hits[0] >= window_seconds * 1_000_000:
-                    hits.popleft()
-                out.append(len(hits) < most)
+            for at in zip(pdf["name"], pdf["none"], pdf["segment"], pdf["us"], strict=True):
+                if at[:3] != now:
+                    now, past = at[:3], deque()
+                while past and at[3] - past[0] >= span:
+                    past.popleft()
+                out.append(at[3] == at[3] and len(past) < most)
                 if out[-1]:
-                    hits.append(us)
-            yield pdf[[key, order]].assign(allowed=out)
+                    past.append(at[3])
+            yield pd.DataFrame({key: pdf["k"], order: pdf["o"], "allowed": out})
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, kind)
 
 
 def scan_estimate(size_mb: Column, base_s: float = 45.0, s_per_mb: float = 8.0, calls_per_mb: float = 15.0, tokens_per_call: int = 256, enrich_tokens_per_mb: int = 12_000) -> Column:
     """Expected seconds, embedding calls and tokens of a repository scan."""
     calls = F.ceil(size_mb * calls_per_mb)
     return F.struct((F.lit(base_s) + size_mb * s_per_mb).alias("seconds"), calls.alias("embedding_calls"), (calls * tokens_per_call).alias("embedding_tokens"), F.ceil(size_mb * enrich_tokens_per_mb).alias("enrich_tokens"))
+
+
+def rollup(events: DataFrame, keys: tuple[str, ...], ts: str = "ts", user: str = "user_id", value: str = "value", failed: Column | None = None, unit: str = "hour") -> DataFrame:
+    """(bucket, *keys, n, errors, total, users, values): a row a unit of time, which any window may be merged from.
+
+    ``users`` is a sketch of the distinct users (HyperLogLog, 4096 registers: 2.3 % standard error), ``values`` one of the values
+    (KLL of size 200: ranks within 1.65 % with 99 % certainty); both have a bounded size whatever the number of events.
+    """
+    failed = F.lit(False) if failed is None else failed
+    person = F.col(user).cast("string")
+    aggregates = [F.count(F.lit(1)).alias("n"), F.count(F.when(failed, 1)).alias("errors"), F.sum(value).alias("total"), F.hll_sketch_agg(F.nullif(person, F.lit("")), 12).alias("users"), F.kll_sketch_agg_double(F.col(value).cast("double")).alias("values")]
+    return events.groupBy(F.date_trunc(unit, F.col(ts).cast("timestamp")).alias("bucket"), *keys).agg(*aggregates)
+
+
+def merged(rollups: DataFrame, keys: tuple[str, ...] = (), quantiles: tuple[float, ...] = (0.5, 0.95), where: Column | None = None) -> DataFrame:
+    """(*keys, n, errors, mean, users, q50, q95, ...) of rollups, of those that ``where`` chooses: counts and means exactly, users and quantiles by their sketches."""
+    rows = rollups if where is None else rollups.where(where)
+    out = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.sum("total").alias("__total"), F.hll_union_agg("users").alias("__users"), F.kll_merge_agg_double("values").alias("__values"))
+    marks = [F.kll_sketch_get_quantile_double("__values", F.lit(q)).alias(f"q{q * 100:g}") for q in quantiles]
+    return out.select(*keys, "n", "errors", (F.col("__total") / F.col("n")).alias("mean"), F.hll_sketch_estimate("__users").alias("users"), *marks)

@@ -205,3 +205,8 @@ def new_names(wanted: DataFrame, taken: DataFrame, pattern: str = "^[a-zA-Z0-9_-
 
 def per_user(df: DataFrame, user: str, n: int, *order: Column) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(W.partitionBy(user).orderBy(*order))).where(F.col("rn") <= n)
+
+
+def accessed(events: DataFrame, user: str = "user_id", path: str = "path") -> DataFrame:
+    """(user, path): the distinct paths of each known user."""
+    return events.where(F.col(user).isNotNull()).select(user, path).distinct()

@@ -208,3 +208,32 @@ def catalog_text(topics: DataFrame) -> DataFrame:
 def answer(*lanes: DataFrame) -> DataFrame:
     """Records of several lanes, in their order (column ``lane``)."""
     return reduce(DataFrame.unionByName, [lane.withColumn("lane", F.lit(i)) for i, lane in enumerate(lanes)])
+
+
+def directory_summary(directories: DataFrame, files: DataFrame, path: str) -> DataFrame:
+    """One record: a directory's summary, the directories below it and the files right in it, in order; named with or without its slash.
+
+    directories: (dir_path with a slash behind it, file_count, summary), files: (file_path, summary). Without a summary that is all that is said.
+    """
+    plain = path.rstrip("/") + "/" if path != "/" else "/"
+    said = lambda c: F.coalesce(_given(c), F.lit("(no summary)"))
+    own = directories.where(F.col("dir_path").isin(path, plain) & _given("summary").isNotNull()).select(F.lit(0).alias("part"), F.col("dir_path").alias("at"), F.concat(F.lit("## Directory `"), "dir_path", F.lit("` Summary\n"), "summary").alias("line"))
+    below = directories.where(F.startswith("dir_path", F.lit(plain)) & (F.col("dir_path") != plain))
+    below = below.select(F.lit(1).alias("part"), F.col("dir_path").alias("at"), F.concat(F.lit("- `"), "dir_path", F.lit("` ("), F.coalesce("file_count", F.lit(0)).cast("string"), F.lit(" files): "), said("summary")).alias("line"))
+    inside = files.where(graph.parent(F.col("file_path")) == plain).select(F.lit(2).alias("part"), F.col("file_path").alias("at"), F.concat(F.lit("- `"), "file_path", F.lit("`: "), said("summary")).alias("line"))
+    lines = own.union(below).union(inside).groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("lines"))
+    part = lambda i, head: F.array_join(F.flatten(F.collect_list(F.when(F.col("part") == i, F.concat(F.array(*[F.lit(h) for h in head]), "lines")))), "\n")
+    parts = lines.agg(part(0, []).alias("own"), part(1, ["\n### Subdirectories:"]).alias("below"), part(2, ["\n### Files in this directory:"]).alias("inside"))
+    there = F.col("own") != ""
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    content = F.when(there, F.concat_ws("\n", some("own"), some("below"), some("inside"))).otherwise(F.lit(f"No summary found for directory `{path}`."))
+    return parts.select(F.lit("directory_summary").alias("domain"), content.alias("content"), F.when(there, 1.0).otherwise(0.0).alias("score"))
+
+
+def file_summaries(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """A record for each of ``paths`` (file_path): its file's summary, or that there is none."""
+    known = files.where(_given("summary").isNotNull()).groupBy("file_path").agg(F.min("summary").alias("summary"))
+    both = paths.select("file_path").join(known, "file_path", "left")
+    there = F.col("summary").isNotNull()
+    content = F.when(there, F.concat(F.lit("File `"), "file_path", F.lit("` Summary: "), "summary")).otherwise(F.concat(F.lit("No summary found for file `"), "file_path", F.lit("`.")))
+    return both.select(F.lit("file_summary").alias("domain"), content.alias("content"), F.when(there, 1.0).otherwise(0.0).alias("score"))

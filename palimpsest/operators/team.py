@@ -7,6 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import topic_of
@@ -75,3 +76,29 @@ def neighbour_block(item: Column, rows: Column) -> Column:
     """The stored rows nearest to an item, as lines ``id | score | text`` for a judge; rows: array<(id, score, content)>."""
     lines = F.transform(rows, lambda r: F.format_string("%s | %.3f | %s", r["id"].cast("string"), r["score"].cast("double"), r["content"]))
     return F.concat(F.lit("NEW: "), item, F.lit("\n"), F.when(F.size(rows) > 0, F.array_join(lines, "\n")).otherwise("(none)"))
+
+
+#: Lanes of an ingested turn, and those that a team chat leaves to its annotations.
+LANES, TEAM_OFF = ("profile", "temporal", "summary", "code", "snippet", "image"), ("code", "snippet")
+
+
+def relevant_memory(sources: DataFrame, top_k: int = 5, limit: int = 5) -> DataFrame:
+    """(user_id, rank, domain, content, score): each user's best sources of a question, ``top_k`` of them, but one at least and ``limit`` at most.
+
+    sources: (user_id, id, domain, content, score); users without any have no rows.
+    """
+    k = min(limit, max(1, min(top_k, limit)))
+    w = W.partitionBy("user_id").orderBy(F.desc_nulls_last("score"), "id")
+    return sources.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("user_id", "rank", "domain", "content", "score")
+
+
+def ingestible(turns: DataFrame, off: tuple[str, ...] = TEAM_OFF) -> DataFrame:
+    """The turns (turn_id, user_id, query, answer) as they are stored: (turn_id, user_id, user_query, agent_response, lanes, error).
+
+    A turn that says nothing on both sides is an error; an empty answer is an acknowledgement. ``lanes`` are all but those switched off.
+    """
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    empty = blank("query") & blank("answer")
+    lanes = F.array(*[F.lit(x) for x in LANES if x not in off])
+    answer = F.when(F.coalesce("answer", F.lit("")) == "", "Acknowledged.").otherwise(F.col("answer"))
+    return turns.select("turn_id", "user_id", F.coalesce("query", F.lit("")).alias("user_query"), answer.alias("agent_response"), F.when(~empty, lanes).alias("lanes"), F.when(empty, "empty conversation").alias("error"))

@@ -263,3 +263,37 @@ def annotations_of_a_symbol(t):
 
     rows = t.customer.select(F.col("c_custkey").alias("annotation_id"), F.lit("symbol").alias("target_kind"), F.col("c_mktsegment").alias("target"), F.when(F.col("c_custkey") % 5 == 1, "active").otherwise("resolved").alias("status"), F.col("c_acctbal").alias("created_at"))
     return E.annotations_of(rows, "symbol", "BUILDING", "active").select("annotation_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE contains(lower(c_name), '00012') OR contains(lower(c_mktsegment), 'auto')")
+def repo_search(t):
+    """Repositories whose organisation or name has the text, in any case."""
+    rows = t.customer.select("c_custkey", F.col("c_name").alias("org_id"), F.col("c_mktsegment").alias("repo"))
+    one, other = C.matching(rows, ["org_id"], "00012"), C.matching(rows, ["repo"], "AuTo")
+    return one.union(other).select("c_custkey").distinct()
+
+
+@query("SELECT DISTINCT user_id, event_type AS path FROM events WHERE user_id IS NOT NULL")
+def accessed_paths(t):
+    """The distinct paths that each user has called."""
+    return C.accessed(t.events.withColumnRenamed("event_type", "path"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'Z' WHEN o_orderkey % 11 = 0 THEN 'Y' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 13 != 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0
+UNION ALL SELECT -1, 'new'""")
+def snapshot_batches(t):
+    """A table in buckets after three batches, each of which was applied twice: deletions, changes and additions."""
+    from ..operators.reconcile import delete
+    from ..operators.snapshots import Snapshot
+    from ..workspace import Workspace
+
+    orders = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    s = Snapshot(t.spark, Workspace(t.spark, "snapshot-table").at, ["o_orderkey"], buckets=8)
+    s.create(orders)
+    some = lambda m, v: orders.where(F.col("o_orderkey") % m == 0).withColumn("status", F.lit(v))
+    new = t.spark.range(1).select(F.lit(-1).cast("long").alias("o_orderkey"), F.lit("new").alias("status"))
+    for _ in range(2):
+        s.apply(some(13, None), "first", lambda old, b: delete(old, b, ["o_orderkey"]))
+        s.apply(some(11, "Y").where(F.col("o_orderkey") % 7 != 0), "second")
+        s.apply(some(7, "Z").union(new), "third")
+    return s.rows()

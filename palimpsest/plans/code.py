@@ -396,3 +396,24 @@ def typed_containment(t):
     has = lambda want, name: S.contained(F.col("m"), {"a": {"b": want}}).alias(name)
     rows = t.part.select("p_partkey", meta.alias("m"))
     return rows.select("p_partkey", has(5, "number"), has("5", "string"), has(True, "boolean"), has(None, "null_"), has(["true", {"n": 5}], "in_list"))
+
+
+_DIRS = f"SELECT regexp_extract(file_path, '^(.*/)[^/]+$', 1) AS dir_path, count(*) AS file_count FROM ({_FILES}) GROUP BY 1"
+
+
+@query(f"""WITH f AS ({_FILES}), d AS ({_DIRS})
+SELECT 'directory_summary' AS domain, '## Directory `asia/` Summary' || chr(10) || 'All of it'
+|| (SELECT chr(10) || chr(10) || '### Subdirectories:' || chr(10) || string_agg('- `' || dir_path || '` (' || file_count || ' files): (no summary)', chr(10) ORDER BY dir_path) FROM d WHERE starts_with(dir_path, 'asia/') AND dir_path != 'asia/')
+|| coalesce((SELECT chr(10) || chr(10) || '### Files in this directory:' || chr(10) || string_agg('- `' || file_path || '`: ' || language, chr(10) ORDER BY file_path) FROM f WHERE regexp_extract(file_path, '^(.*/)[^/]+$', 1) = 'asia/'), '') AS content, 1.0::DOUBLE AS score""")
+def directory_summary(t):
+    """A directory with a summary, those below it, and the files in it."""
+    files_ = _files(t).withColumn("summary", F.col("language"))
+    d = files_.groupBy(G.parent(F.col("file_path")).alias("dir_path")).agg(F.count(F.lit(1)).alias("file_count")).where("dir_path != 'asia/'").withColumn("summary", F.lit(None).cast("string"))
+    own = t.spark.range(1).select(F.lit("asia/").alias("dir_path"), F.lit(0).cast("long").alias("file_count"), F.lit("All of it").alias("summary"))
+    return E.directory_summary(d.union(own), files_, "asia")
+
+
+@query(f"""SELECT 'file_summary' AS domain, CASE WHEN symbol_count % 2 = 0 THEN 'File `' || file_path || '` Summary: ' || language ELSE 'No summary found for file `' || file_path || '`.' END AS content, CASE WHEN symbol_count % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM ({_FILES})""")
+def file_summary_records(t):
+    f = _files(t)
+    return E.file_summaries(f.withColumn("summary", F.when(F.col("symbol_count") % 2 == 0, F.col("language")).otherwise("")), f)

@@ -78,12 +78,12 @@ def metadata_lookup(t):
 
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id IN (3, 5, 8, 1000000)")
 def get_by_ids(t):
-    return t.embeddings.where(F.col("vec_id").isin(3, 5, 8, 1_000_000)).select("vec_id", "label")
+    return search.by_ids(t.embeddings, [3, 5, 8, 1_000_000], "vec_id").select("vec_id", "label")
 
 
 @query("SELECT CAST(label AS VARCHAR) AS namespace, count(*) AS n FROM embeddings GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM embeddings")
 def namespace_stats(t):
-    return t.embeddings.rollup(F.col("label").cast("string").alias("namespace")).count().withColumnRenamed("count", "n")
+    return search.namespaces(t.embeddings, "label")
 
 
 @query("""SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS term FROM documents)
@@ -209,3 +209,22 @@ def lanes_of_an_answer(t):
     snippets = search.top(t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("content"), F.col("lang").alias("language"), F.lit("").alias("code_snippet"), F.col("n_chars").alias("score")), E.LANES["snippet"], F.desc("score"), F.asc("id"))
     summaries = search.top(t.benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("content"), F.length("text").alias("score")), E.LANES["summary"], F.desc("score"), F.asc("id"))
     return E.answer(E.snippets(snippets), E.summaries(summaries)).select("domain", "id", "lane")
+
+
+@query("SELECT CAST(n AS BIGINT) AS n, label FROM (SELECT count(*) AS n, 3 AS label FROM embeddings WHERE label = 3 UNION ALL SELECT count(*), NULL FROM embeddings UNION ALL SELECT 0, 1000)")
+def namespace_count(t):
+    """Vectors of one namespace, of all, and of an unknown one."""
+    parts = [search.count_in(t.embeddings, x, "label").withColumn("label", F.lit(x).cast("int")) for x in (3, None, 1000)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("""SELECT e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 4) q
+WHERE e.label != 2 ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 15""")
+def knn_pruned(t):
+    """Exact nearest vectors out of an index of clusters, of which those too far away aren't read; filtered before the ranking."""
+    from ..operators import vector_index as V
+    from ..workspace import Workspace
+
+    query = _vector(t, 4)
+    index = V.build(t.embeddings, Workspace(t.spark, "vector-index").at, len(query), "vec_id")
+    return index.nearest(query, 15, where=F.col("label") != 2).select("id", F.round("score", 6).alias("score"))

@@ -78,3 +78,53 @@ def topic_catalog_text(t):
 def neighbour_blocks(t):
     near = F.when(F.col("n_regionkey") == 0, F.array().cast("array<struct<id:int,score:double,content:string>>")).otherwise(F.array(F.struct(F.col("n_regionkey").alias("id"), (F.col("n_nationkey") / 7.0).alias("score"), F.lit("old").alias("content"))))
     return t.nation.select(F.col("n_nationkey").alias("item"), T.neighbour_block(F.col("n_name"), near).alias("block"))
+
+
+_TURNS = """SELECT p_partkey AS turn_id, p_size AS project_id, p_brand AS repo, 'u' || (p_partkey % 5) AS user_id, CASE p_partkey % 4 WHEN 0 THEN 'manager' WHEN 1 THEN 'sde2' WHEN 2 THEN 'intern' END AS role, CASE WHEN p_partkey % 3 = 0 THEN ' fix: ' || p_type || ' ' ELSE p_name END AS query FROM part"""
+
+
+def _turns(t):
+    k = F.col("p_partkey")
+    role = F.when(k % 4 == 0, "manager").when(k % 4 == 1, "sde2").when(k % 4 == 2, "intern")
+    said = F.when(k % 3 == 0, F.concat(F.lit(" fix: "), "p_type", F.lit(" "))).otherwise(F.col("p_name"))
+    return t.part.select(k.alias("turn_id"), F.col("p_size").alias("project_id"), F.lit("o").alias("org_id"), F.col("p_brand").alias("repo"), F.concat(F.lit("u"), k % 5).alias("user_id"), F.lit(None).cast("string").alias("user_name"), role.alias("role"), said.alias("query"), F.lit(None).cast("string").alias("file_path"), F.lit("f").alias("symbol_name"))
+
+
+def _found(text: str) -> list[tuple]:
+    """An agent that finds what stands behind the word fix."""
+    return [(text.split(":", 1)[1], "fix", None, None, None, None, None)] if text.startswith("fix:") else []
+
+
+@query(f"""SELECT turn_id, project_id, user_id AS author_name, role AS author_role, trim(substr(trim(query), 5)) AS content, 'fix' AS annotation_type, 'f' AS symbol_name, repo FROM ({_TURNS}) WHERE role IN ('manager', 'sde2') AND starts_with(trim(query), 'fix:')""")
+def annotations_extracted(t):
+    """Annotations of members that may annotate, by an agent that sees each distinct text once."""
+    from ..operators import agents
+
+    turns = _turns(t)
+    made = agents.annotations(turns, _found)
+    ids = turns.select("turn_id", F.substring(F.sha2(F.concat_ws("\x00", F.col("turn_id").cast("string"), F.trim(F.substring(F.trim("query"), 5, 1000))), 256), 1, 16).alias("annotation_id"))
+    return made.join(ids, "annotation_id").select("turn_id", "project_id", "author_name", "author_role", "content", "annotation_type", "symbol_name", "repo")
+
+
+@query(f"""WITH n AS (SELECT project_id, count(*) AS n FROM ({_TURNS}) WHERE role IN ('manager', 'sde2') AND starts_with(trim(query), 'fix:') GROUP BY 1)
+SELECT p.project_id, CAST(p.project_id * 10 + coalesce(n.n, 0) AS BIGINT) AS annotation_count FROM (SELECT DISTINCT p_size AS project_id FROM part) p LEFT JOIN n USING (project_id)""")
+def annotation_counts(t):
+    """Counts of projects go up by the annotations created for them."""
+    from ..operators import agents
+
+    projects = t.part.select(F.col("p_size").alias("project_id")).distinct().withColumn("annotation_count", F.col("project_id").cast("long") * 10)
+    return agents.counted(projects, agents.annotations(_turns(t), _found)).select("project_id", "annotation_count")
+
+
+@query("""SELECT 'u' || c_nationkey AS user_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank, lower(c_mktsegment) AS domain, c_name AS content, c_acctbal AS score FROM customer QUALIFY rank <= 5""")
+def team_memory(t):
+    """Each user's five best sources, however many are asked for."""
+    sources = t.customer.select(F.concat(F.lit("u"), "c_nationkey").alias("user_id"), F.col("c_custkey").alias("id"), F.lower("c_mktsegment").alias("domain"), F.col("c_name").alias("content"), F.col("c_acctbal").alias("score"))
+    return T.relevant_memory(sources, top_k=20).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""SELECT conv_id * 1000 + turn AS turn_id, CASE WHEN role = 'user' THEN text ELSE '' END AS user_query, CASE WHEN role = 'assistant' AND text != '' THEN text ELSE 'Acknowledged.' END AS agent_response, CASE WHEN role = 'system' OR trim(text) = '' THEN NULL ELSE 'profile,temporal,summary,image' END AS lanes, CASE WHEN role = 'system' OR trim(text) = '' THEN 'empty conversation' END AS error FROM conversations""")
+def team_ingest(t):
+    """Turns as they are stored with the lanes of code and snippets off."""
+    c = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.lit("u").alias("user_id"), F.when(F.col("role") == "user", F.col("text")).alias("query"), F.when(F.col("role") == "assistant", F.col("text")).otherwise("").alias("answer"))
+    return T.ingestible(c).select("turn_id", "user_query", "agent_response", F.array_join("lanes", ",").alias("lanes"), "error")

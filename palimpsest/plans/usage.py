@@ -159,3 +159,15 @@ def llm_usage(t):
     model = F.when(m == 0, "gemini-2.5-flash-lite").when(m == 1, "gemini-2.0-flash-lite-001").when(m == 2, " Gemini-2.5-Flash ").when(m == 3, "gemini-embedding-001").otherwise("other")
     calls = t.events.select(F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("provider"), model.alias("model"), F.col("event_type").alias("agent"), k.alias("input_tokens"), (k * 2).alias("output_tokens"), F.col("value").alias("latency"), (F.col("event_id") % 7 != 0).alias("success"))
     return A.llm_usage(calls).withColumn("avg_latency", F.round("avg_latency", 6))
+
+
+@query("""SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE value > 50) AS errors, round(avg(value), 6) AS mean, true AS users_near, true AS median_near, true AS p95_near FROM events GROUP BY 1, 2""")
+def rollups_of_days(t):
+    """Days merged from hourly rows with sketches: counts and means exactly, users and quantiles within the stated errors of the exact values."""
+    events = t.events.withColumn("day", F.to_date("ts"))
+    hours = A.rollup(events, ("event_type",), failed=F.col("value") > 50)
+    merged = A.merged(hours.withColumn("day", F.to_date("bucket")), ("event_type", "day"), (0.5, 0.95))
+    exact = events.groupBy("event_type", "day").agg(F.count_distinct("user_id").alias("people"), *[F.percentile("value", q).alias(f"x{i}") for i, q in ((0, 0.44), (1, 0.56), (2, 0.9), (3, 1.0))])
+    both = merged.join(exact, ["event_type", "day"])
+    near = F.abs(F.col("users") - F.col("people")) <= F.greatest(F.lit(1.0), 5 * 0.023 * F.col("people"))
+    return both.select("event_type", "day", "n", "errors", F.round("mean", 6).alias("mean"), near.alias("users_near"), F.col("q50").between(F.col("x0"), F.col("x1")).alias("median_near"), F.col("q95").between(F.col("x2"), F.col("x3")).alias("p95_near"))
