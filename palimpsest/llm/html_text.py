@@ -8,7 +8,9 @@ wants around it.
 from __future__ import annotations
 
 import html
+import itertools
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,8 @@ _ENDS = {
     **{t: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}) for t in ("thead", "tbody", "tfoot", "caption", "colgroup")},
 }
 _SCOPE = frozenset("table td th caption html".split())
+#: Characters of a cell's line that its column is made as wide as, at most, and of a line up to which columns are kept.
+CELL, MARGIN = 120, 240
 _DEPTH = 200  # deeper elements join the one at this depth
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S)
@@ -40,19 +44,49 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-_AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]|\{[^{}]*\})*\}|\Z)")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_MARK = re.compile(r"[{};]")
 _SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
-_IMPORTANT = re.compile(r"\s*!\s*important\b", re.I)
+_IMPORTANT = re.compile(r"!\s*important\b", re.I)
 #: What ``visibility`` shows; inherit and the like keep the parent's value, other words aren't values.
 _VISIBILITY = {"visible": True, "initial": True, "hidden": False, "collapse": False, **dict.fromkeys(("inherit", "unset", "revert", "revert-layer"))}
 
 
+def _blocks(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules of a style sheet in one pass over its braces; at-rules are left out with all that is in them.
+    What is never closed ends with the sheet."""
+    sheet = _COMMENT.sub(" ", sheet)
+    start, at, known = 0, 0, -1
+    while m := _MARK.search(sheet, at):
+        at, mark = m.end(), m[0]
+        if known != start:
+            known, begin = start, re.compile(r"\S").search(sheet, start)
+            within_at_rule = begin[0] == "@"
+        if mark == ";":
+            start = at if within_at_rule else start
+        elif mark == "}":
+            start = at
+        elif within_at_rule:
+            depth = 1
+            while depth and (m := _MARK.search(sheet, at)):
+                at, depth = m.end(), depth + {"{": 1, "}": -1}.get(m[0], 0)
+            if depth:
+                return
+            start = at
+        else:
+            end = at
+            while (m := _MARK.search(sheet, end)) and m[0] == ";":
+                end = m.end()
+            if m is None or m[0] == "}":
+                yield sheet[start : at - 1], sheet[at : m.start() if m else len(sheet)]
+                at = m.end() if m else len(sheet)
+            start = at
+
+
 def _rules(sheet: str) -> list[tuple[str, frozenset[str], str | None, str, str]]:
     """(tag, classes, id, usual declarations, important ones) of the rules of a style sheet that have display or visibility. Selectors of one
     element only, by tag, classes and id; others and at-rules are left out."""
     found = []
-    for selectors, body in _RULE.findall(_AT_RULE.sub("", _COMMENT.sub(" ", sheet))):
+    for selectors, body in _blocks(sheet):
         own = [d.strip() for d in body.lower().split(";") if d.strip().startswith(("display", "visibility"))]
         if own:
             usual, marked = (";".join(_IMPORTANT.sub("", d) for d in own if bool(_IMPORTANT.search(d)) == m) for m in (False, True))
@@ -69,13 +103,17 @@ def _apply(root: Node, sheets: list[str]) -> None:
     """Puts the declarations of matching rules around each element's own style: weaker ones before it, important ones after it."""
     rules = [r for sheet in sheets for r in _rules(sheet)]
     rules.sort(key=lambda r: (r[2] is not None, len(r[1]), r[0] != "*"))  # by weight, then as they come
+    by: dict[tuple[str, str], list[int]] = {}  # rules by what an element needs for them: an id, else a class, else the tag
+    for i, (tag, classes, id_, _, _) in enumerate(rules):
+        by.setdefault(("#", id_) if id_ is not None else (".", min(classes)) if classes else ("", tag), []).append(i)
     nodes = [root] if rules else []
     while nodes:
         for node in nodes.pop().children:
             if not isinstance(node, str):
                 nodes.append(node)
                 classes, id_ = set(node.attrs.get("class", "").split()), node.attrs.get("id")
-                own = [r for r in rules if r[0] in ("*", node.tag) and r[1] <= classes and r[2] in (None, id_)]
+                near = sorted(i for key in (("", "*"), ("", node.tag), ("#", id_), *((".", c) for c in classes)) for i in by.get(key, ()))
+                own = [r for r in map(rules.__getitem__, near) if r[0] in ("*", node.tag) and r[1] <= classes and r[2] in (None, id_)]
                 if own:
                     node.attrs["style"] = ";".join([*[r[3] for r in own], node.attrs.get("style", ""), *[r[4] for r in own]])
 
@@ -306,7 +344,11 @@ def _span(cell: Node, name: str) -> int:
 
 
 def _table(node: Node, visible: bool, pre: bool, depth: int) -> list[str]:
-    """Captions and text that stands in no cell first, then the rows; columns are as wide as their widest cell and two blanks apart."""
+    """Captions and text that stands in no cell first, then the rows; columns are as wide as their widest cell and two blanks apart.
+
+    Lines of more than CELL characters count for no column's width, and a cell whose column begins more than MARGIN
+    characters into the line follows the one before it: so a line has at most MARGIN + 2 blanks that aren't of the page.
+    """
     top = _Lines()
     grid, busy = [], {}  # busy: column -> rows it is still taken
     for cells in _rows(node, visible, pre, depth, top):
@@ -330,16 +372,19 @@ def _table(node: Node, visible: bool, pre: bool, depth: int) -> list[str]:
         for row in grid:
             for c, s, lines in row:
                 if (s > 1) == wide:
-                    need = max(map(len, lines), default=0) - sum(width[c : c + s]) - 2 * (s - 1)
+                    need = max((len(x) for x in lines if len(x) <= CELL), default=0) - sum(width[c : c + s]) - 2 * (s - 1)
                     width[c + s - 1] += max(0, need)
+    begins = [0, *itertools.accumulate(w + 2 for w in width)]
     out = top.lines
     for row in grid:
         for i in range(max([len(lines) for _, _, lines in row], default=0)):
-            line = ""
+            line, wide = [], 0
             for c, _, lines in row:
-                at = sum(width[:c]) + 2 * c
-                line = line.ljust(at) + (lines[i] if i < len(lines) else "")
-            out.append(line.rstrip())
+                if i < len(lines) and lines[i]:
+                    gap = max(begins[c] - wide if begins[c] <= MARGIN else 0, 2 if wide else 0)
+                    line += [" " * gap, lines[i]]
+                    wide += gap + len(lines[i])
+            out.append("".join(line).rstrip())
     return out
 
 

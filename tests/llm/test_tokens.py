@@ -1,6 +1,8 @@
 """BPE, id files and HTML: exact round trips and the libraries' own results."""
 
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -207,6 +209,33 @@ def test_style_sheets_and_quotes(page, text):
     assert html_text.render(page) == text
 
 
+def test_cut_off_style_sheets_take_no_long_time():
+    for sheet in (".a{color:red" + "n" * 5_000_000, "@media print {" + "p{color:red} " * 400_000, "a;" * 1_000_000, "{" * 400_000, "@x " * 1_500_000, "p{color:red;" * 200_000, " " * 2_000_000 + ";" * 1_000_000, "b{display:none !" + " " * 2_000_000, "/*" * 2_000_000):
+        began = time.time()
+        list(html_text._blocks(sheet))
+        assert time.time() - began < 4, sheet[:12]
+        assert html_text.render(f"<style>{sheet}</style><p>y") == "y"
+    page = "<style>" + "".join(f".c{i}{{display:none}}" for i in range(5000)) + "</style>" + "".join(f"<b class=d{i}>w </b>" for i in range(20_000))
+    began = time.time()
+    assert html_text.render(page).split() == ["w"] * 20_000 and time.time() - began < 5
+    assert html_text.render("<style>p{display:none</style><p>no<b>no</b></p>yes") == "yes"
+    assert html_text.render("<style>@media print{p{display:none}</style><p>yes") == "yes"
+    assert html_text.render("<style>@media print{p{display:none} i{} } b{display:none}</style><p>yes<b>no") == "yes"
+
+
+def test_tables_grow_with_their_text():
+    """A wide cell and many short rows, many columns, and columns far out: no word is lost, and few blanks are added."""
+    wide = "<table><tr><td>" + "x" * 20_000 + "<td>end" + "<tr><td>a<td>b" * 2000 + "</table>"
+    many = "<table><tr>" + "".join(f"<td>{'y' * 150}" for _ in range(300)) + "<tr><td colspan=299>a<td>b" * 2000 + "</table>"
+    tall = "<table><tr>" + "".join(f"<td>{'z' * 100}" for _ in range(50)) + "<tr><td>a<td>" + "b<br>" * 3000 + "</table>"
+    for page in (wide, many, tall):
+        text = html_text.render(page)
+        words = re.sub(r"<[^>]*>", " ", page).split()
+        assert sorted(text.split()) == sorted(words)
+        assert len(text) <= sum(map(len, words)) + (html_text.MARGIN + 3) * (text.count("\n") + 1) + 2 * len(words)
+    assert html_text.render("<table><tr><td>" + "x" * 130 + "<td>b<tr><td>aa<td>c</table>") == "x" * 130 + "  b\naa  c"
+
+
 def test_generated_pages_show_all_visible_words():
     """Against a walk over the generated tree, which knows what is hidden; cells side by side change the order of words."""
     r = random.Random(8)
