@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from palimpsest.llm import decontaminate as D
 from palimpsest.llm import line_dedup as L
@@ -141,6 +142,34 @@ def test_top_k_against_brute_force(spark):
     assert {(r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in got.collect()} == {(q, k, i, round(s, 6)) for q, k, i, s in want}
 
 
+def test_blocks_are_skipped_for_queries_of_any_length():
+    """Documents of topics, one topic after the other: long and short queries score the blocks of their topic only, and find what a full scan does."""
+    r = np.random.default_rng(4)
+    n, n_terms = 6400, 2000
+    text, term = [], []
+    for d in range(n):
+        own = r.choice(100, 40, replace=False) + 100 * (d // 640) if d % 7 else r.choice(n_terms, 40, replace=False)
+        text += [d] * 40
+        term += np.sort(own).tolist()
+    text, term = np.array(text), np.array(term)
+    score = r.random(len(text)) + 0.5
+    shard = K._Shard(text, term, score, n, n_terms)
+    for length in (2, 3, 12, 40, 80):
+        for _ in range(5):
+            own = np.sort(r.choice(100, length, replace=False) + 300)
+            times = r.integers(1, 3, length)
+            weight = np.zeros(n_terms)
+            weight[own] = times
+            full = np.bincount(text, weights=score * weight[term], minlength=n)
+            heap = []
+            done, total = shard.search(own, times, 10, heap, list(range(n)), K._Last)
+            want = sorted(((-round(full[d], 9), d) for d in range(n) if full[d] > 0))[:10]
+            assert sorted((-s, d) for s, _, d in heap) == want
+            assert done <= 20 and 2 * done < total, (length, done, total)
+            again = shard.search(own, times, 10, heap, list(range(n, 2 * n)), K._Last)[0]
+            assert again <= done
+
+
 def test_documents_as_queries_in_blocks(spark, duck, monkeypatch):
     monkeypatch.setattr(K, "QUERY_TERMS", 900)
     got = Q.QUERIES["op9_top_k_documents"](spark, SMALL)
