@@ -55,7 +55,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: in
     at = windows.select("window", F.posexplode("terms").alias("off", "term"), F.size("terms").alias("n"))
     vocabulary = work.save(at.select("term").distinct(), "vocabulary")
     words = _document_words(docs)
-    counted = words.select(F.explode("words").alias("term")).join(checked_broadcast(vocabulary), "term").groupBy("term").count()
+    small, every = checked_broadcast(vocabulary), words.select(F.explode("words").alias("term"))
+    # a vocabulary that is too large for a broadcast meets counts, not words: no frequent word is one key of a join
+    counted = every.join(small, "term").groupBy("term").count() if small is not vocabulary else every.groupBy("term").count().join(vocabulary, "term")
     counts = work.save(counted, "counts")
 
     by_rarity = W.partitionBy("window").orderBy("count", "off")
@@ -63,12 +65,17 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: in
     uses = work.save(ranked.where(~F.col("absent") & (F.col("place") <= lists)).select("window", "term", "off", "n", "place"), "uses")
     picked = work.save(uses.groupBy("term").agg((F.max("off") + slop).alias("before"), (F.max(F.col("n") - 1 - F.col("off")) + slop).alias("after")), "picked")
 
-    found = words.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "term")).join(checked_broadcast(picked), "term")
+    placed, small = words.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "term")), checked_broadcast(picked)
     first = F.greatest(F.col("pos") - F.col("before"), F.lit(0))
-    postings = work.save(
-        found.select("term", "doc_id", "text_hash", "pos", (F.col("pos") - first).alias("lead"), F.slice("words", first + 1, F.col("pos") - first + 1 + F.col("after")).alias("around")),
-        "postings",
-    )
+    around = F.slice("words", first + 1, F.col("pos") - first + 1 + F.col("after"))
+    if small is picked:  # a shuffle deals the words, each with what any window can reach and never with all of its text
+        reach = picked.agg(F.coalesce(F.max("before"), F.lit(0)).alias("before"), F.coalesce(F.max("after"), F.lit(0)).alias("after")).head()
+        begin = F.greatest(F.col("pos") - F.lit(reach["before"]), F.lit(0))
+        cut = F.slice("words", begin + 1, F.col("pos") - begin + 1 + F.lit(reach["after"]))
+        placed = placed.select("doc_id", "text_hash", "pos", "term", begin.alias("begin"), cut.alias("words"))
+        around = F.slice("words", first - F.col("begin") + 1, F.col("pos") - first + 1 + F.col("after"))
+    found = placed.join(small, "term")
+    postings = work.save(found.select("term", "doc_id", "text_hash", "pos", (F.col("pos") - first).alias("lead"), around.alias("around")), "postings")
 
     def moved(place: int) -> DataFrame:
         """The list of the windows' place-th rarest term, moved to where the window would start."""

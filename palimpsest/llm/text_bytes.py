@@ -81,7 +81,7 @@ def _by_hash(key: str, rate: float) -> Column:
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, total: int) -> DataFrame:
     """(text, label): a sample of about ``rows`` labelled documents at most, those of rest 2 left out, and of fewer if their whole
-    texts have more than ``total`` bytes together. Texts of any size are as likely to be in it.
+    texts have more than ``total`` bytes together. Texts of any size up to that are as likely to be in it; ids that many rows have don't make it larger.
 
     The labels are sampled first, so the sample is a broadcast of at most ``rows`` keys and the documents aren't shuffled.
     """
@@ -91,6 +91,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, total: i
     known = F.broadcast(known.limit(2 * rows))
     texts = docs.select("doc_id", "text")
     sample = texts.join(known, texts["doc_id"] == known["k"]).where(F.col("text").isNotNull())
-    size = sample.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
+    counted = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("size")).head()
+    found = counted(sample)
+    if found["n"] > 2 * rows:  # ids that many rows have: of equal rows one, and of the rest a share by id and text
+        sample = sample.withColumn("h", F.xxhash64("k", "text")).dropDuplicates(["h"])
+        left = sample.agg(F.count(F.lit(1))).head()[0]
+        sample = sample.where(_by_hash("h", min(1.0, rows / max(left, 1)))).drop("h")
+        found = counted(sample)
+    sample = sample.where(F.octet_length("text") <= total)
+    size = found["size"] or 0
     sample = sample if size <= total else sample.where(_by_hash("k", min(1.0, rows / max(n, 1)) * total / size))
     return sample.select("text", "label")

@@ -229,6 +229,14 @@ def test_samples_are_bounded_by_rows_and_bytes_whatever_the_sizes(spark):
     assert 20 < len(B.labelled(docs, labels, "quality", 60, 10**9).collect()) < 120
 
 
+def test_an_id_of_many_rows_does_not_fill_the_sample(spark):
+    docs = spark.range(100_000).selectExpr("CAST(7 AS LONG) AS doc_id", "concat('text ', id) AS text").union(spark.range(50).selectExpr("id + 100 AS doc_id", "concat('other ', id) AS text"))
+    docs = docs.union(spark.sql("SELECT CAST(9 AS LONG), repeat('x', 5000000)")).union(spark.range(1000).selectExpr("CAST(8 AS LONG)", "'same'"))
+    labels = spark.range(200).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    rows = B.labelled(docs, labels, "quality", 60, 1_000_000).collect()
+    assert 5 <= len(rows) < 200 and sum(len(r["text"]) for r in rows) < 1_200_000 and sum(r["text"] == "same" for r in rows) <= 1
+
+
 def test_equal_texts_have_equal_scores_among_odd_columns(spark):
     rows = [(i, t, "en", "s", 1, "w", "l", "d", 0.5, "i", 1, "a", "n", 2) for i, t in enumerate(["some words here", None, "", "some words here", "x" * 50, None, ""])]
     docs = spark.createDataFrame(rows, H.CLASHING).repartition(3)

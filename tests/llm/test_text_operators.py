@@ -108,6 +108,24 @@ def test_chains_are_one_component(spark):
     assert {r["component_id"] for r in N.near_duplicates(spark.createDataFrame(rows, H.DOCS)).collect()} == {0}
 
 
+def test_without_broadcasts(spark, monkeypatch):
+    """Terms beyond the bound of a broadcast: words are shuffled, and no row holds more of its text than a window can reach."""
+    monkeypatch.setattr(D, "checked_broadcast", lambda df: df)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = random.Random(5)
+        words = [f"w{r.randrange(400)}" if i % 3 else "the" for i in range(60_000)]
+        rows = [(1, " ".join(words)), (2, "the the the"), (None, " ".join(words[100:140])), (4, None)]
+        items = [(1, " ".join(words[30_000:30_014])), (2, " ".join(words[:9])), (3, "the the the the"), (4, "not there at all"), (5, "the")]
+        docs, items_ = spark.createDataFrame(rows, H.DOCS), spark.createDataFrame(items, "item_id int, text string")
+        got = {x["doc_id"]: (x["n_words"], x["n_hit"], list(x["item_ids"])) for x in D.decontaminate(docs, items_).collect()}
+        assert got == H.decontaminated(rows, items)
+        assert D.decontaminate(docs, items_.where("false")).where("contaminated").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     text = "a b c d e f g"
     got = N.near_duplicates(spark.createDataFrame([(None, text), (5, text), (5, text), (3, text), (3, "other words here now ok"), (4, None)], H.DOCS)).collect()
