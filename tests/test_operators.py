@@ -32,6 +32,7 @@ def test_metadata_and_terms(spark):
     assert df.where(S.matches(F.col("m"), {"a": None})).count() == 1
     assert df.where(S.matches(F.col("m"), {})).count() == 2
     d = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "id int, text string")
+    assert S.bm25(d.where("false"), "a", 5).count() == 0 == S.bm25(spark.createDataFrame([], d.schema), "a", 5).count()
     assert S.bm25(d, "()*", 5).count() == 0 and [r["id"] for r in S.bm25(d, "a +", 5).collect()] == [1]
 
 
