@@ -274,7 +274,10 @@ SECRETS = (
 
 
 def masked(value: Column, kind: T.DataType, names: tuple[str, ...] = SECRETS) -> Column:
-    """A value of the type with what secret names hold replaced, at any depth of structs, maps and arrays; secrets become strings."""
+    """A value of the type with what secret names hold replaced, at any depth of structs, maps and arrays; secrets become strings.
+
+    A map's values have one type: where that is no string, what a secret key holds becomes null, as it can't be masked by a text.
+    """
     if isinstance(kind, T.StructType):
         fields = [(F.lit("***") if f.name.lower() in names else masked(value[f.name], f.dataType, names)).alias(f.name) for f in kind.fields]
         return F.when(value.isNotNull(), F.struct(*fields))
@@ -284,7 +287,7 @@ def masked(value: Column, kind: T.DataType, names: tuple[str, ...] = SECRETS) ->
         inner = F.transform_values(value, lambda _, v: masked(v, kind.valueType, names))
         if isinstance(kind.valueType, T.StringType):
             return F.transform_values(inner, lambda k, v: F.when(F.lower(k).isin(*names), "***").otherwise(v))
-        return F.map_filter(inner, lambda k, _: ~F.lower(k).isin(*names))
+        return F.transform_values(inner, lambda k, v: F.when(~F.lower(k).isin(*names), v))
     return value
 
 

@@ -9,8 +9,8 @@ from ..functions.text import trimmed
 
 #: Languages by extension; directories and files that aren't read.
 LANGUAGES = {
-    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "rs": "rust", "rb": "ruby",
-    "php": "php", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "swift": "swift", "kt": "kotlin", "scala": "scala",
+    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rb": "ruby", "rs": "rust",
+    "cpp": "cpp", "c": "c", "h": "c", "hpp": "cpp", "cs": "csharp", "kt": "kotlin", "scala": "scala", "swift": "swift", "php": "php",
 }
 SKIPPED_DIRS = ("node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", ".next", ".nuxt", "vendor", "target", ".tox", ".mypy_cache", ".pytest_cache", "egg-info")
 SKIPPED_FILES = ("package-lock.json", "yarn.lock", "poetry.lock", "Pipfile.lock", "go.sum")

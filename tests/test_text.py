@@ -97,6 +97,8 @@ def test_secrets_tokens_scopes(spark):
     row = spark.sql("SELECT named_struct('a', map('JWT_Secret_Key', 'x', 'b', 'c'), 'list', array(named_struct('Cookie', 5, 'n', 6)), 'none', CAST(NULL AS struct<token:string>)) AS v")
     masked = row.select(X.masked(F.col("v"), row.schema["v"].dataType).alias("x")).head()["x"].asDict(recursive=True)
     assert masked == {"a": {"JWT_Secret_Key": "***", "b": "c"}, "list": [{"Cookie": "***", "n": 6}], "none": None}
+    row = spark.sql("SELECT map('Token', 5, 'n', 6) AS v")
+    assert row.select(X.masked(F.col("v"), row.schema["v"].dataType).alias("x")).head()["x"] == {"Token": None if "token" in X.SECRETS else 5, "n": 6}
     assert tuple(one(spark, X.token_usage(F.col("a")), a='{"usage":{"input_tokens":3,"completion_tokens":4}}')) == (3, 4)
     assert one(spark, X.scopes(F.array(F.lit("b"), F.lit(" a "), F.lit("b")))) == ["a", "b"]
     assert one(spark, X.scopes(F.array().cast("array<string>"))) == ["*"]
