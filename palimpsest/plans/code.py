@@ -417,3 +417,20 @@ def directory_summary(t):
 def file_summary_records(t):
     f = _files(t)
     return E.file_summaries(f.withColumn("summary", F.when(F.col("symbol_count") % 2 == 0, F.col("language")).otherwise("")), f)
+
+
+@query("""SELECT CASE p_partkey % 4 WHEN 0 THEN 'ADDED' WHEN 1 THEN 'MODIFIED' WHEN 2 THEN 'DELETED' ELSE 'RENAMED' END AS status, CASE WHEN p_partkey % 4 = 3 THEN 'new/' ELSE '' END || 'f' || p_partkey AS file_path FROM part
+UNION ALL SELECT 'DELETED', 'f' || p_partkey FROM part WHERE p_partkey % 4 = 3""")
+def diff_status(t):
+    """Name-status lines of a diff; a rename is two changes."""
+    k, f = F.col("p_partkey"), F.concat(F.lit("f"), "p_partkey")
+    line = F.when(k % 4 == 0, F.concat(F.lit("A\t"), f)).when(k % 4 == 1, F.concat(F.lit("M\t"), f)).when(k % 4 == 2, F.concat(F.lit("D\t"), f)).otherwise(F.concat(F.lit("R097\t"), f, F.lit("\tnew/"), f))
+    return files.diff_rows(t.part.select(line.alias("value")))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'no vector' WHEN p_partkey % 3 = 1 THEN 'size 2 instead of 3' END AS fault FROM part""")
+def vector_faults(t):
+    """Vectors of a wrong size or none are told apart before they are stored."""
+    k = F.col("p_partkey")
+    v = F.when(k % 3 == 1, F.array(F.lit(1.0), F.lit(2.0))).when(k % 3 == 2, F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)))
+    return S.sized(t.part.select("p_partkey", v.alias("embedding")), 3, strict=False).select("p_partkey", "fault")

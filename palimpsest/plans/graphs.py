@@ -123,9 +123,12 @@ def import_build(t):
     return G.build_imports(imports, f)
 
 
-@query("SELECT strftime(d, '%m-%d') AS date FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS d)")
+@query("""WITH d AS (SELECT strftime(d, '%m-%d') AS date FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS d))
+SELECT date, count(o_orderkey) AS n_events FROM d LEFT JOIN orders ON strftime(o_orderdate, '%m-%d') = date GROUP BY date""")
 def calendar(t):
-    return G.calendar(t.spark)
+    """Each date of a leap year, with the orders as its events."""
+    dates = t.orders.groupBy(F.date_format("o_orderdate", "MM-dd").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    return G.calendar(t.spark).join(dates, "date", "left").select("date", F.coalesce("n", F.lit(0)).alias("n_events"))
 
 
 @query(f"""WITH e AS ({_EDGES}) SELECT src, dst FROM e WHERE src % 3 != 0 AND dst % 3 != 0""")
