@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -195,7 +197,9 @@ def apply_event_ops(events: DataFrame, ops: DataFrame, match_name: bool = True)
     into the one that is there, or with ``match_name=False`` into all of that date, their name included; DELETE takes it away,
     or without a name all of that date. Only calendar dates are accepted. All columns of the events stay.
 
-    The operations on one event are folded over an array, which holds those of one user and date.
+    What an event ends as follows from aggregates: its last deletion, the first addition after that, and of each field the last value
+    given from there on; so an event may have any number of operations. With ``match_name=False`` updates change the events
+    that others tell them by, and the operations of one user and date are folded over an array.
     """
     good = valid_month_day(F.col("date"))
     status = F.when(~F.col("type").isin("ADD", "UPDATE", "DELETE"), "skipped").when(good, "succeeded").otherwise("failed")
@@ -205,8 +209,10 @@ def apply_event_ops(events: DataFrame, ops: DataFrame, match_name: bool = True)
     fields = ["event_name", *[c for c in events.columns if c not in keys and c in ops.columns]]
     wide = (F.col("type") == "DELETE") & (F.coalesce("event_name", F.lit("")) == "")
     wide = wide if match_name else wide | (F.col("type") == "UPDATE")
-    step = F.collect_list(F.struct("op_id", "type", F.struct(*fields).alias("new")))
     live = audit.where("status = 'succeeded'")
+    if match_name:
+        return _last_writes(events, live, wide, keys, fields), audit
+    step = F.collect_list(F.struct("op_id", "type", F.struct(*fields).alias("new")))
     named = live.where(~wide).groupBy(*keys).agg(step.alias("named"))
     dated = live.where(wide).groupBy("user_id", "date").agg(step.alias("dated"))
     old = events.select("*", F.lit(True).alias("__there"))
@@ -227,6 +233,32 @@ def apply_event_ops(events: DataFrame, ops: DataFrame, match_name: bool = True)
     return out.select("user_id", "date", *rest, "__end.now.*").select(*events.columns), audit
 
 
+def _last_writes(events: DataFrame, live: DataFrame, wide: Column, keys: list[str], fields: list[str]) -> DataFrame:
+    """The events after the operations, each on one event by its keys, or if ``wide`` the deletion of a whole date."""
+    place = [F.col(k).alias(f"__{k}") for k in keys]
+    same = lambda df, names: reduce(lambda a, b: a & b, [df[k] == F.col(f"__{k}") for k in names])
+    named = live.where(~wide).select(*keys, "op_id", "type", F.struct(*fields).alias("new"))
+    dated = live.where(wide).groupBy(*place[:2]).agg(F.max("op_id").alias("swept"))
+    cut = named.where("type = 'DELETE'").groupBy(*place).agg(F.max("op_id").alias("cut"))
+    rows = named.join(cut, same(named, keys), "left").select(*keys, "op_id", "type", "new", "cut")
+    rows = rows.join(dated, same(rows, keys[:2]), "left").select(*keys, "op_id", "type", "new", F.greatest("cut", "swept").alias("cut"))
+    after = (F.col("type") != "DELETE") & (F.col("cut").isNull() | (F.col("op_id") > F.col("cut")))
+    last = [F.max(F.when(after & F.col(f"new.{c}").isNotNull(), F.struct("op_id", F.col(f"new.{c}").alias("value")))).alias(f"last_{c}") for c in fields]
+    ends = rows.groupBy(*place).agg(F.max("cut").alias("cut"), F.min(F.when(after & (F.col("type") == "ADD"), F.col("op_id"))).alias("added"), *last)
+    old = events.withColumn("__there", F.lit(True))
+    both = old.join(ends, same(old, keys), "full")
+    both = both.select(*[F.coalesce(F.col(k), F.col(f"__{k}")).alias(k) for k in keys], *[old[c] for c in events.columns if c not in keys], "__there", F.col("cut").alias("__cut"), F.col("added").alias("__added"), *[F.col(f"last_{c}").alias(f"__last_{c}") for c in fields])
+    # events that no operation names are swept by their date alone
+    both = both.join(dated, same(both, keys[:2]), "left").withColumn("__cut", F.coalesce("__cut", "swept"))
+    stays = F.coalesce("__there", F.lit(False)) & F.col("__cut").isNull()
+
+    def value(c: str) -> Column:
+        new = F.when(stays | (F.col(f"__last_{c}.op_id") >= F.col("__added")), F.col(f"__last_{c}.value"))
+        return F.coalesce(new, F.when(stays, F.col(c)))
+
+    return both.where(stays | F.col("__added").isNotNull()).select(*[F.col(c) if c in keys else value(c).alias(c) if c in fields else F.when(stays, F.col(c)).alias(c) for c in events.columns])
+
+
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """One row of each key: the one that is last by ``order``. A partial aggregate, no sort."""
     rest = [c for c in df.columns if c not in keys]

@@ -171,7 +171,7 @@ def rollups_of_days(t):
     events = t.events.withColumn("day", F.to_date("ts"))
     hours = A.rollup(events, ("event_type",), failed=F.col("value") > 50)
     merged = A.merged(hours.withColumn("day", F.to_date("bucket")), ("event_type", "day"), (0.5, 0.95))
-    exact = events.groupBy("event_type", "day").agg(F.count_distinct("user_id").alias("people"), *[F.percentile("value", q).alias(f"x{i}") for i, q in ((0, 0.44), (1, 0.56), (2, 0.9), (3, 1.0))])
+    exact = events.groupBy("event_type", "day").agg(F.count_distinct("user_id").alias("people"), *[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)").alias(f"x{i}") for i, q in ((0, 0.45), (1, 0.55), (2, 0.91), (3, 0.99))])
     both = merged.join(exact, ["event_type", "day"])
     near = F.abs(F.col("users") - F.col("people")) <= F.greatest(F.lit(1.0), 5 * 0.023 * F.col("people"))
     return both.select("event_type", "day", "n", "errors", F.round("mean", 6).alias("mean"), near.alias("users_near"), F.col("q50").between(F.col("x0"), F.col("x1")).alias("median_near"), F.col("q95").between(F.col("x2"), F.col("x3")).alias("p95_near"))

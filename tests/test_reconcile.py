@@ -98,3 +98,31 @@ def test_judges(spark):
     assert [(o["type"], o["content"], o["embedding_id"]) for o in got[0]["operations"]] == [("DELETE", "", "k4"), ("ADD", "tea", None)] and got[0]["confidence"] == 0.7
     assert [(o["type"], o["content"]) for o in got[1]["operations"]] == [("ADD", "one"), ("ADD", "two")] and got[1]["confidence"] == 0.5
     assert got[2]["operations"] == [] and got[2]["confidence"] == 0.0
+
+
+def test_event_operations_in_any_order(spark):
+    """Against a loop over the operations, with a hot event."""
+    import random
+
+    r = random.Random(4)
+    dates, names = ["01-01", "01-02", "02-29"], ["a", "b", "c"]
+    stored = [(f"u{u}", d, n, f"old {n}", None if n == "a" else "9:00", u) for u in range(3) for d in dates for n in names if r.random() < 0.6]
+    ops = []
+    for i in range(900):
+        hot = r.random() < 0.5
+        u, d, n = ("u0", "01-01", "a") if hot else (f"u{r.randrange(4)}", r.choice(dates), r.choice(names))
+        kind = r.choice(["ADD", "UPDATE", "UPDATE", "UPDATE", "DELETE", "NOOP"] if hot else ["ADD", "UPDATE", "DELETE"])
+        name = None if kind == "DELETE" and r.random() < 0.2 and not hot else n
+        ops.append((i, u, kind, d, name, r.choice([None, f"text {i}"]), r.choice([None, f"{i}:00"])))
+    e = spark.createDataFrame(stored, "user_id string, date string, event_name string, `desc` string, time string, extra int")
+    o = spark.createDataFrame(r.sample(ops, len(ops)), "op_id long, user_id string, type string, date string, event_name string, `desc` string, time string")
+    state = {(u, d, n): [a, b, x] for u, d, n, a, b, x in stored}
+    for _, u, kind, d, n, a, b in ops:
+        if kind == "DELETE":
+            for k in [k for k in state if k[:2] == (u, d) and n in (None, k[2])]:
+                del state[k]
+        elif kind == "ADD" or kind == "UPDATE" and (u, d, n) in state:
+            now = state.setdefault((u, d, n), [None, None, None])
+            now[0], now[1] = a or now[0], b or now[1]
+    got = R.apply_event_ops(e, o)[0]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((*k, *v) for k, v in state.items()), key=str)
