@@ -128,3 +128,54 @@ def team_ingest(t):
     """Turns as they are stored with the lanes of code and snippets off."""
     c = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.lit("u").alias("user_id"), F.when(F.col("role") == "user", F.col("text")).alias("query"), F.when(F.col("role") == "assistant", F.col("text")).otherwise("").alias("answer"))
     return T.ingestible(c).select("turn_id", "user_query", "agent_response", F.array_join("lanes", ",").alias("lanes"), "error")
+
+
+@query("""SELECT o_custkey % 50 AS org_id, 'r' AS repo, o_orderkey AS scan_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'running' END AS status, CASE o_orderstatus WHEN 'F' THEN 'c' || o_orderkey ELSE 's' || o_orderkey END AS commit_sha, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS error FROM orders WHERE o_orderkey % 9 != 0""")
+def scan_states(t):
+    """Scans run, end or fail; what was never started has no state."""
+    from ..operators import records
+
+    k = F.col("o_orderkey")
+    base = t.orders.select((F.col("o_custkey") % 50).alias("org_id"), F.lit("r").alias("repo"), k.alias("scan_id"), "o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("timestamp").alias("day"))
+    start = base.where("scan_id % 9 != 0").select("org_id", "repo", "scan_id", F.lit("started").alias("event"), F.col("day").alias("at"), F.concat(F.lit("s"), "scan_id").alias("commit_sha"), F.lit(None).cast("string").alias("error"))
+    done = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed")
+    end = base.select("org_id", "repo", "scan_id", done.alias("event"), (F.col("day") + F.expr("INTERVAL 1 HOUR")).alias("at"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("c"), "scan_id")).alias("commit_sha"), F.col("o_orderpriority").alias("error")).where("event IS NOT NULL")
+    early = end.where("scan_id % 4 = 0").withColumns({"event": F.lit("failed"), "at": F.col("at") - F.expr("INTERVAL 9 DAYS")})
+    return records.scan_states(start.union(end).union(early)).drop("started_at", "finished_at")
+
+
+@query("""WITH m AS (SELECT c_custkey AS k, c_custkey % 6 AS w FROM customer)
+SELECT k % 20 AS project_id, k AS user_id, CASE WHEN w = 1 THEN 'again' WHEN w = 5 THEN 'new' ELSE 'old' END AS username, CASE WHEN w = 2 THEN 'manager' WHEN w IN (1, 5) THEN 'sde2' ELSE 'intern' END AS role, w != 3 AS is_active FROM m WHERE w != 4""")
+def team_changes(t):
+    """Members are added again, removed and get other roles; changes of unknown ones do nothing, nobody is deleted."""
+    from ..operators import records
+
+    k, w = F.col("c_custkey"), F.col("c_custkey") % 6
+    row = lambda df, name, role, active: df.select((k % 20).alias("project_id"), k.alias("user_id"), F.lit(name).alias("username"), F.lit(role).alias("role"), active.alias("is_active"))
+    members = row(t.customer.where(w < 4), "old", "intern", w != 1)
+    change = lambda df, seq, kind, name=None, role=None: df.select((k % 20).alias("project_id"), k.alias("user_id"), F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), F.lit(name).cast("string").alias("username"), F.lit(role).cast("string").alias("role"))
+    c = t.customer
+    changes = change(c.where(w.isin(1, 5)), 2, "add", "again", "sde2").union(change(c.where(w == 2), 3, "role", role="manager")).union(change(c.where(w.isin(3, 4)), 4, "remove")).union(change(c.where(w.isin(1, 4, 5)), 1, "role", role="manager"))
+    changes = changes.withColumn("username", F.when(F.col("user_id") % 6 == 5, "new").otherwise(F.col("username")))
+    return records.members_after(members, changes)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name ELSE p_name END AS summary, CASE WHEN p_partkey % 3 = 0 THEN 'llm' ELSE 'ast' END AS summary_source, p_brand AS code_embedding FROM part""")
+def summary_updates(t):
+    """New summaries of symbols; the embedding of their code is never touched."""
+    from ..operators import records
+
+    stored = t.part.select("p_partkey", F.col("p_name").alias("summary"), F.lit("ast").alias("summary_source"), F.col("p_brand").alias("code_embedding"))
+    new = t.part.where("p_partkey % 3 = 0").select("p_partkey", F.concat(F.lit("new "), "p_name").alias("summary"), F.lit("llm").alias("summary_source"), F.lit("lost").alias("code_embedding"))
+    return records.whitelisted(stored, new, ["p_partkey"], records.SUMMARY)
+
+
+@query("""SELECT 'project' AS kind, CAST(n_nationkey AS BIGINT) AS id FROM nation WHERE n_regionkey != 2 UNION ALL SELECT 'member', c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey != 2""")
+def projects_deleted(t):
+    """Projects that go take their members along."""
+    from ..operators import records
+
+    projects = t.nation.select(F.col("n_nationkey").alias("project_id"), "n_regionkey")
+    members = t.customer.select(F.col("c_nationkey").alias("project_id"), "c_custkey")
+    p, m = records.without_projects(projects.where("n_regionkey = 2"), projects, members)
+    return p.select(F.lit("project").alias("kind"), F.col("project_id").cast("long").alias("id")).union(m.select(F.lit("member"), "c_custkey"))
