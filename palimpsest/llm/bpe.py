@@ -64,7 +64,7 @@ class Bpe:
         for a, b in zip(left.tolist(), right.tolist(), strict=True):
             tokens.append(tokens[a] + tokens[b])
         self.size = np.array([len(t) for t in tokens], np.int32)
-        self.tokens, self.delta = tokens, None  # what only encoding needs is made when it begins
+        self.tokens, self.edges = tokens, None  # what only encoding needs is made when it begins
         by_id = {int(i): t for i, t in zip(self.ids, tokens, strict=True)} | {i: s.encode() for s, i in self.added.items()}
         self.width = np.zeros(max(by_id) + 1, np.int64)
         for i, t in by_id.items():
@@ -73,7 +73,9 @@ class Bpe:
         self.letters = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(max(by_id) + 1)), np.uint8)
 
     def _automaton(self, tokens: list[bytes]) -> None:
-        """delta[row[state], byte] is the next state; longest[state] the longest token that ends there; shorter[token] the next."""
+        """Tokens as a tree with suffix links: ``edges`` (state and byte, sorted) lead to ``child``, ``fail[state]`` is the longest proper suffix of
+        it in the tree; longest[state] the longest token that ends there; shorter[token] the next. A few megabytes: a table of all
+        states and bytes would be many times as large, and only pieces that are new to a worker pass through here."""
         children: list[dict[int, int]] = [{}]
         ends = [-1]
         for t, word in enumerate(tokens):
@@ -86,29 +88,36 @@ class Bpe:
                 at = children[at][b]
             if ends[at] < 0:
                 ends[at] = t
-        rows = {s: i for i, s in enumerate(s for s, c in enumerate(children) if c)}
-        self.delta = np.zeros((len(rows), 256), np.int32)
-        self.row, self.longest = np.zeros(len(children), np.int32), np.full(len(children), -1, np.int32)
-        self.shorter = np.full(len(tokens), -1, np.int32)
+        self.longest, self.shorter = np.full(len(children), -1, np.int32), np.full(len(tokens), -1, np.int32)
         fail, queue = [0] * len(children), [0]
         for s in queue:  # breadth first: shorter suffixes are done
-            f = fail[s]
             if s:
+                suffix = self.longest[fail[s]]
+                self.longest[s] = suffix if ends[s] < 0 else ends[s]
                 if ends[s] >= 0:
-                    self.longest[s], self.shorter[ends[s]] = ends[s], self.longest[f]
-                else:
-                    self.longest[s] = self.longest[f]
-            if s in rows:
-                self.row[s] = rows[s]
-                own = self.delta[rows[s]]
-                if s:
-                    own[:] = self.delta[self.row[f]]
-                for b, child in children[s].items():
-                    fail[child] = int(own[b]) if s else 0
-                    own[b] = child
-                    queue.append(child)
-            else:
-                self.row[s] = self.row[f]
+                    self.shorter[ends[s]] = suffix
+            for b, child in children[s].items():
+                f = fail[s]
+                while f and b not in children[f]:
+                    f = fail[f]
+                fail[child] = children[f].get(b, 0) if s else 0
+                queue.append(child)
+        edges = np.array([s << 8 | b for s, c in enumerate(children) for b in c], np.int64)
+        order = np.argsort(edges)
+        self.edges, self.fail = edges[order], np.array(fail, np.int32)
+        self.child = np.array([x for c in children for x in c.values()], np.int32)[order]
+
+    def _next(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The states after these bytes: along an edge, or that of the longest suffix that has one, or the root."""
+        out, todo, at = np.zeros(len(state), np.int32), np.arange(len(state)), state.astype(np.int64)
+        while len(todo):
+            key = at << 8 | byte[todo]
+            place = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            hit = self.edges[place] == key
+            out[todo[hit]] = self.child[place[hit]]
+            go = ~hit & (at > 0)
+            todo, at = todo[go], self.fail[at[go]].astype(np.int64)
+        return out
 
     def _pairs(self) -> None:
         """rank(a, b) by a table with four places for each hash; its multiplier is the first under which all pairs fit."""
@@ -170,7 +179,7 @@ class Bpe:
         active = len(raw)
         for j in range(1, int(length[0]) + 1 if len(raw) else 0):
             active = int(np.searchsorted(-length[:active], -j, side="right"))
-            state = self.delta[self.row[state[:active]], flat[begin[:active] + j - 1]]
+            state = self._next(state[:active], flat[begin[:active] + j - 1])
             token, todo = self.longest[state], np.arange(active)
             while len(todo):
                 t = token[todo]
@@ -196,7 +205,7 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if self.delta is None:  # only decoding needs no automaton
+        if self.edges is None:  # only decoding needs no automaton
             self._automaton(self.tokens)
             self._pairs()
             self.coder = PieceCoder(self._encode_pieces, self.added)
