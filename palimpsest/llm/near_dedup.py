@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, checked_broadcast, documents_of, lean
+from .common import Workspace, checked_broadcast, documents_of, few_parts, lean
 from .text_bytes import text_bytes
 
 SHINGLE, TREES, TOKENS, SKETCH = 5, 10, 64, 128
@@ -37,6 +37,8 @@ SEGMENT, BLOCK_BYTES, GROUP_BYTES = 250_000, 1_000_000, 4_000_000
 SMALL, FEW, CHILDREN, LAST = 48, 1024, 2, 12
 #: Standard deviations of a sketch's estimate below the threshold that pass; trees in which a vertex meets the one that stands for its nodes, at least, to be compared with it.
 ROOM, VOTES = 5, 3
+#: Labels that are broadcast within a round of the components at most, three times at once; more are joined by shuffles.
+LABELS = 200_000
 
 #: Fixed value: an odd base of the words' polynomial hash, which has an inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
@@ -283,15 +285,17 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(digest, label): the least vertex that each vertex of an edge reaches.
 
     Each round takes the least label of the neighbours and then that label's own, which halves long paths; aggregates
-    and joins only, so no component is ever in one task as a whole.
+    and joins only, so no component is ever in one task as a whole. ``edges`` is a stored table.
     """
-    both = work.save(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = work.save(both.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("digest"), F.least("u", "label").alias("label")), f"{name}-0")
+    rows = 2 * edges.count()
+    both = work.save(few_parts(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), rows), f"{name}-edges")
+    labels = work.save(few_parts(both.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("digest"), F.least("u", "label").alias("label")), rows), f"{name}-0")
     for i in range(1, 64):
-        near = both.join(labels.select(F.col("digest").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        new = labels.join(near, labels["digest"] == near["u"]).select("digest", F.least("label", "near").alias("new"), F.col("label").alias("old"))
-        jump = labels.select(F.col("digest").alias("new"), F.col("label").alias("further"))
-        new = work.save(new.join(jump, "new").select("digest", F.least("new", "further").alias("label"), "old"), f"{name}-{i}")
+        known = checked_broadcast(labels, LABELS, 64 * LABELS)
+        near = both.join(known.select(F.col("digest").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
+        new = near.join(known.withColumnRenamed("digest", "u"), "u").select(F.col("u").alias("digest"), F.least("label", "near").alias("new"), F.col("label").alias("old"))
+        jump = known.select(F.col("digest").alias("new"), F.col("label").alias("further"))
+        new = work.save(few_parts(new.join(jump, "new").select("digest", F.least("new", "further").alias("label"), "old"), rows), f"{name}-{i}")
         labels = new.select("digest", "label")
         if new.where(F.col("label") != F.col("old")).isEmpty():
             return labels
@@ -307,11 +311,16 @@ class _Join:
         kind = base.schema["doc_id"].dataType.simpleString()
         sketches = self.base.mapInArrow(lean(_sketch), f"doc_id {kind}, text_hash long, n_shingles long, digest binary, tokens binary, sketch binary")
         self.sketches = work.save(sketches, "sketches")
+        self.rows = trees * self.sketches.count()  # of a table with a row for each vertex and tree, at most
         linked = self.sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         first = F.min(F.struct("doc_id", "text_hash")).alias("first")
-        roots = F.first(F.substring("tokens", 1, 4 * trees)).alias("tokens")
-        vertices = linked.groupBy("digest").agg(first, F.count(F.lit(1)).alias("docs"), F.first("n_shingles").alias("n_shingles"), roots, F.first("sketch").alias("sketch"))
-        self.vertices = work.save(vertices, "vertices")
+        tokens = F.first("tokens").alias("tokens")
+        vertices = linked.groupBy("digest").agg(first, F.count(F.lit(1)).alias("docs"), F.first("n_shingles").alias("n_shingles"), tokens, F.first("sketch").alias("sketch"))
+        self.vertices = self.save(vertices, "vertices")
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """Stores a table of short rows, in as few files as its rows need."""
+        return self.work.save(few_parts(df, self.rows), name)
 
     def likely(self, at: DataFrame, roots: DataFrame) -> DataFrame:
         """Rows (node, digest) of (node, digest, label) whose sketches are alike one of another label in their node; a node has some FEW rows at most.
@@ -326,8 +335,8 @@ class _Join:
     def groups(self, alike: DataFrame) -> DataFrame:
         """Rows (key, side, digest) that compare all digests of a node of (node, digest), two blocks at a time if it has several."""
         sized = self.vertices.select("digest", (8 * F.col("n_shingles")).alias("bytes")).join(checked_broadcast(alike), "digest")
-        sized = self.work.save(sized, "sized")
-        blocks = sized.groupBy("node").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+        sized = self.save(sized, "sized")
+        blocks = checked_broadcast(self.save(sized.groupBy("node").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks")), "node-blocks"))
         block = F.pmod(F.xxhash64("digest"), F.col("blocks"))
         other = F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda i: (i != F.col("block")) | (F.col("blocks") == 1))).alias("other")
         rows = sized.join(blocks, "node").withColumn("block", block).select("node", "digest", "block", other)
@@ -337,7 +346,7 @@ class _Join:
         """Rows (key, side, digest) that compare each b of (a, b) with its a; a vertex of many pairs is in several groups."""
         size = 8 * F.col("n_shingles")
         likely = self.vertices.select(F.col("digest").alias("b"), size.alias("bytes")).join(checked_broadcast(likely), "b")
-        groups = likely.groupBy("a").agg(F.ceil(F.sum("bytes") / GROUP_BYTES).cast("int").alias("groups"))
+        groups = checked_broadcast(self.save(likely.groupBy("a").agg(F.ceil(F.sum("bytes") / GROUP_BYTES).cast("int").alias("groups")), "groups"))
         key = lambda group: F.xxhash64("a", group).alias("key")
         right = likely.join(groups, "a").select(key(F.pmod(F.xxhash64("b"), F.col("groups"))), F.lit(1).alias("side"), F.col("b").alias("digest"))
         left = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")).select(key(F.col("group").cast("bigint")), F.lit(0).alias("side"), F.col("a").alias("digest"))
@@ -347,12 +356,12 @@ class _Join:
         """Rows (key, side, digest) that compare each digest of (digest, main) with all vertices of the component ``main``, block by block."""
         size = F.sum(8 * F.col("n_shingles"))
         vertices = self.vertices.select("digest", "n_shingles")
-        outer = self.work.save(outer.distinct().join(vertices, "digest"), "outer")
+        outer = self.save(outer.distinct().join(vertices, "digest"), "outer")
         theirs = outer.groupBy("main").agg(F.ceil(size / GROUP_BYTES).cast("int").alias("groups"))
         own = vertices.join(checked_broadcast(labels), "digest", "left").select("digest", "n_shingles", F.coalesce("label", "digest").alias("main"))
-        own = self.work.save(own.join(checked_broadcast(self.work.save(theirs, "theirs")), "main"), "own")
+        own = self.save(own.join(checked_broadcast(self.save(theirs, "theirs")), "main"), "own")
         both = own.groupBy("main").agg(F.ceil(size / BLOCK_BYTES).cast("int").alias("blocks"))
-        both = checked_broadcast(self.work.save(both, "block-counts"))
+        both = checked_broadcast(self.save(both, "block-counts"))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         key = F.xxhash64("main", F.col("block").cast("bigint"), F.col("group").cast("bigint")).alias("key")
         left = own.join(both, "main").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks"))).withColumn("group", every("groups"))
@@ -363,9 +372,9 @@ class _Join:
     def compare(self, rows: DataFrame, name: str) -> DataFrame:
         """The links (a, b) among rows (key, side, digest), by whole sets."""
         rows = self.work.save(rows, f"{name}-rows")
-        needed = checked_broadcast(self.work.save(rows.select("digest").distinct(), f"{name}-needed"))
+        needed = checked_broadcast(self.save(rows.select("digest").distinct(), f"{name}-needed"))
         ids = self.vertices.join(needed, "digest", "left_semi").select(F.col("first.doc_id").alias("doc_id")).distinct()
-        ids = checked_broadcast(self.work.save(ids, f"{name}-ids"))
+        ids = checked_broadcast(self.save(ids, f"{name}-ids"))
         sets = self.base.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lean(_sets), "digest binary, shingles binary")
         both = sets.join(checked_broadcast(rows), "digest").select("key", "side", "digest", "shingles")
         links = both.repartition("key").sortWithinPartitions("key", "side").mapInArrow(lean(_compared(self.percent)), "a binary, b binary")
@@ -378,13 +387,14 @@ class _Join:
     def links(self) -> DataFrame:
         roots = F.array(*[F.xxhash64(F.lit(t), self.token(t)) for t in range(self.trees)])
         dealt = self.vertices.select("digest", F.explode(roots).alias("node"))
-        nodes = self.work.save(dealt.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nodes")
-        members = self.work.save(dealt.join(nodes, "node"), "members")
-        weights = members.groupBy("digest").agg(F.sum("n").alias("weight"))
+        nodes = self.save(dealt.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nodes")
+        members = self.save(dealt.join(checked_broadcast(nodes), "node"), "members")
+        weights = checked_broadcast(self.save(members.groupBy("digest").agg(F.sum("n").alias("weight")), "weights"))
         central = members.join(weights, "digest").groupBy("node").agg(F.max(F.struct("weight", "digest"))["digest"].alias("pivot"))
+        central = checked_broadcast(self.save(central, "central"))
         # what meets one vertex in several trees is likely like it; the rest is left to the second round
         often = members.join(central, "node").where(F.col("digest") != F.col("pivot")).groupBy(F.col("pivot").alias("a"), F.col("digest").alias("b")).count()
-        likely = self.work.save(often.where(F.col("count") >= VOTES).select("a", "b"), "often")
+        likely = self.save(often.where(F.col("count") >= VOTES).select("a", "b"), "often")
         links = self.compare(self.pairs(likely), "first")
         labels = components(links, self.work, "first")
         at = members.select("node", "digest").join(checked_broadcast(labels), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
@@ -392,8 +402,8 @@ class _Join:
         for depth in itertools.count():
             own = at.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
             mixed = own.groupBy("node").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("main")).where("labels > 1")
-            mixed = self.work.save(mixed.select("node", "n", F.col("main.n").alias("n_main"), F.col("main.label").alias("main")), f"mixed-{depth}")
-            at = self.work.save(at.join(checked_broadcast(mixed), "node"), f"at-{depth}")
+            mixed = self.save(mixed.select("node", "n", F.col("main.n").alias("n_main"), F.col("main.label").alias("main")), f"mixed-{depth}")
+            at = self.save(at.join(checked_broadcast(mixed), "node"), f"at-{depth}")
             large = F.col("n") > SMALL
             nearly = large & (F.col("n") - F.col("n_main") <= FEW)
             rest, late = F.col("label") != F.col("main"), F.lit(depth >= LAST)
@@ -405,12 +415,11 @@ class _Join:
             if down.isEmpty():
                 break
             chosen = F.explode(F.array_distinct(F.array(*[F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TOKENS)).cast("int") for j in range(CHILDREN)]))).alias("chosen")
-            tokens = self.sketches.select("digest", "tokens").join(checked_broadcast(self.work.save(down.select("digest").distinct(), f"branch-{depth}")), "digest", "left_semi").dropDuplicates(["digest"])
-            down = down.join(tokens, "digest").select("digest", "label", "tokens", "node", chosen)
-            at = self.work.save(down.select(F.xxhash64("node", "chosen", self.token(F.col("chosen"))).alias("node"), "digest", "label"), f"down-{depth}")
+            down = self.vertices.select("digest", "tokens").join(checked_broadcast(down), "digest").select("digest", "label", "tokens", "node", chosen)
+            at = self.save(down.select(F.xxhash64("node", "chosen", self.token(F.col("chosen"))).alias("node"), "digest", "label"), f"down-{depth}")
         alike = self.work.save(self.likely(reduce(DataFrame.union, small), roots), "alike")
         found = self.compare(self.groups(alike).union(self.blocks(reduce(DataFrame.union, ripe), labels)), "second")
-        for name in ("nodes", "members", "often", "alike", "sized", "outer", "own", "first-needed", "second-needed", *[f"{x}-{d}" for x in ("at", "down", "mixed", "branch") for d in range(depth + 1)], "first-rows", "second-rows"):
+        for name in ("nodes", "members", "weights", "central", "groups", "node-blocks", "often", "alike", "sized", "outer", "own", "first-needed", "second-needed", *[f"{x}-{d}" for x in ("at", "down", "mixed") for d in range(depth + 1)], "first-rows", "second-rows"):
             self.work.drop(name)
         return links.union(found)
 
@@ -428,10 +437,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, id_c
     join = _Join(documents_of(docs, id_col, text_col), percent, trees, work or Workspace(docs.sparkSession, "near-dedup"))
     labels = components(join.links(), join.work, "all")
     labels = checked_broadcast(labels)
-    classed = join.work.save(join.vertices.select("digest", "first").join(labels, "digest"), "labelled")
+    classed = join.save(join.vertices.select("digest", "first").join(labels, "digest"), "labelled")
     least = classed.groupBy("label").agg(F.min("first").alias("least"))
     copies = join.vertices.where("docs > 1").join(labels, "digest", "left_anti").select(F.col("digest").alias("d"), F.col("first").alias("least"))
-    found = checked_broadcast(join.work.save(classed.join(least, "label").select(F.col("digest").alias("d"), "least").union(copies), "components"))
+    found = checked_broadcast(join.save(classed.join(least, "label").select(F.col("digest").alias("d"), "least").union(copies), "components"))
     rows = join.sketches.select("doc_id", "n_shingles", "digest", "text_hash")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     out = rows.join(found, linked & (F.col("digest") == F.col("d")), "left")

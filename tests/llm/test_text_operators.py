@@ -102,6 +102,22 @@ def test_nodes_of_few_besides_the_main_component_branch(spark, monkeypatch, few,
     assert "down-0" in saved
 
 
+def test_small_tables_take_few_tasks_whatever_the_shuffle(spark, monkeypatch):
+    """Many shuffle partitions that aren't coalesced: tables of short rows have a file for what their rows need, not for each partition."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    files = {}
+    monkeypatch.setattr(N.Workspace, "save", lambda self, df, name, *a, f=N.Workspace.save: (out := f(self, df, name, *a), files.setdefault(name, len(out.inputFiles())))[0])
+    few, rows = 2 * spark.sparkContext.defaultParallelism, near_copies(8)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(3 * few))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(rows, H.DOCS)).collect()} == H.components(rows)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert all(0 < files[name] <= few for name in ("vertices", "nodes", "members", "often", "mixed-0", "at-0", "all-edges", "all-0", "all-1", "components"))
+
+
 def test_chains_are_one_component(spark):
     w = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(w[i : i + 40])) for i in range(16)]  # neighbours are alike, ends are not
