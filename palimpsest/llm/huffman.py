@@ -118,22 +118,29 @@ class Table:
 
 
 class _Library:
-    """Ids of texts by the tokenizers library, which sees each distinct piece once for long."""
+    """Ids of texts by the tokenizers library's model, which sees each distinct piece once for long."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # pieces are cut already
-        self.tokenizer.model._resize_cache(0)  # and new each time
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.model._resize_cache(0)  # pieces are new each time
+        every = "".join(map(chr, [*range(0x800), *range(0x800, 0xD800, 0x800), *range(0xE000, 0x10000, 0x1000), *range(0x10000, 0x110000, 0x10000)]))
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(every)
+        self.letters = np.zeros(256, "<u2")  # of each byte that UTF-8 has
+        self.letters[list(every.encode())] = [ord(c) for c in level[0][0]]
         added = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items()}
         self.coder = PieceCoder(self._ids, added, bits=22)
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        """Of pieces that are cut already: straight from the library's model, as its pipeline makes several objects for each."""
+        if self.normalizer:
+            pieces = [self.normalizer.normalize_str(p) for p in pieces]
+        raw = np.frombuffer(b"\xff".join([p.encode() for p in pieces]), np.uint8)
+        tokenize = self.model.tokenize
+        ids = [[t.id for t in tokenize(p)] for p in self.letters[raw].tobytes().decode("utf-16-le").split("\0")]
         return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
 

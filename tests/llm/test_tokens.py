@@ -98,6 +98,19 @@ def test_id_files(spark, library):
     assert got == files_of(library, [(r["doc_id"], r["text"]) for r in rows])
 
 
+def test_new_pieces_go_straight_to_the_model(library):
+    """No Encoding is made for a piece: the ids of pieces, whatever their bytes, are those of the library without its pipeline."""
+    own, r = huffman._Library(bpe.vocabulary_path()), random.Random(9)
+    pieces = ["\0", "\0\0", "ÿ", "\xff\xfe", "é", "😀", " the", "x" * 600, *["".join(map(chr, r.choices(range(0x250), k=r.randrange(1, 9)))) for _ in range(500)]]
+    library_ = own.tokenizer
+    want = [x.ids for x in library_.encode_batch(pieces, add_special_tokens=False)]
+    own.tokenizer = None
+    ids, sizes = own._ids(pieces)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    texts = [" ".join(pieces), "".join(PARTS), "", "\0" * 700]
+    assert [x.tolist() for x in own.coder.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_id_files_of_odd_rows(spark, library, monkeypatch):
     assert sorted(read_back(spark, spark.createDataFrame(ODD, H.DOCS)), key=str) == sorted(files_of(library, ODD), key=str)
     assert read_back(spark, spark.createDataFrame([], H.DOCS)) == []
