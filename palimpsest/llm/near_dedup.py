@@ -384,7 +384,8 @@ class _Join:
     def token(i):
         return F.substring("tokens", 4 * i + 1, 4) if isinstance(i, int) else F.col("tokens").substr(4 * i + 1, F.lit(4))
 
-    def links(self) -> DataFrame:
+    def labels(self) -> DataFrame:
+        """(digest, label): the least vertex that each vertex of a link reaches."""
         roots = F.array(*[F.xxhash64(F.lit(t), self.token(t)) for t in range(self.trees)])
         dealt = self.vertices.select("digest", F.explode(roots).alias("node"))
         nodes = self.save(dealt.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nodes")
@@ -421,7 +422,17 @@ class _Join:
         found = self.compare(self.groups(alike).union(self.blocks(reduce(DataFrame.union, ripe), labels)), "second")
         for name in ("nodes", "members", "weights", "central", "groups", "node-blocks", "often", "alike", "sized", "outer", "own", "first-needed", "second-needed", *[f"{x}-{d}" for x in ("at", "down", "mixed") for d in range(depth + 1)], "first-rows", "second-rows"):
             self.work.drop(name)
-        return links.union(found)
+        return self.merged(labels, found)
+
+    def merged(self, labels: DataFrame, links: DataFrame) -> DataFrame:
+        """(digest, label) after more links: a component of ``labels`` is one vertex of them, and what several of its blocks found alike is one link."""
+        known = checked_broadcast(labels)
+        of = lambda end: known.select(F.col("digest").alias(end), F.col("label").alias(f"of_{end}"))
+        ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        short = self.save(ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "joined")
+        further = components(short, self.work, "all")
+        own = labels.join(checked_broadcast(further.select(F.col("digest").alias("label"), F.col("label").alias("least"))), "label", "left").select("digest", F.coalesce("least", "label").alias("label"))
+        return self.save(own.union(further.join(known.select("digest"), "digest", "left_anti")), "labels")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
@@ -435,8 +446,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, id_c
     at the threshold some two in a million are missed, if large nodes branch up to 1.7e-5, and fewer as the similarity rises.
     """
     join = _Join(documents_of(docs, id_col, text_col), percent, trees, work or Workspace(docs.sparkSession, "near-dedup"))
-    labels = components(join.links(), join.work, "all")
-    labels = checked_broadcast(labels)
+    labels = checked_broadcast(join.labels())
     classed = join.save(join.vertices.select("digest", "first").join(labels, "digest"), "labelled")
     least = classed.groupBy("label").agg(F.min("first").alias("least"))
     copies = join.vertices.where("docs > 1").join(labels, "digest", "left_anti").select(F.col("digest").alias("d"), F.col("first").alias("least"))

@@ -118,6 +118,20 @@ def test_small_tables_take_few_tasks_whatever_the_shuffle(spark, monkeypatch):
     assert all(0 < files[name] <= few for name in ("vertices", "nodes", "members", "often", "mixed-0", "at-0", "all-edges", "all-0", "all-1", "components"))
 
 
+def test_a_component_of_many_blocks_is_one_vertex(spark, monkeypatch):
+    """What several blocks of a component found alike is one edge of the components: their rows grow with the vertices, not with vertices times blocks."""
+    found = {}
+    monkeypatch.setattr(N.Workspace, "save", lambda self, df, name, *a, f=N.Workspace.save: (out := f(self, df, name, *a), found.setdefault(name, out.count()))[0])
+    join = object.__new__(N._Join)
+    join.work, join.rows = N.Workspace(spark, "merged"), 100
+    name = lambda i: bytes([i])
+    labels = spark.createDataFrame([(name(i), name(i // 30 * 30)) for i in range(60)], "digest binary, label binary")
+    links = spark.createDataFrame([(name(i), name(80 + j)) for i in range(30, 60) for j in range(4)] + [(name(90), name(91))], "a binary, b binary")
+    got = {bytes(x["digest"])[0]: bytes(x["label"])[0] for x in join.merged(labels, links).collect()}
+    assert got == {i: i // 30 * 30 for i in range(60)} | {80 + j: 30 for j in range(4)} | {90: 90, 91: 90}
+    assert found["joined"] == 5 and found["all-edges"] == 10
+
+
 def test_chains_are_one_component(spark):
     w = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(w[i : i + 40])) for i in range(16)]  # neighbours are alike, ends are not
