@@ -218,6 +218,30 @@ def test_blocks_are_skipped_for_queries_of_any_length():
             assert again <= done
 
 
+def test_batches_of_long_queries_find_what_a_full_scan_does():
+    """Ties and scores a hair apart too; blocks that no query of the batch reaches stay unscored."""
+    r = np.random.default_rng(6)
+    n, n_terms = 6400, 2000
+    text, term = [], []
+    for d in range(n):
+        own = r.choice(100, 40, replace=False) + 100 * (d // 640) if d % 7 else r.choice(n_terms, 40, replace=False)
+        text += [d] * 40
+        term += np.sort(own).tolist()
+    text, term = np.array(text), np.array(term)
+    score = np.round(r.random(len(text)), 1) + 0.5 + 1e-7 * r.integers(0, 2, len(text))
+    shard = K._Shard(text, term, score, n, n_terms)
+    wanted = [(own, r.integers(1, 4, len(own))) for _ in range(20) for own in [np.sort(r.choice(100, 60, replace=False) + 300)]]
+    heaps = [[] for _ in wanted]
+    shard.search_batch(wanted, 10, heaps, list(range(n)), K._Last)
+    for (own, times), heap in zip(wanted, heaps, strict=True):
+        weight = np.zeros(n_terms)
+        weight[own] = times
+        full = np.bincount(text, weights=score * weight[term], minlength=n)
+        assert sorted((-s, d) for s, _, d in heap) == sorted((-round(full[d], 9), d) for d in range(n) if full[d] > 0)[:10]
+    done, total = shard.search_batch(wanted, 10, heaps, list(range(n, 2 * n)), K._Last)
+    assert done <= 20 and 2 * done < total
+
+
 def test_documents_as_queries_in_blocks(spark, duck, monkeypatch):
     monkeypatch.setattr(K, "QUERY_TERMS", 900)
     got = Q.QUERIES["op9_top_k_documents"](spark, SMALL)
