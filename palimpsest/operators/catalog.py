@@ -39,9 +39,12 @@ def visible(rows: DataFrame, flags: DataFrame, key: str, flag: str = "share_inde
     return rows.join(flags.select(key, flag), key, "left").where(F.coalesce(F.col(flag), F.lit(True)))
 
 
-def catalog_page(rows: DataFrame, sort: str, offset: int, limit: int) -> DataFrame:
-    """A page by ``stars`` (most first, then name from the end) or ``recent`` (newest first, none last), with the total."""
-    order = [F.desc("stars"), F.desc("name")] if sort == "stars" else [F.desc_nulls_last("completed_at"), F.desc("name")]
+def catalog_page(rows: DataFrame, sort: str, offset: int, limit: int, key: str | None = None) -> DataFrame:
+    """A page by ``stars`` (most first, then name from the end) or ``recent`` (newest first, none last), with the total.
+
+    Rows equal in both go by their key, so that the pages of a table hold each row once; without a key their order is open.
+    """
+    order = [F.desc("stars") if sort == "stars" else F.desc_nulls_last("completed_at"), F.desc("name"), *([F.asc(key)] if key else [])]
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
 

@@ -17,7 +17,7 @@ def star_counts(t):
 SELECT p_partkey, name, stars, (SELECT count(*) FROM s) AS total FROM s ORDER BY stars DESC, name DESC LIMIT 20 OFFSET 10""")
 def catalog_page(t):
     rows = C.counts_with_zero(t.part.select("p_partkey", F.col("p_name").alias("name")), t.lineitem.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "stars")
-    return C.catalog_page(rows, "stars", 10, 20)
+    return C.catalog_page(rows, "stars", 10, 20, "p_partkey")
 
 
 @query("""WITH f AS (SELECT p_partkey, p_partkey % 2 = 0 AS share_index_publicly FROM part WHERE p_partkey % 3 = 0)

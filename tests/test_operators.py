@@ -294,3 +294,12 @@ def test_limiter_on_a_hot_key(spark):
     parts = A.rate_limit(df, "user", "ts", "n", 3, 60).where("user = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert parts == 4  # all of them
+
+
+def test_pages_of_equal_rows_hold_each_row_once(spark):
+    from palimpsest.operators import catalog as C
+
+    rows = spark.createDataFrame([(i * 7 % 30, "same name", 5) for i in range(30)], "id int, name string, stars int")
+    for parts in (1, 4):
+        pages = [[r["id"] for r in C.catalog_page(rows.repartition(parts), "stars", at, 10, "id").collect()] for at in (0, 10, 20)]
+        assert pages == [list(range(at, at + 10)) for at in (0, 10, 20)]
