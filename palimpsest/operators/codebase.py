@@ -70,6 +70,52 @@ def empty_index(spark: SparkSession) -> Index:
     return Index(none("file_path string, language string, content_hash string"), none(code.SYMBOLS + ", summary string, embed boolean"), none(code.CALLS), none(code.IMPORTS), none(calls), none(code.IMPORTS + ", imported_file string"))
 
 
+def _kept(fates: DataFrame) -> DataFrame:
+    return fates.where("fate = 'kept'").select("file_path")
+
+
+def _todo(fates: DataFrame) -> DataFrame:
+    return fates.where("fate IN ('new', 'changed')").select("file_path")
+
+
+@dataclass(frozen=True)
+class Scan:
+    """The files and symbols of the next state of an index, the fate of each file (new, changed, kept, gone), what the parsed files hold, and one row of counts."""
+
+    files: DataFrame
+    symbols: DataFrame
+    fates: DataFrame
+    parsed: DataFrame
+    audit: DataFrame
+
+
+def scan_symbols(files: DataFrame, old_files: DataFrame, old_symbols: DataFrame, work: Workspace) -> Scan:
+    """The part of ``scan`` that needs no edges: for who reads symbols or counts only."""
+    new = work.save(files.select("file_path", "language", hash16(F.col("content")).alias("content_hash")), "files")
+    both = new.withColumn("__new", F.lit(True)).join(old_files.select("file_path", F.col("content_hash").alias("__hash"), F.lit(True).alias("__old")), "file_path", "full")
+    fate = F.when(F.col("__new").isNull(), "gone").when(F.col("__old").isNull(), "new").when(F.col("content_hash").eqNullSafe(F.col("__hash")), "kept").otherwise("changed")
+    fates = work.save(both.select("file_path", fate.alias("fate")), "fates")
+    kept, todo = _kept(fates), _todo(fates)
+    parsed = work.save(code.parsed(files.join(todo, "file_path", "left_semi")), "parsed")
+
+    # symbols: kept files' as they are, others' compared by hash
+    made = symbol_summary(F.col("docstring"), F.col("symbol_type"), F.col("qualified_name"), F.col("parameters"))
+    stored = old_symbols.groupBy("file_path", "qualified_name").agg(F.min_by(F.struct(F.col("content_hash").alias("hash"), "summary"), "start_line").alias("was"))
+    fresh = code.symbols_of(parsed).where("error IS NULL").join(stored, ["file_path", "qualified_name"], "left")
+    unchanged = F.col("content_hash").eqNullSafe(F.col("was.hash"))
+    columns = [*[c for c in old_symbols.columns if c not in ("summary", "embed")]]
+    fresh = fresh.select(*columns, F.when(unchanged, F.col("was.summary")).otherwise(made).alias("summary"), (~unchanged).alias("embed"))
+    carried = old_symbols.join(kept, "file_path", "left_semi").select(*columns, "summary", F.lit(False).alias("embed"))
+    symbols = work.save(carried.unionByName(fresh), "symbols")
+    redone = fates.where("fate != 'kept'").select("file_path")
+    lost = old_symbols.join(redone, "file_path", "left_semi").select("file_path", "qualified_name").distinct().join(symbols.select("file_path", "qualified_name"), ["file_path", "qualified_name"], "left_anti")
+    n = lambda w: F.count(F.when(F.expr(w), 1))
+    audit = fates.agg(n("fate IN ('new', 'changed')").alias("files_processed"), n("fate = 'kept'").alias("files_unchanged"), n("fate = 'gone'").alias("files_deleted"))
+    audit = audit.crossJoin(symbols.agg(n("embed").alias("symbols_indexed"))).crossJoin(lost.agg(F.count(F.lit(1)).alias("symbols_deleted")))  # one row each
+    audit = audit.crossJoin(parsed.agg(n("error IS NOT NULL").alias("parse_errors")))
+    return Scan(new, symbols, fates, parsed, audit)
+
+
 def scan(files: DataFrame, old: Index, work: Workspace | None = None) -> tuple[Index, DataFrame]:
     """(the next state of an index, one row of counts). Work goes with what changed, but for reading the tables.
 
@@ -84,22 +130,9 @@ def scan(files: DataFrame, old: Index, work: Workspace | None = None) -> tuple[I
     no symbols, calls and imports. The tables of the state lie in the workspace for as long as they are used.
     """
     work = work or Workspace(files.sparkSession, "index")
-    new = work.save(files.select("file_path", "language", hash16(F.col("content")).alias("content_hash")), "files")
-    both = new.withColumn("__new", F.lit(True)).join(old.files.select("file_path", F.col("content_hash").alias("__hash"), F.lit(True).alias("__old")), "file_path", "full")
-    fate = F.when(F.col("__new").isNull(), "gone").when(F.col("__old").isNull(), "new").when(F.col("content_hash").eqNullSafe(F.col("__hash")), "kept").otherwise("changed")
-    fates = work.save(both.select("file_path", fate.alias("fate")), "fates")
-    kept, todo = (fates.where(w).select("file_path") for w in ("fate = 'kept'", "fate IN ('new', 'changed')"))
-    parsed = work.save(code.parsed(files.join(todo, "file_path", "left_semi")), "parsed")
-
-    # symbols: kept files' as they are, others' compared by hash
-    made = symbol_summary(F.col("docstring"), F.col("symbol_type"), F.col("qualified_name"), F.col("parameters"))
-    stored = old.symbols.groupBy("file_path", "qualified_name").agg(F.min_by(F.struct(F.col("content_hash").alias("hash"), "summary"), "start_line").alias("was"))
-    fresh = code.symbols_of(parsed).where("error IS NULL").join(stored, ["file_path", "qualified_name"], "left")
-    unchanged = F.col("content_hash").eqNullSafe(F.col("was.hash"))
-    columns = [*[c for c in old.symbols.columns if c not in ("summary", "embed")]]
-    fresh = fresh.select(*columns, F.when(unchanged, F.col("was.summary")).otherwise(made).alias("summary"), (~unchanged).alias("embed"))
-    carried = old.symbols.join(kept, "file_path", "left_semi").select(*columns, "summary", F.lit(False).alias("embed"))
-    symbols = work.save(carried.unionByName(fresh), "symbols")
+    done = scan_symbols(files, old.files, old.symbols, work)
+    new, symbols, fates, parsed = done.files, done.symbols, done.fates, done.parsed
+    kept, todo = _kept(fates), _todo(fates)
     names = [old.call_names.join(kept.withColumnRenamed("file_path", "caller_file"), "caller_file", "left_semi").unionByName(code.calls_of(parsed).distinct())]
     names.append(old.import_names.join(kept.withColumnRenamed("file_path", "importer_file"), "importer_file", "left_semi").unionByName(code.imports_of(parsed).distinct()))
     call_names, import_names = work.save(names[0], "call-names"), work.save(names[1], "import-names")
@@ -123,17 +156,19 @@ def scan(files: DataFrame, old: Index, work: Workspace | None = None) -> tuple[I
     open_ = based(import_names).join(todo.select(F.col("file_path").alias("importer_file"), F.lit(True).alias("__a")), "importer_file", "left").join(came.withColumn("__b", F.lit(True)), "__base", "left")
     imports = work.save(valid.unionByName(graph.resolve_imports(open_.where("__a OR __b").select("importer_file", "module"), new)), "imports")
 
-    lost = old.symbols.join(redone, "file_path", "left_semi").select("file_path", "qualified_name").distinct().join(symbols.select("file_path", "qualified_name"), ["file_path", "qualified_name"], "left_anti")
-    n = lambda w: F.count(F.when(F.expr(w), 1))
-    audit = fates.agg(n("fate IN ('new', 'changed')").alias("files_processed"), n("fate = 'kept'").alias("files_unchanged"), n("fate = 'gone'").alias("files_deleted"))
-    audit = audit.crossJoin(symbols.agg(n("embed").alias("symbols_indexed"))).crossJoin(lost.agg(F.count(F.lit(1)).alias("symbols_deleted")))  # one row each
-    audit = audit.crossJoin(parsed.agg(n("error IS NOT NULL").alias("parse_errors")))
-    return Index(new, symbols, call_names, import_names, calls, imports), audit
+    return Index(new, symbols, call_names, import_names, calls, imports), done.audit
 
 
-def edges_of(files: DataFrame, symbols: DataFrame, work: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
-    """(calls, imports) of the current state, from the files (file_path, language, content) and their symbols; each file is parsed once, into a stored table."""
-    parsed = (work or Workspace(files.sparkSession, "edges")).save(code.parsed(files).select("file_path", "calls", "imports"), "parsed")
+def edges_of(files: DataFrame, symbols: DataFrame | None = None, work: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
+    """(calls, imports) of the current state, from the files (file_path, language, content) and their symbols, those in the files if none are given.
+
+    Each file is parsed once, into a stored table of names; a table of symbols that is given is read twice.
+    """
+    parsed, place = code.parsed(files), ("symbol_name", "qualified_name", "start_line")
+    names = F.transform("symbols", lambda s: F.struct(*[s[c].alias(c) for c in place])).alias("symbols")
+    parsed = (work or Workspace(files.sparkSession, "edges")).save(parsed.select("file_path", names, "calls", "imports"), "parsed")
+    if symbols is None:
+        symbols = parsed.select("file_path", F.explode("symbols").alias("s")).select("file_path", "s.*")
     placed = symbols.select("file_path", "symbol_name", "qualified_name", F.struct("file_path", "start_line", "qualified_name").alias("pos"))
     return graph.build_calls(code.calls_of(parsed), placed), graph.build_imports(code.imports_of(parsed), files)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,34 +21,44 @@ def parsed(files: DataFrame) -> DataFrame:
     """One row a file, read once: (file_path, language, symbols, calls, imports, error).
 
     Without a language column all files are Python. Files of languages without a reader, and empty and null ones, have none of all; a file that
-    can't be read has none but the error.
+    can't be read has none but the error. Files are dealt out by their paths before they are read: parsing takes so much longer than reading
+    that the few partitions of a small input would leave most cores idle.
     """
     language = "language" if "language" in files.columns else F.lit("python").alias("language")
 
-    def one(path: str | None, language: str | None, text: str | None) -> dict:
-        found: tuple = ([], [], [])
-        error = None
+    def one(path: str | None, language: str | None, text: str | None) -> tuple:
         try:
-            if language in READERS and text:
-                found = READERS[language](path or "", text)
+            return (*(READERS[language](path or "", text) if language in READERS and text else ([], [], [])), None)
         except (SyntaxError, ValueError, RecursionError) as e:
-            error = str(e) or type(e).__name__
-        symbols = [{k: v for k, v in s._asdict().items() if k not in ("file_path", "error")} for s in found[0]]
-        calls = [{"caller_name": a, "callee_name": b} for _, a, b in found[1]]
-        return {"file_path": path, "language": language, "symbols": symbols, "calls": calls, "imports": [m for _, m in found[2]], "error": error}
+            return [], [], [], str(e) or type(e).__name__
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(PARSED))
 
+    def listed(found: list[list], kind: pa.ListType, value) -> pa.Array:
+        """A list column, made of the columns of its values."""
+        rows, inner = [value(x) for xs in found for x in xs], kind.value_type
+        if pa.types.is_struct(inner):
+            columns = zip(*rows, strict=True) if rows else [()] * inner.num_fields
+            values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, inner, strict=True)], fields=list(inner))
+        else:
+            values = pa.array(rows, inner)
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), values, type=kind)
+
     def run(batches):
+        values = (lambda s: s[1:-1], lambda c: c[1:], lambda m: m[1])
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                rows = [one(*r) for r in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True)]
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return files.select("file_path", language, "content").mapInArrow(run, PARSED)
+                part = batch.slice(i, 256)
+                *found, errors = zip(*(one(*r) for r in zip(*(c.to_pylist() for c in part.columns), strict=True)), strict=True)
+                lists = [listed(x, schema.field(2 + j).type, values[j]) for j, x in enumerate(found)]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(schema.field(0).type), part.column(1).cast(schema.field(1).type), *lists, pa.array(errors, schema.field(5).type)], schema=schema)
+
+    spark = files.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return files.select("file_path", language, "content").repartition(n, "file_path").mapInArrow(run, PARSED)
 
 
 def symbols_of(rows: DataFrame) -> DataFrame:

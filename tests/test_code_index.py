@@ -175,3 +175,38 @@ def test_symbols_need_their_file(spark):
     symbols = spark.createDataFrame([("a.py", "f"), ("b.py", "g"), (None, "h")], "file_path string, qualified_name string")
     files = spark.createDataFrame([("a.py",), ("a.py",), (None,)], "file_path string")
     assert [r["qualified_name"] for r in B.with_files(symbols, files).collect()] == ["f"]
+
+
+def test_files_of_one_partition_are_parsed_by_many_tasks(spark):
+    files = spark.createDataFrame([(f"m{i}.py", "python", f"def f{i}():\n    return f{i + 1}()\n") for i in range(40)], "file_path string, language string, content string").coalesce(1)
+    rows = code.parsed(files)
+    assert rows.rdd.getNumPartitions() > 1 and rows.count() == 40
+
+
+def test_edges_by_one_reading_of_the_files(spark, monkeypatch):
+    files = spark.createDataFrame([("a.py", "python", "import b\ndef f():\n    return g()\n"), ("b.py", "python", "def g(): pass\n"), ("c.py", "python", "def (")], "file_path string, language string, content string")
+    given = [[tuple(r) for r in e.collect()] for e in B.edges_of(files, code.parse(files))]
+    read, parsed = [], code.parsed
+    monkeypatch.setattr(code, "parsed", lambda x: read.append(1) or parsed(x))
+    own = [[tuple(r) for r in e.collect()] for e in B.edges_of(files)]
+    assert own == given == [[("a.py", "f", "b.py", "g", False)], [("a.py", "b.py")]] and len(read) == 1
+
+
+def test_counts_of_a_scan_need_no_edges(spark):
+    import os
+
+    files = lambda n: spark.createDataFrame([(f"m{i}.py", "python", f"def f{i}():\n    return {i * n}\n") for i in range(n)], "file_path string, language string, content string")
+    none, works = B.empty_index(spark), [Workspace(spark, "counts") for _ in range(2)]
+    old = B.scan_symbols(files(4), none.files, none.symbols, works[0])
+    now = B.scan_symbols(files(3), old.files, old.symbols, works[1])
+    assert now.audit.head() == B.scan(files(3), B.scan(files(4), none)[0])[1].head() and now.audit.head()["symbols_indexed"] == 2
+    assert {x for x in os.listdir(works[1].at.removeprefix("file://")) if "call" in x or "import" in x} == set()
+
+
+def test_nested_functions_count_what_is_inside_them():
+    text = "def a(x=h()):\n    def b():\n        if x and y and z: c(); self.d()\n        import q.r\n    class K:\n        async def e(self): [f() for i in j]; a()\n    return a()\n"
+    from palimpsest.sources.python import read_python
+
+    symbols, calls, imports = read_python("m.py", text)
+    assert [(s.symbol_name, s.complexity) for s in symbols] == [("a", 4)] and imports == [("m.py", "q.r")]
+    assert calls == [("m.py", "a", x) for x in ("c", "d", "f", "h")] + [("m.py", "b", "c"), ("m.py", "b", "d"), ("m.py", "e", "a"), ("m.py", "e", "f")]
