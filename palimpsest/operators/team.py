@@ -15,6 +15,8 @@ from ..functions.text import topic_of
 #: Kinds of annotations that instruct, and the roles that they are for.
 INSTRUCTIONS = ("instruction", "explanation", "warning", "feature_idea")
 INSTRUCTED = ("intern", "sde2")
+#: Facts of a topic that are paired with as many others in one go, or so.
+TOPIC_BLOCK = 1_024
 
 
 def manager_instructions(annotations: DataFrame, n: int = 10) -> DataFrame:
@@ -42,11 +44,19 @@ def topic_catalog(memory: DataFrame, key: str = "main_content", order: str = "id
 def topic_edges(memory: DataFrame, user: str = "user_id", key: str = "topic", id_col: str = "id") -> DataFrame:
     """(user, a, b, weight): pairs of a user's facts of one topic, which are what is asked for: their number is the square of a topic's.
 
-    Spark splits the join of a user's large topic among tasks.
+    A topic's facts are dealt to blocks of TOPIC_BLOCK by their ids, and each two blocks meet once: a large topic is many tasks,
+    of which none holds more than a few blocks at a time, and half of the pairs aren't made. Topics of one block aren't copied.
     """
-    other = memory.select(user, key, F.col(id_col).alias("b"))
-    pairs = memory.select(user, key, F.col(id_col).alias("a")).join(other, [user, key]).where("a < b")
-    return pairs.select(user, "a", "b", F.lit(0.8).alias("weight"))
+    spark = memory.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows = memory.select(user, key, F.col(id_col).alias("__id")).where(F.col("__id").isNotNull())
+    blocks = rows.groupBy(user, key).agg(F.ceil(F.count(F.lit(1)) / TOPIC_BLOCK).cast("int").alias("__n"))
+    rows = rows.join(blocks, [user, key]).withColumn("__block", F.pmod(F.xxhash64("__id"), F.col("__n")).cast("int"))
+    first = rows.select(user, key, F.col("__id").alias("__x"), F.col("__block").alias("__i"), F.explode(F.sequence("__block", F.col("__n") - 1)).alias("__j"))
+    second = rows.select(user, key, F.col("__id").alias("__y"), F.explode(F.sequence(F.lit(0), "__block")).alias("__i"), F.col("__block").alias("__j"))
+    meet = [user, key, "__i", "__j"]
+    pairs = first.repartition(n, *meet).join(second, meet).where("__i != __j OR __x < __y")
+    return pairs.select(user, F.least("__x", "__y").alias("a"), F.greatest("__x", "__y").alias("b"), F.lit(0.8).alias("weight"))
 
 
 def merge_chunks(parts: DataFrame, key: str, order: str, fields: tuple[str, ...], errors: str = "errors") -> DataFrame:

@@ -343,3 +343,16 @@ def test_pairs_ruled_out_by_bounds_are_not_scored(spark, monkeypatch):
     for _ in range(5):
         best.add(neighbours.Side(random.normal(size=(1000, 16))), np.arange(1000).astype(object), "cosine", "raw", None)
     assert sum(scored) < 500_000 // 100
+
+
+def test_large_topics_are_paired_by_blocks(spark, monkeypatch):
+    from palimpsest.operators import team as T
+
+    monkeypatch.setattr(T, "TOPIC_BLOCK", 8)
+    rows = [(1, "big", i * 3 % 100) for i in range(100)] + [(1, "big", 7), (1, "big", None), (2, "big", 5), (2, "big", 4), (None, "big", 1), (None, "big", 2), (1, None, 3), (1, None, 4), (1, "one", 9)]
+    memory = spark.createDataFrame(rows, "user_id int, topic string, id long").coalesce(1)
+    edges = T.topic_edges(memory)
+    want = sorted((u, a, b, 0.8) for u, x, a in rows for v, y, b in rows if u == v and x == y and None not in (u, x, a, b) and a < b)
+    assert sorted(tuple(r) for r in edges.collect()) == want
+    most = edges.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).head()[0]
+    assert most < len(want) / 2  # no task has a topic's pairs alone
